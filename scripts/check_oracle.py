@@ -17,6 +17,7 @@ from collections import Counter
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb  # noqa: E402
+import pandas as pd  # noqa: E402
 
 from sitegrove.plans.all import REGISTRY  # noqa: E402
 from sitegrove.session import build_session  # noqa: E402
@@ -24,7 +25,7 @@ from sitegrove.sources.tables import TABLES  # noqa: E402
 
 
 def norm(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return None
     if isinstance(v, float):
         if math.isnan(v):
@@ -52,6 +53,8 @@ def rows_of(pdf):
 def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or sorted(REGISTRY)
+    if len(names) == 1 and names[0].startswith("q_"):
+        names = sorted(k for k, q in REGISTRY.items() if q.build.__module__.endswith(names[0]))
     spark = build_session()
     con = duckdb.connect()
     for t in TABLES:
@@ -78,6 +81,8 @@ def main():
             print(f"FAIL {name}: duckdb error {str(e)[:400]}")
             bad += 1
             continue
+        sd = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
+        od = dict(zip(odf.columns, [str(t) for t in con.execute(f"DESCRIBE {q.sql}").fetchall()]))
         c1, r1 = rows_of(pdf)
         c2, r2 = rows_of(odf)
         if c1 != c2:
@@ -90,6 +95,9 @@ def main():
             bad += 1
         else:
             print(f"OK   {name}: {len(pdf)} rows ({ts:.1f}s)")
+            if "-v" in os.environ.get("CHECK_FLAGS", ""):
+                print("     spark", sd)
+                print("     duck ", {k: v.split(",")[1].strip(" '") for k, v in od.items()})
             ok += 1
     print(f"summary: ok={ok} fail={bad} rows_only={rows_only}")
 
