@@ -84,6 +84,18 @@ SELECT event_id, user_id AS job_id, 'crawl-' || CAST(user_id AS VARCHAR) AS exte
        CASE WHEN event_type IN ('view', 'click') THEN CAST(user_id AS VARCHAR) || '-'
             || json_extract_string(props, '$.k') END AS scrape_id
 FROM events""",
+    "d_request": """
+SELECT o_orderkey AS request_id,
+       CASE WHEN o_orderkey % 4 = 0 THEN 'https://www.site' || CAST(o_custkey AS VARCHAR) || '.example.com/'
+            WHEN o_orderkey % 4 = 1 THEN 'http://site' || CAST(o_custkey AS VARCHAR) || '.example.com/docs'
+            WHEN o_orderkey % 4 = 2 THEN 'site' || CAST(o_custkey AS VARCHAR) || '.example.com'
+            ELSE 'https://localhost/' END AS url,
+       o_orderdate + to_minutes(CAST(o_orderkey % 1440 AS INTEGER)) AS requested_at
+FROM orders WHERE o_orderpriority = '2-HIGH'
+UNION ALL
+SELECT -(page_id + 1) AS request_id, url,
+       TIMESTAMP '2024-01-15 00:00:00' + to_minutes(CAST(page_id AS INTEGER)) AS requested_at
+FROM pages""",
 }
 
 # views a view depends on (so only the needed ones are emitted, in order)

@@ -192,3 +192,23 @@ def crawl_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(etype == "crawl.page",
                F.concat(F.col("user_id").cast("string"), F.lit("-"), k)).alias("scrape_id"),
     )
+
+
+def crawl_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawl requests: re-crawl requests for known domains (orders with
+    priority '2-HIGH', url spelled four ways, one of them invalid) unioned
+    with first-time requests for the crawled pages' urls."""
+    o = read_table(spark, sf_dir, "orders").filter(F.col("o_orderpriority") == "2-HIGH")
+    name = domain_name(F.col("o_custkey"))
+    k = F.col("o_orderkey") % 4
+    url = (F.when(k == 0, F.concat(F.lit("https://www."), name, F.lit("/")))
+           .when(k == 1, F.concat(F.lit("http://"), name, F.lit("/docs")))
+           .when(k == 2, name)
+           .otherwise(F.lit("https://localhost/")))
+    known = o.select(F.col("o_orderkey").alias("request_id"), url.alias("url"),
+                     F.expr("timestampadd(MINUTE, CAST(o_orderkey % 1440 AS INT), o_orderdate)").alias("requested_at"))
+    p = read_table(spark, sf_dir, "pages")
+    fresh = p.select((-(F.col("page_id") + 1)).alias("request_id"), F.col("url"),
+                     F.expr("timestampadd(MINUTE, CAST(page_id AS INT), TIMESTAMP_NTZ '2024-01-15 00:00:00')")
+                      .alias("requested_at"))
+    return known.unionByName(fresh)
