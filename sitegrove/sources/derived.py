@@ -162,7 +162,22 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def version_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "conversations")
-    return c.select(F.col("conv_id").alias("page_id"), F.col("turn").alias("seq"), F.col("text"))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
+                    F.col("conv_id").alias("page_id"), F.col("turn").alias("seq"), F.col("text"))
+
+
+# Scorer response spellings used to derive the response table
+# (valid, padded, with trailing words, out of range, words, missing).
+SCORER_RESPONSES = [" 3 ", "4", "1", "2 (moderate)", "high", "9", None]
+
+
+def scorer_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change-score responses keyed by chain version id (versions after the
+    first), spelled by (conv_id + turn) % 7 from the list above."""
+    c = read_table(spark, sf_dir, "conversations").filter(F.col("turn") > 0)
+    resp = F.element_at(F.array(*[F.lit(r).cast("string") for r in SCORER_RESPONSES]),
+                        ((F.col("conv_id") + F.col("turn")) % 7 + 1).cast("int"))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), resp.alias("response"))
 
 
 def crawled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
