@@ -295,7 +295,7 @@ def changed_enough(sim: Column, threshold: Column) -> tuple[Column, Column]:
 
 
 def profile_threshold(params: Column, default: float = 0.95) -> Column:
-    return F.coalesce(F.get_json_object(params, "$.similarity_threshold").cast("double"), F.lit(default))
+    return F.coalesce(F.get_json_object(params, "$.similarityThreshold").cast("double"), F.lit(default))
 
 
 # --------------------------------------------------------------------------- D8

@@ -94,7 +94,7 @@ def q_similarity(spark, sf):
     s = c.filter(F.col("prev_text").isNotNull()).select(
         "id", "page_id", G.similarity(F.col("prev_text"), F.col("text")).alias("similarity"))
     changed, reason = G.changed_enough(F.col("similarity"), F.lit(0.95))
-    changed_p, _ = G.changed_enough(F.col("similarity"), G.profile_threshold(F.lit('{"similarity_threshold": 0.85}')))
+    changed_p, _ = G.changed_enough(F.col("similarity"), G.profile_threshold(F.lit('{"similarityThreshold": 0.85}')))
     return s.select("id", "page_id", "similarity", changed.alias("changed"), reason.alias("reason"),
                     changed_p.alias("changed_profile"))
 

@@ -61,7 +61,7 @@ SELECT n_nationkey AS id, n_name AS name,
        '# ' || n_name AS header,
        '{{header}}' || chr(10) || chr(10) || 'Date: {{date}}' || chr(10) || 'Domain: {{domain}}' || chr(10) || chr(10)
          || '{{domainSummary}}' || chr(10) || chr(10) || '{{pageSummaries}}' AS template,
-       CASE WHEN n_nationkey % 5 = 0 THEN '{"similarity_threshold": 0.85}' ELSE '{}' END AS params,
+       CASE WHEN n_nationkey % 5 = 0 THEN '{"similarityThreshold": 0.85}' ELSE '{}' END AS params,
        CAST(1 + n_nationkey % 3 AS INTEGER) AS version,
        TIMESTAMP '2023-01-01 00:00:00' + to_days(n_regionkey) AS created_at
 FROM nation""",

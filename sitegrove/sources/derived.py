@@ -153,7 +153,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("# "), F.col("n_name")).alias("header"),
         F.lit("{{header}}\n\nDate: {{date}}\nDomain: {{domain}}\n\n{{domainSummary}}\n\n{{pageSummaries}}")
          .alias("template"),
-        F.when(F.col("n_nationkey") % 5 == 0, F.lit('{"similarity_threshold": 0.85}'))
+        F.when(F.col("n_nationkey") % 5 == 0, F.lit('{"similarityThreshold": 0.85}'))
          .otherwise(F.lit("{}")).alias("params"),
         (F.lit(1) + F.col("n_nationkey") % 3).cast("int").alias("version"),
         F.expr("timestampadd(DAY, n_regionkey, TIMESTAMP_NTZ '2023-01-01 00:00:00')").alias("created_at"),
