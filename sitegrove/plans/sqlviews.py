@@ -82,7 +82,7 @@ SELECT event_id, user_id AS job_id, 'crawl-' || CAST(user_id AS VARCHAR) AS exte
        CASE event_type WHEN 'signup' THEN 'crawl.started' WHEN 'view' THEN 'crawl.page'
             WHEN 'click' THEN 'crawl.page' WHEN 'purchase' THEN 'crawl.completed'
             WHEN 'error' THEN 'crawl.failed' END AS type,
-       ts,
+       ts, value,
        CASE WHEN event_type IN ('view', 'click') THEN 'https://site' || CAST(user_id AS VARCHAR)
             || '.example.com/docs/' || json_extract_string(props, '$.k') END AS url,
        CASE WHEN event_type IN ('view', 'click') THEN CAST(user_id AS VARCHAR) || '-'

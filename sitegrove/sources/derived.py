@@ -202,6 +202,7 @@ def crawl_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("crawl-"), F.col("user_id").cast("string")).alias("external_id"),
         etype.alias("type"),
         F.col("ts"),
+        F.col("value"),
         F.when(etype == "crawl.page",
                F.concat(F.lit("https://"), domain_name(F.col("user_id")), F.lit("/docs/"), k)).alias("url"),
         F.when(etype == "crawl.page",
