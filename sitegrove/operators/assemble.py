@@ -75,11 +75,11 @@ def page_rank_score(url: Column, content_length: Column) -> Column:
 
 # ----------------------------------------------------------------------------- I2
 
-def index_document(versions: DataFrame, jobs_domain: DataFrame, as_of: str) -> DataFrame:
+def index_document(versions: DataFrame, as_of: str) -> DataFrame:
     """I2 (deterministic generator): one llms.txt text per job with versions.
-    ``versions``: job_id, id, url, title, description, summary, created_at.
-    ``jobs_domain``: job_id, domain."""
-    v = versions.join(jobs_domain, "job_id")
+    ``versions``: job_id, domain, id, url, title, description, summary,
+    created_at. One aggregate on the job key."""
+    v = versions
     title = display_title(F.col("title"), F.col("url"), "page")
     desc = F.when(_nz(F.col("description")), F.col("description")).otherwise(
         F.concat(F.lit("Content from "), F.col("domain")))
@@ -129,41 +129,65 @@ def category_counts(versions: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("pages"))
 
 
-def full_document(versions: DataFrame, jobs_domain: DataFrame, as_of: str,
-                  categories: DataFrame | None = None) -> DataFrame:                   # I4
-    """llms-full.txt per job. Categories are the path groups (I3) unless a
-    (job_id, category, pos, url...) assignment is given (C6)."""
-    v = versions.join(jobs_domain, "job_id")
-    # a page entry shows the first version (in page order) with its url
-    first_section = (v.groupBy("job_id", "url").agg(F.min(F.struct(
-        "created_at", "id", page_section(F.col("title"), F.col("url"), F.col("description"), F.col("summary"))
-        .alias("s"))).alias("_f")).select("job_id", "url", F.col("_f.s").alias("section")))
-    pages = categories if categories is not None else categorized_pages(v)
-    p = pages.select("job_id", "url", "category", "pos").join(first_section, ["job_id", "url"])
-    per_cat = p.groupBy("job_id", "category").agg(
-        F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"),
-        F.array_sort(F.collect_list(F.struct("pos", "section"))).alias("_s"))
+def full_document(versions: DataFrame, as_of: str, assignment: DataFrame | None = None,
+                  category_list: DataFrame | None = None) -> DataFrame:                 # I4 + I5 + I6
+    """llms-full.txt per job. ``versions``: job_id, domain, id, url, title,
+    description, summary, created_at.
+
+    Categories are the url path groups (I3, ordered by first appearance in
+    url order) unless an ``assignment`` (job_id, url, category, cat_pos) from
+    C6 is given; then ``category_list`` (job_id, category, cat_pos) holds every
+    category of the response, in response order, including empty ones (they
+    are listed in the contents but get no section).
+
+    Page entries are in (url, created_at, id) order and each shows the first
+    version with its url, so all entries of one url are adjacent copies: the
+    plan is (job, url) -> (job, category) -> job aggregates, all keyed by the
+    job first, after a single repartition on the job key.
+    """
+    v = versions.repartition("job_id")
+    section = page_section(F.col("title"), F.col("url"), F.col("description"), F.col("summary"))
+    per_url = v.groupBy("job_id", "domain", "url").agg(
+        F.count(F.lit(1)).alias("n_url"),
+        F.min(F.struct("created_at", "id", section.alias("s"))).alias("_f"))
+    per_url = per_url.select("job_id", "domain", "url", "n_url", F.repeat(F.col("_f.s"), F.col("n_url")).alias("sections"))
+    if assignment is None:
+        cats = per_url.withColumn("category", path_category(F.col("url"))).withColumn("cat_pos", F.lit(None).cast("int"))
+    else:
+        cats = per_url.join(assignment.select("job_id", "url", "category", F.col("cat_pos").cast("int")).distinct(),
+                            ["job_id", "url"])
+    per_cat = cats.groupBy("job_id", "domain", "category", "cat_pos").agg(
+        F.sum("n_url").alias("n"), F.min("url").alias("first_url"),
+        F.array_sort(F.collect_list(F.struct("url", "sections"))).alias("_s"))
     block = F.concat(F.lit("## "), F.col("category"), F.lit("\n\n"),
-                     F.array_join(F.transform("_s", lambda x: x["section"]), ""))
+                     F.array_join(F.transform("_s", lambda x: x["sections"]), ""))
+    per_cat = per_cat.select("job_id", "domain", "category", "cat_pos", "n", "first_url", block.alias("block"))
+    if category_list is not None:
+        empty = (category_list.select("job_id", "category", F.col("cat_pos").cast("int"))
+                 .join(per_cat.select("job_id", "category"), ["job_id", "category"], "left_anti")
+                 .join(v.select("job_id", "domain").distinct(), "job_id")
+                 .select("job_id", "domain", "category", "cat_pos", F.lit(0).cast("long").alias("n"),
+                         F.lit(None).cast("string").alias("first_url"), F.lit("").alias("block")))
+        per_cat = per_cat.unionByName(empty)
     anchor = F.regexp_replace(F.lower(F.col("category")), JS_SPACE_CLASS + "+", "-")
     toc_line = F.concat(F.lit("- ["), F.col("category"), F.lit("](#"), anchor, F.lit(") ("),
                         F.col("n").cast("string"), F.lit(" pages)"))
-    per_cat = per_cat.select("job_id", category_order_key(F.col("category"), F.col("first_pos")).alias("k"),
-                             block.alias("block"), toc_line.alias("toc"))
-    per_job = per_cat.groupBy("job_id").agg(
+    order = F.coalesce(F.col("cat_pos").cast("string"), F.col("first_url"))
+    if assignment is not None:
+        order = F.lpad(F.col("cat_pos").cast("string"), 10, "0")
+    per_cat = per_cat.select("job_id", "domain", category_order_key(F.col("category"), order).alias("k"),
+                             F.col("block"), toc_line.alias("toc"))
+    per_job = per_cat.groupBy("job_id", "domain").agg(
         F.array_sort(F.collect_list(F.struct("k", "block", "toc"))).alias("_c"))
-    doms = jobs_domain.select("job_id", "domain")
     head = F.concat(F.lit("# "), F.col("domain"), F.lit(" - Complete Documentation\n\n> Comprehensive content archive from "),
                     F.col("domain"), F.lit(f"\n\nGenerated: {iso_millis(as_of)}\n\n---\n\n"))
     toc = F.when(F.size("_c") > 1, F.concat(F.lit("## Table of Contents\n\n"),
                                             F.array_join(F.transform("_c", lambda x: x["toc"]), "\n"),
                                             F.lit("\n\n---\n\n"))).otherwise(F.lit(""))
     body = F.array_join(F.transform("_c", lambda x: x["block"]), "")
-    doc = F.concat(head, toc, body)
-    # sections end with a newline that the reference's final join does not add
-    doc = F.regexp_replace(doc, r"\n\z", "")
-    return per_job.join(doms, "job_id").select("job_id", "domain", F.size("_c").alias("categories"),
-                                               doc.alias("content"))
+    # every section ends with a new line that the reference's final join does not add
+    doc = F.regexp_replace(F.concat(head, toc, body), r"\n\z", "")
+    return per_job.select("job_id", "domain", F.size("_c").alias("categories"), doc.alias("content"))
 
 
 # ----------------------------------------------------------------------------- H7/C6

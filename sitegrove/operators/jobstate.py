@@ -62,36 +62,39 @@ def processed_events(pages: DataFrame) -> DataFrame:
                          F.expr("timestampadd(SECOND, CAST(event_id % 7 AS INT), ts)").alias("ts")))
 
 
+def job_events(pages: DataFrame, closes: DataFrame) -> DataFrame:
+    """One (job_id, ts, kind) row per step: 1 = page received, 2 = page
+    processed, 3 = stream closed. Received and processed rows come from one
+    pass over the pages (a generator), not two scans."""
+    recv = F.struct(F.col("ts").alias("ts"), F.lit(1).alias("kind"))
+    proc = F.struct(F.expr("timestampadd(SECOND, CAST(event_id % 7 AS INT), ts)").alias("ts"), F.lit(2).alias("kind"))
+    both = F.when(F.col("event_id") % 10 != 9, F.array(recv, proc)).otherwise(F.array(recv))
+    p = pages.select("job_id", F.explode(both).alias("e")).select("job_id", "e.ts", "e.kind")
+    return p.unionByName(closes.select("job_id", "ts", F.lit(3).alias("kind")))
+
+
 # ----------------------------------------------------------------------------- S2 / D6
 
-def job_progress(pages: DataFrame, processed: DataFrame, closes: DataFrame) -> DataFrame:
-    """Pages received and processed per job, stream closed flag."""
-    r = pages.groupBy("job_id").agg(F.count(F.lit(1)).alias("pages_received"),
-                                    F.max("ts").alias("last_page_at"))
-    p = processed.groupBy("job_id").agg(F.count(F.lit(1)).alias("pages_processed"),
-                                        F.max("ts").alias("last_processed_at"))
-    c = closes.groupBy("job_id").agg(F.min("ts").alias("closed_at"))
-    jobs = r.select("job_id").unionByName(p.select("job_id")).unionByName(c.select("job_id")).distinct()
-    return (jobs.join(r, "job_id", "left").join(p, "job_id", "left").join(c, "job_id", "left")
-                .select("job_id",
-                        F.coalesce("pages_received", F.lit(0)).alias("pages_received"),
-                        F.coalesce("pages_processed", F.lit(0)).alias("pages_processed"),
-                        F.col("closed_at").isNotNull().alias("stream_closed"),
-                        "closed_at", F.greatest("last_page_at", "last_processed_at", "closed_at").alias("last_event_at")))
+def job_progress(events: DataFrame) -> DataFrame:
+    """Pages received and processed per job, stream closed flag; one
+    aggregate over the job events."""
+    k = F.col("kind")
+    return events.groupBy("job_id").agg(
+        F.count_if(k == 1).alias("pages_received"),
+        F.count_if(k == 2).alias("pages_processed"),
+        (F.count_if(k == 3) > 0).alias("stream_closed"),
+        F.min(F.when(k == 3, F.col("ts"))).alias("closed_at"),
+        F.max("ts").alias("last_event_at"))
 
 
 # ----------------------------------------------------------------------------- S3
 
-def ready_triggers(pages: DataFrame, processed: DataFrame, closes: DataFrame) -> DataFrame:
+def ready_triggers(events: DataFrame) -> DataFrame:
     """S3 batch form: exactly one trigger per job, at the first processed-page
     or close event after which the stream is closed, every received page is
     processed and at least one page was processed."""
-    ev = (pages.select("job_id", "ts", F.lit(1).alias("kind"), F.lit(1).alias("d_rec"),
-                       F.lit(0).alias("d_proc"), F.lit(0).alias("d_close"))
-          .unionByName(processed.select("job_id", "ts", F.lit(2).alias("kind"), F.lit(0).alias("d_rec"),
-                                        F.lit(1).alias("d_proc"), F.lit(0).alias("d_close")))
-          .unionByName(closes.select("job_id", "ts", F.lit(3).alias("kind"), F.lit(0).alias("d_rec"),
-                                     F.lit(0).alias("d_proc"), F.lit(1).alias("d_close"))))
+    ev = events.select("job_id", "ts", "kind", (F.col("kind") == 1).cast("int").alias("d_rec"),
+                       (F.col("kind") == 2).cast("int").alias("d_proc"), (F.col("kind") == 3).cast("int").alias("d_close"))
     w = Window.partitionBy("job_id").orderBy("ts", "kind").rowsBetween(Window.unboundedPreceding, 0)
     run = ev.select("job_id", "ts", "kind",
                     F.sum("d_rec").over(w).alias("rec"), F.sum("d_proc").over(w).alias("proc"),
@@ -118,16 +121,15 @@ def rate_windows(pages: DataFrame, seconds: int = 10, limit: int = 100) -> DataF
 
 # ----------------------------------------------------------------------------- S6 / J9
 
-def close_bookkeeping(pages: DataFrame, processed: DataFrame, closes: DataFrame,
-                      existing_stats: DataFrame | None = None) -> DataFrame:
+def close_bookkeeping(events: DataFrame, existing_stats: DataFrame | None = None) -> DataFrame:
     """At close, record how many pages were received and processed by then
     and a note, merged (J9, right side wins) into the job's stats JSON."""
-    c = closes.groupBy("job_id").agg(F.min("ts").alias("closed_at"))
-    r = pages.join(c, "job_id").filter(F.col("ts") <= F.col("closed_at")).groupBy("job_id").agg(
-        F.count(F.lit(1)).alias("rec"))
-    p = processed.join(c, "job_id").filter(F.col("ts") <= F.col("closed_at")).groupBy("job_id").agg(
-        F.count(F.lit(1)).alias("proc"))
-    x = c.join(r, "job_id", "left").join(p, "job_id", "left").fillna(0, ["rec", "proc"])
+    closed_at = F.min(F.when(F.col("kind") == 3, F.col("ts"))).over(Window.partitionBy("job_id"))
+    e = events.withColumn("closed_at", closed_at).filter(F.col("closed_at").isNotNull())
+    before = F.col("ts") <= F.col("closed_at")
+    x = e.groupBy("job_id").agg(F.first("closed_at").alias("closed_at"),
+                                F.count_if((F.col("kind") == 1) & before).alias("rec"),
+                                F.count_if((F.col("kind") == 2) & before).alias("proc"))
     note = F.to_json(F.struct(F.lit(True).alias("streamClosed"), F.col("proc").alias("pagesProcessedAtClose"),
                               F.col("rec").alias("pagesReceivedAtClose"),
                               F.format_string("Stream closed. Received: %d, Processed: %d", "rec", "proc").alias("note")))

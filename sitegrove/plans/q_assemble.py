@@ -9,6 +9,7 @@ from ..functions import prompts as H
 from ..functions import scalars as S
 from ..operators import assemble as A
 from ..sources import derived as D
+from ..sources.tables import read_table
 from . import sqlfrag as Q
 from .registry import register
 from .sqlviews import with_views
@@ -18,15 +19,16 @@ NL = "chr(10)"
 NN = "chr(10) || chr(10)"
 
 
-def _jobs_domain(spark, sf):
-    j = D.jobs(spark, sf).select(F.col("id").alias("job_id"), "domain_id")
+def _with_domain(spark, sf, versions):
+    """Attach the domain name by the version's domain key (a join with the
+    small domain dimension; AQE broadcasts it once measured)."""
     d = D.domains(spark, sf).select(F.col("id").alias("domain_id"), "domain")
-    return j.join(d, "domain_id").select("job_id", "domain")
+    return versions.join(d, "domain_id")
 
 
 def _details(spark, sf):
-    return D.page_version_details(spark, sf).select("job_id", "id", "url", "title", "description", "summary",
-                                                    "created_at")
+    return _with_domain(spark, sf, D.page_version_details(spark, sf)).select(
+        "job_id", "domain", "id", "url", "title", "description", "summary", "created_at")
 
 
 def _lit(text: str) -> str:
@@ -73,7 +75,7 @@ SELECT job_id, domain, count(*) AS pages,
          || '---' || {NL} || {NL} || string_agg({_SECTION2}, {NL} ORDER BY v.url, v.created_at, v.id) AS content
 FROM v GROUP BY job_id, domain""")
 def q_index_documents(spark, sf):
-    return A.index_document(_details(spark, sf), _jobs_domain(spark, sf), AS_OF)
+    return A.index_document(_details(spark, sf), AS_OF)
 
 
 _SECTION3 = (f"'### ' || {_title_sql('Page')} || {NN} || CASE WHEN {_nz('v.summary')} THEN v.summary || {NN} "
@@ -110,7 +112,7 @@ _PATH_PAGES = f"""
 
 @register("full_documents", "I3,I4,I5,I6,I7", sql=_full_doc_sql(_PATH_PAGES))
 def q_full_documents(spark, sf):
-    return A.full_document(_details(spark, sf), _jobs_domain(spark, sf), AS_OF)
+    return A.full_document(_details(spark, sf), AS_OF)
 
 
 @register("category_page_counts", "D7,I3", sql=with_views("d_version_page") + f"""
@@ -194,12 +196,14 @@ def q_category_assignment(spark, sf):
 @register("full_documents_categorized", "I4,I5,C6,H7", sql=None)
 def q_full_documents_ai(spark, sf):
     """Full documents with response-driven categories (C6). Category order
-    follows the response object's key order; rows-only (DuckDB's JSON key
-    order rules differ)."""
-    pages = A.categorized_pages(_details(spark, sf)).select("job_id", "url", "pos")
-    cats = A.match_categories(pages, A.parse_category_response(_category_responses(spark, sf)))
-    return A.full_document(_details(spark, sf), _jobs_domain(spark, sf), AS_OF,
-                           categories=cats.select("job_id", "url", "category", "pos"))
+    follows the response object's key order, empty categories appear in the
+    contents only; rows-only (DuckDB's JSON key order rules differ)."""
+    det = _details(spark, sf)
+    parsed = A.parse_category_response(_category_responses(spark, sf))
+    pages = A.categorized_pages(det).select("job_id", "url", "pos")
+    cats = A.match_categories(pages, parsed)
+    return A.full_document(det, AS_OF, assignment=cats.select("job_id", "url", "category", "cat_pos"),
+                           category_list=parsed.select("job_id", "category", "cat_pos").distinct())
 
 
 @register("artifact_rows", "I9,E8,J4,A6", sql=None)
@@ -208,9 +212,8 @@ def q_artifact_rows(spark, sf):
     artifacts of the same domain and kind."""
     gate = A.assembly_gate(D.page_versions(spark, sf)).filter("should_generate").select("job_id")
     det = _details(spark, sf).join(gate, "job_id", "left_semi")
-    jd = _jobs_domain(spark, sf)
-    idx = A.index_document(det, jd, AS_OF).select("job_id", "domain", F.lit("llms_txt").alias("kind"), "content")
-    full = A.full_document(det, jd, AS_OF).select("job_id", "domain", F.lit("llms_full_txt").alias("kind"), "content")
+    idx = A.index_document(det, AS_OF).select("job_id", "domain", F.lit("llms_txt").alias("kind"), "content")
+    full = A.full_document(det, AS_OF).select("job_id", "domain", F.lit("llms_full_txt").alias("kind"), "content")
     return A.artifact_rows(idx.unionByName(full), D.jobs(spark, sf), D.artifacts(spark, sf))
 
 
@@ -236,9 +239,9 @@ def q_templates(spark, sf):
 @register("carry_forward_documents", "I11,I2,E4", sql=None)
 def q_carry_forward(spark, sf):
     det = D.page_version_details(spark, sf)
-    inputs = A.carry_forward_inputs(det, D.jobs(spark, sf))
-    return A.index_document(inputs.select("job_id", "id", "url", "title", "description", "summary", "created_at"),
-                            _jobs_domain(spark, sf), AS_OF)
+    inputs = _with_domain(spark, sf, A.carry_forward_inputs(det, D.jobs(spark, sf)))
+    return A.index_document(inputs.select("job_id", "domain", "id", "url", "title", "description", "summary",
+                                          "created_at"), AS_OF)
 
 
 # ---- request / response tables ----------------------------------------------------------
@@ -260,7 +263,7 @@ SELECT doc_id,
          || {_lit(H.SUMMARY_OUTRO)}) / 4) AS BIGINT) AS prompt_tokens
 FROM documents""")
 def q_summary_requests(spark, sf):
-    d = spark.read.parquet(f"{sf}/documents.parquet")
+    d = read_table(spark, sf, "documents")
     req = H.page_summary_request(F.col("text"), F.col("source"), F.col("lang"))
     return d.select("doc_id", req.alias("request"),
                     H.token_estimate(F.lit(H.SUMMARY_SYSTEM), req).alias("prompt_tokens"))
@@ -268,7 +271,7 @@ def q_summary_requests(spark, sf):
 
 # summary responses per document, spelled by doc_id % 5 (fixed values)
 def _summary_responses(spark, sf):
-    d = spark.read.parquet(f"{sf}/documents.parquet")
+    d = read_table(spark, sf, "documents")
     k = F.col("doc_id") % 5
     first = F.split(F.col("text"), "\n", -1).getItem(0)
     resp = (F.when(k == 0, F.to_json(F.struct(first.alias("description"), F.col("text").alias("summary"))))
@@ -334,17 +337,16 @@ FROM c JOIN f ON f.job_id = c.job_id""")
 def q_site_requests(spark, sf):
     from ..operators.catalog import first_pages
     det = _details(spark, sf)
-    jd = _jobs_domain(spark, sf)
     fp = first_pages(det, 10)
     t = A.display_title(F.col("title"), F.col("url"), "Page")
     desc = F.when(F.col("description").isNotNull() & (F.col("description") != ""), F.col("description")) \
         .otherwise(F.lit("Page content"))
-    per = det.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct(
+    per = det.groupBy("job_id", "domain").agg(F.array_sort(F.collect_list(F.struct(
         "url", "created_at", "id", F.concat(F.lit("- "), F.col("url"), F.lit(" ("), t, F.lit(")")).alias("line"),
         H.site_page_context(t, F.col("url"), desc, F.col("summary")).alias("ctx")))).alias("_p"))
-    per = per.select("job_id", F.array_join(F.transform("_p", lambda x: x["line"]), "\n").alias("page_lines"),
+    per = per.select("job_id", "domain", F.array_join(F.transform("_p", lambda x: x["line"]), "\n").alias("page_lines"),
                      F.array_join(F.transform("_p", lambda x: x["ctx"]), "\n").alias("ctx"))
-    x = per.join(fp, "job_id").join(jd, "job_id")
+    x = per.join(fp, "job_id")
     return x.select("job_id",
                     H.overview_request(F.col("domain"), F.col("page_count"), F.col("first_urls")).alias("overview_request"),
                     H.category_request(F.col("page_lines")).alias("category_request"),

@@ -11,24 +11,31 @@ from pyspark.sql import functions as F
 from .. import AS_OF
 from ..operators import jobstate as J
 from ..sources import derived as D
+from ..sources.tables import read_table
 from ..sources import events as E
 from .registry import register
 from .sqlviews import with_views
 
 
 def event_pipeline(spark, sf):
-    """Shared lineage: webhook log -> parse -> pages / closes, resolved to jobs."""
+    """Shared lineage, parsed once and shuffled once: webhook log -> parse ->
+    page documents and closes in one generator -> job lookup (broadcast-size
+    dimension join) -> one hash repartition on (job_id, url). Every per-job
+    aggregate below reads that exchange (Spark reuses it across branches) and
+    needs no further shuffle for the dedupe on (job, url, scrapeId); per-job
+    totals pre-aggregate within each partition before their own small shuffle."""
     jobs = D.jobs(spark, sf)
     parsed = E.parse_webhooks(E.webhook_payloads(D.crawl_events(spark, sf)))
-    docs = E.explode_pages(parsed)
-    matched, unmatched = J.lookup_jobs(docs, jobs)
-    pages = J.dedupe_page_events(J.accept_for_job(matched).select(
+    steps = E.explode_steps(parsed)
+    matched, unmatched = J.lookup_jobs(steps, jobs)
+    keyed = matched.repartition("job_id", "url")
+    docs_matched = keyed.filter(F.col("type") == "crawl.page")
+    pages = J.dedupe_page_events(J.accept_for_job(docs_matched).select(
         "job_id", "url", "scrape_id", "ts", "event_id", "doc_pos", "domain_id"))
-    comp = parsed.filter((F.col("status") == "accepted") & (F.col("type") == "crawl.completed"))
-    closes, _ = J.lookup_jobs(comp, jobs)
-    closes = closes.select("job_id", "ts")
-    return {"jobs": jobs, "parsed": parsed, "docs": docs, "matched": matched, "unmatched": unmatched,
-            "pages": pages, "closes": closes, "processed": J.processed_events(pages)}
+    closes = keyed.filter(F.col("type") == "crawl.completed").select("job_id", "ts")
+    return {"jobs": jobs, "parsed": parsed, "docs": E.explode_pages(parsed), "matched": docs_matched,
+            "unmatched": unmatched, "pages": pages, "closes": closes, "processed": J.processed_events(pages),
+            "events": J.job_events(pages, closes)}
 
 
 # SQL form of the same lineage (spelling rules of sources.events.webhook_payloads)
@@ -101,15 +108,14 @@ def q_dedupe(spark, sf):
 @register("job_progress", "S2,D6", sql=_EV + """
 , r AS (SELECT job_id, count(*) AS n, max(ts) AS last_ts FROM pages GROUP BY job_id)
 , p AS (SELECT job_id, count(*) AS n, max(ts) AS last_ts FROM processed GROUP BY job_id)
-, c AS (SELECT job_id, min(ts) AS closed_at FROM closes GROUP BY job_id)
+, c AS (SELECT job_id, min(ts) AS closed_at, max(ts) AS last_close FROM closes GROUP BY job_id)
 , ids AS (SELECT job_id FROM r UNION SELECT job_id FROM p UNION SELECT job_id FROM c)
 SELECT ids.job_id, coalesce(r.n, 0) AS pages_received, coalesce(p.n, 0) AS pages_processed,
        c.closed_at IS NOT NULL AS stream_closed, c.closed_at,
-       greatest(r.last_ts, p.last_ts, c.closed_at) AS last_event_at
+       greatest(r.last_ts, p.last_ts, c.last_close) AS last_event_at
 FROM ids LEFT JOIN r ON r.job_id = ids.job_id LEFT JOIN p ON p.job_id = ids.job_id LEFT JOIN c ON c.job_id = ids.job_id""")
 def q_progress(spark, sf):
-    e = event_pipeline(spark, sf)
-    return J.job_progress(e["pages"], e["processed"], e["closes"])
+    return J.job_progress(event_pipeline(spark, sf)["events"])
 
 
 @register("ready_triggers", "S3", sql=_EV + """
@@ -124,8 +130,7 @@ SELECT job_id, ts AS ready_at, CASE WHEN kind = 3 THEN 'close' ELSE 'last_page'
 FROM run WHERE kind >= 2 AND closed > 0 AND rec = proc AND proc > 0
 QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts, kind, proc) = 1""")
 def q_ready(spark, sf):
-    e = event_pipeline(spark, sf)
-    return J.ready_triggers(e["pages"], e["processed"], e["closes"])
+    return J.ready_triggers(event_pipeline(spark, sf)["events"])
 
 
 @register("rate_windows", "S4", sql=_EV + """
@@ -144,16 +149,16 @@ def q_close(spark, sf):
     prior = e["jobs"].select(F.col("id").alias("job_id"),
                              F.to_json(F.struct(F.col("type").alias("jobType"),
                                                 F.lit(False).alias("streamClosed"))).alias("stats"))
-    return J.close_bookkeeping(e["pages"], e["processed"], e["closes"], prior)
+    return J.close_bookkeeping(e["events"], prior)
 
 
 @register("stalled_jobs", "S7", sql=_EV + f"""
 , r AS (SELECT job_id, count(*) AS n, max(ts) AS last_ts FROM pages GROUP BY job_id)
 , p AS (SELECT job_id, count(*) AS n, max(ts) AS last_ts FROM processed GROUP BY job_id)
-, c AS (SELECT job_id, min(ts) AS closed_at FROM closes GROUP BY job_id)
+, c AS (SELECT job_id, min(ts) AS closed_at, max(ts) AS last_close FROM closes GROUP BY job_id)
 , ids AS (SELECT job_id FROM r UNION SELECT job_id FROM p UNION SELECT job_id FROM c)
 , g AS (SELECT ids.job_id, coalesce(r.n, 0) AS pages_received, coalesce(p.n, 0) AS pages_processed,
-               c.closed_at IS NOT NULL AS stream_closed, greatest(r.last_ts, p.last_ts, c.closed_at) AS last_event_at
+               c.closed_at IS NOT NULL AS stream_closed, greatest(r.last_ts, p.last_ts, c.last_close) AS last_event_at
         FROM ids LEFT JOIN r ON r.job_id = ids.job_id LEFT JOIN p ON p.job_id = ids.job_id
         LEFT JOIN c ON c.job_id = ids.job_id)
 , s AS (SELECT *, CASE WHEN NOT stream_closed THEN 'stream not closed'
@@ -163,11 +168,11 @@ SELECT job_id, pages_received, pages_processed, stream_closed, last_event_at, st
 WHERE stall_reason IS NOT NULL AND last_event_at < TIMESTAMP '{AS_OF}' - INTERVAL 60 MINUTE""")
 def q_stalled(spark, sf):
     e = event_pipeline(spark, sf)
-    return J.stalled_jobs(J.job_progress(e["pages"], e["processed"], e["closes"]), AS_OF, 60)
+    return J.stalled_jobs(J.job_progress(e["events"]), AS_OF, 60)
 
 
 def _cancel_requests(spark, sf):
-    o = spark.read.parquet(f"{sf}/orders.parquet").filter(F.col("o_orderpriority") == "3-MEDIUM")
+    o = read_table(spark, sf, "orders").filter(F.col("o_orderpriority") == "3-MEDIUM")
     return o.select(F.col("o_orderkey").alias("request_id"), F.col("o_orderkey").alias("job_id"),
                     F.expr("timestampadd(DAY, 1, o_orderdate)").alias("requested_at"))
 

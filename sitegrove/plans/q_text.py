@@ -8,6 +8,7 @@ from ..functions import scalars as S
 from ..functions import text as T
 from ..operators import text_ops
 from ..sources import derived as D
+from ..sources.tables import read_table
 from . import sqlfrag as Q
 from .registry import register
 from .sqlviews import with_views
@@ -59,7 +60,7 @@ def _sql_dedupe(src: str, key: str, text: str) -> str:
 @register("dedupe_headings_documents", "F10", sql="WITH src AS (SELECT doc_id, text FROM documents)" + _sql_dedupe("src", "doc_id", "text") + """
 SELECT k_id AS doc_id, md AS deduped_md, length(md) AS n_chars FROM dd""")
 def dedupe_headings_documents(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = read_table(spark, sf_dir, "documents")
     md = T.dedupe_headings(F.col("text"))
     return d.select("doc_id", md.alias("deduped_md"), F.length(md).cast("long").alias("n_chars"))
 
@@ -69,7 +70,7 @@ def dedupe_headings_documents(spark, sf_dir):
           + _sql_dedupe("src", "doc_id", "text") + f"""
 SELECT k_id AS doc_id, {Q.js_trim('md')} AS cleaned_md FROM dd""")
 def clean_documents(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = read_table(spark, sf_dir, "documents")
     return d.select("doc_id", T.clean_markdown(F.col("text")).alias("cleaned_md"))
 
 
@@ -88,7 +89,7 @@ SELECT doc_id, {Q.title('text')} AS title,
             ELSE 'product' END AS page_type
 FROM documents""")
 def title_documents(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = read_table(spark, sf_dir, "documents")
     path = (F.when(F.col("lang") == "en", F.lit("/"))
             .when(F.col("lang") == "de", F.concat(F.lit("/docs/"), F.col("source")))
             .when(F.col("lang") == "fr", F.concat(F.lit("/blog/"), F.col("source")))
@@ -106,7 +107,7 @@ for _p in T.METADATA_RES:
 @register("strip_metadata_documents", "F13", sql=f"""
 SELECT doc_id, {_META_SQL} AS md, length({_META_SQL}) AS n_chars FROM documents""")
 def strip_metadata_documents(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = read_table(spark, sf_dir, "documents")
     md = T.drop_metadata_lines(F.col("text"))
     return d.select("doc_id", md.alias("md"), F.length(md).cast("long").alias("n_chars"))
 
@@ -124,7 +125,7 @@ SELECT doc_id,
        CASE WHEN length(text) > 500 THEN substr(text, 1, 500) ELSE '' END AS summary
 FROM documents""")
 def enhance_documents(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = read_table(spark, sf_dir, "documents")
     t = F.col("text")
     return d.select("doc_id", T.enhance_content(t).alias("enhanced_md"),
                     T.deterministic_description(t).alias("description"),
@@ -138,14 +139,14 @@ _DN_SQL = Q.js_trim(f"replace(replace(text, chr(13) || chr(10), chr(10)), chr(9)
 @register("fingerprint_documents", "G1,G9", sql=f"""
 SELECT doc_id, sha256({_FP_SQL}) AS fingerprint, length({_DN_SQL}) AS normalized_chars FROM documents""")
 def fingerprint_documents(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = read_table(spark, sf_dir, "documents")
     return d.select("doc_id", T.fingerprint(F.col("text")).alias("fingerprint"),
                     F.length(T.diff_normalize(F.col("text"))).cast("long").alias("normalized_chars"))
 
 
 @register("main_content_documents", "F12", sql=None)
 def main_content_documents(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = read_table(spark, sf_dir, "documents")
     return text_ops.extract_main_content(d, "text", "main_md", key="doc_id").select(
         "doc_id", "main_md", "main_lines", "main_fallback")
 

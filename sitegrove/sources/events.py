@@ -59,15 +59,18 @@ def webhook_payloads(events: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------------------- A1
 
 def parse_webhooks(raw: DataFrame, col: str = "payload") -> DataFrame:
-    """A1: envelope parse + routing status: accepted / unknown_type / corrupt."""
-    env = F.from_json(F.col(col), ENVELOPE)
-    p = raw.withColumn("_env", env)
-    status = (F.when(F.col("_env").isNull() | F.col("_env.type").isNull(), F.lit("corrupt"))
-              .when(F.col("_env.type").isin(KNOWN_TYPES), F.lit("accepted"))
+    """A1: envelope parse + routing status: accepted / unknown_type / corrupt.
+
+    The envelope is parsed inside a generator (``inline`` of a one-element
+    array): predicates on the parsed fields then stay above the parse instead
+    of being pushed below it with the JSON parse copied into each condition,
+    so each payload is parsed exactly once."""
+    keep = [c for c in raw.columns if c != col]
+    p = raw.select(*keep, F.inline(F.array(F.from_json(F.col(col), ENVELOPE))))
+    status = (F.when(F.col("type").isNull(), F.lit("corrupt"))
+              .when(F.col("type").isin(KNOWN_TYPES), F.lit("accepted"))
               .otherwise(F.lit("unknown_type")))
-    return (p.select(*[c for c in raw.columns if c != col],
-                     F.col("_env.type").alias("type"), F.col("_env.id").alias("external_id"),
-                     F.col("_env.data").alias("data"), status.alias("status")))
+    return p.select(*keep, "type", F.col("id").alias("external_id"), "data", status.alias("status"))
 
 
 def quarantine(parsed: DataFrame) -> DataFrame:
@@ -95,6 +98,26 @@ def explode_pages(parsed: DataFrame) -> DataFrame:
                     md["title"].alias("title"), md["scrapeId"].alias("scrape_id"))
 
 
+def explode_steps(parsed: DataFrame) -> DataFrame:
+    """Page documents (as ``explode_pages``) and completion rows (url NULL,
+    doc_pos 0) from one generator over the accepted events, so the log is
+    read and parsed once for both."""
+    ok = parsed.filter((F.col("status") == "accepted") & F.col("type").isin("crawl.page", "crawl.completed"))
+    docs = F.from_json(F.col("data"), PAGE_DOCS)
+    close = F.array(F.struct(F.lit(None).cast("string").alias("markdown"),
+                             F.lit(None).cast("map<string,string>").alias("metadata"),
+                             F.lit(None).cast("map<string,string>").alias("changeTracking")))
+    items = F.when(F.col("type") == "crawl.page", docs).otherwise(close)
+    x = ok.select(*[c for c in parsed.columns if c not in ("data", "status")],
+                  F.posexplode(items).alias("doc_pos", "_d"))
+    md = F.col("_d.metadata")
+    is_page = F.col("type") == "crawl.page"
+    return x.select(*[c for c in x.columns if c != "_d"],
+                    F.when(is_page, first_nonempty(md["sourceURL"], md["url"])).alias("url"),
+                    F.when(is_page, F.coalesce(F.col("_d.markdown"), F.lit(""))).alias("markdown"),
+                    md["title"].alias("title"), md["scrapeId"].alias("scrape_id"))
+
+
 def event_tally(parsed: DataFrame) -> DataFrame:
     """Documents per page event, pages scraped per completion."""
     ok = parsed.filter(F.col("status") == "accepted")

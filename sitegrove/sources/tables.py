@@ -1,7 +1,8 @@
 """Readers for the given parquet tables.
 
 Only ``spark.read.parquet`` is used, so Catalyst prunes columns and pushes
-filters into the scan of every query built on top.
+filters into the scan of every query built on top (both pass through the
+optional round-robin repartition below).
 """
 
 from __future__ import annotations
@@ -11,8 +12,28 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
+# inputs below this size stay in as few tasks as the files give
+SPREAD_MIN_BYTES = 1 << 20
+
+
+def spread(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
+    """Spread a scan over all cores when its files give fewer splits than the
+    cluster has task slots (a large file written as one row group cannot be
+    split). At scale a table has many files and this is a no-op; it never
+    changes results."""
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    try:
+        splits = df._jdf.rdd().getNumPartitions()
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - statistics unavailable: leave the scan alone
+        return df
+    if splits < slots and size > min_bytes:
+        return df.repartition(slots)
+    return df
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))

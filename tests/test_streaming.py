@@ -48,7 +48,7 @@ def test_stream_matches_batch(spark, sf_small):
 
     # Progress counters
     prog = _run(CS.progress_stream(events), spark, "progress", mode="complete")
-    bprog = J.job_progress(batch["pages"], batch["processed"], batch["closes"]).select(
+    bprog = J.job_progress(batch["events"]).select(
         "job_id", "pages_received", "pages_processed", "stream_closed")
     assert prog.exceptAll(bprog).count() == 0 and bprog.exceptAll(prog).count() == 0
 
@@ -56,7 +56,7 @@ def test_stream_matches_batch(spark, sf_small):
     ready = _run(CS.ready_stream(events), spark, "ready")
     r = ready.filter(F.col("event") == "ready")
     assert r.groupBy("job_id").count().filter("count > 1").count() == 0
-    bready = J.ready_triggers(batch["pages"], batch["processed"], batch["closes"])
+    bready = J.ready_triggers(batch["events"])
     assert sorted(x.job_id for x in r.select("job_id").collect()) == \
         sorted(x.job_id for x in bready.select("job_id").collect())
 
