@@ -284,3 +284,49 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str = "id") -> DataFrame:  # R2
     return child.filter(F.col(fk).isNotNull()).join(
         parent.select(F.col(pk).alias(fk)), fk, "left_anti")
+
+
+def job_status_view(jobs: DataFrame, versions: DataFrame, artifacts: DataFrame) -> DataFrame:   # D3
+    """Per job: D1 counts, duration text (J7; NULL while running or when it
+    rounds to 0) and the job's artifacts, newest first."""
+    from ..functions.scalars import duration_text
+    counts = version_counts(versions)
+    arts = artifacts.groupBy("job_id").agg(F.sort_array(F.collect_list(
+        F.struct("created_at", "id", "kind", "version")), asc=False).alias("artifacts"))
+    j = jobs.select(F.col("id").alias("job_id"), "domain_id", "type", "status", "started_at", "finished_at")
+    return (j.join(counts, "job_id", "left").join(arts, "job_id", "left")
+             .select("job_id", "domain_id", "type", "status",
+                     duration_text(F.col("started_at"), F.col("finished_at")).alias("duration"),
+                     F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("changed", F.lit(0)).alias("changed"),
+                     F.coalesce("skipped", F.lit(0)).alias("skipped"), "artifacts"))
+
+
+def profiles_ordered(profiles: DataFrame) -> DataFrame:                            # E10
+    """Profiles by version desc, created_at desc (a distributed sort; no
+    global row numbering through one task)."""
+    return (profiles.select("id", "name", "version", "created_at")
+                    .orderBy(F.col("version").desc(), F.col("created_at").desc(), F.col("id")))
+
+
+def cascade_delete_jobs(jobs: DataFrame, versions: DataFrame, artifacts: DataFrame,
+                        doomed: DataFrame) -> dict[str, DataFrame]:                # R3
+    """Deleting jobs cascades to their page versions and artifacts (and to
+    pages last seen by them, whose versions go too). ``doomed``: job ids.
+    Returns the remaining tables; each is a ``left_anti`` rewrite."""
+    d = doomed.select(F.col("id").alias("job_id")).distinct()
+    keep_jobs = jobs.join(d.withColumnRenamed("job_id", "id"), "id", "left_anti")
+    keep_versions = versions.join(d, "job_id", "left_anti")
+    keep_artifacts = artifacts.join(d, "job_id", "left_anti")
+    return {"jobs": keep_jobs, "versions": keep_versions, "artifacts": keep_artifacts}
+
+
+def delete_profiles(domains: DataFrame, doomed_profiles: DataFrame) -> DataFrame:  # R3 (set null)
+    """Deleting a profile sets the domains' profile reference to NULL."""
+    d = doomed_profiles.select(F.col("id").alias("_pid"), F.lit(True).alias("_gone"))
+    x = domains.join(d, domains.profile_id == d._pid, "left")
+    return x.withColumn("profile_id", F.when(F.col("_gone").isNull(), F.col("profile_id"))).drop("_pid", "_gone")
+
+
+def deletable_domains(domains: DataFrame, jobs: DataFrame) -> DataFrame:           # R3 (restrict)
+    """A domain with jobs cannot be deleted (restricted foreign key)."""
+    return domains.join(jobs.select(F.col("domain_id").alias("id")).distinct(), "id", "left_anti")

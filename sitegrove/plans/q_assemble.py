@@ -353,14 +353,23 @@ def q_site_requests(spark, sf):
                     F.length("ctx").alias("context_chars"))
 
 
-@register("short_summary_requests", "H9,H3", sql=f"""
+@register("short_summary_requests", "H9", sql=f"""
 SELECT page_id, 'Summarize this page from ' || url || ' in 200 characters or less:' || {NN}
          || substr({Q.clean_basic('html')}, 1, 3000)
-         || {_lit(H.SHORT_SUMMARY_OUTRO)} AS request,
-       'Evaluate these changes:' || {NN} || '+ ' || substr(url, 1, 40) AS score_request
+         || {_lit(H.SHORT_SUMMARY_OUTRO)} AS request
 FROM pages""")
 def q_short_summary(spark, sf):
     from .q_text import _basic_clean
     p = D.crawled_pages(spark, sf)
-    return p.select("page_id", H.short_summary_request(F.col("url"), _basic_clean(F.col("raw_md"))).alias("request"),
-                    H.change_score_request(F.concat(F.lit("+ "), F.substring("url", 1, 40))).alias("score_request"))
+    return p.select("page_id", H.short_summary_request(F.col("url"), _basic_clean(F.col("raw_md"))).alias("request"))
+
+
+@register("change_score_requests", "H3,H8,G4", sql=None)
+def q_score_requests(spark, sf):
+    """Scorer requests for changed versions only (diff text from G4), with
+    token estimates; first versions and unchanged pairs need no request."""
+    from ..operators.versions import process_versions
+    v = process_versions(D.version_chain(spark, sf), with_diff_text=True).filter(F.col("has_changes"))
+    req = H.change_score_request(F.col("diff_text"))
+    return v.select("id", "page_id", req.alias("request"),
+                    H.token_estimate(F.lit(H.SCORE_SYSTEM), req).alias("prompt_tokens"))

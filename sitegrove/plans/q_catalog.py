@@ -240,3 +240,58 @@ def q_orphans(spark, sf):
 SELECT j.* FROM d_job j WHERE j.domain_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_domain d WHERE d.id = j.domain_id)""")
 def q_orphan_jobs(spark, sf):
     return C.orphans(D.jobs(spark, sf), "domain_id", D.domains(spark, sf))
+
+
+@register("job_status_view", "D3,D1,J7,E9", sql=with_views("d_job", "d_version", "d_artifact") + """
+, c AS (SELECT job_id, count(*) AS total, count(*) FILTER (WHERE importance IS NULL OR importance >= 2) AS changed,
+               count(*) FILTER (WHERE importance < 2) AS skipped FROM d_version GROUP BY job_id)
+, a AS (SELECT job_id, list({'created_at': created_at, 'id': id, 'kind': kind, 'version': version}
+                            ORDER BY created_at DESC, id DESC) AS artifacts FROM d_artifact GROUP BY job_id)
+SELECT j.id AS job_id, j.domain_id, j.type, j.status,
+       CASE WHEN j.finished_at IS NOT NULL
+             AND floor((epoch_ms(j.finished_at) - epoch_ms(j.started_at)) / 1000.0 + 0.5) <> 0
+            THEN CAST(CAST(floor((epoch_ms(j.finished_at) - epoch_ms(j.started_at)) / 1000.0 + 0.5) AS BIGINT) AS VARCHAR) || 's'
+       END AS duration,
+       coalesce(c.total, 0) AS total, coalesce(c.changed, 0) AS changed, coalesce(c.skipped, 0) AS skipped, a.artifacts
+FROM d_job j LEFT JOIN c ON c.job_id = j.id LEFT JOIN a ON a.job_id = j.id""")
+def q_job_status(spark, sf):
+    return C.job_status_view(D.jobs(spark, sf), D.page_versions(spark, sf), D.artifacts(spark, sf))
+
+
+@register("profiles_ordered", "E10", sql=with_views("d_profile") + """
+SELECT id, name, version, created_at FROM d_profile ORDER BY version DESC, created_at DESC, id""")
+def q_profiles_ordered(spark, sf):
+    return C.profiles_ordered(D.profiles(spark, sf))
+
+
+@register("cascade_delete_failed_jobs", "R3", sql=with_views("d_job", "d_version", "d_artifact") + """
+, doomed AS (SELECT id FROM d_job WHERE status = 'failed' AND started_at < TIMESTAMP '1996-01-01 00:00:00')
+SELECT (SELECT count(*) FROM d_job WHERE id NOT IN (SELECT id FROM doomed)) AS jobs_left,
+       (SELECT count(*) FROM d_version WHERE job_id NOT IN (SELECT id FROM doomed)) AS versions_left,
+       (SELECT count(*) FROM d_artifact WHERE job_id NOT IN (SELECT id FROM doomed)) AS artifacts_left,
+       (SELECT count(*) FROM doomed) AS jobs_deleted""")
+def q_cascade(spark, sf):
+    jobs = D.jobs(spark, sf)
+    doomed = jobs.filter((F.col("status") == "failed") &
+                         (F.col("started_at") < F.lit("1996-01-01 00:00:00").cast("timestamp_ntz"))).select("id")
+    left = C.cascade_delete_jobs(jobs, D.page_versions(spark, sf), D.artifacts(spark, sf), doomed)
+    # four one-row totals side by side (a union of tagged counts, pivoted by one global aggregate)
+    tagged = (left["jobs"].select(F.lit("jobs_left").alias("k"))
+              .unionByName(left["versions"].select(F.lit("versions_left").alias("k")))
+              .unionByName(left["artifacts"].select(F.lit("artifacts_left").alias("k")))
+              .unionByName(doomed.select(F.lit("jobs_deleted").alias("k"))))
+    return tagged.agg(*[F.count_if(F.col("k") == n).alias(n)
+                        for n in ("jobs_left", "versions_left", "artifacts_left", "jobs_deleted")])
+
+
+@register("profile_delete_and_domain_restrict", "R3,C8", sql=with_views("d_domain", "d_job") + """
+SELECT d.id, CASE WHEN d.profile_id % 5 = 0 THEN NULL ELSE d.profile_id END AS profile_id,
+       NOT EXISTS (SELECT 1 FROM d_job j WHERE j.domain_id = d.id) AS deletable
+FROM d_domain d""")
+def q_profile_delete(spark, sf):
+    doms = D.domains(spark, sf)
+    gone = D.profiles(spark, sf).filter(F.col("id") % 5 == 0)
+    after = C.delete_profiles(doms, gone).select("id", "profile_id")
+    free = C.deletable_domains(doms, D.jobs(spark, sf)).select("id", F.lit(True).alias("deletable"))
+    return after.join(free, "id", "left").select("id", "profile_id",
+                                                 F.coalesce("deletable", F.lit(False)).alias("deletable"))

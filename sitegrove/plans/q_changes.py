@@ -128,3 +128,32 @@ def q_new_pages(spark, sf):
     return c.select("id", "page_id", "fingerprint", "prev_id", F.col("prev_id").isNull().alias("is_new"),
                     F.coalesce(F.col("prev_fingerprint") == F.col("fingerprint"), F.lit(False)).alias("same_as_prev"),
                     F.max(F.struct("seq", "id")).over(whole)["id"].alias("last_version_id"))
+
+
+@register("near_duplicate_groups", "G12", sql=None)
+def q_near_groups(spark, sf):
+    """MinHash/LSH grouping of the whole document corpus (approximate: rows-only)."""
+    from ..operators.nearmatch import near_match_groups
+    from ..sources.tables import read_table
+    return near_match_groups(read_table(spark, sf, "documents"), "doc_id", "text")
+
+
+@register("metadata_backfill", "G15,F15,F14,F17", sql=None)
+def q_backfill(spark, sf):
+    """Versions without title, description and summary get them from their
+    cleaned text; versions that have them keep theirs. Missing metadata is
+    spelled by (page_id + seq) % 4 = 0 on the chain (fixed rule)."""
+    from ..operators.text_ops import clean_pipeline
+    c = D.version_chain(spark, sf)
+    missing = (F.col("page_id") + F.col("seq")) % 4 == 0
+    have = c.select("id", "text", F.when(~missing, TX.extract_title(F.col("text"))).alias("title"),
+                    F.when(~missing, TX.deterministic_description(F.col("text"))).alias("description"),
+                    F.when(~missing, TX.deterministic_summary(F.col("text"))).alias("summary"))
+    lacking = F.col("description").isNull() & F.col("summary").isNull()
+    todo = clean_pipeline(have.filter(lacking), "text", "cleaned_md", extract_main=True)
+    filled = todo.select("id", TX.extract_title(F.col("cleaned_md")).alias("title"),
+                         TX.deterministic_description(F.col("cleaned_md")).alias("description"),
+                         TX.deterministic_summary(F.col("cleaned_md")).alias("summary"),
+                         F.lit(True).alias("backfilled"))
+    kept = have.filter(~lacking).select("id", "title", "description", "summary", F.lit(False).alias("backfilled"))
+    return kept.unionByName(filled)
