@@ -33,7 +33,9 @@ def near_match_groups(docs: DataFrame, key: str, text: str, bands: int = 8, rows
     """(key, group_id, near_copy): group_id is the smallest key sharing a
     MinHash band with the document (itself when none)."""
     sh = docs.select(key, shingles(F.col(text)).alias("_sh"))
-    sig = [F.array_min(F.transform("_sh", lambda s, _i=i: F.xxhash64(s, F.lit(_i)))) for i in range(bands * rows)]
+    def seeded(i):  # a one-argument lambda: a second parameter would be bound to the element index
+        return lambda s: F.xxhash64(s, F.lit(i))
+    sig = [F.array_min(F.transform("_sh", seeded(i))) for i in range(bands * rows)]
     sig_df = sh.select(key, F.array(*sig).alias("_sig"))
     band_keys = F.array(*[F.xxhash64(F.lit(b), F.slice("_sig", b * rows + 1, rows)) for b in range(bands)])
     per_band = sig_df.select(key, F.explode(band_keys).alias("band"))
