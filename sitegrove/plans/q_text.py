@@ -45,16 +45,54 @@ def clean_pages_basic(spark, sf_dir):
     return p.select("page_id", _basic_clean(F.col("raw_md")).alias("cleaned_md"))
 
 
-def _sql_dedupe(src: str, key: str, text: str) -> str:
-    """F10 as set SQL: lines with position, first per heading key, re-joined."""
+def _sql_dedupe(src: str, key: str, text: str, p: str = "") -> str:
+    """F10 as set SQL: lines with position, first per heading key, re-joined
+    (CTEs named with prefix ``p``; result ``{p}dd(k_id, md)``)."""
     return f"""
-, l AS (SELECT {key} AS k_id, generate_subscripts(string_split({text}, chr(10)), 1) AS pos,
+, {p}l AS (SELECT {key} AS k_id, generate_subscripts(string_split({text}, chr(10)), 1) AS pos,
                unnest(string_split({text}, chr(10))) AS line FROM {src})
-, r AS (SELECT k_id, pos, line,
+, {p}r AS (SELECT k_id, pos, line,
                CASE WHEN starts_with(line, '#') THEN row_number() OVER (
                    PARTITION BY k_id, CASE WHEN starts_with(line, '#') THEN lower({Q.js_trim('line')}) END
-                   ORDER BY pos) ELSE 1 END AS rn FROM l)
-, dd AS (SELECT k_id, string_agg(line, chr(10) ORDER BY pos) AS md FROM r WHERE rn = 1 GROUP BY k_id)"""
+                   ORDER BY pos) ELSE 1 END AS rn FROM {p}l)
+, {p}dd AS (SELECT k_id, string_agg(line, chr(10) ORDER BY pos) AS md FROM {p}r WHERE rn = 1 GROUP BY k_id)"""
+
+
+def _sql_clean(src: str, key: str, text: str, p: str) -> str:
+    """F11 as SQL CTEs over ``src``: result ``{p}clean(k_id, text)``."""
+    return (f", {p}pre AS (SELECT {key} AS k_id, {Q.clean_post(Q.boilerplate(Q.clean_pre(text)))} AS text FROM {src})"
+            + _sql_dedupe(f"{p}pre", "k_id", "text", p)
+            + f"\n, {p}clean AS (SELECT {p}pre.k_id, coalesce({Q.js_trim(p + 'dd.md')}, '') AS text "
+              f"FROM {p}pre LEFT JOIN {p}dd ON {p}dd.k_id = {p}pre.k_id)")
+
+
+def _sql_main(src: str, p: str) -> str:
+    """F12 as SQL CTEs over ``src(k_id, text)`` (fallback: F11 of the input):
+    result ``{p}main(k_id, main_lines, main_fallback, main_md)``."""
+    return _sql_clean(src, "k_id", "text", p + "f") + f"""
+, {p}ml AS (SELECT k_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos,
+                unnest(string_split(text, chr(10))) AS line FROM {src})
+, {p}mf AS (SELECT k_id, pos, line,
+                regexp_matches(line, '(?i)^#{{1,2}}\\s*(Introduction|Overview|Getting Started|About|Content|Main|Article)') AS is_main,
+                regexp_matches(line, '(?i)^#{{1,3}}\\s*(Navigation|Menu|Sidebar|Footer|Related|Share|Comments|Advertisement)') AS is_skip,
+                length({Q.js_trim('line')}) AS n FROM {p}ml)
+, {p}mg AS (SELECT *, sum(CASE WHEN is_main THEN 1 ELSE 0 END) OVER w AS epoch,
+                coalesce(last_value(CASE WHEN is_main THEN 1 WHEN is_skip THEN 0 END IGNORE NULLS) OVER w, 0) = 1 AS in_main
+         FROM {p}mf WINDOW w AS (PARTITION BY k_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+, {p}mh AS (SELECT *, CASE WHEN NOT is_skip AND ((in_main AND n > 50) OR (NOT in_main AND n > 100)) THEN 1 ELSE 0 END AS inc
+         FROM {p}mg)
+, {p}mk AS (SELECT *, coalesce(max(inc) OVER (PARTITION BY k_id, epoch ORDER BY pos
+                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS depth_pos FROM {p}mh)
+, {p}me AS (SELECT k_id, pos, line,
+                CASE WHEN is_skip THEN 0 ELSE (CASE WHEN in_main OR depth_pos THEN 1 ELSE 0 END)
+                     + (CASE WHEN NOT in_main AND n > 100 THEN 1 ELSE 0 END) END AS c FROM {p}mk)
+, {p}mm AS (SELECT k_id, sum(c) AS kept,
+                string_agg(CASE WHEN c = 2 THEN line || chr(10) || line ELSE line END, chr(10) ORDER BY pos)
+                  FILTER (WHERE c > 0) AS md FROM {p}me GROUP BY k_id)
+, {p}main AS (SELECT s.k_id, CAST(coalesce(mm.kept, 0) AS INTEGER) AS main_lines,
+                     coalesce(mm.kept, 0) < 10 AS main_fallback,
+                     CASE WHEN coalesce(mm.kept, 0) < 10 THEN fc.text ELSE mm.md END AS main_md
+              FROM {src} s LEFT JOIN {p}mm mm ON mm.k_id = s.k_id LEFT JOIN {p}fclean fc ON fc.k_id = s.k_id)"""
 
 
 @register("dedupe_headings_documents", "F10", sql="WITH src AS (SELECT doc_id, text FROM documents)" + _sql_dedupe("src", "doc_id", "text") + """
@@ -144,14 +182,29 @@ def fingerprint_documents(spark, sf_dir):
                     F.length(T.diff_normalize(F.col("text"))).cast("long").alias("normalized_chars"))
 
 
-@register("main_content_documents", "F12", sql=None)
+_MAIN_SQL = ("WITH src AS (SELECT doc_id AS k_id, text FROM documents)" + _sql_main("src", "x") + """
+SELECT k_id AS doc_id, main_lines, main_fallback, main_md FROM xmain""")
+
+
+@register("main_content_documents", "F12,F11", sql=_MAIN_SQL)
 def main_content_documents(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
     return text_ops.extract_main_content(d, "text", "main_md", key="doc_id").select(
         "doc_id", "main_md", "main_lines", "main_fallback")
 
 
-@register("clean_pipeline_pages", "F15,F11,F12,F13", sql=None)
+def _meta(e: str) -> str:
+    for pat in T.METADATA_RES:
+        e = Q.rx(e, pat)
+    return e
+
+
+_F15_SQL = ("WITH src AS (SELECT page_id, url, html FROM pages)" + _sql_clean("src", "page_id", "html", "a")
+            + ", c1 AS (SELECT k_id, text FROM aclean)" + _sql_main("c1", "b") + f"""
+SELECT s.page_id, s.url, {_meta('m.main_md')} AS cleaned_md FROM src s JOIN bmain m ON m.k_id = s.page_id""")
+
+
+@register("clean_pipeline_pages", "F15,F11,F12,F13", sql=_F15_SQL)
 def clean_pipeline_pages(spark, sf_dir):
     p = D.crawled_pages(spark, sf_dir)
     return text_ops.clean_pipeline(p, "raw_md", "cleaned_md", extract_main=True).select(
