@@ -126,14 +126,24 @@ def storage_url(base: str, path, bucket: str = "artifacts") -> Column:
 
 
 def json_merge(left, right) -> Column:
-    """Shallow merge of two JSON objects, right side wins; result as JSON."""
-    typ = "map<string,string>"
-    lm = F.coalesce(F.from_json(_c(left), typ), F.create_map().cast(typ))
-    rm = F.coalesce(F.from_json(_c(right), typ), F.create_map().cast(typ))
-    # map_concat with LAST_WIN is set by callers' session; express it directly:
-    # keep left keys not in right, then all of right.
-    left_only = F.map_filter(lm, lambda k, v: ~F.array_contains(F.map_keys(rm), k))
-    return F.to_json(F.map_concat(left_only, rm))
+    """Shallow merge of two JSON objects, right side wins (``{...a, ...b}``):
+    keys keep their first position, new keys follow; values keep their JSON
+    types. Values are read as VARIANT; the key order comes from a map parse
+    (a VARIANT object sorts its keys). A missing or non-object side is {}."""
+    vt, st = "map<string,variant>", "map<string,string>"
+
+    def side(c):
+        return F.struct(F.coalesce(F.map_keys(F.from_json(_c(c), st)), F.array().cast("array<string>")).alias("k"),
+                        F.coalesce(F.try_parse_json(_c(c)).try_cast(vt), F.create_map().cast(vt)).alias("v"))
+
+    def merge(pair):
+        lv, rk, rv = pair["l"]["v"], pair["r"]["k"], pair["r"]["v"]
+        keys = F.array_union(pair["l"]["k"], rk)
+        vals = F.transform(keys, lambda k: F.when(F.array_contains(rk, k), F.element_at(rv, k))
+                           .otherwise(F.element_at(lv, k)))
+        return F.to_json(F.map_from_arrays(keys, vals))
+    # bind both parsed sides once (one-element transform) before the per-key lambda
+    return F.element_at(F.transform(F.array(F.struct(side(left).alias("l"), side(right).alias("r"))), merge), 1)
 
 
 def title_case_slug(slug) -> Column:

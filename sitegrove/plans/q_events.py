@@ -141,10 +141,22 @@ def q_rate(spark, sf):
     return J.rate_windows(event_pipeline(spark, sf)["pages"])
 
 
-@register("close_bookkeeping", "S6,J9", sql=None)
+@register("close_bookkeeping", "S6,J9", sql=_EV + """
+, c AS (SELECT job_id, min(ts) AS closed_at FROM closes GROUP BY job_id)
+, r AS (SELECT c.job_id, count(p.job_id) AS rec FROM c LEFT JOIN pages p ON p.job_id = c.job_id AND p.ts <= c.closed_at
+        GROUP BY c.job_id)
+, q AS (SELECT c.job_id, count(p.job_id) AS proc FROM c LEFT JOIN processed p ON p.job_id = c.job_id AND p.ts <= c.closed_at
+        GROUP BY c.job_id)
+SELECT c.job_id, c.closed_at, r.rec AS pages_received_at_close, q.proc AS pages_processed_at_close,
+       CAST(json_merge_patch(json_object('jobType', j.type, 'streamClosed', false),
+                             json_object('streamClosed', true, 'pagesProcessedAtClose', q.proc,
+                                         'pagesReceivedAtClose', r.rec,
+                                         'note', 'Stream closed. Received: ' || r.rec || ', Processed: ' || q.proc))
+            AS VARCHAR) AS stats
+FROM c JOIN r ON r.job_id = c.job_id JOIN q ON q.job_id = c.job_id JOIN d_job j ON j.id = c.job_id""")
 def q_close(spark, sf):
-    """Stats JSON at close merged into the job's stats (rows-only: JSON text
-    formatting differs between engines)."""
+    """Stats JSON at close merged (J9, right side wins, key order and value
+    types kept) into the job's stats."""
     e = event_pipeline(spark, sf)
     prior = e["jobs"].select(F.col("id").alias("job_id"),
                              F.to_json(F.struct(F.col("type").alias("jobType"),
