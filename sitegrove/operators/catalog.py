@@ -148,13 +148,18 @@ def final_job_stats(jobs: DataFrame, versions: DataFrame, artifacts: DataFrame,
                         F.lit(100).alias("completion_rate")))
 
 
-def domain_dashboard(domains: DataFrame, jobs: DataFrame, versions_page: DataFrame) -> DataFrame:  # D4
+def domain_dashboard(domains: DataFrame, jobs: DataFrame, versions_page: DataFrame,
+                     versions: DataFrame | None = None) -> DataFrame:                  # D4
+    """All domains: page count, last job, its version count (one aggregate
+    join instead of the reference's per-domain loop). ``versions`` (without
+    the page join) serves the per-job count when given."""
     pages = (versions_page.select("domain_id", "page_id").distinct()
              .groupBy("domain_id").agg(F.count(F.lit(1)).alias("page_count")))
     last = top1(jobs, ["domain_id"], [F.col("started_at"), F.col("id")], ["id", "status", "started_at"])
     last = last.select("domain_id", F.col("id").alias("last_job_id"), F.col("status").alias("last_job_status"),
                        F.col("started_at").alias("last_job_started_at"))
-    vc = versions_page.groupBy("job_id").agg(F.count(F.lit(1)).alias("last_job_versions"))
+    vc = (versions if versions is not None else versions_page).groupBy("job_id").agg(
+        F.count(F.lit(1)).alias("last_job_versions"))
     d = domains.select(F.col("id").alias("domain_id"), "domain", "updated_at")
     return (d.join(pages, "domain_id", "left").join(last, "domain_id", "left")
              .join(vc.withColumnRenamed("job_id", "last_job_id"), "last_job_id", "left")
@@ -241,12 +246,16 @@ def artifact_history(artifacts: DataFrame, jobs: DataFrame, kind: str | None = N
 
 def retention_prune(artifacts: DataFrame, jobs: DataFrame, keep: int = 5) -> tuple[DataFrame, DataFrame]:  # E7
     """Per domain and kind keep the first ``keep`` of the history order
-    (job finished_at desc, artifact created_at desc); returns (kept, dropped)."""
+    (job finished_at desc, artifact created_at desc); returns (kept, dropped).
+    The kept side is a top-k (``row_number() <= k`` runs as a partial group
+    limit before the shuffle, so a domain with a huge history does not land
+    whole in one task); the dropped side is the rest, by an anti join."""
     h = artifact_history(artifacts, jobs)
     w = Window.partitionBy("domain_id", "kind").orderBy(
         F.col("finished_at").desc_nulls_first(), F.col("created_at").desc(), F.col("id").desc())
-    ranked = h.withColumn("rank", F.row_number().over(w))
-    return ranked.filter(F.col("rank") <= keep), ranked.filter(F.col("rank") > keep)
+    kept = h.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep)
+    dropped = h.join(kept.select("id"), "id", "left_anti")
+    return kept, dropped
 
 
 def next_artifact_version(artifacts: DataFrame, domains: DataFrame) -> DataFrame:  # E8

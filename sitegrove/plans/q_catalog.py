@@ -126,7 +126,8 @@ SELECT d.id AS domain_id, d.domain, d.updated_at, coalesce(pc.page_count, 0) AS
 FROM d_domain d LEFT JOIN pc ON pc.domain_id = d.id LEFT JOIN lj ON lj.domain_id = d.id
 LEFT JOIN vc ON vc.job_id = lj.id""")
 def q_dashboard(spark, sf):
-    return C.domain_dashboard(D.domains(spark, sf), D.jobs(spark, sf), D.page_versions(spark, sf, with_page=True))
+    return C.domain_dashboard(D.domains(spark, sf), D.jobs(spark, sf), D.page_versions(spark, sf, with_page=True),
+                              D.page_versions(spark, sf))
 
 
 @register("domain_detail", "D5,E1", sql=with_views("d_domain", "d_job", "d_version_page") + """
@@ -190,7 +191,7 @@ def q_retention(spark, sf):
     kept, dropped = C.retention_prune(D.artifacts(spark, sf), D.jobs(spark, sf), keep=5)
     k = kept.groupBy("domain_id", "kind").agg(F.count(F.lit(1)).alias("kept"),
                                              F.max(F.when(F.col("rank") == 5, F.col("id"))).alias("oldest_kept_id"))
-    d = dropped.groupBy("domain_id", "kind").agg(F.count(F.lit(1)).alias("deleted"))
+    d = dropped.groupBy("domain_id", "kind").agg(F.count(F.lit(1)).alias("deleted"))  # noqa: E501
     return (k.join(d, ["domain_id", "kind"], "left")
              .select("domain_id", "kind", "kept", F.coalesce("deleted", F.lit(0)).alias("deleted"), "oldest_kept_id"))
 
