@@ -68,12 +68,15 @@ _SECTION2 = (f"'## ' || {_title_sql('page')} || {NL} || '> ' || CASE WHEN {_nz('
              f"CASE WHEN {_nz('v.summary')} THEN {NL} || v.summary || {NL} ELSE '' END")
 
 
-@register("index_documents", "I2,I7", sql=_V + f"""
+_INDEX_SELECT = f"""
 SELECT job_id, domain, count(*) AS pages,
        '# ' || domain || {NN} || 'AI-readable content extracted from ' || domain || {NN} || {NL}
          || 'Generated: {ISO}' || {NL} || 'Pages processed: ' || CAST(count(*) AS VARCHAR) || {NL} || {NL}
          || '---' || {NL} || {NL} || string_agg({_SECTION2}, {NL} ORDER BY v.url, v.created_at, v.id) AS content
-FROM v GROUP BY job_id, domain""")
+FROM v GROUP BY job_id, domain"""
+
+
+@register("index_documents", "I2,I7", sql=_V + _INDEX_SELECT)
 def q_index_documents(spark, sf):
     return A.index_document(_details(spark, sf), AS_OF)
 
@@ -193,11 +196,48 @@ def q_category_assignment(spark, sf):
     return A.match_categories(pages, A.parse_category_response(_category_responses(spark, sf)))
 
 
-@register("full_documents_categorized", "I4,I5,C6,H7", sql=None)
+def _categorized_sql() -> str:
+    return _V + f"""
+, r AS (SELECT id AS job_id, {_RESP_SQL}[CAST(id % 4 + 1 AS INTEGER)] AS response FROM d_job)
+, parsed AS (SELECT job_id, TRY_CAST(response AS JSON) AS js FROM r)
+, ok AS (SELECT job_id, k.key AS category, k.rn - 1 AS cat_pos,
+                CASE WHEN json_type(js -> k.key) = 'ARRAY' THEN CAST(js -> k.key AS VARCHAR[]) END AS patterns
+         FROM parsed, (SELECT unnest(json_keys(js)) AS key, generate_subscripts(json_keys(js), 1) AS rn) k
+         WHERE json_type(js) = 'OBJECT')
+, cats AS (SELECT * FROM ok WHERE patterns IS NOT NULL
+           UNION ALL
+           SELECT job_id, 'Pages', 0, NULL FROM parsed WHERE js IS NULL OR json_type(js) <> 'OBJECT')
+, hits AS (SELECT DISTINCT c.job_id, c.category, c.cat_pos, v.url FROM cats c JOIN v ON v.job_id = c.job_id
+           WHERE c.patterns IS NULL OR len(list_filter(c.patterns, lambda x: contains(v.url, x))) > 0)
+, fs AS (SELECT job_id, url, count(*) OVER (PARTITION BY job_id, url) AS n_url, {_SECTION3} AS section FROM v
+         QUALIFY row_number() OVER (PARTITION BY job_id, url ORDER BY created_at, id) = 1)
+, pc AS (SELECT h.job_id, h.category, h.cat_pos, sum(fs.n_url) AS n,
+                '## ' || h.category || {NN} || string_agg(repeat(fs.section, CAST(fs.n_url AS INTEGER)), '' ORDER BY fs.url) AS block
+         FROM hits h JOIN fs ON fs.job_id = h.job_id AND fs.url = h.url GROUP BY h.job_id, h.category, h.cat_pos)
+, emp AS (SELECT c.job_id, c.category, c.cat_pos, 0 AS n, '' AS block
+          FROM (SELECT DISTINCT job_id, category, cat_pos FROM cats) c
+          WHERE NOT EXISTS (SELECT 1 FROM pc WHERE pc.job_id = c.job_id AND pc.category = c.category)
+            AND c.job_id IN (SELECT job_id FROM v))
+, allc AS (SELECT * FROM pc UNION ALL SELECT * FROM emp)
+, pk AS (SELECT *, NOT {_IS_INDEX} AS k1, CASE WHEN {_IS_INDEX} THEN TRY_CAST(category AS BIGINT) END AS k2,
+                '- [' || category || '](#' || {_ANCHOR} || ') (' || CAST(n AS VARCHAR) || ' pages)' AS toc FROM allc)
+, d AS (SELECT DISTINCT job_id, domain FROM v)
+, doc AS (SELECT pk.job_id, count(*) AS categories,
+                 '# ' || any_value(d.domain) || ' - Complete Documentation' || {NN} || '> Comprehensive content archive from '
+                   || any_value(d.domain) || {NN} || 'Generated: {ISO}' || {NN} || '---' || {NN}
+                   || CASE WHEN count(*) > 1 THEN '## Table of Contents' || {NN}
+                        || string_agg(toc, {NL} ORDER BY k1, k2 NULLS FIRST, cat_pos) || {NN} || '---' || {NN} ELSE '' END
+                   || string_agg(block, '' ORDER BY k1, k2 NULLS FIRST, cat_pos) AS content
+          FROM pk JOIN d ON d.job_id = pk.job_id GROUP BY pk.job_id)
+SELECT doc.job_id, d.domain, categories, regexp_replace(content, '\\n$', '') AS content
+FROM doc JOIN d ON d.job_id = doc.job_id"""
+
+
+@register("full_documents_categorized", "I4,I5,C6,H7", sql=_categorized_sql())
 def q_full_documents_ai(spark, sf):
     """Full documents with response-driven categories (C6). Category order
-    follows the response object's key order, empty categories appear in the
-    contents only; rows-only (DuckDB's JSON key order rules differ)."""
+    follows the response object's key order (index-like names first), empty
+    categories appear in the contents only."""
     det = _details(spark, sf)
     parsed = A.parse_category_response(_category_responses(spark, sf))
     pages = A.categorized_pages(det).select("job_id", "url", "pos")
@@ -236,7 +276,14 @@ def q_templates(spark, sf):
         F.concat(F.lit("Comprehensive content archive from "), F.col("domain")), F.lit("")).alias("rendered"))
 
 
-@register("carry_forward_documents", "I11,I2,E4", sql=None)
+@register("carry_forward_documents", "I11,I2,E4", sql=with_views("d_version_detail", "d_job", "d_domain") + """
+, lf AS (SELECT domain_id, id AS job_id, finished_at AS cut FROM d_job WHERE status = 'finished'
+         QUALIFY row_number() OVER (PARTITION BY domain_id ORDER BY finished_at DESC NULLS FIRST, id DESC) = 1)
+, acc AS (SELECT vd.* FROM d_version_detail vd JOIN lf ON lf.domain_id = vd.domain_id
+          WHERE (vd.importance IS NULL OR vd.importance >= 2) AND vd.created_at <= lf.cut)
+, lt AS (SELECT * FROM acc QUALIFY row_number() OVER (PARTITION BY domain_id, url ORDER BY created_at DESC, id DESC) = 1)
+, v AS (SELECT lf.job_id, lt.id, lt.url, lt.title, lt.description, lt.summary, lt.created_at, d.domain
+        FROM lt JOIN lf ON lf.domain_id = lt.domain_id JOIN d_domain d ON d.id = lt.domain_id)""" + _INDEX_SELECT)
 def q_carry_forward(spark, sf):
     det = D.page_version_details(spark, sf)
     inputs = _with_domain(spark, sf, A.carry_forward_inputs(det, D.jobs(spark, sf)))

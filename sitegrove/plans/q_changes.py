@@ -138,7 +138,25 @@ def q_near_groups(spark, sf):
     return near_match_groups(read_table(spark, sf, "documents"), "doc_id", "text")
 
 
-@register("metadata_backfill", "G15,F15,F14,F17", sql=None)
+def _backfill_sql() -> str:
+    from .q_text import _meta, _sql_clean, _sql_main
+
+    def desc(e):
+        return (f"substr(CASE WHEN string_split({e}, chr(10))[1] <> '' THEN string_split({e}, chr(10))[1] "
+                f"ELSE 'Page content' END, 1, 100)")
+
+    def summ(e):
+        return f"CASE WHEN length({e}) > 500 THEN substr({e}, 1, 500) ELSE '' END"
+    return (with_views("d_chain") + ", src AS (SELECT id AS k_id, text FROM d_chain WHERE (page_id + seq) % 4 = 0)"
+            + _sql_clean("src", "k_id", "text", "a") + ", c1 AS (SELECT k_id, text FROM aclean)" + _sql_main("c1", "b")
+            + f"""
+, f AS (SELECT k_id AS id, {_meta('main_md')} AS md FROM bmain)
+SELECT id, {Q.title('md')} AS title, {desc('md')} AS description, {summ('md')} AS summary, true AS backfilled FROM f
+UNION ALL
+SELECT id, {Q.title('text')}, {desc('text')}, {summ('text')}, false FROM d_chain WHERE (page_id + seq) % 4 <> 0""")
+
+
+@register("metadata_backfill", "G15,F15,F14,F17", sql=_backfill_sql())
 def q_backfill(spark, sf):
     """Versions without title, description and summary get them from their
     cleaned text; versions that have them keep theirs. Missing metadata is
