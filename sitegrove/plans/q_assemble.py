@@ -246,7 +246,34 @@ def q_full_documents_ai(spark, sf):
                            category_list=parsed.select("job_id", "category", "cat_pos").distinct())
 
 
-@register("artifact_rows", "I9,E8,J4,A6", sql=None)
+def _artifact_sql() -> str:
+    from .q_schedule import _DATE_SQL, _SAN
+    gated = with_views("d_version_detail", "d_job", "d_domain", "d_version", "d_artifact") + """
+, g AS (SELECT job_id FROM d_version GROUP BY job_id
+        HAVING NOT ((bool_and(coalesce(change_status = 'same', false)) AND count(*) > 0)
+                    OR count(*) FILTER (WHERE importance IS NULL OR importance >= 2) = 0))
+, v AS (SELECT vd.job_id, vd.id, vd.url, vd.title, vd.description, vd.summary, vd.created_at, d.domain
+        FROM d_version_detail vd JOIN d_job j ON j.id = vd.job_id JOIN d_domain d ON d.id = j.domain_id
+        WHERE vd.job_id IN (SELECT job_id FROM g))"""
+    body = _full_doc_sql(_PATH_PAGES)[len(_V):]
+    body = body.replace("\nSELECT doc.job_id, d.domain, categories,",
+                        "\n, fdoc AS (SELECT doc.job_id, d.domain, categories,") + ")"
+    return gated + body + ", idoc AS (" + _INDEX_SELECT + ")" + f"""
+, docs AS (SELECT job_id, domain, 'llms_txt' AS kind, content FROM idoc
+           UNION ALL SELECT job_id, domain, 'llms_full_txt', content FROM fdoc)
+, mx AS (SELECT domain_id, kind, max(version) AS mx FROM d_artifact GROUP BY domain_id, kind)
+SELECT docs.job_id, j.domain_id, docs.kind,
+       CAST(coalesce(mx.mx, 0) + row_number() OVER (PARTITION BY j.domain_id, docs.kind ORDER BY j.started_at, docs.job_id)
+            AS INTEGER) AS version,
+       'domains/' || {_SAN.format(u='docs.domain')} || '/jobs/' || {_DATE_SQL.format(t='j.started_at')} || '_'
+         || CAST(docs.job_id AS VARCHAR) || '/' || CASE WHEN docs.kind = 'llms_txt' THEN 'llms.txt' ELSE 'llms-full.txt' END
+         AS path,
+       length(docs.content) AS content_chars
+FROM docs JOIN d_job j ON j.id = docs.job_id LEFT JOIN mx ON mx.domain_id = j.domain_id AND mx.kind = docs.kind
+WHERE docs.content IS NOT NULL"""
+
+
+@register("artifact_rows", "I9,E8,J4,A6", sql=_artifact_sql())
 def q_artifact_rows(spark, sf):
     """Both documents for jobs passing the gate, versioned after the existing
     artifacts of the same domain and kind."""
