@@ -176,40 +176,38 @@ def _diff_udf(want_text: bool):
     return diff
 
 
-def _diff_metrics(df: DataFrame, a: Column, d: Column, u: Column) -> DataFrame:
-    total = a + d + u
-    pct = F.when(total > 0, (a + d) / total * 100.0).otherwise(F.lit(0.0))
-    return (df.withColumn("additions", a).withColumn("deletions", d).withColumn("unchanged", u)
-              .withColumn("has_changes", (a > 0) | (d > 0))
-              .withColumn("change_percentage", pct))
-
-
 def diff_versions(pairs: DataFrame, old: str, new: str, with_text: bool = False) -> DataFrame:   # G1 + G2 (+G4)
     """Line-diff metrics for rows with both texts (G1 normalisation first).
-    Identical normalised pairs skip the diff; rows with a NULL ``old`` get
-    NULL metrics (no previous version)."""
-    n = (pairs.withColumn("_old", TX.diff_normalize(F.col(old)))
-              .withColumn("_new", TX.diff_normalize(F.col(new))))
-    first = n.filter(F.col(old).isNull())
-    same = n.filter(F.col(old).isNotNull() & (F.col("_old") == F.col("_new")))
-    diff = n.filter(F.col(old).isNotNull() & (F.col("_old") != F.col("_new")))
-
-    nl = F.length(F.col("_new")) - F.length(F.regexp_replace("_new", "\n", ""))
-    same_rows = _diff_metrics(same, F.lit(0).cast("long"), F.lit(0).cast("long"), nl.cast("long"))
-    same_text = (F.when(F.col("_new") == "", F.lit("")).otherwise(F.concat(F.lit("  "), F.col("_new")))
-                 if with_text else F.lit(None).cast("string"))
-    same_rows = same_rows.withColumn("diff_text", same_text)
-    r = diff.withColumn("_d", _diff_udf(with_text)(F.col("_old"), F.col("_new")))
-    diff_rows = _diff_metrics(r, F.col("_d.additions"), F.col("_d.deletions"), F.col("_d.unchanged")) \
-        .withColumn("diff_text", F.col("_d.diff_text")).drop("_d")
-    null = F.lit(None)
-    first_rows = (first.withColumn("additions", null.cast("long")).withColumn("deletions", null.cast("long"))
-                       .withColumn("unchanged", null.cast("long")).withColumn("has_changes", null.cast("boolean"))
-                       .withColumn("change_percentage", null.cast("double"))
-                       .withColumn("diff_text", null.cast("string")))
-    cols = first_rows.columns
-    return (first_rows.unionByName(same_rows.select(*cols)).unionByName(diff_rows.select(*cols))
-            .drop("_old", "_new"))
+    Rows with a NULL ``old`` (no previous version) get NULL metrics; pairs
+    whose normalised texts are identical get constant metrics. Only changed
+    pairs send their texts to the diff UDF (the others pass NULLs, so almost
+    nothing crosses to Python for them), in one pass over the rows."""
+    o, n = diff_normalize_cols(F.col(old), F.col(new))
+    first = F.col(old).isNull()
+    same = ~first & (o == n)
+    need = ~first & (o != n)
+    d = _diff_udf(with_text)(F.when(need, o), F.when(need, n))
+    nl = (F.length(n) - F.length(F.regexp_replace(n, "\n", ""))).cast("long")
+    zero = F.lit(0).cast("long")
+    add = F.when(first, F.lit(None).cast("long")).when(same, zero).otherwise(d["additions"])
+    dele = F.when(first, F.lit(None).cast("long")).when(same, zero).otherwise(d["deletions"])
+    unch = F.when(first, F.lit(None).cast("long")).when(same, nl).otherwise(d["unchanged"])
+    text = (F.when(first, F.lit(None).cast("string"))
+             .when(same, F.when(n == "", F.lit("")).otherwise(F.concat(F.lit("  "), n)))
+             .otherwise(d["diff_text"])) if with_text else F.lit(None).cast("string")
+    out = pairs.withColumn("_a", add).withColumn("_d", dele).withColumn("_u", unch).withColumn("diff_text", text)
+    total = F.col("_a") + F.col("_d") + F.col("_u")
+    return (out.withColumn("additions", F.col("_a")).withColumn("deletions", F.col("_d"))
+               .withColumn("unchanged", F.col("_u"))
+               .withColumn("has_changes", (F.col("_a") > 0) | (F.col("_d") > 0))
+               .withColumn("change_percentage",
+                           F.when(total > 0, (F.col("_a") + F.col("_d")) / total * 100.0)
+                            .when(total.isNotNull(), F.lit(0.0)))
+               .drop("_a", "_d", "_u"))
+
+
+def diff_normalize_cols(old: Column, new: Column) -> tuple[Column, Column]:
+    return TX.diff_normalize(old), TX.diff_normalize(new)
 
 
 # --------------------------------------------------------------------------- G3
