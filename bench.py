@@ -16,6 +16,14 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from sitegrove.plans.all import REGISTRY  # noqa: E402
 from sitegrove.session import build_session  # noqa: E402
 
+# input table whose rows each headline query processes (for rows/s)
+INPUT_TABLE = {
+    "pages_by_host_category": "pages", "clean_documents": "documents", "version_changes": "conversations",
+    "full_documents": "lineitem", "index_documents": "lineitem", "due_domains_scheduled": "orders",
+    "final_job_stats": "lineitem", "job_progress": "events", "ready_triggers": "events",
+    "domain_dashboard": "lineitem",
+}
+
 HEADLINE = [
     "pages_by_host_category",      # flagship: clean + title + host + category + counts
     "clean_documents",             # F11 text cleaning over the whole corpus
@@ -42,10 +50,12 @@ def main():
         df = REGISTRY[name].build(spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
+    counts = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in set(INPUT_TABLE.values())}
+    rps = {n: int(counts[INPUT_TABLE[n]] / times[n]) for n in HEADLINE if times[n] > 0}
     sf = sf_dir.rsplit("sf", 1)[-1]
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
-                      "cpus": cpus}))
+                      "cpus": cpus, "input_rows_per_sec": rps}))
 
 
 if __name__ == "__main__":

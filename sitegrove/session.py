@@ -39,7 +39,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     # generated code for wide text expressions exceeds the JIT's huge-method
     # limit; let the JIT compile it (local mode: the driver runs the tasks)
     jit = "-XX:-DontCompileHugeMethods"
-    builder = builder.config("spark.driver.extraJavaOptions", jit).config("spark.executor.extraJavaOptions", jit)
+    if os.environ.get("SITEGROVE_JIT_HUGE", "1") == "1":
+        builder = builder.config("spark.driver.extraJavaOptions", jit).config("spark.executor.extraJavaOptions", jit)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in {**DEFAULT_CONF, **(extra or {})}.items():
         builder = builder.config(k, v)
