@@ -1,7 +1,8 @@
 """Bench: headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
 Each query is fully materialised with the ``noop`` sink (every row computed,
-nothing collected to the driver). Prints one JSON line.
+nothing collected to the driver). Before timing, every query runs once on
+the smallest scale's tables (JVM/JIT warm-up, not timed). Prints one JSON line.
 """
 
 from __future__ import annotations
@@ -42,8 +43,13 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(8, cpus * 2))
-    # warm-up (JVM, parquet footers) on a small query, not timed
-    REGISTRY["url_functions"].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
+    # JVM warm-up, not timed: the same queries once on the smallest tables
+    # (different files), so the timings below measure steady-state work, as
+    # on a long-running cluster, rather than first-use code generation
+    warm = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001")
+    if os.path.isdir(warm) and os.path.abspath(warm) != os.path.abspath(sf_dir):
+        for name in HEADLINE:
+            REGISTRY[name].build(spark, warm).write.format("noop").mode("overwrite").save()
     times, rows = {}, {}
     for name in HEADLINE:
         t0 = time.perf_counter()
