@@ -25,9 +25,37 @@ from ..functions.scalars import js_round
 
 # --------------------------------------------------------------------------- C7
 
-def previous_version(df: DataFrame, key: str, order: list[str], cols: list[str]) -> DataFrame:
+def previous_version(df: DataFrame, key: str, order: list[str], cols: list[str],
+                     dense: bool = False) -> DataFrame:
     """Adds ``prev_<c>`` for each c in ``cols``: the value of the latest
-    earlier version of the same ``key`` (NULL for the first)."""
+    earlier version of the same ``key`` (NULL for the first).
+
+    ``dense=True`` when ``order[0]`` numbers each key's versions 0, 1, 2, ...
+    without gaps (a crawl round, a turn): the previous version is then an
+    equi-join on (key, seq - 1). Each (key, seq) is unique, so the join
+    hashes evenly even when one page holds a third of all versions; the
+    general form is a ``lag`` window, which keeps a key's versions in one task.
+    """
+    if dense:
+        # each row goes out twice -- as itself at (key, seq) and as the
+        # previous version of (key, seq + 1) -- and (key, seq) groups hold at
+        # most two rows: one pass over the input, one even shuffle, no skew
+        seq = order[0]
+        types = {f.name: f.dataType for f in df.schema.fields}
+        cur = F.struct(F.lit(0).alias("_r"), *[F.col(c) for c in df.columns],
+                       *[F.lit(None).cast(types[c]).alias(f"prev_{c}") for c in cols])
+        prv = F.struct(F.lit(1).alias("_r"),
+                       *[(F.col(seq) + 1).cast(types[seq]).alias(c) if c == seq else
+                         (F.col(c) if c == key else F.lit(None).cast(types[c]).alias(c)) for c in df.columns],
+                       *[F.col(c).alias(f"prev_{c}") for c in cols])
+        x = df.select(F.explode(F.array(cur, prv)).alias("_e")).select("_e.*")
+        rest = [c for c in df.columns if c not in (key, seq)]
+        g = x.groupBy(key, seq).agg(
+            F.max(F.col("_r") == 0).alias("_has"),
+            *[F.first(F.when(F.col("_r") == 0, F.col(c)), ignorenulls=True).alias(c) for c in rest],
+            *[F.first(F.when(F.col("_r") == 1, F.col(f"prev_{c}")), ignorenulls=True).alias(f"prev_{c}")
+              for c in cols])
+        return g.filter("_has").drop("_has").select(*df.columns, *[f"prev_{c}" for c in cols])
     w = Window.partitionBy(key).orderBy(*order)
     out = df
     for c in cols:

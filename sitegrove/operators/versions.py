@@ -22,11 +22,13 @@ from .text_ops import clean_pipeline
 
 def process_versions(chain: DataFrame, key: str = "page_id", seq: str = "seq", text: str = "text",
                      id_col: str = "id", title: str | None = None, scores: DataFrame | None = None,
-                     extract_main: bool = True, with_diff_text: bool = False) -> DataFrame:
-    """``scores``: optional (id, response) table of scorer outputs."""
+                     extract_main: bool = True, with_diff_text: bool = False, dense: bool = False) -> DataFrame:
+    """``scores``: optional (id, response) table of scorer outputs.
+    ``dense``: ``seq`` numbers each page's versions 0, 1, 2, ... (see
+    ``changes.previous_version``)."""
     cols = [key, seq, id_col, text] + ([title] if title else [])
     c = clean_pipeline(chain.select(*cols), text, "cleaned_md", extract_main=extract_main).drop(text)
-    c = G.previous_version(c, key, [seq, id_col], [id_col, "cleaned_md"])
+    c = G.previous_version(c, key, [seq, id_col], [id_col, "cleaned_md"], dense=dense)
     d = G.diff_versions(c, "prev_cleaned_md", "cleaned_md", with_text=with_diff_text)
     score = None
     if scores is not None:

@@ -443,7 +443,7 @@ def q_score_requests(spark, sf):
     """Scorer requests for changed versions only (diff text from G4), with
     token estimates; first versions and unchanged pairs need no request."""
     from ..operators.versions import process_versions
-    v = process_versions(D.version_chain(spark, sf), with_diff_text=True).filter(F.col("has_changes"))
+    v = process_versions(D.version_chain(spark, sf), with_diff_text=True, dense=True).filter(F.col("has_changes"))
     req = H.change_score_request(F.col("diff_text"))
     return v.select("id", "page_id", req.alias("request"),
                     H.token_estimate(F.lit(H.SCORE_SYSTEM), req).alias("prompt_tokens"))

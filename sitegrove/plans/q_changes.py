@@ -14,8 +14,9 @@ from .sqlviews import with_views
 
 
 def _versions(spark, sf, with_text=False):
+    # turns number each conversation's versions 0, 1, 2, ...: skew-free previous-version join
     return process_versions(D.version_chain(spark, sf), scores=D.scorer_responses(spark, sf),
-                            with_diff_text=with_text)
+                            with_diff_text=with_text, dense=True)
 
 
 @register("version_changes", "C7,G1,G2,G5,G6,G7,G8,G13,G14,F15,F16,F17,S8", sql=None)
@@ -55,7 +56,7 @@ SELECT pr.id, CAST(coalesce(a.ad, 0) AS BIGINT) AS bag_additions, CAST(coalesce(
        CAST(coalesce(a.un, 0) AS BIGINT) AS bag_unchanged
 FROM pr LEFT JOIN a ON a.id = pr.id""")
 def q_bag_diff(spark, sf):
-    c = G.previous_version(D.version_chain(spark, sf), "page_id", ["seq", "id"], ["text"])
+    c = G.previous_version(D.version_chain(spark, sf), "page_id", ["seq", "id"], ["text"], dense=True)
     pairs = c.filter(F.col("prev_text").isNotNull()).select("id", "prev_text", "text")
     return G.bag_diff(pairs, ["id"], "prev_text", "text")
 
@@ -90,7 +91,7 @@ SELECT id, page_id, similarity, similarity < 0.95 AS changed,
        similarity < 0.85 AS changed_profile
 FROM s""")
 def q_similarity(spark, sf):
-    c = G.previous_version(D.version_chain(spark, sf), "page_id", ["seq", "id"], ["text"])
+    c = G.previous_version(D.version_chain(spark, sf), "page_id", ["seq", "id"], ["text"], dense=True)
     s = c.filter(F.col("prev_text").isNotNull()).select(
         "id", "page_id", G.similarity(F.col("prev_text"), F.col("text")).alias("similarity"))
     changed, reason = G.changed_enough(F.col("similarity"), F.lit(0.95))
@@ -123,7 +124,7 @@ FROM f""")
 def q_new_pages(spark, sf):
     from pyspark.sql import Window
     c = D.version_chain(spark, sf).withColumn("fingerprint", TX.fingerprint(F.col("text")))
-    c = G.previous_version(c, "page_id", ["seq", "id"], ["id", "fingerprint"])
+    c = G.previous_version(c, "page_id", ["seq", "id"], ["id", "fingerprint"], dense=True)
     whole = Window.partitionBy("page_id")
     return c.select("id", "page_id", "fingerprint", "prev_id", F.col("prev_id").isNull().alias("is_new"),
                     F.coalesce(F.col("prev_fingerprint") == F.col("fingerprint"), F.lit(False)).alias("same_as_prev"),

@@ -80,3 +80,12 @@ def test_change_decision(spark):
     assert out[2] == (None, "No changes detected in diff")
     assert out[3] == (1, "Semantic importance: 1/4")
     assert out[4] == (2, "No diff available")
+
+
+def test_dense_previous_version_equals_window(spark):
+    rows = [(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (2, 0, "x"), (3, 0, "p"), (3, 1, "q")]
+    df = spark.createDataFrame(rows, "page_id long, seq long, text string")
+    a = G.previous_version(df, "page_id", ["seq"], ["text"], dense=True)
+    b = G.previous_version(df, "page_id", ["seq"], ["text"], dense=False)
+    assert a.count() == 6
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
