@@ -155,37 +155,53 @@ def rate_stream(pages: DataFrame, seconds: int = 10, limit: int = 100) -> DataFr
                          (F.col("events") > limit).alias("over_limit")))
 
 
-def version_batches(table_path: str, key: str = "page_id"):
+VERSION_BUCKETS = 256
+
+
+def version_batches(table_path: str, key: str = "page_id", buckets: int = VERSION_BUCKETS):
     """Returns a ``foreachBatch`` function that runs the version pipeline
-    for the micro-batch, chaining to the latest stored version of each page,
-    and writes the batch's version rows to ``table_path/batch_id=<id>``
-    (overwrite: a replayed batch replaces its own output)."""
+    for one micro-batch.
+
+    The version table is partitioned by (bucket = hash(page) mod ``buckets``,
+    batch_id). A batch reads the earlier versions of the buckets it touches
+    only (partition pruning; ``batch_id`` below its own, so a replayed batch
+    never sees its own output), chains each page's first version in the batch
+    to the latest stored one, and overwrites its own (bucket, batch_id)
+    partitions: replaying a batch after a failure gives the same table.
+    """
+    from ..functions import text as TX
     from ..operators.changes import change_decision, diff_versions, enhancement_gate, previous_version
     from ..operators.text_ops import clean_pipeline
-    from ..functions import text as TX
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        cleaned = clean_pipeline(batch, "text", "cleaned_md", extract_main=True).drop("text")
+        cleaned = (clean_pipeline(batch, "text", "cleaned_md", extract_main=True).drop("text")
+                   .withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+                   .persist())
         try:
-            stored = spark.read.parquet(table_path)
+            touched = [r.bucket for r in cleaned.select("bucket").distinct().collect()]  # at most `buckets` ints
+            stored = (spark.read.parquet(table_path)
+                      .filter(F.col("bucket").isin(touched) & (F.col("batch_id") < batch_id)))
             last = (stored.groupBy(key).agg(F.max(F.struct("seq", "id", "cleaned_md")).alias("_l"))
-                          .select(key, F.col("_l.id").alias("prev_id"), F.col("_l.cleaned_md").alias("prev_cleaned_md")))
-        except Exception:  # noqa: BLE001 - first batch: no table yet
+                          .select(key, F.col("_l.id").alias("_sid"), F.col("_l.cleaned_md").alias("_smd")))
+        except Exception as e:  # noqa: BLE001 - first batch: no table yet
+            if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
+                raise
             last = None
         # chain inside the batch first, then the batch's first version of a
         # page to the latest stored one
-        cleaned = previous_version(cleaned, key, ["seq", "id"], ["id", "cleaned_md"])
+        chained = previous_version(cleaned, key, ["seq", "id"], ["id", "cleaned_md"])
         if last is not None:
-            cleaned = (cleaned.join(last.withColumnRenamed("prev_id", "_sid")
-                                        .withColumnRenamed("prev_cleaned_md", "_smd"), key, "left")
+            chained = (chained.join(last, key, "left")
                               .withColumn("prev_cleaned_md", F.when(F.col("prev_id").isNull(), F.col("_smd"))
                                           .otherwise(F.col("prev_cleaned_md")))
                               .withColumn("prev_id", F.coalesce("prev_id", "_sid")).drop("_sid", "_smd"))
-        d = diff_versions(cleaned, "prev_cleaned_md", "cleaned_md")
+        d = diff_versions(chained, "prev_cleaned_md", "cleaned_md")
         d = change_decision(d)
         d = d.withColumn("stored_md", enhancement_gate(F.col("cleaned_md"), TX.enhance_content(F.col("cleaned_md"))))
         out = d.select("id", key, "seq", "prev_id", "cleaned_md", "stored_md", "additions", "deletions",
-                       "has_changes", "importance", "reason")
-        out.write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
+                       "has_changes", "importance", "reason", "bucket", F.lit(batch_id).alias("batch_id"))
+        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("bucket", "batch_id").parquet(table_path))
+        cleaned.unpersist()
     return run
