@@ -121,7 +121,7 @@ def categorized_pages(versions: DataFrame) -> DataFrame:
     from pyspark.sql import Window
     w = Window.partitionBy("job_id").orderBy("url", "created_at", "id")
     return (versions.withColumn("category", path_category(F.col("url")))
-                    .withColumn("pos", F.row_number().over(w)))
+                    .withColumn("pos", F.row_number().over(w).cast("long")))
 
 
 def category_counts(versions: DataFrame) -> DataFrame:                                  # D7
@@ -187,7 +187,7 @@ def full_document(versions: DataFrame, as_of: str, assignment: DataFrame | None
     body = F.array_join(F.transform("_c", lambda x: x["block"]), "")
     # every section ends with a new line that the reference's final join does not add
     doc = F.regexp_replace(F.concat(head, toc, body), r"\n\z", "")
-    return per_job.select("job_id", "domain", F.size("_c").alias("categories"), doc.alias("content"))
+    return per_job.select("job_id", "domain", F.size("_c").cast("long").alias("categories"), doc.alias("content"))
 
 
 # ----------------------------------------------------------------------------- H7/C6
@@ -199,11 +199,11 @@ def parse_category_response(responses: DataFrame) -> DataFrame:
     m = F.from_json(F.col("response"), "map<string,string>")
     e = responses.select("job_id", m.alias("_m"))
     ok = e.filter(F.col("_m").isNotNull()).select(
-        "job_id", F.posexplode(F.map_entries("_m")).alias("cat_pos", "_e"))
+        "job_id", F.posexplode(F.map_entries("_m")).alias("cat_pos", "_e")).withColumn("cat_pos", F.col("cat_pos").cast("long"))
     ok = ok.select("job_id", "cat_pos", F.col("_e.key").alias("category"),
                    F.from_json(F.col("_e.value"), "array<string>").alias("patterns"))
     ok = ok.filter(F.col("patterns").isNotNull())
-    bad = e.filter(F.col("_m").isNull()).select("job_id", F.lit(0).alias("cat_pos"),
+    bad = e.filter(F.col("_m").isNull()).select("job_id", F.lit(0).cast("long").alias("cat_pos"),
                                                  F.lit("Pages").alias("category"),
                                                  F.lit(None).cast("array<string>").alias("patterns"))
     return ok.unionByName(bad)
@@ -234,7 +234,7 @@ def artifact_rows(documents: DataFrame, jobs: DataFrame, existing: DataFrame) ->
              .withColumn("version", (F.coalesce("_mx", F.lit(0)) + F.row_number().over(w)).cast("int"))
              .select("job_id", "domain_id", "kind", "version",
                      artifact_path(F.col("domain"), F.col("job_id"), F.col("started_at"), F.col("kind")).alias("path"),
-                     F.length("content").alias("content_chars")))
+                     F.length("content").cast("long").alias("content_chars")))
 
 
 # ----------------------------------------------------------------------------- I10

@@ -281,7 +281,7 @@ def version_history(versions: DataFrame) -> DataFrame:
     w = Window.partitionBy("page_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
     return versions.select("page_id", "id", "created_at",
                            F.count(F.lit(1)).over(Window.partitionBy("page_id")).alias("version_count"),
-                           F.row_number().over(w).alias("version_rank"))
+                           F.row_number().over(w).cast("long").alias("version_rank"))
 
 
 # ---- R: integrity -----------------------------------------------------------------------

@@ -151,9 +151,9 @@ def q_page_rank(spark, sf):
     from pyspark.sql import Window
     p = D.crawled_pages(spark, sf)
     scored = p.select("page_id", "url", "domain",
-                      A.page_rank_score(F.col("url"), F.length("raw_md")).alias("score"))
+                      A.page_rank_score(F.col("url"), F.length("raw_md")).cast("long").alias("score"))
     w = Window.partitionBy("domain").orderBy(F.col("score").desc(), F.col("page_id"))
-    return scored.withColumn("rank_in_site", F.row_number().over(w)).drop("domain")
+    return scored.withColumn("rank_in_site", F.row_number().over(w).cast("long")).drop("domain")
 
 
 # category responses per job, spelled by job id % 4 (fixed values): a valid
@@ -424,7 +424,7 @@ def q_site_requests(spark, sf):
     return x.select("job_id",
                     H.overview_request(F.col("domain"), F.col("page_count"), F.col("first_urls")).alias("overview_request"),
                     H.category_request(F.col("page_lines")).alias("category_request"),
-                    F.length("ctx").alias("context_chars"))
+                    F.length("ctx").cast("long").alias("context_chars"))
 
 
 @register("short_summary_requests", "H9", sql=f"""
