@@ -296,3 +296,60 @@ def q_profile_delete(spark, sf):
     free = C.deletable_domains(doms, D.jobs(spark, sf)).select("id", F.lit(True).alias("deletable"))
     return after.join(free, "id", "left").select("id", "profile_id",
                                                  F.coalesce("deletable", F.lit(False)).alias("deletable"))
+
+
+@register("current_artifacts_fallback", "E5", sql=_CUR_SQL.replace(
+    "SELECT s.domain_id, s.kind, s.job_id, c.id, c.version, c.created_at\nFROM slots s LEFT JOIN cur c ON c.domain_id = s.domain_id AND c.kind = s.kind",
+    """, anyf AS (SELECT a.domain_id, a.kind, a.id, a.job_id, a.version, a.created_at FROM d_artifact a
+          WHERE a.job_id IN (SELECT id FROM d_job WHERE status = 'finished')
+          QUALIFY row_number() OVER (PARTITION BY a.domain_id, a.kind ORDER BY a.created_at DESC, a.id DESC) = 1)
+, cur2 AS (SELECT s.domain_id, s.kind, s.job_id, c.id, c.version, c.created_at
+           FROM slots s LEFT JOIN cur c ON c.domain_id = s.domain_id AND c.kind = s.kind)
+SELECT anyf.domain_id, anyf.kind,
+       CASE WHEN c.id IS NULL THEN anyf.id ELSE c.id END AS id,
+       CASE WHEN c.id IS NULL THEN anyf.job_id ELSE c.job_id END AS job_id,
+       CASE WHEN c.id IS NULL THEN anyf.version ELSE c.version END AS version,
+       CASE WHEN c.id IS NULL THEN anyf.created_at ELSE c.created_at END AS created_at
+FROM anyf LEFT JOIN cur2 c ON c.domain_id = anyf.domain_id AND c.kind = anyf.kind"""))
+def q_current_artifacts_fallback(spark, sf):
+    """E5 with ``fallback=True``: when the latest finished job made no
+    artifact of a kind, the newest one of any finished job is current."""
+    return C.current_artifacts(D.artifacts(spark, sf), D.jobs(spark, sf), fallback=True)
+
+
+@register("duplicate_domains", "R1", sql=with_views("d_domain") + """
+SELECT domain, count(*) AS n FROM d_domain GROUP BY domain HAVING count(*) > 1""")
+def q_duplicate_domains(spark, sf):
+    return C.duplicate_keys(D.domains(spark, sf), ["domain"])
+
+
+@register("orphan_report", "R2", sql=with_views("d_job", "d_domain", "d_version_page", "d_artifact", "d_profile") + """
+SELECT 'job.domain_id' AS fk, count(*) AS orphans FROM d_job WHERE domain_id NOT IN (SELECT id FROM d_domain)
+UNION ALL SELECT 'domain.profile_id', count(*) FROM d_domain
+  WHERE profile_id IS NOT NULL AND profile_id NOT IN (SELECT id FROM d_profile)
+UNION ALL SELECT 'version.job_id', count(*) FROM d_version_page WHERE job_id NOT IN (SELECT id FROM d_job)
+UNION ALL SELECT 'version.page_domain', count(*) FROM d_version_page WHERE domain_id NOT IN (SELECT id FROM d_domain)
+UNION ALL SELECT 'artifact.job_id', count(*) FROM d_artifact WHERE job_id NOT IN (SELECT id FROM d_job)
+UNION ALL SELECT 'artifact.domain_id', count(*) FROM d_artifact WHERE domain_id NOT IN (SELECT id FROM d_domain)
+UNION ALL SELECT 'page.job_id', count(*) FROM (SELECT DISTINCT domain_id, url, job_id FROM d_version_page)
+  WHERE job_id NOT IN (SELECT id FROM d_job)""")
+def q_orphan_report(spark, sf):
+    """R2 over the seven references: orphan count per foreign key (left anti
+    joins, counted by one aggregate over their tagged union)."""
+    jobs, doms = D.jobs(spark, sf), D.domains(spark, sf)
+    vp, arts, profs = D.page_versions(spark, sf, with_page=True), D.artifacts(spark, sf), D.profiles(spark, sf)
+    pages = vp.select("domain_id", "url", "job_id").distinct()
+    checks = [("job.domain_id", C.orphans(jobs, "domain_id", doms)),
+              ("domain.profile_id", C.orphans(doms, "profile_id", profs)),
+              ("version.job_id", C.orphans(vp, "job_id", jobs)),
+              ("version.page_domain", C.orphans(vp, "domain_id", doms)),
+              ("artifact.job_id", C.orphans(arts, "job_id", jobs)),
+              ("artifact.domain_id", C.orphans(arts, "domain_id", doms)),
+              ("page.job_id", C.orphans(pages, "job_id", jobs))]
+    names = spark.createDataFrame([(n,) for n, _ in checks], "fk string")   # the seven key names
+    tagged = None
+    for n, df in checks:
+        t = df.select(F.lit(n).alias("fk"))
+        tagged = t if tagged is None else tagged.unionByName(t)
+    counts = tagged.groupBy("fk").agg(F.count(F.lit(1)).alias("orphans"))
+    return names.join(counts, "fk", "left").select("fk", F.coalesce("orphans", F.lit(0)).alias("orphans"))

@@ -203,10 +203,11 @@ def q_cancel(spark, sf):
     return J.cancel_verdicts(_cancel_requests(spark, sf), D.jobs(spark, sf))
 
 
-@register("job_state_fold", "M4,B9", sql=_EV + _CANCEL_SQL + """
+@register("job_state_fold", "M4,B9,S5", sql=_ev("d_domain") + _CANCEL_SQL + """
 , fails AS (SELECT j.id AS job_id, s.ts FROM st s JOIN d_job j ON j.external_id = s.external_id
             WHERE s.status = 'accepted' AND s.type = 'crawl.failed')
-, t AS (SELECT job_id, ts, 'finished' AS status FROM closes
+, t AS (SELECT c.job_id, c.ts, CASE WHEN d.is_active THEN 'finished' ELSE 'failed' END AS status
+        FROM closes c JOIN d_job j ON j.id = c.job_id JOIN d_domain d ON d.id = j.domain_id
         UNION ALL SELECT job_id, ts, 'failed' FROM fails
         UNION ALL SELECT cr.job_id, cr.requested_at, 'canceled' FROM cr JOIN d_job j ON j.id = cr.job_id
                   WHERE j.status = 'processing')
@@ -218,7 +219,12 @@ def q_fold(spark, sf):
     fails = e["parsed"].filter((F.col("status") == "accepted") & (F.col("type") == "crawl.failed"))
     fails, _ = J.lookup_jobs(fails, e["jobs"])
     cancels = J.cancel_verdicts(_cancel_requests(spark, sf), e["jobs"]).filter(F.col("verdict") == "canceled")
-    terminal = (e["closes"].select("job_id", "ts", F.lit("finished").alias("status"))
+    # a close for a job whose domain is no longer active fails the job
+    active = (e["jobs"].select(F.col("id").alias("job_id"), "domain_id")
+              .join(D.domains(spark, sf).select(F.col("id").alias("domain_id"), "is_active"), "domain_id"))
+    closed = e["closes"].join(active, "job_id").select(
+        "job_id", "ts", F.when(F.col("is_active"), "finished").otherwise("failed").alias("status"))
+    terminal = (closed
                 .unionByName(fails.select("job_id", "ts", F.lit("failed").alias("status")))
                 .unionByName(cancels.select("job_id", F.col("requested_at").alias("ts"),
                                             F.lit("canceled").alias("status"))))
