@@ -78,8 +78,10 @@ def page_rank_score(url: Column, content_length: Column) -> Column:
 def index_document(versions: DataFrame, as_of: str) -> DataFrame:
     """I2 (deterministic generator): one llms.txt text per job with versions.
     ``versions``: job_id, domain, id, url, title, description, summary,
-    created_at. One aggregate on the job key."""
-    v = versions
+    created_at. One aggregate on the job key; the rows are hash-partitioned
+    by job first, so building the page sections runs spread over all tasks
+    and the aggregate needs no second exchange."""
+    v = versions.repartition("job_id")
     title = display_title(F.col("title"), F.col("url"), "page")
     desc = F.when(_nz(F.col("description")), F.col("description")).otherwise(
         F.concat(F.lit("Content from "), F.col("domain")))
