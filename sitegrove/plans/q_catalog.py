@@ -305,12 +305,12 @@ def q_profile_delete(spark, sf):
           QUALIFY row_number() OVER (PARTITION BY a.domain_id, a.kind ORDER BY a.created_at DESC, a.id DESC) = 1)
 , cur2 AS (SELECT s.domain_id, s.kind, s.job_id, c.id, c.version, c.created_at
            FROM slots s LEFT JOIN cur c ON c.domain_id = s.domain_id AND c.kind = s.kind)
-SELECT anyf.domain_id, anyf.kind,
+SELECT c.domain_id, c.kind,
        CASE WHEN c.id IS NULL THEN anyf.id ELSE c.id END AS id,
        CASE WHEN c.id IS NULL THEN anyf.job_id ELSE c.job_id END AS job_id,
        CASE WHEN c.id IS NULL THEN anyf.version ELSE c.version END AS version,
        CASE WHEN c.id IS NULL THEN anyf.created_at ELSE c.created_at END AS created_at
-FROM anyf LEFT JOIN cur2 c ON c.domain_id = anyf.domain_id AND c.kind = anyf.kind"""))
+FROM cur2 c LEFT JOIN anyf ON c.domain_id = anyf.domain_id AND c.kind = anyf.kind"""))
 def q_current_artifacts_fallback(spark, sf):
     """E5 with ``fallback=True``: when the latest finished job made no
     artifact of a kind, the newest one of any finished job is current."""
