@@ -10,6 +10,19 @@ from ..sources import derived as D
 from .registry import register
 from .sqlviews import with_views
 
+def _flat(col: str, fields: list[str], name: str):
+    """A nested list column as one text value: entries joined by ';', fields
+    by ':' (NULL as empty) -- the same text in both engines, so the check
+    compares plain strings rather than engine-specific nested values."""
+    entry = lambda e: F.concat_ws(":", *[F.coalesce(e[f].cast("string"), F.lit("")) for f in fields])
+    return F.array_join(F.transform(col, entry), ";").alias(name)
+
+
+def _flat_sql(expr: str, fields: list[str]) -> str:
+    parts = " || ':' || ".join(f"coalesce(CAST(e.{f} AS VARCHAR), '')" for f in fields)
+    return f"array_to_string(list_transform({expr}, lambda e: {parts}), ';')"
+
+
 _DUR = ("CAST(floor((epoch_ms(coalesce({f}, TIMESTAMP '" + AS_OF + "')) - epoch_ms({s})) / 60000.0 + 0.5) AS BIGINT)")
 
 
@@ -59,13 +72,15 @@ def q_active_job(spark, sf):
 
 
 @register("job_with_versions", "C2", sql=with_views("d_job", "d_domain", "d_version") + """
-SELECT j.id, j.domain_id, j.type, j.status, j.external_id, j.started_at, j.finished_at, d.domain, v.versions
+SELECT j.id, j.domain_id, j.type, j.status, j.external_id, j.started_at, j.finished_at, d.domain,
+       """ + _flat_sql("v.versions", ["id", "page_id", "importance", "change_status"]) + """ AS versions
 FROM d_job j JOIN d_domain d ON j.domain_id = d.id
 LEFT JOIN (SELECT job_id, list_sort(list({'id': id, 'page_id': page_id, 'importance': importance,
                                           'change_status': change_status})) AS versions
            FROM d_version GROUP BY job_id) v ON v.job_id = j.id""")
 def q_job_with_versions(spark, sf):
-    return C.job_with_versions(D.jobs(spark, sf), D.domains(spark, sf), D.page_versions(spark, sf))
+    j = C.job_with_versions(D.jobs(spark, sf), D.domains(spark, sf), D.page_versions(spark, sf))
+    return j.withColumn("versions", _flat("versions", ["id", "page_id", "importance", "change_status"], "versions"))
 
 
 @register("versions_with_page", "C3,E2", sql=with_views("d_version_page") + """
@@ -136,10 +151,12 @@ def q_dashboard(spark, sf):
 , pg AS (SELECT domain_id, count(*) AS page_count,
                 list_sort(list({'url': url, 'latest_version_id': id})) AS pages FROM lv GROUP BY domain_id)
 , jc AS (SELECT domain_id, count(*) AS n FROM d_job GROUP BY domain_id)
-SELECT d.id AS domain_id, d.domain, coalesce(pg.page_count, 0) AS page_count, coalesce(jc.n, 0) AS job_count, pg.pages
+SELECT d.id AS domain_id, d.domain, coalesce(pg.page_count, 0) AS page_count, coalesce(jc.n, 0) AS job_count,
+       """ + _flat_sql("pg.pages", ["url", "latest_version_id"]) + """ AS pages
 FROM d_domain d LEFT JOIN pg ON pg.domain_id = d.id LEFT JOIN jc ON jc.domain_id = d.id""")
 def q_domain_detail(spark, sf):
-    return C.domain_detail(D.domains(spark, sf), D.jobs(spark, sf), D.page_versions(spark, sf, with_page=True))
+    d = C.domain_detail(D.domains(spark, sf), D.jobs(spark, sf), D.page_versions(spark, sf, with_page=True))
+    return d.withColumn("pages", _flat("pages", ["url", "latest_version_id"], "pages"))
 
 
 @register("latest_version_per_page", "E1,M3", sql=with_views("d_version") + """
@@ -253,10 +270,12 @@ SELECT j.id AS job_id, j.domain_id, j.type, j.status,
              AND floor((epoch_ms(j.finished_at) - epoch_ms(j.started_at)) / 1000.0 + 0.5) <> 0
             THEN CAST(CAST(floor((epoch_ms(j.finished_at) - epoch_ms(j.started_at)) / 1000.0 + 0.5) AS BIGINT) AS VARCHAR) || 's'
        END AS duration,
-       coalesce(c.total, 0) AS total, coalesce(c.changed, 0) AS changed, coalesce(c.skipped, 0) AS skipped, a.artifacts
+       coalesce(c.total, 0) AS total, coalesce(c.changed, 0) AS changed, coalesce(c.skipped, 0) AS skipped,
+       """ + _flat_sql("a.artifacts", ["created_at", "id", "kind", "version"]) + """ AS artifacts
 FROM d_job j LEFT JOIN c ON c.job_id = j.id LEFT JOIN a ON a.job_id = j.id""")
 def q_job_status(spark, sf):
-    return C.job_status_view(D.jobs(spark, sf), D.page_versions(spark, sf), D.artifacts(spark, sf))
+    v = C.job_status_view(D.jobs(spark, sf), D.page_versions(spark, sf), D.artifacts(spark, sf))
+    return v.withColumn("artifacts", _flat("artifacts", ["created_at", "id", "kind", "version"], "artifacts"))
 
 
 @register("profiles_ordered", "E10", sql=with_views("d_profile") + """
