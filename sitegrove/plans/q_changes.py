@@ -19,11 +19,79 @@ def _versions(spark, sf, with_text=False):
                             with_diff_text=with_text, dense=True)
 
 
-@register("version_changes", "C7,G1,G2,G5,G6,G7,G8,G13,G14,F15,F16,F17,S8", sql=None)
+def _lcs_sql(ta: str, tb: str) -> str:
+    """Length of the longest common subsequence of two token lists, as a
+    DuckDB row-by-row dynamic programme (list_reduce over the old tokens;
+    each new row is the running max of the previous row and the matches)."""
+    m = f"len({tb})"
+    row = (f"[0] || list_transform([list_transform(range(1, {m} + 1), lambda k: CASE WHEN {tb}[k] = x "
+           f"THEN prev[k] + 1 ELSE 0 END)], lambda c: list_transform(range(1, {m} + 1), "
+           f"lambda j: greatest(prev[j + 1], list_max(c[1:j]))))[1]")
+    return f"list_reduce({ta}, lambda prev, x: {row}, list_transform(range(0, {m} + 1), lambda z: 0))[-1]"
+
+
+def _tokens_sql(e: str) -> str:
+    parts = f"string_split({e}, chr(10))"
+    return (f"(CASE WHEN {e} = '' THEN []::VARCHAR[] ELSE list_transform({parts}, lambda l, i: "
+            f"CASE WHEN i < len({parts}) THEN l || chr(10) ELSE l END) END)")
+
+
+def _nl_sql(e: str) -> str:
+    return f"(length({e}) - length(replace({e}, chr(10), '')))"
+
+
+def _versions_sql(with_rows: bool = True) -> str:
+    """SQL form of the batch version pipeline on the chain (F15 -> C7 -> G1/G2
+    counts -> G5/G6 with parsed scores -> G7 -> F14/F17)."""
+    from .q_text import _enhance_sql, _meta, _sql_clean, _sql_main
+    norm = lambda e: Q.js_trim(f"replace(replace({e}, chr(13) || chr(10), chr(10)), chr(9), '  ')")
+    score = (f"CAST(CASE WHEN TRY_CAST(regexp_extract(coalesce({Q.js_trim('sc.response')}, '2'), '^([+-]?[0-9]+)', 1)"
+             f" AS BIGINT) BETWEEN 1 AND 4 THEN TRY_CAST(regexp_extract(coalesce({Q.js_trim('sc.response')}, '2'),"
+             f" '^([+-]?[0-9]+)', 1) AS BIGINT) ELSE 2 END AS INTEGER)")
+    return (with_views("d_chain", "d_score") + ", src AS (SELECT id AS k_id, text FROM d_chain)"
+            + _sql_clean("src", "k_id", "text", "a") + ", c1 AS (SELECT k_id, text FROM aclean)" + _sql_main("c1", "b")
+            + f"""
+, cl AS (SELECT c.id, c.page_id, c.seq, {_meta('m.main_md')} AS cleaned_md FROM d_chain c JOIN bmain m ON m.k_id = c.id)
+, p AS (SELECT *, lag(id) OVER w AS prev_id, lag(cleaned_md) OVER w AS prev_md FROM cl
+        WINDOW w AS (PARTITION BY page_id ORDER BY seq, id))
+, n AS (SELECT *, {norm('prev_md')} AS o, {norm('cleaned_md')} AS nn FROM p)
+, t AS (SELECT *, {_tokens_sql('o')} AS ta, {_tokens_sql('nn')} AS tb FROM n)
+, l AS (SELECT *, CASE WHEN prev_id IS NULL THEN NULL WHEN o = nn THEN len(tb) ELSE {_lcs_sql('ta', 'tb')} END AS lcs,
+               len(ta) > 0 AND len(tb) > 0 AND ta[-1] = tb[-1] AS last_equal FROM t)
+, u AS (SELECT *, CAST(lcs - CASE WHEN last_equal THEN 1 ELSE 0 END AS BIGINT) AS unchanged FROM l)
+, cnt AS (SELECT *, CAST({_nl_sql('nn')} - unchanged AS BIGINT) AS additions,
+                 CAST({_nl_sql('o')} - unchanged AS BIGINT) AS deletions FROM u)
+, dec AS (SELECT cnt.*, additions > 0 OR deletions > 0 AS has_changes,
+                 CASE WHEN additions + deletions + unchanged > 0
+                      THEN (additions + deletions) / (additions + deletions + unchanged) * 100.0
+                      WHEN prev_id IS NOT NULL THEN 0.0 END AS change_percentage,
+                 {score} AS score
+          FROM cnt LEFT JOIN d_score sc ON sc.id = cnt.id)
+, fin AS (SELECT *, prev_id IS NULL AS is_new,
+                 CAST(CASE WHEN prev_id IS NOT NULL AND NOT has_changes THEN NULL WHEN prev_id IS NULL THEN 4
+                      ELSE score END AS SMALLINT) AS importance,
+                 CASE WHEN prev_id IS NOT NULL AND NOT has_changes THEN 'No changes detected in diff'
+                      WHEN prev_id IS NULL THEN 'New page'
+                      ELSE 'Semantic importance: ' || CAST(score AS VARCHAR) || '/4' END AS reason FROM dec)
+""" + ("""SELECT id, page_id, seq, prev_id, cleaned_md,
+       CASE WHEN importance >= 2 THEN """ + _enhance_sql("cleaned_md") + """ ELSE cleaned_md END AS stored_md,
+       additions, deletions, unchanged, has_changes, change_percentage, is_new, importance, reason,
+       """ + Q.title("cleaned_md") + """ AS title,
+       substr(CASE WHEN string_split(cleaned_md, chr(10))[1] <> '' THEN string_split(cleaned_md, chr(10))[1]
+                   ELSE 'Page content' END, 1, 100) AS description,
+       CASE WHEN length(cleaned_md) > 500 THEN substr(cleaned_md, 1, 500) ELSE '' END AS summary
+FROM fin""" if with_rows else """SELECT seq, count(*) FILTER (WHERE reason = 'New page') AS new_pages,
+       count(*) FILTER (WHERE importance IS NULL) AS unchanged,
+       count(*) FILTER (WHERE importance = 1) AS minor,
+       count(*) FILTER (WHERE importance >= 2 AND reason <> 'New page') AS significant
+FROM fin GROUP BY seq"""))
+
+
+@register("version_changes", "C7,G1,G2,G5,G6,G7,G8,G13,G14,F15,F16,F17,S8", sql=_versions_sql())
 def q_version_changes(spark, sf):
     """Every chain version processed: diff counts against the previous
-    version, decision, stored text, display fields. LCS diff has no SQL form;
-    checked against a dynamic-programming LCS in tests."""
+    version, decision, stored text, display fields. The SQL oracle computes
+    the line LCS with a row-by-row dynamic programme."""
     return _versions(spark, sf)
 
 
@@ -33,7 +101,7 @@ def q_version_diff_text(spark, sf):
     return v.filter(F.col("has_changes")).select("id", "page_id", "seq", "diff_text")
 
 
-@register("change_breakdown", "D8", sql=None)
+@register("change_breakdown", "D8", sql=_versions_sql(with_rows=False))
 def q_change_breakdown(spark, sf):
     """Per crawl round (chain position): new / unchanged / score 1 / score 2+."""
     return G.change_breakdown(_versions(spark, sf), key="seq")

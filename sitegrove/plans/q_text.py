@@ -150,6 +150,14 @@ def strip_metadata_documents(spark, sf_dir):
     return d.select("doc_id", md.alias("md"), F.length(md).cast("long").alias("n_chars"))
 
 
+def _enhance_sql(e: str) -> str:
+    """F16 as SQL."""
+    keep = " AND ".join([f"length({Q.js_trim('l')}) > 0"] + [f"NOT contains(l, '{p}')" for p in T.ENHANCE_DROP_PHRASES])
+    return ("('# [Processed Document]' || chr(10) || chr(10) || array_to_string(list_filter(string_split("
+            + e + ", chr(10)), lambda l: " + keep + "), chr(10)) || chr(10) || chr(10) || '---' || chr(10) || "
+            "'_Content processed and optimized for LLM consumption_')")
+
+
 _ENH_KEEP = " AND ".join([f"length({Q.js_trim('l')}) > 0"] + [f"NOT contains(l, '{p}')" for p in T.ENHANCE_DROP_PHRASES])
 
 
