@@ -89,3 +89,22 @@ def test_dense_previous_version_equals_window(spark):
     b = G.previous_version(df, "page_id", ["seq"], ["text"], dense=False)
     assert a.count() == 6
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_edit_script_reassembles_both_sides():
+    """The alignment behind the hunks (G4): '=' and '-' steps rebuild the old
+    text, '=' and '+' steps the new one, and it is a longest one."""
+    rnd = random.Random(11)
+    vocab = ["a", "b", "c", "", "d e"]
+    for _ in range(1000):
+        old = "\n".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 12))).strip()
+        new = "\n".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 12))).strip()
+        ta, tb = G._tokens(old), G._tokens(new)
+        ids = {}
+        ia = [ids.setdefault(t, len(ids)) for t in ta]
+        ib = [ids.setdefault(t, len(ids)) for t in tb]
+        lcs, script = G._myers_script(ia, ib, True)
+        script = script or []
+        assert "".join(ta[i] for op, i, _ in script if op in "=-") == "".join(ta)
+        assert "".join(tb[j] for op, _, j in script if op in "=+") == "".join(tb)
+        assert sum(1 for op, _, _ in script if op == "=") == lcs == _dp_lcs(ta, tb)
