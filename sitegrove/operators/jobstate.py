@@ -89,16 +89,34 @@ def job_progress(events: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------------------- S3
 
-def ready_triggers(events: DataFrame) -> DataFrame:
+def ready_triggers(events: DataFrame, bucket: str = "hour") -> DataFrame:
     """S3 batch form: exactly one trigger per job, at the first processed-page
     or close event after which the stream is closed, every received page is
-    processed and at least one page was processed."""
-    ev = events.select("job_id", "ts", "kind", (F.col("kind") == 1).cast("int").alias("d_rec"),
-                       (F.col("kind") == 2).cast("int").alias("d_proc"), (F.col("kind") == 3).cast("int").alias("d_close"))
-    w = Window.partitionBy("job_id").orderBy("ts", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    run = ev.select("job_id", "ts", "kind",
-                    F.sum("d_rec").over(w).alias("rec"), F.sum("d_proc").over(w).alias("proc"),
-                    F.sum("d_close").over(w).alias("closed"))
+    processed and at least one page was processed.
+
+    The running counts are split so no job lands whole in one task: events
+    are summed per (job, time bucket) -- a map-side aggregate -- the bucket
+    totals get a running sum per job (one row per bucket, small), and the
+    running count inside a bucket is a window over (job, bucket) only. A job
+    with a third of all events is spread over its buckets.
+    """
+    k = F.col("kind")
+    ev = events.select("job_id", "ts", "kind", F.date_trunc(bucket, "ts").alias("bucket"),
+                       (k == 1).cast("long").alias("d_rec"), (k == 2).cast("long").alias("d_proc"),
+                       (k == 3).cast("long").alias("d_close"))
+    per_bucket = ev.groupBy("job_id", "bucket").agg(F.sum("d_rec").alias("b_rec"), F.sum("d_proc").alias("b_proc"),
+                                                    F.sum("d_close").alias("b_close"))
+    before = Window.partitionBy("job_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bucket.select("job_id", "bucket",
+                                *[F.coalesce(F.sum(f"b_{n}").over(before), F.lit(0)).alias(f"o_{n}")
+                                  for n in ("rec", "proc", "close")])
+    inside = Window.partitionBy("job_id", "bucket").orderBy("ts", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    run = (ev.select("job_id", "bucket", "ts", "kind",
+                     *[F.sum(f"d_{n}").over(inside).alias(f"c_{n}") for n in ("rec", "proc", "close")])
+             .join(offsets, ["job_id", "bucket"])
+             .select("job_id", "ts", "kind", (F.col("o_rec") + F.col("c_rec")).alias("rec"),
+                     (F.col("o_proc") + F.col("c_proc")).alias("proc"),
+                     (F.col("o_close") + F.col("c_close")).alias("closed")))
     hit = run.filter((F.col("kind") >= 2) & (F.col("closed") > 0) & (F.col("rec") == F.col("proc")) &
                      (F.col("proc") > 0))
     first = hit.groupBy("job_id").agg(F.min(F.struct("ts", "kind", "proc")).alias("_f"))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from .. import AS_OF
 from ..functions import prompts as H
-from ..functions import scalars as S
 from ..operators import assemble as A
 from ..sources import derived as D
 from ..sources.tables import read_table

@@ -122,3 +122,12 @@ def test_b7_request_verdicts(spark):
     out = {r.request_id: (r.verdict, r.is_new_domain) for r in K.validate_crawl_requests(req, doms, jobs).collect()}
     assert out == {1: ("accepted", False), 2: ("rejected_inactive", False), 3: ("conflict", False),
                    4: ("invalid", True), 5: ("accepted", True)}
+
+
+def test_ready_trigger_buckets_do_not_change_result(spark, sf_small):
+    from sitegrove.plans.q_events import event_pipeline
+    ev = event_pipeline(spark, sf_small)["events"]
+    fine = J.ready_triggers(ev, bucket="minute")
+    coarse = J.ready_triggers(ev, bucket="year")
+    assert fine.count() > 0
+    assert fine.exceptAll(coarse).count() == 0 and coarse.exceptAll(fine).count() == 0
