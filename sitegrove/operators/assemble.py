@@ -227,13 +227,13 @@ def match_categories(pages: DataFrame, parsed: DataFrame) -> DataFrame:
 def artifact_rows(documents: DataFrame, jobs: DataFrame, existing: DataFrame) -> DataFrame:
     """One artifact row per non-NULL document: version = E8 next version
     (+ order among new rows of the same domain and kind), J4 path."""
-    from pyspark.sql import Window
+    from .catalog import split_row_number
     j = jobs.select(F.col("id").alias("job_id"), "domain_id", "started_at")
     d = documents.filter(F.col("content").isNotNull()).join(j, "job_id")
     mx = existing.groupBy("domain_id", "kind").agg(F.max("version").alias("_mx"))
-    w = Window.partitionBy("domain_id", "kind").orderBy("started_at", "job_id")
+    d = split_row_number(d, ["domain_id", "kind"], "started_at", "job_id", unit="year")
     return (d.join(mx, ["domain_id", "kind"], "left")
-             .withColumn("version", (F.coalesce("_mx", F.lit(0)) + F.row_number().over(w)).cast("int"))
+             .withColumn("version", (F.coalesce("_mx", F.lit(0)) + F.col("rn")).cast("int"))
              .select("job_id", "domain_id", "kind", "version",
                      artifact_path(F.col("domain"), F.col("job_id"), F.col("started_at"), F.col("kind")).alias("path"),
                      F.length("content").cast("long").alias("content_chars")))

@@ -277,11 +277,33 @@ def first_pages(versions_page: DataFrame, n: int = 10) -> DataFrame:
     return cnt.join(top, "job_id")
 
 
+def split_row_number(df: DataFrame, key, ts: str, tie: str, unit: str = "month",
+                     descending: bool = False) -> DataFrame:
+    """``row_number()`` over (key ordered by ts, tie) without sending a key's
+    rows to one task: rows are counted per (key, time bucket) with a map-side
+    aggregate, the bucket counts get a running sum per key (one row per bucket),
+    and the number inside a bucket is a window over (key, bucket) only."""
+    keys = [key] if isinstance(key, str) else list(key)
+    b = F.date_trunc(unit, F.col(ts))
+    d = df.withColumn("_b", b)
+    per = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    border = F.col("_b").desc() if descending else F.col("_b").asc()
+    before = Window.partitionBy(*keys).orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    o = [F.col(ts).desc(), F.col(tie).desc()] if descending else [F.col(ts).asc(), F.col(tie).asc()]
+    inside = Window.partitionBy(*keys, "_b").orderBy(*o)
+    return (d.withColumn("_in", F.row_number().over(inside)).join(offsets, [*keys, "_b"])
+             .withColumn("rn", (F.col("_off") + F.col("_in")).cast("long")).drop("_b", "_in", "_off"))
+
+
 def version_history(versions: DataFrame) -> DataFrame:                             # E12
-    w = Window.partitionBy("page_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
-    return versions.select("page_id", "id", "created_at",
-                           F.count(F.lit(1)).over(Window.partitionBy("page_id")).alias("version_count"),
-                           F.row_number().over(w).cast("long").alias("version_rank"))
+    """Every version with its page's true version count and its rank (newest
+    first); counts by aggregate, ranks by ``split_row_number``."""
+    counts = versions.groupBy("page_id").agg(F.count(F.lit(1)).alias("version_count"))
+    ranked = split_row_number(versions.select("page_id", "id", "created_at"), "page_id", "created_at", "id",
+                              descending=True)
+    return ranked.join(counts, "page_id").select("page_id", "id", "created_at", "version_count",
+                                                 F.col("rn").alias("version_rank"))
 
 
 # ---- R: integrity -----------------------------------------------------------------------

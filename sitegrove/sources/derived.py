@@ -126,17 +126,19 @@ def page_version_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+    from ..operators.catalog import split_row_number
     j = jobs(spark, sf_dir).filter(F.col("status") == "finished")
     kinds = F.explode(F.array(*[F.lit(k) for k in ARTIFACT_KINDS])).alias("kind")
     a = j.select("id", "domain_id", "started_at", "finished_at", kinds)
-    w = Window.partitionBy("domain_id", "kind").orderBy("started_at", "id")
+    # version = position in (domain, kind) by (started_at, id), numbered without
+    # sending a domain's whole history to one task
+    a = split_row_number(a, ["domain_id", "kind"], "started_at", "id", unit="year")
     return a.select(
         (F.col("id") * 2 + F.when(F.col("kind") == "llms_txt", 0).otherwise(1)).alias("id"),
         F.col("id").alias("job_id"),
         F.col("domain_id"),
         F.col("kind"),
-        F.row_number().over(w).cast("int").alias("version"),
+        F.col("rn").cast("int").alias("version"),
         F.when(F.col("kind") == "llms_txt", F.col("finished_at"))
          .otherwise(F.expr("timestampadd(SECOND, 1, finished_at)")).alias("created_at"),
     )
