@@ -219,7 +219,8 @@ def match_categories(pages: DataFrame, parsed: DataFrame) -> DataFrame:
     pats = parsed.select("job_id", "category", "cat_pos", F.explode_outer("patterns").alias("pattern"))
     j = pages.join(pats, "job_id")
     hit = j.filter(F.col("pattern").isNull() | F.col("url").contains(F.col("pattern")))
-    return hit.groupBy("job_id", "category", "cat_pos", "url", "pos").agg(F.lit(1).alias("_x")).drop("_x")
+    keys = ["job_id", "category", "cat_pos", "url"] + (["pos"] if "pos" in pages.columns else [])
+    return hit.select(*keys).distinct()
 
 
 # ----------------------------------------------------------------------------- I9

@@ -242,22 +242,23 @@ def diff_normalize_cols(old: Column, new: Column) -> tuple[Column, Column]:
 
 def bag_diff(pairs: DataFrame, key: list[str], old: str, new: str) -> DataFrame:
     """Line-multiset difference per pair (cheap upper layer; never flags moved
-    lines). Lines of both sides are counted per (pair, line) with map-side
-    partial aggregation, then matched counts are min(old, new)."""
-    def lines(col, side):
+    lines). One pass over the pairs: both sides' lines (plus one empty marker
+    so a pair of empty texts still appears) are exploded, counted per
+    (pair, line) with map-side partial aggregation, and matched counts are
+    min(old, new)."""
+    def tagged(col, side):
         t = TX.diff_normalize(F.col(col))
         toks = F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, "\n", -1))
-        return pairs.select(*key, F.explode(toks).alias("line"), F.lit(side).alias("side"))
-    both = lines(old, 0).unionByName(lines(new, 1))
-    per_line = both.groupBy(*key, "line").agg(F.count_if(F.col("side") == 0).alias("o"),
-                                              F.count_if(F.col("side") == 1).alias("n"))
+        return F.transform(toks, lambda l: F.struct(l.alias("line"), F.lit(side).alias("side")))
+    marker = F.array(F.struct(F.lit(None).cast("string").alias("line"), F.lit(-1).alias("side")))
+    x = pairs.select(*key, F.explode(F.concat(tagged(old, 0), tagged(new, 1), marker)).alias("e"))
+    per_line = x.groupBy(*key, F.col("e.line").alias("line")).agg(
+        F.count_if(F.col("e.side") == 0).alias("o"), F.count_if(F.col("e.side") == 1).alias("n"))
     agg = per_line.groupBy(*key).agg(
         F.sum(F.least("o", "n")).alias("bag_unchanged"),
         F.sum(F.col("o") - F.least("o", "n")).alias("bag_deletions"),
         F.sum(F.col("n") - F.least("o", "n")).alias("bag_additions"))
-    return pairs.select(*key).join(agg, key, "left").select(
-        *key, *[F.coalesce(c, F.lit(0)).cast("long").alias(c)
-                for c in ["bag_additions", "bag_deletions", "bag_unchanged"]])
+    return agg.select(*key, *[F.col(c).cast("long").alias(c) for c in ["bag_additions", "bag_deletions", "bag_unchanged"]])
 
 
 # --------------------------------------------------------------------------- G6/G7/G8

@@ -239,8 +239,7 @@ def q_full_documents_ai(spark, sf):
     categories appear in the contents only."""
     det = _details(spark, sf)
     parsed = A.parse_category_response(_category_responses(spark, sf))
-    pages = A.categorized_pages(det).select("job_id", "url", "pos")
-    cats = A.match_categories(pages, parsed)
+    cats = A.match_categories(det.select("job_id", "url").distinct(), parsed)
     return A.full_document(det, AS_OF, assignment=cats.select("job_id", "url", "category", "cat_pos"),
                            category_list=parsed.select("job_id", "category", "cat_pos").distinct())
 
