@@ -63,6 +63,8 @@ def cluster_conf(input_bytes: int, cores: int, target_partition_bytes: int = 256
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes * 2),
         "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 << 20),
+        # whole pages travel to the two pandas UDFs; keep Arrow batches small
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     }
 
 
