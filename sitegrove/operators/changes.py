@@ -83,8 +83,8 @@ def _myers_script(a: list[int], b: list[int], want_script: bool):
     v = [0] * (2 * maxd + 3)
     trace = []
     for d in range(maxd + 1):
-        if want_script:
-            trace.append(v[:])
+        if want_script:  # only diagonals -d-1..d+1 can be read back for this d: O(D^2) in total
+            trace.append(v[off - d - 1: off + d + 2])
         for k in range(-d, d + 1, 2):
             if k == -d or (k != d and v[off + k - 1] < v[off + k + 1]):
                 x = v[off + k + 1]
@@ -107,13 +107,13 @@ def _backtrack(trace, a, b, dmax, off):
     x, y = len(a), len(b)
     script = []
     for d in range(dmax, 0, -1):
-        v = trace[d]
+        v = trace[d]  # v[i] holds diagonal i - d - 1
         k = x - y
-        if k == -d or (k != d and v[off + k - 1] < v[off + k + 1]):
+        if k == -d or (k != d and v[k + d] < v[k + d + 2]):
             pk = k + 1
         else:
             pk = k - 1
-        px = v[off + pk]
+        px = v[pk + d + 1]
         py = px - pk
         while x > px and y > py:
             x -= 1
