@@ -120,10 +120,12 @@ def category_order_key(cat: Column, first_pos: Column) -> Column:
 def categorized_pages(versions: DataFrame) -> DataFrame:
     """Pages with their path category (I3) and their position in the job's
     page order (url, created_at, id)."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("job_id").orderBy("url", "created_at", "id")
-    return (versions.withColumn("category", path_category(F.col("url")))
-                    .withColumn("pos", F.row_number().over(w).cast("long")))
+    from .catalog import split_row_number
+    # position by (url, created_at, id): per-url counts get a running sum per
+    # job (one row per url), the rest is a window inside each (job, url)
+    ranked = split_row_number(versions, "job_id", "created_at", "id", bucket_col="url")
+    return (ranked.withColumn("category", path_category(F.col("url")))
+                  .withColumnRenamed("rn", "pos"))
 
 
 def category_counts(versions: DataFrame) -> DataFrame:                                  # D7

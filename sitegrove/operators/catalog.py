@@ -278,13 +278,15 @@ def first_pages(versions_page: DataFrame, n: int = 10) -> DataFrame:
 
 
 def split_row_number(df: DataFrame, key, ts: str, tie: str, unit: str = "month",
-                     descending: bool = False) -> DataFrame:
+                     descending: bool = False, bucket_col: str | None = None) -> DataFrame:
     """``row_number()`` over (key ordered by ts, tie) without sending a key's
     rows to one task: rows are counted per (key, time bucket) with a map-side
     aggregate, the bucket counts get a running sum per key (one row per bucket),
-    and the number inside a bucket is a window over (key, bucket) only."""
+    and the number inside a bucket is a window over (key, bucket) only.
+    ``bucket_col`` orders by that column first (e.g. url) and uses its values
+    as the buckets instead of time truncated to ``unit``."""
     keys = [key] if isinstance(key, str) else list(key)
-    b = F.date_trunc(unit, F.col(ts))
+    b = F.col(bucket_col) if bucket_col else F.date_trunc(unit, F.col(ts))
     d = df.withColumn("_b", b)
     per = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     border = F.col("_b").desc() if descending else F.col("_b").asc()
