@@ -33,8 +33,10 @@ def previous_version(df: DataFrame, key: str, order: list[str], cols: list[str],
     ``dense=True`` when ``order[0]`` numbers each key's versions 0, 1, 2, ...
     without gaps (a crawl round, a turn): the previous version is then an
     equi-join on (key, seq - 1). Each (key, seq) is unique, so the join
-    hashes evenly even when one page holds a third of all versions; the
-    general form is a ``lag`` window, which keeps a key's versions in one task.
+    hashes evenly even when one page holds a third of all versions. With a
+    (timestamp, tie) order the versions are first numbered per key with
+    bucketed running counts and then paired the same way; any other order
+    falls back to a ``lag`` window, which keeps a key's versions in one task.
     """
     if dense:
         # each row goes out twice -- as itself at (key, seq) and as the
@@ -56,6 +58,14 @@ def previous_version(df: DataFrame, key: str, order: list[str], cols: list[str],
             *[F.first(F.when(F.col("_r") == 1, F.col(f"prev_{c}")), ignorenulls=True).alias(f"prev_{c}")
               for c in cols])
         return g.filter("_has").drop("_has").select(*df.columns, *[f"prev_{c}" for c in cols])
+    types = {f.name: f.dataType for f in df.schema.fields}
+    if len(order) == 2 and isinstance(types.get(order[0]), (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        # number the versions per key in time order without sending a key to
+        # one task (bucketed running counts), then pair as in the dense case
+        from .catalog import split_row_number
+        numbered = split_row_number(df, key, order[0], order[1], unit="day").withColumnRenamed("rn", "_vseq")
+        paired = previous_version(numbered, key, ["_vseq"], cols, dense=True)
+        return paired.drop("_vseq")
     w = Window.partitionBy(key).orderBy(*order)
     out = df
     for c in cols:

@@ -108,3 +108,16 @@ def test_edit_script_reassembles_both_sides():
         assert "".join(ta[i] for op, i, _ in script if op in "=-") == "".join(ta)
         assert "".join(tb[j] for op, _, j in script if op in "=+") == "".join(tb)
         assert sum(1 for op, _, _ in script if op == "=") == lcs == _dp_lcs(ta, tb)
+
+
+def test_time_ordered_previous_version_equals_lag(spark):
+    rows = [(1, "2024-01-01 00:00:00", 10, "a"), (1, "2024-01-03 00:00:00", 11, "b"), (1, "2024-01-03 00:00:00", 12, "c"),
+            (1, "2024-02-09 00:00:00", 13, "d"), (2, "2023-05-01 00:00:00", 20, "x")]
+    df = spark.createDataFrame(rows, "page_id long, created_at string, id long, text string") \
+        .withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    from pyspark.sql import Window
+    got = G.previous_version(df, "page_id", ["created_at", "id"], ["id", "text"])
+    w = Window.partitionBy("page_id").orderBy("created_at", "id")
+    exp = df.withColumn("prev_id", F.lag("id").over(w)).withColumn("prev_text", F.lag("text").over(w))
+    assert got.count() == 5
+    assert got.select(*exp.columns).exceptAll(exp).count() == 0
