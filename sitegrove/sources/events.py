@@ -58,6 +58,22 @@ def webhook_payloads(events: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------------------- A1
 
+LOG_SCHEMA = "event_id long, ts timestamp_ntz, payload string"
+LOG_TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"  # microseconds (the JSON default keeps milliseconds)
+
+
+def write_webhook_log(log: DataFrame, path: str) -> None:
+    log.write.mode("overwrite").option("timestampNTZFormat", LOG_TS_FORMAT).json(path)
+
+
+def read_webhook_log(spark, path: str) -> DataFrame:
+    """A1 batch source: JSON-lines webhook log with a fixed schema (no
+    inference pass over the data); malformed lines become NULL payloads and
+    are routed to the quarantine by ``parse_webhooks``."""
+    return (spark.read.schema(LOG_SCHEMA).option("mode", "PERMISSIVE")
+            .option("timestampNTZFormat", LOG_TS_FORMAT).json(path))
+
+
 def parse_webhooks(raw: DataFrame, col: str = "payload") -> DataFrame:
     """A1: envelope parse + routing status: accepted / unknown_type / corrupt.
 
