@@ -46,8 +46,9 @@ def checkpoint_path(spark: SparkSession, name: str) -> str:
 
 
 def read_webhook_log(spark: SparkSession, path: str, max_files_per_trigger: int = 10) -> DataFrame:
+    from ..sources.events import LOG_TS_FORMAT
     return (spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
-            .json(path))
+            .option("timestampFormat", LOG_TS_FORMAT).json(path))
 
 
 def parsed_stream(log: DataFrame, watermark: str = "1 hour") -> DataFrame:

@@ -18,7 +18,7 @@ def _write_log(spark, sf, n_files=6):
     # files hold consecutive time slices, as a webhook receiver would write them
     (log.withColumn("_f", F.ntile(n_files).over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("ts")))
         .repartition("_f").sortWithinPartitions("ts").drop("_f")
-        .write.mode("overwrite").json(d))
+        .write.mode("overwrite").option("timestampNTZFormat", E.LOG_TS_FORMAT).json(d))
     return d
 
 
