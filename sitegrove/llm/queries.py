@@ -1,4 +1,5 @@
 """Imports every operator, so that QUERIES is complete."""
 
-from . import decontaminate, line_dedup, packing, secret_scan  # noqa: F401
+from . import (decontaminate, line_dedup, lm_score, mil_quality, packing, pivot_search, pu_toxicity,  # noqa: F401
+               secret_scan)
 from .common import QUERIES  # noqa: F401
