@@ -1,5 +1,5 @@
 """Imports every operator, so that QUERIES is complete."""
 
-from . import (decontaminate, line_dedup, lm_score, mil_quality, packing, pivot_search, pu_toxicity,  # noqa: F401
-               secret_scan)
+from . import (decontaminate, line_dedup, lm_score, lsh_forest, mil_quality, packing, pivot_search,  # noqa: F401
+               pu_toxicity, secret_scan, suffix_dedup)
 from .common import QUERIES  # noqa: F401
