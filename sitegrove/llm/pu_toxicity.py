@@ -143,3 +143,46 @@ def _descend(pos: list[np.ndarray], unl: list[np.ndarray], used: np.ndarray, pri
     return w, float(bias)
 
 
+
+
+def _bins(sample: DataFrame) -> list[np.ndarray]:
+    """Feature bins of a bounded sample, in the order of ids."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, at in chunks(batch.column(1)):
+                doc, bins = features(data, at)
+                own = np.split(bins.astype("<i4"), np.searchsorted(doc, np.arange(1, len(at) - 1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(at) - 1), pa.array([x.tobytes() for x in own], pa.binary())],
+                                                 names=["doc_id", "bins"])
+    rows = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, bins binary").toArrow().sort_by("doc_id")
+    return [np.frombuffer(x.as_py(), "<i4") for x in rows.column("bins")]
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", prior: float | None = None,
+        max_positive: int = 3000, max_unlabelled: int = 9000) -> Model | float:
+    """A model, or the prior if no confirmed positive document is known."""
+    known = clean_labels(labels, label, learn)
+    if prior is None:
+        prior = known.agg(F.avg("y")).first()[0] or 0.0
+    pos = _bins(with_text(docs, smallest_hashes(known.where("y = 1").select("doc_id"), max_positive)))
+    pool = docs.where(F.col("doc_id").isNotNull() & learn).select("doc_id").distinct()
+    unl = _bins(with_text(docs, smallest_hashes(pool, max_unlabelled)))
+    return train_nnpu(pos, unl, prior) if sum(map(len, pos)) and sum(map(len, unl)) else float(prior)
+
+
+def score(docs: DataFrame, model: Model | float) -> DataFrame:
+    """(doc_id, score) of every row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, at in chunks(batch.column(1)):
+                n = len(at) - 1
+                s = np.full(n, model) if isinstance(model, float) else sigmoid(model.logits(data, at))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(s, pa.float64())], names=["doc_id", "score"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+
+
+@query("op6_nnpu")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, test = table(spark, sf_dir, "documents"), held_out(3, 1)
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels"), ~test))
+    return scored.select("doc_id", test.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
