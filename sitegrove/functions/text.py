@@ -9,8 +9,9 @@ too and needs no shuffle of the text.
 Regex notes (the source patterns are JavaScript; Spark runs java.util.regex):
 ``$`` without multiline means end of input in JavaScript, so it is written
 ``\\z``; multiline line patterns are anchored with ``(?m)^`` which gives the
-same leftmost matches as the unanchored JavaScript form (``.*?`` cannot cross a
-line end) without its quadratic scan on long lines.
+same leftmost matches as the unanchored JavaScript form (which cannot cross a
+line end) without its quadratic scan on long lines. JavaScript's ``\\s`` and
+``.`` are spelled as classes: Java's own are ASCII only, or stop at U+0085.
 """
 
 from __future__ import annotations
@@ -20,25 +21,32 @@ from pyspark.sql import functions as F
 
 from .scalars import _c, js_trim
 
+# JavaScript's \s and . as classes (Java's \s is ASCII only).
+JS_SPACE_CLASS = r"[ \t\n\x0b\f\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+JS_ANY_CLASS = r"[^\n\r\u2028\u2029]"
+_S, _D = JS_SPACE_CLASS, JS_ANY_CLASS
+
 # Cleaning patterns (behaviour of the reference's cleaner).
 COMMENT_RE = r"<!--[\s\S]*?-->"
 SCRIPT_RE = r"(?is)<script\b.*?</script>"
 STYLE_RE = r"(?is)<style\b.*?</style>"
-BOILERPLATE_RE = r"(?i)#{1,3}\s*(Navigation|Menu|Sidebar|Footer|Header)[\s\S]*?(?=\n#{1,3}\s|\z)"
-CONSENT_RE = r"(?im)^.*?(cookie|privacy|gdpr|consent).*?notice.*?\n"
+BOILERPLATE_RE = rf"(?i)#{{1,3}}{_S}*(Navigation|Menu|Sidebar|Footer|Header)[\s\S]*?(?=\n#{{1,3}}{_S}|\z)"
+CONSENT_RE = rf"(?im)^{_D}*?(cookie|privacy|gdpr|consent){_D}*?notice{_D}*?\n"
 BLANK_RUN_RE = r"\n{4,}"
 LINKED_PIXEL_RE = r"\[!\[\]\([^\)]*\)\]\([^\)]*\)"
 EMPTY_IMAGE_RE = r"!\[\]\([^\)]*\)"
-CTA_RE = r"(?im)^.*?(Sign up|Subscribe|Newsletter|Get started for free).*?\n"
+CTA_RE = rf"(?im)^{_D}*?(Sign up|Subscribe|Newsletter|Get started for free){_D}*?\n"
 METADATA_RES = [
-    r"(?im)^(Author|By|Written by|Published|Updated|Modified|Tags|Categories|Filed under):.*$",
-    r"(?im)^(Last (updated|modified|changed)|Updated on|Modified on):.*$",
+    rf"(?im)^(Author|By|Written by|Published|Updated|Modified|Tags|Categories|Filed under):{_D}*$",
+    rf"(?im)^(Last (updated|modified|changed)|Updated on|Modified on):{_D}*$",
     r"(?im)^\d+ (min|minute|minutes) read$",
-    r"(?im)^Reading time:.*$",
-    r"(?im)^Share (on|this):.*$",
+    rf"(?im)^Reading time:{_D}*$",
+    rf"(?im)^Share (on|this):{_D}*$",
 ]
-MAIN_HEADING_RE = r"(?i)^#{1,2}\s*(Introduction|Overview|Getting Started|About|Content|Main|Article)"
-SKIP_HEADING_RE = r"(?i)^#{1,3}\s*(Navigation|Menu|Sidebar|Footer|Related|Share|Comments|Advertisement)"
+MARKUP_RUNS = [(r"\*{3,}", "**"), (r"_{3,}", "__"), (r"#{7,}", "######")]
+ANY_HEADING_RE = rf"^#{{1,6}}{_S}+"
+MAIN_HEADING_RE = rf"(?i)^#{{1,2}}{_S}*(Introduction|Overview|Getting Started|About|Content|Main|Article)"
+SKIP_HEADING_RE = rf"(?i)^#{{1,3}}{_S}*(Navigation|Menu|Sidebar|Footer|Related|Share|Comments|Advertisement)"
 ENHANCE_DROP_PHRASES = ["Cookie Policy", "Terms of Service", "Previous Page", "Next Page"]
 ENHANCE_HEADER = "# [Processed Document]\n\n"
 ENHANCE_FOOTER = "\n\n---\n_Content processed and optimized for LLM consumption_"
@@ -78,9 +86,10 @@ def drop_cta_lines(md) -> Column:          # F8
 
 
 def clamp_markup_runs(md) -> Column:       # F9
-    s = F.regexp_replace(_c(md), r"\*{3,}", "**")
-    s = F.regexp_replace(s, r"_{3,}", "__")
-    return F.regexp_replace(s, r"#{7,}", "######")
+    s = _c(md)
+    for run, short in MARKUP_RUNS:
+        s = F.regexp_replace(s, run, short)
+    return s
 
 
 def dedupe_headings(md) -> Column:         # F10
@@ -131,11 +140,11 @@ def drop_metadata_lines(md) -> Column:     # F13
 def extract_title(md) -> Column:           # F14
     lines = F.split(_c(md), "\n", -1)
     h1 = F.try_element_at(F.filter(lines, lambda l: l.startswith("# ")), F.lit(1))
-    any_h = F.try_element_at(F.filter(lines, lambda l: l.rlike(r"^#{1,6}\s+")), F.lit(1))
+    any_h = F.try_element_at(F.filter(lines, lambda l: l.rlike(ANY_HEADING_RE)), F.lit(1))
     first = F.try_element_at(F.filter(F.transform(lines, js_trim), lambda l: F.length(l) > 0), F.lit(1))
     return F.coalesce(
         js_trim(F.substring(h1, 3, 1 << 30)),
-        js_trim(F.regexp_replace(any_h, r"^#{1,6}\s+", "")),
+        js_trim(F.regexp_replace(any_h, ANY_HEADING_RE, "")),
         F.substring(first, 1, 100),
         F.lit(UNTITLED),
     )
@@ -172,10 +181,6 @@ def diff_normalize(md) -> Column:          # G1
     return js_trim(s)
 
 
-# JavaScript's \s as a java.util.regex class (Java's \s is ASCII only).
-JS_SPACE_CLASS = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
-
-
 def fingerprint_normalize(md) -> Column:
     """G9 normalisation: lower case, every white-space run (new lines included)
     to one space, trimmed. (Per-line trim and new-line clamping of the source

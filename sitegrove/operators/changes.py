@@ -1,15 +1,12 @@
 """Change detection over version chains.
 
 Plan:
-1. ``previous_version`` pairs each version with the one before it (``lag``
-   over the page ordered by sequence): one shuffle on the page key, the only
-   place where two versions' texts meet.
+1. ``previous_version`` pairs each version with the one before it: one window
+   on the page key, with pages of very many versions paired by their place in
+   a global order instead.
 2. Pairs whose normalised texts are identical, and first versions, never
-   reach Python: they are split off with a filter and their counts are
-   constants. Only changed pairs go through ``line_diff_counts``, an
-   Arrow-batched pandas UDF running an O((N+M)·D) longest-common-subsequence
-   on line tokens (map-side, after the shuffle; no pair explosion, so a page
-   with many repeated lines costs nothing extra).
+   reach Python: their counts are constants. Only changed pairs go through the
+   line diff, an Arrow-batched pandas UDF (map-side, evaluated once per row).
 3. Decision, gate and version rows are column expressions.
 """
 
@@ -26,51 +23,58 @@ from ..functions.scalars import js_round
 # --------------------------------------------------------------------------- C7
 
 def previous_version(df: DataFrame, key: str, order: list[str], cols: list[str],
-                     dense: bool = False) -> DataFrame:
+                     task_rows: int = 10_000) -> DataFrame:
     """Adds ``prev_<c>`` for each c in ``cols``: the value of the latest
-    earlier version of the same ``key`` (NULL for the first).
-
-    ``dense=True`` when ``order[0]`` numbers each key's versions 0, 1, 2, ...
-    without gaps (a crawl round, a turn): the previous version is then an
-    equi-join on (key, seq - 1). Each (key, seq) is unique, so the join
-    hashes evenly even when one page holds a third of all versions. With a
-    (timestamp, tie) order the versions are first numbered per key with
-    bucketed running counts and then paired the same way; any other order
-    falls back to a ``lag`` window, which keeps a key's versions in one task.
+    earlier version of the same ``key`` (NULL for the first), in the order of
+    the columns ``order``, of any type, of which the last is unique in a key.
+
+    Keys of at most ``task_rows`` versions (counted first, map-side) are a window
+    each. Larger ones are sorted globally, which spreads a key over tasks, and
+    paired by their number in that order.
     """
-    if dense:
-        # each row goes out twice -- as itself at (key, seq) and as the
-        # previous version of (key, seq + 1) -- and (key, seq) groups hold at
-        # most two rows: one pass over the input, one even shuffle, no skew
-        seq = order[0]
-        types = {f.name: f.dataType for f in df.schema.fields}
-        cur = F.struct(F.lit(0).alias("_r"), *[F.col(c) for c in df.columns],
-                       *[F.lit(None).cast(types[c]).alias(f"prev_{c}") for c in cols])
-        prv = F.struct(F.lit(1).alias("_r"),
-                       *[(F.col(seq) + 1).cast(types[seq]).alias(c) if c == seq else
-                         (F.col(c) if c == key else F.lit(None).cast(types[c]).alias(c)) for c in df.columns],
-                       *[F.col(c).alias(f"prev_{c}") for c in cols])
-        x = df.select(F.explode(F.array(cur, prv)).alias("_e")).select("_e.*")
-        rest = [c for c in df.columns if c not in (key, seq)]
-        g = x.groupBy(key, seq).agg(
-            F.max(F.col("_r") == 0).alias("_has"),
-            *[F.first(F.when(F.col("_r") == 0, F.col(c)), ignorenulls=True).alias(c) for c in rest],
-            *[F.first(F.when(F.col("_r") == 1, F.col(f"prev_{c}")), ignorenulls=True).alias(f"prev_{c}")
-              for c in cols])
-        return g.filter("_has").drop("_has").select(*df.columns, *[f"prev_{c}" for c in cols])
-    types = {f.name: f.dataType for f in df.schema.fields}
-    if len(order) == 2 and isinstance(types.get(order[0]), (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        # number the versions per key in time order without sending a key to
-        # one task (bucketed running counts), then pair as in the dense case
-        from .catalog import split_row_number
-        numbered = split_row_number(df, key, order[0], order[1], unit="day").withColumnRenamed("rn", "_vseq")
-        paired = previous_version(numbered, key, ["_vseq"], cols, dense=True)
-        return paired.drop("_vseq")
+    large = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > task_rows).select(key)
+    if large.isEmpty():
+        return _lagged(df, key, order, cols)
+    small = df.join(large, key, "left_anti")
+    return _lagged(small, key, order, cols).unionByName(_paired_by_number(df.join(large, key, "left_semi"), key, order, cols))
+
+
+def _lagged(df: DataFrame, key: str, order: list[str], cols: list[str]) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*order)
-    out = df
-    for c in cols:
-        out = out.withColumn(f"prev_{c}", F.lag(c).over(w))
-    return out
+    d = df.withColumn("_p", F.lag(F.struct(*cols)).over(w))
+    return d.withColumns({f"prev_{c}": F.col(f"_p.{c}") for c in cols}).drop("_p")
+
+
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """The distinct-ordered rows of ``df`` with their number 0, 1, 2, ... in the
+    global order. Rows are range-partitioned and sorted; a partition's numbers
+    start after those of the partitions before it (one row each)."""
+    d = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_g", F.monotonically_increasing_id())
+    d = d.checkpoint().withColumn("_part", F.shiftright("_g", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (d.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+              .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
+    return (d.join(starts, "_part")
+             .withColumn(out, F.col("_start") + F.col("_g").bitwiseAND((1 << 33) - 1)).drop("_part", "_g", "_start"))
+
+
+def _paired_by_number(df: DataFrame, key: str, order: list[str], cols: list[str]) -> DataFrame:
+    rows = numbered(df.select(key, *order), [key, *order], "_i")
+    before = rows.select(F.col(key), (F.col("_i") + 1).alias("_i"), *[F.col(c).alias(f"_o_{c}") for c in order])
+    pairs = rows.join(before, [key, "_i"]).select(F.col(key).alias("_k"), *[F.col(c).alias(f"_c_{c}") for c in order],
+                                                 *[f"_o_{c}" for c in order])
+
+    def same(a, b):
+        cond = F.col(key) == F.col("_k")
+        for c in order:
+            cond = cond & F.col(f"{a}{c}").eqNullSafe(F.col(f"{b}{c}"))
+        return cond
+
+    d = df.join(pairs, same("", "_c_"), "left").drop("_k", *[f"_c_{c}" for c in order])
+    earlier = df.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_e_{c}") for c in order],
+                        *[F.col(c).alias(f"prev_{c}") for c in cols])
+    d = d.join(earlier, same("_o_", "_e_"), "left")
+    return d.select(*df.columns, *[f"prev_{c}" for c in cols])
 
 
 # --------------------------------------------------------------------------- G2/G4

@@ -1,16 +1,18 @@
 """DataFrame-level text operators: main-content extraction (F12) and the
 cleaning pipeline (F15).
 
-F12 is a per-line state machine (in-main flag, depth counter, a line may be
-kept twice). It runs as an Arrow-batched pandas UDF: map-only, no shuffle of
-the text, one pass over each document's lines. Everything around it is
-built-in Spark expressions.
+F12 decides for every line how often it is kept (0, 1 or 2 times) from where the
+last main or skip heading stands and from which long lines came before it since
+then. Those are running maxima of line numbers, computed with numpy over all
+lines of an Arrow batch at once: map-only, no shuffle of the text. Everything
+around it is built-in Spark expressions.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,34 +21,40 @@ from pyspark.sql import types as T
 from ..functions import text as TX
 from ..functions.scalars import JS_WHITESPACE
 
-_MAIN = re.compile(r"^#{1,2}\s*(Introduction|Overview|Getting Started|About|Content|Main|Article)", re.I)
-_SKIP = re.compile(r"^#{1,3}\s*(Navigation|Menu|Sidebar|Footer|Related|Share|Comments|Advertisement)", re.I)
+_MAIN, _SKIP = re.compile(TX.MAIN_HEADING_RE), re.compile(TX.SKIP_HEADING_RE)
 MIN_MAIN_LINES = 10
 
 
+def times_kept(lines: list[str], doc: np.ndarray, dedupe: bool = False) -> np.ndarray:
+    """How often each line is kept. ``doc``: the number of each line's document,
+    ascending."""
+    if not lines:
+        return np.zeros(0, np.int64)
+    at = np.arange(len(lines))
+    doc_start = np.searchsorted(doc, doc)
+    main = np.fromiter((_MAIN.match(x) is not None for x in lines), bool, len(lines))
+    skip = np.fromiter((_SKIP.match(x) is not None for x in lines), bool, len(lines))
+    size = np.fromiter((len(x.strip(JS_WHITESPACE)) for x in lines), np.int64, len(lines))
+
+    def last(flag: np.ndarray) -> np.ndarray:
+        """The line number of the last flagged line up to each line, or -1."""
+        return np.maximum.accumulate(np.where(flag, at, -1))
+
+    last_main = last(main)
+    inside = (last_main >= doc_start) & (last_main > last(skip))
+    epoch = np.maximum(doc_start, last_main)  # a main heading resets the depth
+    deepens = ~skip & (size > np.where(inside, 50, 100))
+    before = np.concatenate([[-1], last(deepens)[:-1]])
+    deep = before >= epoch
+    times = (inside | deep).astype(np.int64) + (~inside & (size > 100))
+    times[skip] = 0
+    return np.minimum(times, 1) if dedupe else times
+
+
 def main_content_lines(text: str, dedupe: bool = False) -> list[str]:
-    """Lines kept by the extraction state machine (small per-row helper)."""
-    out: list[str] = []
-    in_main = False
-    depth = 0
-    for line in text.split("\n"):
-        if _MAIN.match(line):
-            in_main, depth = True, 0
-        if _SKIP.match(line):
-            in_main = False
-            continue
-        n = len(line.strip(JS_WHITESPACE))
-        emitted = False
-        if in_main or depth > 0:
-            if n > 50:
-                depth += 1
-            out.append(line)
-            emitted = True
-        if not in_main and n > 100:
-            depth += 1
-            if not (dedupe and emitted):
-                out.append(line)
-    return out
+    lines = text.split("\n")
+    times = times_kept(lines, np.zeros(len(lines), np.int64), dedupe)
+    return [x for x, n in zip(lines, times) for _ in range(n)]
 
 
 _RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("lines", T.IntegerType())])
@@ -55,16 +63,16 @@ _RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("li
 def _extract_udf(dedupe: bool):
     @F.pandas_udf(_RESULT)
     def extract(texts: pd.Series) -> pd.DataFrame:
-        res_t, res_n = [], []
-        for t in texts:
-            if t is None:
-                res_t.append(None)
-                res_n.append(None)
-                continue
-            kept = main_content_lines(t, dedupe)
-            res_t.append("\n".join(kept))
-            res_n.append(len(kept))
-        return pd.DataFrame({"text": res_t, "lines": pd.array(res_n, dtype="Int32")})
+        have = texts.notna().to_numpy()
+        per_doc = [t.split("\n") for t in texts[have]]
+        flat = [x for lines in per_doc for x in lines]
+        ends = np.cumsum([0, *map(len, per_doc)])
+        times = times_kept(flat, np.repeat(np.arange(len(per_doc)), np.diff(ends)), dedupe)
+        text, n = np.full(len(texts), None, object), np.zeros(len(texts), np.int64)
+        for row, i, j in zip(np.flatnonzero(have), ends, ends[1:]):
+            text[row] = "\n".join(x for x, k in zip(flat[i:j], times[i:j]) for _ in range(k))
+            n[row] = times[i:j].sum()
+        return pd.DataFrame({"text": text, "lines": pd.arrays.IntegerArray(n.astype("int32"), ~have)})
     return extract
 
 

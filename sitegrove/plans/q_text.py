@@ -73,8 +73,8 @@ def _sql_main(src: str, p: str) -> str:
 , {p}ml AS (SELECT k_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos,
                 unnest(string_split(text, chr(10))) AS line FROM {src})
 , {p}mf AS (SELECT k_id, pos, line,
-                regexp_matches(line, '(?i)^#{{1,2}}\\s*(Introduction|Overview|Getting Started|About|Content|Main|Article)') AS is_main,
-                regexp_matches(line, '(?i)^#{{1,3}}\\s*(Navigation|Menu|Sidebar|Footer|Related|Share|Comments|Advertisement)') AS is_skip,
+                regexp_matches(line, {Q.pattern(T.MAIN_HEADING_RE)}) AS is_main,
+                regexp_matches(line, {Q.pattern(T.SKIP_HEADING_RE)}) AS is_skip,
                 length({Q.js_trim('line')}) AS n FROM {p}ml)
 , {p}mg AS (SELECT *, sum(CASE WHEN is_main THEN 1 ELSE 0 END) OVER w AS epoch,
                 coalesce(last_value(CASE WHEN is_main THEN 1 WHEN is_skip THEN 0 END IGNORE NULLS) OVER w, 0) = 1 AS in_main
@@ -137,13 +137,14 @@ def title_documents(spark, sf_dir):
                     path.alias("path"), S.path_page_type(path).alias("page_type"))
 
 
-_META_SQL = "text"
-for _p in T.METADATA_RES:
-    _META_SQL = Q.rx(_META_SQL, _p)
+def _meta(e: str) -> str:
+    for pat in T.METADATA_RES:
+        e = Q.rx(e, pat)
+    return e
 
 
 @register("strip_metadata_documents", "F13", sql=f"""
-SELECT doc_id, {_META_SQL} AS md, length({_META_SQL}) AS n_chars FROM documents""")
+SELECT doc_id, {_meta('text')} AS md, length({_meta('text')}) AS n_chars FROM documents""")
 def strip_metadata_documents(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
     md = T.drop_metadata_lines(F.col("text"))
@@ -158,14 +159,8 @@ def _enhance_sql(e: str) -> str:
             "'_Content processed and optimized for LLM consumption_')")
 
 
-_ENH_KEEP = " AND ".join([f"length({Q.js_trim('l')}) > 0"] + [f"NOT contains(l, '{p}')" for p in T.ENHANCE_DROP_PHRASES])
-
-
 @register("enhance_documents", "F16,F17", sql=f"""
-SELECT doc_id,
-       '# [Processed Document]' || chr(10) || chr(10)
-         || array_to_string(list_filter(string_split(text, chr(10)), lambda l: {_ENH_KEEP}), chr(10))
-         || chr(10) || chr(10) || '---' || chr(10) || '_Content processed and optimized for LLM consumption_' AS enhanced_md,
+SELECT doc_id, {_enhance_sql("text")} AS enhanced_md,
        substr(CASE WHEN string_split(text, chr(10))[1] <> '' THEN string_split(text, chr(10))[1]
                    ELSE 'Page content' END, 1, 100) AS description,
        CASE WHEN length(text) > 500 THEN substr(text, 1, 500) ELSE '' END AS summary
@@ -201,12 +196,6 @@ def main_content_documents(spark, sf_dir):
         "doc_id", "main_md", "main_lines", "main_fallback")
 
 
-def _meta(e: str) -> str:
-    for pat in T.METADATA_RES:
-        e = Q.rx(e, pat)
-    return e
-
-
 _F15_SQL = ("WITH src AS (SELECT page_id, url, html FROM pages)" + _sql_clean("src", "page_id", "html", "a")
             + ", c1 AS (SELECT k_id, text FROM aclean)" + _sql_main("c1", "b") + f"""
 SELECT s.page_id, s.url, {_meta('m.main_md')} AS cleaned_md FROM src s JOIN bmain m ON m.k_id = s.page_id""")

@@ -66,9 +66,9 @@ SELECT n_nationkey AS id, n_name AS name,
        TIMESTAMP '2023-01-01 00:00:00' + to_days(n_regionkey) AS created_at
 FROM nation""",
     "d_chain": """
-SELECT conv_id * 1000 + turn AS id, conv_id AS page_id, turn AS seq, text FROM conversations""",
+SELECT (conv_id + turn) * (conv_id + turn + 1) // 2 + turn AS id, conv_id AS page_id, turn AS seq, text FROM conversations""",
     "d_score": """
-SELECT conv_id * 1000 + turn AS id,
+SELECT (conv_id + turn) * (conv_id + turn + 1) // 2 + turn AS id,
        [' 3 ', '4', '1', '2 (moderate)', 'high', '9', NULL][CAST((conv_id + turn) % 7 + 1 AS INTEGER)] AS response
 FROM conversations WHERE turn > 0""",
     "d_page": r"""

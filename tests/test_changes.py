@@ -82,13 +82,21 @@ def test_change_decision(spark):
     assert out[4] == (2, "No diff available")
 
 
-def test_dense_previous_version_equals_window(spark):
-    rows = [(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (2, 0, "x"), (3, 0, "p"), (3, 1, "q")]
-    df = spark.createDataFrame(rows, "page_id long, seq long, text string")
-    a = G.previous_version(df, "page_id", ["seq"], ["text"], dense=True)
-    b = G.previous_version(df, "page_id", ["seq"], ["text"], dense=False)
-    assert a.count() == 6
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+def test_previous_version_equals_lag(spark):
+    """Duplicate numbers, gaps, any type of order, and a page that holds a third
+    of all rows, as one window and as a globally ordered key."""
+    from pyspark.sql import Window
+    rows = [(1, 0, 10, "a"), (1, 0, 11, "b"), (1, 0, 12, None), (1, 5, 13, "c"), (2, 0, 20, "x"), (3, 3, 30, "p"), (3, 1, 31, "q")]
+    rows += [(9, i // 3, 1000 - i, f"t{i}") for i in range(300)] + [(100 + i % 200, i, i, f"s{i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "page_id long, seq long, id long, text string")
+    for order in (["seq", "id"], ["name", "id"]):
+        d = df.withColumn("name", F.format_string("%05d", "seq"))
+        w = Window.partitionBy("page_id").orderBy(*order)
+        exp = d.withColumn("prev_id", F.lag("id").over(w)).withColumn("prev_text", F.lag("text").over(w))
+        for task_rows in (10_000, 100, 1):
+            got = G.previous_version(d, "page_id", order, ["id", "text"], task_rows=task_rows)
+            assert got.count() == len(rows)
+            assert got.select(*exp.columns).exceptAll(exp).count() == 0
 
 
 def test_edit_script_reassembles_both_sides():
