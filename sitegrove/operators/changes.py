@@ -87,122 +87,82 @@ def _tokens(text: str) -> list[str]:
     return [p + "\n" for p in parts[:-1]] + ([parts[-1]] if parts[-1] != "" else [])
 
 
-def _myers_script(a: list[int], b: list[int], want_script: bool):
-    """Length of the longest common subsequence of two int sequences
-    (Myers' O((N+M)D) greedy algorithm) and, when asked, an edit script as a
-    list of (op, index) with op in '=', '-', '+'."""
+def _middle(a: list[int], b: list[int]) -> tuple[int, int, int, int]:
+    """The middle run of a shortest edit path (Myers): (i, j) where it starts and
+    ends. Two frontiers, from both ends, are all the memory it needs."""
     n, m = len(a), len(b)
-    maxd = n + m
-    off = maxd + 1
-    v = [0] * (2 * maxd + 3)
-    trace = []
-    for d in range(maxd + 1):
-        if want_script:  # only diagonals -d-1..d+1 can be read back for this d: O(D^2) in total
-            trace.append(v[off - d - 1: off + d + 2])
-        for k in range(-d, d + 1, 2):
-            if k == -d or (k != d and v[off + k - 1] < v[off + k + 1]):
-                x = v[off + k + 1]
-            else:
-                x = v[off + k - 1] + 1
-            y = x - k
-            while x < n and y < m and a[x] == b[y]:
-                x += 1
-                y += 1
-            v[off + k] = x
-            if x >= n and y >= m:
-                lcs = (n + m - d) // 2
-                if not want_script:
-                    return lcs, None
-                return lcs, _backtrack(trace, a, b, d, off)
-    return 0, None
-
-
-def _backtrack(trace, a, b, dmax, off):
-    x, y = len(a), len(b)
-    script = []
-    for d in range(dmax, 0, -1):
-        v = trace[d]  # v[i] holds diagonal i - d - 1
-        k = x - y
-        if k == -d or (k != d and v[k + d] < v[k + d + 2]):
-            pk = k + 1
-        else:
-            pk = k - 1
-        px = v[pk + d + 1]
-        py = px - pk
-        while x > px and y > py:
-            x -= 1
-            y -= 1
-            script.append(("=", x, y))
-        if x == px:
-            y -= 1
-            script.append(("+", x, y))
-        else:
-            x -= 1
-            script.append(("-", x, y))
-    while x > 0 and y > 0:
-        x -= 1
-        y -= 1
-        script.append(("=", x, y))
-    script.reverse()
-    return script
+    delta, size = n - m, n + m + 2
+    fore, back = [-1] * (2 * size + 1), [-1] * (2 * size + 1)
+    fore[size + 1] = back[size + 1] = 0
+    for d in range((n + m + 1) // 2 + 1):
+        ks = range(-d + 2 * max(0, d - m), d - 2 * max(0, d - n) + 1, 2)
+        for k in ks:
+            x = fore[size + k + 1] if k == -d or (k != d and fore[size + k - 1] < fore[size + k + 1]) else fore[size + k - 1] + 1
+            i, j = x, x - k
+            while i < n and j < m and a[i] == b[j]:
+                i, j = i + 1, j + 1
+            fore[size + k] = i
+            if delta % 2 and abs(delta - k) < d and i + back[size + delta - k] >= n:
+                return x, x - k, i, j
+        for k in ks:
+            x = back[size + k + 1] if k == -d or (k != d and back[size + k - 1] < back[size + k + 1]) else back[size + k - 1] + 1
+            i, j = x, x - k
+            while i < n and j < m and a[n - 1 - i] == b[m - 1 - j]:
+                i, j = i + 1, j + 1
+            back[size + k] = i
+            if delta % 2 == 0 and abs(delta - k) <= d and i + fore[size + delta - k] >= n:
+                return n - i, m - j, n - x, m - x + k
+    raise AssertionError("frontiers meet")
+
+
+def _common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places (i, j) of a longest common subsequence, in linear space. Items that
+    the other side lacks can't be in it and are left out of the search."""
+    in_a, in_b = set(a), set(b)
+    keep_a = [i for i, t in enumerate(a) if t in in_b]
+    keep_b = [j for j, t in enumerate(b) if t in in_a]
+    x, y = [a[i] for i in keep_a], [b[j] for j in keep_b]
+    found, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        i, i2, j, j2 = todo.pop()
+        while i < i2 and j < j2 and x[i] == y[j]:
+            found.append((i, j))
+            i, j = i + 1, j + 1
+        while i < i2 and j < j2 and x[i2 - 1] == y[j2 - 1]:
+            i2, j2 = i2 - 1, j2 - 1
+            found.append((i2, j2))
+        if i < i2 and j < j2:
+            p, q, p2, q2 = _middle(x[i:i2], y[j:j2])
+            found += [(i + p + t, j + q + t) for t in range(p2 - p)]
+            todo += [(i, i + p, j, j + q), (i + p2, i2, j + q2, j2)]
+    return sorted((keep_a[i], keep_b[j]) for i, j in found)
 
 
 def line_diff(old: str, new: str, want_text: bool = False) -> tuple[int, int, int, str | None]:
     """(additions, deletions, unchanged, diff_text) counting newline characters
     per hunk, as the reference does. Small per-row helper."""
     ta, tb = _tokens(old), _tokens(new)
-    # common prefix / suffix are unchanged tokens; only the middle needs the search
-    p = 0
-    while p < len(ta) and p < len(tb) and ta[p] == tb[p]:
-        p += 1
-    s = 0
-    while s < len(ta) - p and s < len(tb) - p and ta[-1 - s] == tb[-1 - s]:
-        s += 1
-    ma, mb = ta[p:len(ta) - s], tb[p:len(tb) - s]
     ids: dict[str, int] = {}
-    ia = [ids.setdefault(t, len(ids)) for t in ma]
-    ib = [ids.setdefault(t, len(ids)) for t in mb]
-    lcs_mid, script = _myers_script(ia, ib, want_text)
-    lcs = p + s + lcs_mid
+    pairs = _common([ids.setdefault(t, len(ids)) for t in ta], [ids.setdefault(t, len(ids)) for t in tb])
     last_equal = bool(ta) and bool(tb) and ta[-1] == tb[-1]
-    unchanged = lcs - (1 if last_equal else 0)
-    deletions = old.count("\n") - unchanged
-    additions = new.count("\n") - unchanged
-    text = None
-    if want_text:
-        ops = [("=", i, i) for i in range(p)]
-        ops += [(o, i + p, j + p) for o, i, j in script]
-        ops += [("=", len(ta) - s + i, len(tb) - s + i) for i in range(s)]
-        text = _render(ops, ta, tb)
-    return additions, deletions, unchanged, text
-
-
-def _render(ops, ta, tb) -> str:
+    unchanged = len(pairs) - (1 if last_equal else 0)
+    return (new.count("\n") - unchanged, old.count("\n") - unchanged, unchanged,
+            _render(pairs, ta, tb) if want_text else None)
+
+
+def _render(pairs: list[tuple[int, int]], ta: list[str], tb: list[str]) -> str:
     """Hunks in order, removals before additions inside a change run; each
     hunk (not line) is prefixed with '+ ', '- ' or two spaces."""
-    out = []
-    i = 0
-    while i < len(ops):
-        op = ops[i][0]
-        if op == "=":
-            buf = []
-            while i < len(ops) and ops[i][0] == "=":
-                buf.append(ta[ops[i][1]])
-                i += 1
-            out.append("  " + "".join(buf))
-            continue
-        rem, add = [], []
-        while i < len(ops) and ops[i][0] != "=":
-            if ops[i][0] == "-":
-                rem.append(ta[ops[i][1]])
-            else:
-                add.append(tb[ops[i][2]])
-            i += 1
-        if rem:
-            out.append("- " + "".join(rem))
-        if add:
-            out.append("+ " + "".join(add))
-    return "".join(out)
+    out, same, i, j = [], [], 0, 0
+    for p, q in [*pairs, (len(ta), len(tb))]:
+        if p > i or q > j:
+            if same:
+                out.append("  " + "".join(same))
+            same = []
+            out += [mark + "".join(run) for mark, run in (("- ", ta[i:p]), ("+ ", tb[j:q])) if run]
+        same += ta[p:p + 1]
+        i, j = p + 1, q + 1
+    return "".join(out) + ("  " + "".join(same) if same else "")
 
 
 _DIFF = T.StructType([
@@ -228,15 +188,17 @@ def diff_versions(pairs: DataFrame, old: str, new: str, with_text: bool = False)
     first = F.col(old).isNull()
     same = ~first & (o == n)
     need = ~first & (o != n)
-    d = _diff_udf(with_text)(F.when(need, o), F.when(need, n))
+    # a generator: filters on the results read its output, and don't run the UDF again
+    pairs = pairs.select("*", F.inline(F.array(_diff_udf(with_text)(F.when(need, o), F.when(need, n)).cast(
+        "struct<_da:bigint,_dd:bigint,_du:bigint,_dt:string>"))))
     nl = (F.length(n) - F.length(F.regexp_replace(n, "\n", ""))).cast("long")
     zero = F.lit(0).cast("long")
-    add = F.when(first, F.lit(None).cast("long")).when(same, zero).otherwise(d["additions"])
-    dele = F.when(first, F.lit(None).cast("long")).when(same, zero).otherwise(d["deletions"])
-    unch = F.when(first, F.lit(None).cast("long")).when(same, nl).otherwise(d["unchanged"])
+    add = F.when(first, F.lit(None).cast("long")).when(same, zero).otherwise(F.col("_da"))
+    dele = F.when(first, F.lit(None).cast("long")).when(same, zero).otherwise(F.col("_dd"))
+    unch = F.when(first, F.lit(None).cast("long")).when(same, nl).otherwise(F.col("_du"))
     text = (F.when(first, F.lit(None).cast("string"))
              .when(same, F.when(n == "", F.lit("")).otherwise(F.concat(F.lit("  "), n)))
-             .otherwise(d["diff_text"])) if with_text else F.lit(None).cast("string")
+             .otherwise(F.col("_dt"))) if with_text else F.lit(None).cast("string")
     out = pairs.withColumn("_a", add).withColumn("_d", dele).withColumn("_u", unch).withColumn("diff_text", text)
     total = F.col("_a") + F.col("_d") + F.col("_u")
     return (out.withColumn("additions", F.col("_a")).withColumn("deletions", F.col("_d"))
@@ -245,7 +207,7 @@ def diff_versions(pairs: DataFrame, old: str, new: str, with_text: bool = False)
                .withColumn("change_percentage",
                            F.when(total > 0, (F.col("_a") + F.col("_d")) / total * 100.0)
                             .when(total.isNotNull(), F.lit(0.0)))
-               .drop("_a", "_d", "_u"))
+               .drop("_a", "_d", "_u", "_da", "_dd", "_du", "_dt"))
 
 
 def diff_normalize_cols(old: Column, new: Column) -> tuple[Column, Column]:

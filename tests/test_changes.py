@@ -99,23 +99,43 @@ def test_previous_version_equals_lag(spark):
             assert got.select(*exp.columns).exceptAll(exp).count() == 0
 
 
-def test_edit_script_reassembles_both_sides():
-    """The alignment behind the hunks (G4): '=' and '-' steps rebuild the old
-    text, '=' and '+' steps the new one, and it is a longest one."""
+def test_common_lines_are_a_longest_subsequence():
     rnd = random.Random(11)
-    vocab = ["a", "b", "c", "", "d e"]
-    for _ in range(1000):
-        old = "\n".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 12))).strip()
-        new = "\n".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 12))).strip()
-        ta, tb = G._tokens(old), G._tokens(new)
-        ids = {}
-        ia = [ids.setdefault(t, len(ids)) for t in ta]
-        ib = [ids.setdefault(t, len(ids)) for t in tb]
-        lcs, script = G._myers_script(ia, ib, True)
-        script = script or []
-        assert "".join(ta[i] for op, i, _ in script if op in "=-") == "".join(ta)
-        assert "".join(tb[j] for op, _, j in script if op in "=+") == "".join(tb)
-        assert sum(1 for op, _, _ in script if op == "=") == lcs == _dp_lcs(ta, tb)
+    for size, kinds in ((12, 5), (40, 3), (30, 25)):
+        for _ in range(700):
+            a = [rnd.randrange(kinds) for _ in range(rnd.randint(0, size))]
+            b = [rnd.randrange(kinds) for _ in range(rnd.randint(0, size))]
+            pairs = G._common(a, b)
+            assert all(a[i] == b[j] for i, j in pairs)
+            assert all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:]))
+            assert len(pairs) == _dp_lcs(a, b)
+
+
+def test_hunks_rebuild_both_sides():
+    """Unprefixed and '- ' hunks are the old text, unprefixed and '+ ' ones
+    the new text (marks are not in the vocabulary)."""
+    import re
+    rnd = random.Random(12)
+    for _ in range(500):
+        old, new = ("\n".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 12))) for _ in range(2))
+        hunks = re.findall(r"(  |- |\+ )((?:[abcd]\n?)+)", G.line_diff(old, new, True)[3])
+        assert "".join(t for m, t in hunks if m != "+ ") == old
+        assert "".join(t for m, t in hunks if m != "- ") == new
+
+
+def test_unlike_long_texts_are_fast():
+    import time
+    old, new = ("\n".join(f"{side} line {i}" if i % 7 else "same" for i in range(20_000)) for side in "xy")
+    t0 = time.process_time()
+    a, d, u, _ = G.line_diff(old, new)
+    assert u == 2857 and a == d == 19_999 - u and time.process_time() - t0 < 1
+
+
+def test_diff_runs_once_per_row(spark):
+    rows = [(1, "a\nb\nc", "a\nx\nc"), (2, None, "x")]
+    d = G.diff_versions(spark.createDataFrame(rows, "id long, old string, new string"), "old", "new").filter("has_changes")
+    assert d._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [r.id for r in d.collect()] == [1]
 
 
 def test_time_ordered_previous_version_equals_lag(spark):
