@@ -147,9 +147,9 @@ def full_document(versions: DataFrame, as_of: str, assignment: DataFrame | None
     Page entries are in (url, created_at, id) order and each shows the first
     version with its url, so all entries of one url are adjacent copies: the
     plan is (job, url) -> (job, category) -> job aggregates, all keyed by the
-    job first, after a single repartition on the job key.
+    job first; the versions of a url are reduced before they are shuffled.
     """
-    v = versions.repartition("job_id")
+    v = versions
     section = page_section(F.col("title"), F.col("url"), F.col("description"), F.col("summary"))
     per_url = v.groupBy("job_id", "domain", "url").agg(
         F.count(F.lit(1)).alias("n_url"),
@@ -183,6 +183,10 @@ def full_document(versions: DataFrame, as_of: str, assignment: DataFrame | None
                              F.col("block"), toc_line.alias("toc"))
     per_job = per_cat.groupBy("job_id", "domain").agg(
         F.array_sort(F.collect_list(F.struct("k", "block", "toc"))).alias("_c"))
+    if category_list is not None:  # a job without any category has a document of its header
+        every = v.select("job_id", "domain").distinct()
+        none = F.array().cast(per_job.schema["_c"].dataType)
+        per_job = every.join(per_job, ["job_id", "domain"], "left").withColumn("_c", F.coalesce("_c", none))
     head = F.concat(F.lit("# "), F.col("domain"), F.lit(" - Complete Documentation\n\n> Comprehensive content archive from "),
                     F.col("domain"), F.lit(f"\n\nGenerated: {iso_millis(as_of)}\n\n---\n\n"))
     toc = F.when(F.size("_c") > 1, F.concat(F.lit("## Table of Contents\n\n"),
@@ -197,20 +201,24 @@ def full_document(versions: DataFrame, as_of: str, assignment: DataFrame | None
 # ----------------------------------------------------------------------------- H7/C6
 
 def parse_category_response(responses: DataFrame) -> DataFrame:
-    """H7: (job_id, response) -> (job_id, category, cat_pos, patterns | NULL
-    when the response is not a JSON object). Values that are not arrays are
-    ignored."""
-    m = F.from_json(F.col("response"), "map<string,string>")
-    e = responses.select("job_id", m.alias("_m"))
-    ok = e.filter(F.col("_m").isNotNull()).select(
-        "job_id", F.posexplode(F.map_entries("_m")).alias("cat_pos", "_e")).withColumn("cat_pos", F.col("cat_pos").cast("long"))
-    ok = ok.select("job_id", "cat_pos", F.col("_e.key").alias("category"),
-                   F.from_json(F.col("_e.value"), "array<string>").alias("patterns"))
-    ok = ok.filter(F.col("patterns").isNotNull())
-    bad = e.filter(F.col("_m").isNull()).select("job_id", F.lit(0).cast("long").alias("cat_pos"),
-                                                 F.lit("Pages").alias("category"),
-                                                 F.lit(None).cast("array<string>").alias("patterns"))
-    return ok.unionByName(bad)
+    """H7: (job_id, response) -> (job_id, category, cat_pos, patterns). A missing
+    or empty response is an empty object; in an object or array, values that are
+    not arrays are ignored (an array's names are its positions); a number, a
+    string or a boolean has no categories. Text that isn't JSON, and JSON null,
+    give the one category 'Pages' with NULL patterns: every page is in it."""
+    text = F.when(F.coalesce(F.col("response"), F.lit("")) == "", F.lit("{}")).otherwise(F.col("response"))
+    e = responses.select("job_id", text.alias("_r"))
+    e = e.withColumn("_m", F.map_entries(F.from_json("_r", "map<string,string>")))
+    listed = F.transform(F.from_json("_r", "array<string>"), lambda v, i: F.struct(i.cast("string").alias("key"), v.alias("value")))
+    e = e.withColumn("_e", F.when(F.ltrim("_r").startswith("["), listed).otherwise(F.col("_m")))
+    kind = F.schema_of_variant(F.try_parse_json("_r"))
+    readable = F.col("_m").isNotNull() | F.coalesce(kind != "VOID", F.lit(False))
+    ok = e.filter(readable).select("job_id", F.posexplode("_e").alias("cat_pos", "_v")).filter(F.ltrim(F.col("_v.value")).startswith("["))
+    patterns = F.transform(F.from_json(F.col("_v.value"), "array<string>"), lambda p: F.coalesce(p, F.lit("null")))
+    ok = ok.select("job_id", F.col("cat_pos").cast("long").alias("cat_pos"), F.col("_v.key").alias("category"), patterns.alias("patterns"))
+    bad = e.filter(~readable).select("job_id", F.lit(0).cast("long").alias("cat_pos"), F.lit("Pages").alias("category"),
+                                     F.lit(None).cast("array<string>").alias("patterns"))
+    return ok.filter(F.col("patterns").isNotNull()).unionByName(bad)
 
 
 def match_categories(pages: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -218,9 +226,11 @@ def match_categories(pages: DataFrame, parsed: DataFrame) -> DataFrame:
     (many-to-many; unmatched pages drop out). A NULL pattern list is the
     catch-all fallback category. Joined on job_id, so the containment test
     only runs within a job."""
-    pats = parsed.select("job_id", "category", "cat_pos", F.explode_outer("patterns").alias("pattern"))
+    # the catch-all is the empty pattern; an empty list matches nothing
+    listed = F.coalesce("patterns", F.array(F.lit("")))
+    pats = parsed.select("job_id", "category", "cat_pos", F.explode(listed).alias("pattern"))
     j = pages.join(pats, "job_id")
-    hit = j.filter(F.col("pattern").isNull() | F.col("url").contains(F.col("pattern")))
+    hit = j.filter(F.col("url").contains(F.col("pattern")))
     keys = ["job_id", "category", "cat_pos", "url"] + (["pos"] if "pos" in pages.columns else [])
     return hit.select(*keys).distinct()
 

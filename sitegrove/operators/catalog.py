@@ -342,15 +342,19 @@ def profiles_ordered(profiles: DataFrame) -> DataFrame:
 
 
 def cascade_delete_jobs(jobs: DataFrame, versions: DataFrame, artifacts: DataFrame,
-                        doomed: DataFrame) -> dict[str, DataFrame]:                # R3
-    """Deleting jobs cascades to their page versions and artifacts (and to
-    pages last seen by them, whose versions go too). ``doomed``: job ids.
-    Returns the remaining tables; each is a ``left_anti`` rewrite."""
+                        doomed: DataFrame, pages: DataFrame | None = None) -> dict[str, DataFrame]:  # R3
+    """Deleting jobs cascades to their page versions and artifacts, and to the
+    pages (page_id, job_id) last seen by them, whose versions go too, whatever
+    job they are from. ``doomed``: job ids. Returns the remaining tables; each
+    is a ``left_anti`` rewrite."""
     d = doomed.select(F.col("id").alias("job_id")).distinct()
     keep_jobs = jobs.join(d.withColumnRenamed("job_id", "id"), "id", "left_anti")
     keep_versions = versions.join(d, "job_id", "left_anti")
-    keep_artifacts = artifacts.join(d, "job_id", "left_anti")
-    return {"jobs": keep_jobs, "versions": keep_versions, "artifacts": keep_artifacts}
+    out = {"jobs": keep_jobs, "versions": keep_versions, "artifacts": artifacts.join(d, "job_id", "left_anti")}
+    if pages is not None:
+        out["pages"] = pages.join(d, "job_id", "left_anti")
+        out["versions"] = keep_versions.join(pages.join(d, "job_id", "left_semi").select("page_id"), "page_id", "left_anti")
+    return out
 
 
 def delete_profiles(domains: DataFrame, doomed_profiles: DataFrame) -> DataFrame:  # R3 (set null)

@@ -142,8 +142,8 @@ def rate_windows(pages: DataFrame, seconds: int = 10, limit: int = 100) -> DataF
 def close_bookkeeping(events: DataFrame, existing_stats: DataFrame | None = None) -> DataFrame:
     """At close, record how many pages were received and processed by then
     and a note, merged (J9, right side wins) into the job's stats JSON."""
-    closed_at = F.min(F.when(F.col("kind") == 3, F.col("ts"))).over(Window.partitionBy("job_id"))
-    e = events.withColumn("closed_at", closed_at).filter(F.col("closed_at").isNotNull())
+    closes = events.filter(F.col("kind") == 3).groupBy("job_id").agg(F.min("ts").alias("closed_at"))
+    e = events.join(closes, "job_id")
     before = F.col("ts") <= F.col("closed_at")
     x = e.groupBy("job_id").agg(F.first("closed_at").alias("closed_at"),
                                 F.count_if((F.col("kind") == 1) & before).alias("rec"),
@@ -188,16 +188,23 @@ def cancel_verdicts(requests: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def fold_job_state(jobs: DataFrame, terminal: DataFrame) -> DataFrame:
-    """M4: status from the event log. ``terminal``: (job_id, ts, status) for
-    completion -> finished, failure -> failed, cancel -> canceled. The first
-    terminal event wins (terminal states absorb later ones); a job with none
-    stays 'processing'."""
-    first = terminal.groupBy("job_id").agg(F.min(F.struct("ts", "status")).alias("_t"))
-    j = jobs.select(F.col("id").alias("job_id"), F.col("status").alias("prior_status"), "started_at")
+    """M4: status, finished_at and stats from the stored job and the event log.
+    ``terminal``: (job_id, ts, status, stats, merge) for completion -> finished,
+    failure -> failed, cancel -> canceled. The first terminal state wins and
+    absorbs what comes later; a stored one is the first. The event's stats
+    replace the job's, or are merged into them (J9) where ``merge`` holds. A job
+    without any keeps its stored row."""
+    first = terminal.groupBy("job_id").agg(F.min(F.struct("ts", "status", "stats", "merge")).alias("_t"))
+    stats = F.col("stats") if "stats" in jobs.columns else F.lit(None).cast("string")
+    j = jobs.select(F.col("id").alias("job_id"), F.col("status").alias("prior_status"),
+                    F.col("finished_at").alias("_f"), stats.alias("_s"))
     x = j.join(first, "job_id", "left")
+    folds = (F.col("prior_status") == "processing") & F.col("_t").isNotNull()
     return x.select("job_id", "prior_status",
-                    F.coalesce(F.col("_t.status"), F.lit("processing")).alias("status"),
-                    F.col("_t.ts").alias("finished_at"))
+                    F.when(folds, F.col("_t.status")).otherwise(F.col("prior_status")).alias("status"),
+                    F.when(folds, F.col("_t.ts")).otherwise(F.col("_f")).alias("finished_at"),
+                    F.when(folds & F.col("_t.merge"), json_merge(F.col("_s"), F.col("_t.stats")))
+                     .when(folds, F.col("_t.stats")).otherwise(F.col("_s")).alias("stats"))
 
 
 # ----------------------------------------------------------------------------- M1 / M2

@@ -79,14 +79,16 @@ def ingest_requests(due: DataFrame, as_of: str) -> DataFrame:
 
 def admit_crawls(requests: DataFrame, jobs: DataFrame, slots: int = 5) -> DataFrame:       # K5
     """At most one active crawl per domain (domains with a running job wait,
-    and only their oldest request counts), at most ``slots`` overall, oldest
-    first. ``requests``: domain_id, requested_at, request_id."""
+    and only their oldest request counts), oldest first, into the slots that
+    running jobs leave free of ``slots``. ``requests``: domain_id, requested_at,
+    request_id."""
+    running = jobs.filter(F.col("status") == "processing").count()
     waiting = requests.join(ongoing_domains(jobs).withColumnRenamed("id", "domain_id"), "domain_id", "left_anti")
     first = (waiting.groupBy("domain_id")
              .agg(F.min(F.struct("requested_at", "request_id")).alias("_f"))
              .select("domain_id", F.col("_f.requested_at").alias("requested_at"),
                      F.col("_f.request_id").alias("request_id")))
-    return first.orderBy("requested_at", "request_id").limit(slots)
+    return first.orderBy("requested_at", "request_id").limit(max(0, slots - running))
 
 
 def validate_crawl_requests(requests: DataFrame, domains: DataFrame, jobs: DataFrame) -> DataFrame:  # B7 + J1

@@ -32,13 +32,19 @@ def process_versions(chain: DataFrame, key: str = "page_id", seq: str = "seq", t
     if scores is not None:
         d = d.join(scores.select(F.col("id").alias(id_col), F.col("response").alias("_resp")), id_col, "left")
         score = G.parse_score(F.col("_resp"))
-    d = G.change_decision(d, score)
+    out = version_rows(G.change_decision(d, score), title)
+    keep = [id_col, key, seq, *VERSION_COLUMNS] + (["diff_text"] if with_diff_text else [])
+    return out.select(*keep)
+
+
+VERSION_COLUMNS = ["prev_id", "cleaned_md", "stored_md", "additions", "deletions", "unchanged", "has_changes",
+                   "change_percentage", "is_new", "importance", "reason", "title", "description", "summary"]
+
+
+def version_rows(d: DataFrame, title: str | None = None) -> DataFrame:
+    """The stored text (G7) and display fields (G14, F17) of decided versions."""
     crawl_title = F.col(title) if title else F.lit(None).cast("string")
-    out = (d.withColumn("stored_md", G.enhancement_gate(F.col("cleaned_md"), TX.enhance_content(F.col("cleaned_md"))))
+    return (d.withColumn("stored_md", G.enhancement_gate(F.col("cleaned_md"), TX.enhance_content(F.col("cleaned_md"))))
             .withColumn("title", F.coalesce(F.when(crawl_title != "", crawl_title), TX.extract_title(F.col("cleaned_md"))))
             .withColumn("description", TX.deterministic_description(F.col("cleaned_md")))
             .withColumn("summary", TX.deterministic_summary(F.col("cleaned_md"))))
-    keep = [id_col, key, seq, "prev_id", "cleaned_md", "stored_md", "additions", "deletions", "unchanged",
-            "has_changes", "change_percentage", "is_new", "importance", "reason", "title", "description",
-            "summary"] + (["diff_text"] if with_diff_text else [])
-    return out.select(*keep)

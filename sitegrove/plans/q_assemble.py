@@ -155,40 +155,45 @@ def q_page_rank(spark, sf):
     return scored.withColumn("rank_in_site", F.row_number().over(w).cast("long")).drop("domain")
 
 
-# category responses per job, spelled by job id % 4 (fixed values): a valid
-# object, an object with a non-array value, an integer-like category name,
-# and text that is not JSON.
+# category responses per job, spelled by job id % 9: a valid object, an object
+# with a non-array value, an integer-like category name, text that is not JSON,
+# missing, empty, an array, null, and an object without categories.
 CATEGORY_RESPONSES = [
     '{"Documentation": ["/docs"], "Blog": ["/blog"], "Company": ["/about", "/contact", "/pricing"]}',
     '{"Guides": ["/docs/guides", "/getting-started"], "Features": "/features", "Product": ["/features", "/pricing"]}',
     '{"Docs": ["/docs/"], "2024": ["/blog/"], "10": ["/api"]}',
     'Here are your categories: Documentation, Blog',
+    None, "", '[["/docs", "/blog"], "/about", ["/pricing"]]', "null", '{"Empty": []}',
 ]
 
 
 def _category_responses(spark, sf):
     j = D.jobs(spark, sf).select(F.col("id").alias("job_id"))
-    resp = F.element_at(F.array(*[F.lit(r) for r in CATEGORY_RESPONSES]), (F.col("job_id") % 4 + 1).cast("int"))
+    resp = F.element_at(F.array(*[F.lit(r).cast("string") for r in CATEGORY_RESPONSES]),
+                        (F.col("job_id") % len(CATEGORY_RESPONSES) + 1).cast("int"))
     return j.select("job_id", resp.alias("response"))
 
 
-_RESP_SQL = "[" + ", ".join("'" + r.replace("'", "''") + "'" for r in CATEGORY_RESPONSES) + "]"
+_RESP_SQL = "[" + ", ".join("NULL" if r is None else "'" + r.replace("'", "''") + "'" for r in CATEGORY_RESPONSES) + "]"
+# parsed(job_id, js: NULL where the text is not JSON) and cats, by the rules of H7
+_CATS_SQL = f"""
+, r AS (SELECT id AS job_id, coalesce(nullif({_RESP_SQL}[CAST(id % {len(CATEGORY_RESPONSES)} + 1 AS INTEGER)], ''), '{{}}') AS response FROM d_job)
+, parsed AS (SELECT job_id, TRY_CAST(response AS JSON) AS js FROM r)
+, entry AS (SELECT job_id, unnest(json_keys(js)) AS category, generate_subscripts(json_keys(js), 1) - 1 AS cat_pos,
+                   unnest(list_transform(json_keys(js), lambda k: js -> k)) AS val
+            FROM parsed WHERE json_type(js) = 'OBJECT'
+            UNION ALL
+            SELECT job_id, CAST(i AS VARCHAR), i, js -> CAST(i AS INTEGER)
+            FROM (SELECT job_id, js, unnest(range(CAST(json_array_length(js) AS BIGINT))) AS i FROM parsed WHERE json_type(js) = 'ARRAY'))
+, cats AS (SELECT job_id, category, cat_pos, CAST(val AS VARCHAR[]) AS patterns FROM entry WHERE json_type(val) = 'ARRAY'
+           UNION ALL SELECT job_id, 'Pages', 0, [''] FROM parsed WHERE js IS NULL OR json_type(js) = 'NULL')"""
 
 
-@register("category_assignment", "H7,C6", sql=_V + f"""
-, r AS (SELECT id AS job_id, {_RESP_SQL}[CAST(id % 4 + 1 AS INTEGER)] AS response FROM d_job)
+@register("category_assignment", "H7,C6", sql=_V + _CATS_SQL + """
 , pg AS (SELECT job_id, url, row_number() OVER (PARTITION BY job_id ORDER BY url, created_at, id) AS pos FROM v)
-, parsed AS (SELECT job_id, TRY_CAST(response AS JSON) AS js FROM r)
-, ok AS (SELECT job_id, k.key AS category, k.rn - 1 AS cat_pos,
-                CASE WHEN json_type(js -> k.key) = 'ARRAY' THEN CAST(js -> k.key AS VARCHAR[]) END AS patterns
-         FROM parsed, (SELECT unnest(json_keys(js)) AS key, generate_subscripts(json_keys(js), 1) AS rn) k
-         WHERE json_type(js) = 'OBJECT')
-, cats AS (SELECT * FROM ok WHERE patterns IS NOT NULL
-           UNION ALL
-           SELECT job_id, 'Pages', 0, NULL FROM parsed WHERE js IS NULL OR json_type(js) <> 'OBJECT')
 , hits AS (SELECT DISTINCT c.job_id, c.category, c.cat_pos, pg.url, pg.pos
            FROM cats c JOIN pg ON pg.job_id = c.job_id
-           WHERE c.patterns IS NULL OR len(list_filter(c.patterns, lambda x: contains(pg.url, x))) > 0)
+           WHERE len(list_filter(c.patterns, lambda x: contains(pg.url, x))) > 0)
 SELECT job_id, category, cat_pos, url, pos FROM hits""")
 def q_category_assignment(spark, sf):
     pages = A.categorized_pages(_details(spark, sf)).select("job_id", "url", "pos")
@@ -196,18 +201,9 @@ def q_category_assignment(spark, sf):
 
 
 def _categorized_sql() -> str:
-    return _V + f"""
-, r AS (SELECT id AS job_id, {_RESP_SQL}[CAST(id % 4 + 1 AS INTEGER)] AS response FROM d_job)
-, parsed AS (SELECT job_id, TRY_CAST(response AS JSON) AS js FROM r)
-, ok AS (SELECT job_id, k.key AS category, k.rn - 1 AS cat_pos,
-                CASE WHEN json_type(js -> k.key) = 'ARRAY' THEN CAST(js -> k.key AS VARCHAR[]) END AS patterns
-         FROM parsed, (SELECT unnest(json_keys(js)) AS key, generate_subscripts(json_keys(js), 1) AS rn) k
-         WHERE json_type(js) = 'OBJECT')
-, cats AS (SELECT * FROM ok WHERE patterns IS NOT NULL
-           UNION ALL
-           SELECT job_id, 'Pages', 0, NULL FROM parsed WHERE js IS NULL OR json_type(js) <> 'OBJECT')
+    return _V + _CATS_SQL + f"""
 , hits AS (SELECT DISTINCT c.job_id, c.category, c.cat_pos, v.url FROM cats c JOIN v ON v.job_id = c.job_id
-           WHERE c.patterns IS NULL OR len(list_filter(c.patterns, lambda x: contains(v.url, x))) > 0)
+           WHERE len(list_filter(c.patterns, lambda x: contains(v.url, x))) > 0)
 , fs AS (SELECT job_id, url, count(*) OVER (PARTITION BY job_id, url) AS n_url, {_SECTION3} AS section FROM v
          QUALIFY row_number() OVER (PARTITION BY job_id, url ORDER BY created_at, id) = 1)
 , pc AS (SELECT h.job_id, h.category, h.cat_pos, sum(fs.n_url) AS n,
@@ -228,8 +224,11 @@ def _categorized_sql() -> str:
                         || string_agg(toc, {NL} ORDER BY k1, k2 NULLS FIRST, cat_pos) || {NN} || '---' || {NN} ELSE '' END
                    || string_agg(block, '' ORDER BY k1, k2 NULLS FIRST, cat_pos) AS content
           FROM pk JOIN d ON d.job_id = pk.job_id GROUP BY pk.job_id)
-SELECT doc.job_id, d.domain, categories, regexp_replace(content, '\\n$', '') AS content
-FROM doc JOIN d ON d.job_id = doc.job_id"""
+SELECT d.job_id, d.domain, coalesce(categories, 0) AS categories,
+       regexp_replace(coalesce(content, '# ' || d.domain || ' - Complete Documentation' || {NN}
+         || '> Comprehensive content archive from ' || d.domain || {NN} || 'Generated: {ISO}' || {NN} || '---' || {NN}),
+         '\\n$', '') AS content
+FROM d LEFT JOIN doc ON d.job_id = doc.job_id"""
 
 
 @register("full_documents_categorized", "I4,I5,C6,H7", sql=_categorized_sql())

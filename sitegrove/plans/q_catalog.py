@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import AS_OF
 from ..operators import catalog as C
 from ..sources import derived as D
+from ..sources import store
 from .registry import register
 from .sqlviews import with_views
 
@@ -304,6 +305,36 @@ def q_cascade(spark, sf):
                         for n in ("jobs_left", "versions_left", "artifacts_left", "jobs_deleted")])
 
 
+@register("cascade_delete_pages", "R3", sql=with_views("d_job", "d_version") + """
+, doomed AS (SELECT id FROM d_job WHERE status = 'failed' AND started_at < TIMESTAMP '1996-01-01 00:00:00')
+, page AS (SELECT page_id, job_id FROM d_version
+           QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY created_at DESC, id DESC) = 1)
+SELECT v.id, v.page_id, v.job_id FROM d_version v JOIN page p ON p.page_id = v.page_id
+WHERE v.job_id NOT IN (SELECT id FROM doomed) AND p.job_id NOT IN (SELECT id FROM doomed)""")
+def q_cascade_pages(spark, sf):
+    """Versions left after a deletion of jobs: those of other jobs go with the
+    pages that a deleted job saw last."""
+    jobs, versions = D.jobs(spark, sf), D.page_versions(spark, sf)
+    doomed = jobs.filter((F.col("status") == "failed") &
+                         (F.col("started_at") < F.lit("1996-01-01 00:00:00").cast("timestamp_ntz"))).select("id")
+    pages = C.latest_version_per_page(versions, ["job_id"])
+    left = C.cascade_delete_jobs(jobs, versions, D.artifacts(spark, sf), doomed, pages)
+    return left["versions"].select("id", "page_id", "job_id")
+
+
+@register("content_load", "A5", sql=with_views("d_version") + """
+SELECT v.id, 'pages/' || v.page_id || '.md' AS path, length(coalesce(p.html, '')) AS content_chars,
+       sha256(coalesce(p.html, '')) AS content_sha256
+FROM d_version v LEFT JOIN pages p ON p.page_id = v.page_id""")
+def q_content_load(spark, sf):
+    """Versions with their stored text; a path that holds nothing reads as ''."""
+    def path(c):
+        return F.concat(F.lit("pages/"), F.col(c).cast("string"), F.lit(".md")).alias("path")
+    stored = D.crawled_pages(spark, sf).select(path("page_id"), F.col("raw_md").alias("content"))
+    v = store.load_content(D.page_versions(spark, sf).select("id", path("page_id")), stored, "path")
+    return v.select("id", "path", F.length("content").cast("long").alias("content_chars"), F.sha2("content", 256).alias("content_sha256"))
+
+
 @register("profile_delete_and_domain_restrict", "R3,C8", sql=with_views("d_domain", "d_job") + """
 SELECT d.id, CASE WHEN d.profile_id % 5 = 0 THEN NULL ELSE d.profile_id END AS profile_id,
        NOT EXISTS (SELECT 1 FROM d_job j WHERE j.domain_id = d.id) AS deletable

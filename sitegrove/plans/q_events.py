@@ -184,14 +184,14 @@ def q_stalled(spark, sf):
 
 
 def _cancel_requests(spark, sf):
-    o = read_table(spark, sf, "orders").filter(F.col("o_orderpriority") == "3-MEDIUM")
+    o = read_table(spark, sf, "orders")
     return o.select(F.col("o_orderkey").alias("request_id"), F.col("o_orderkey").alias("job_id"),
                     F.expr("timestampadd(DAY, 1, o_orderdate)").alias("requested_at"))
 
 
 _CANCEL_SQL = """
 , cr AS (SELECT o_orderkey AS request_id, o_orderkey AS job_id, o_orderdate + INTERVAL 1 DAY AS requested_at
-         FROM orders WHERE o_orderpriority = '3-MEDIUM')"""
+         FROM orders)"""
 
 
 @register("cancel_verdicts", "B9", sql=with_views("d_job") + _CANCEL_SQL + """
@@ -206,14 +206,23 @@ def q_cancel(spark, sf):
 @register("job_state_fold", "M4,B9,S5", sql=_ev("d_domain") + _CANCEL_SQL + """
 , fails AS (SELECT j.id AS job_id, s.ts FROM st s JOIN d_job j ON j.external_id = s.external_id
             WHERE s.status = 'accepted' AND s.type = 'crawl.failed')
-, t AS (SELECT c.job_id, c.ts, CASE WHEN d.is_active THEN 'finished' ELSE 'failed' END AS status
+, t AS (SELECT c.job_id, c.ts, CASE WHEN d.is_active THEN 'finished' ELSE 'failed' END AS status,
+               CASE WHEN d.is_active THEN '{"streamClosed":true}' ELSE '{"error":"domain inactive"}' END AS stats,
+               d.is_active AS merge
         FROM closes c JOIN d_job j ON j.id = c.job_id JOIN d_domain d ON d.id = j.domain_id
-        UNION ALL SELECT job_id, ts, 'failed' FROM fails
-        UNION ALL SELECT cr.job_id, cr.requested_at, 'canceled' FROM cr JOIN d_job j ON j.id = cr.job_id
-                  WHERE j.status = 'processing')
-, f AS (SELECT job_id, ts, status FROM t QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts, status) = 1)
-SELECT j.id AS job_id, j.status AS prior_status, coalesce(f.status, 'processing') AS status, f.ts AS finished_at
-FROM d_job j LEFT JOIN f ON f.job_id = j.id""")
+        UNION ALL SELECT job_id, ts, 'failed', '{"error":"timeout"}', false FROM fails
+        UNION ALL SELECT cr.job_id, cr.requested_at, 'canceled',
+                         '{"canceledAt":"' || strftime(cr.requested_at, '%Y-%m-%dT%H:%M:%S.000Z') || '","reason":"Manually canceled"}',
+                         false
+                  FROM cr JOIN d_job j ON j.id = cr.job_id WHERE j.status = 'processing')
+, f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts, status, stats) = 1)
+, s AS (SELECT id, status, finished_at, json_object('jobType', type, 'streamClosed', false) AS stats FROM d_job)
+SELECT s.id AS job_id, s.status AS prior_status,
+       CASE WHEN s.status = 'processing' AND f.job_id IS NOT NULL THEN f.status ELSE s.status END AS status,
+       CASE WHEN s.status = 'processing' AND f.job_id IS NOT NULL THEN f.ts ELSE s.finished_at END AS finished_at,
+       CASE WHEN s.status = 'processing' AND f.merge THEN CAST(json_merge_patch(s.stats, f.stats) AS VARCHAR)
+            WHEN s.status = 'processing' AND f.job_id IS NOT NULL THEN f.stats ELSE CAST(s.stats AS VARCHAR) END AS stats
+FROM s LEFT JOIN f ON f.job_id = s.id""")
 def q_fold(spark, sf):
     e = event_pipeline(spark, sf)
     fails = e["parsed"].filter((F.col("status") == "accepted") & (F.col("type") == "crawl.failed"))
@@ -222,13 +231,19 @@ def q_fold(spark, sf):
     # a close for a job whose domain is no longer active fails the job
     active = (e["jobs"].select(F.col("id").alias("job_id"), "domain_id")
               .join(D.domains(spark, sf).select(F.col("id").alias("domain_id"), "is_active"), "domain_id"))
+    on = F.col("is_active")
     closed = e["closes"].join(active, "job_id").select(
-        "job_id", "ts", F.when(F.col("is_active"), "finished").otherwise("failed").alias("status"))
+        "job_id", "ts", F.when(on, "finished").otherwise("failed").alias("status"),
+        F.when(on, F.lit('{"streamClosed":true}')).otherwise(F.lit('{"error":"domain inactive"}')).alias("stats"), on.alias("merge"))
+    canceled = F.to_json(F.struct(F.date_format("requested_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("canceledAt"),
+                                  F.lit("Manually canceled").alias("reason")))
     terminal = (closed
-                .unionByName(fails.select("job_id", "ts", F.lit("failed").alias("status")))
-                .unionByName(cancels.select("job_id", F.col("requested_at").alias("ts"),
-                                            F.lit("canceled").alias("status"))))
-    return J.fold_job_state(e["jobs"], terminal)
+                .unionByName(fails.select("job_id", "ts", F.lit("failed").alias("status"),
+                                          F.lit('{"error":"timeout"}').alias("stats"), F.lit(False).alias("merge")))
+                .unionByName(cancels.select("job_id", F.col("requested_at").alias("ts"), F.lit("canceled").alias("status"),
+                                            canceled.alias("stats"), F.lit(False).alias("merge"))))
+    stats = F.to_json(F.struct(F.col("type").alias("jobType"), F.lit(False).alias("streamClosed")))
+    return J.fold_job_state(e["jobs"].withColumn("stats", stats), terminal)
 
 
 @register("page_upsert", "M1", sql=_ev("d_version_page") + """

@@ -95,7 +95,7 @@ SELECT o_orderkey AS request_id,
             WHEN o_orderkey % 4 = 2 THEN 'site' || CAST(o_custkey AS VARCHAR) || '.example.com'
             ELSE 'https://localhost/' END AS url,
        o_orderdate + to_minutes(CAST(o_orderkey % 1440 AS INTEGER)) AS requested_at
-FROM orders WHERE o_orderpriority = '2-HIGH'
+FROM orders
 UNION ALL
 SELECT -(page_id + 1) AS request_id, url,
        TIMESTAMP '2024-01-15 00:00:00' + to_minutes(CAST(page_id AS INTEGER)) AS requested_at

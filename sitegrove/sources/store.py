@@ -1,58 +1,59 @@
 """Content store: page texts and documents as files.
 
 The reference keeps one object per path in a bucket. Here the store is a
-Parquet table partitioned by (domain, job folder) with one row per object
-path; an upsert rewrites only the touched partitions (dynamic partition
+Parquet table with one row per object path, in a fixed number of buckets by the
+path's domain; an upsert rewrites only the touched buckets (dynamic partition
 overwrite), so the write is idempotent and a retried task or job replaces its
-own output. Listing reads the partition columns and the path, never the text.
-Documents can also be written as plain text files, one folder per
-(domain, job folder, kind).
+own output. Listing reads one bucket's paths, never the text. Documents can also
+be written as plain text files, one folder per (domain, job folder, kind).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, path_exists
 
 PARTITIONS = ["domain_key", "job_folder"]
+BUCKETS = 256
 
 
 def _with_partitions(df: DataFrame, path_col: str = "path") -> DataFrame:
-    """Partition keys from a 'domains/<domain>/jobs/<folder>/...' path."""
+    """Domain and job folder of a 'domains/<domain>/jobs/<folder>/...' path."""
     parts = F.split(F.col(path_col), "/", -1)
-    return df.withColumn("domain_key", F.element_at(parts, 2)).withColumn("job_folder", F.element_at(parts, 4))
+    return df.withColumn("domain_key", F.get(parts, F.lit(1))).withColumn("job_folder", F.get(parts, F.lit(3)))
+
+
+def _bucket(domain: Column) -> Column:
+    return F.pmod(F.xxhash64(domain), F.lit(BUCKETS)).cast("int")
 
 
 def upsert_content(spark: SparkSession, new: DataFrame, root: str) -> None:
     """A4: write (path, content) rows; a path already stored is replaced
-    ("upsert"), other objects of the touched partitions are kept."""
-    n = _with_partitions(new.select("path", "content"))
-    try:
+    ("upsert"), other objects of the touched buckets are kept. Of rows that repeat
+    a path in one write, the one with the greatest content is stored."""
+    n = _with_partitions(new.groupBy("path").agg(F.max("content").alias("content")))
+    n = n.withColumn("bucket", _bucket(F.col("domain_key")))
+    if path_exists(spark, root):
         old = spark.read.parquet(root)
-        touched = n.select(*PARTITIONS).distinct()
-        kept = old.join(touched, PARTITIONS, "left_semi").join(n.select("path"), "path", "left_anti")
-        merged = n.unionByName(kept.select(*n.columns))
-        # cut the lineage to the files being replaced before overwriting them
+        kept = (old.join(n.select("bucket").distinct(), "bucket", "left_semi")
+                   .join(n.select("path"), "path", "left_anti"))
         ensure_checkpoint_dir(spark)
-        merged = merged.checkpoint(eager=True)
-    except Exception as e:  # noqa: BLE001 - first write: nothing stored yet
-        if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
-            raise
-        merged = n
-    (merged.repartition(*PARTITIONS).write.mode("overwrite")
-           .option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(root))
+        # cut the lineage to the files being replaced before overwriting them
+        n = n.unionByName(kept.select(*n.columns)).checkpoint(eager=True)
+    (n.repartition("bucket").write.mode("overwrite")
+      .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(root))
 
 
 def list_content(spark: SparkSession, root: str, folder: str, limit: int = 100, offset: int = 0) -> DataFrame:
     """A4 listing: object paths under a folder prefix, by path, with limit and
-    offset (the paging is the feature). Partition pruning on the domain key
-    when the folder names one."""
-    df = spark.read.parquet(root).select("path", *PARTITIONS)
+    offset (the paging is the feature). One bucket is read when the folder names a
+    domain."""
+    df = spark.read.parquet(root).select("path", *PARTITIONS, "bucket")
     parts = folder.strip("/").split("/")
     if len(parts) >= 2 and parts[0] == "domains":
-        df = df.filter(F.col("domain_key") == parts[1])
+        df = df.filter((F.col("bucket") == _bucket(F.lit(parts[1]))) & (F.col("domain_key") == parts[1]))
     if len(parts) >= 4:
         df = df.filter(F.col("job_folder") == parts[3])
     df = df.filter(F.col("path").startswith(folder.rstrip("/") + "/")).select("path").orderBy("path")
@@ -75,6 +76,8 @@ def write_documents(docs: DataFrame, root: str) -> None:
       .option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS, "kind").text(root))
 
 
-def append_versions(versions: DataFrame, root: str) -> None:
-    """Batch append of version rows."""
-    versions.write.mode("append").parquet(root)
+def append_versions(versions: DataFrame, root: str, batch: str) -> None:
+    """Append a batch of version rows. A batch that is written again (a
+    retried job) replaces its own rows."""
+    (versions.withColumn("batch", F.lit(batch)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(root))

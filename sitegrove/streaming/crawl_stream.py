@@ -9,10 +9,12 @@ back-pressure setting, S4 reports the windowed rate).
                        -> S5 only 'processing' jobs -> S1 dedupe within the
                        watermark on (job, url, scrapeId).
 * ``progress_stream``  S2: received / processed / closed per job (update mode).
-* ``ready_stream``     S3 + S7: ``applyInPandasWithState`` keyed by job; state
-                       is four numbers and an "emitted" flag, so exactly one
-                       trigger per job; an event-time timeout reports jobs that
-                       stall before becoming ready.
+* ``ready_stream``     S3 + S7: ``applyInPandasWithState`` keyed by job; events
+                       wait in the state until the watermark has passed them and
+                       are then counted in event-time order, so the trigger does
+                       not depend on the order of arrival; exactly one per job.
+                       Jobs that go quiet before are reported as stalled and
+                       keep their counts.
 * ``rate_stream``      S4: 10-second tumbling windows, append mode.
 * ``version_batches``  S8: ``foreachBatch`` running the batch version pipeline
                        per micro-batch against the stored latest versions;
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +36,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import jobstate as J
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, path_exists
 from ..sources import events as E
 
 # event time must be a TIMESTAMP for watermarks; the session zone is UTC, so
@@ -98,47 +101,52 @@ READY_OUT = T.StructType([T.StructField("job_id", T.LongType()), T.StructField("
                           T.StructField("completed_pages", T.LongType())])
 READY_STATE = T.StructType([T.StructField("rec", T.LongType()), T.StructField("proc", T.LongType()),
                             T.StructField("closed", T.BooleanType()), T.StructField("emitted", T.BooleanType()),
-                            T.StructField("last_ms", T.LongType())])
+                            T.StructField("stalled", T.BooleanType()), T.StructField("last_ms", T.LongType()),
+                            T.StructField("waiting", T.BinaryType())])
 
 
 def _ready_fn(timeout_ms: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        job_id = int(key[0])
-        if state.hasTimedOut:
-            rec, proc, closed, emitted, last_ms = state.get
-            state.remove()
-            if not emitted:
-                yield pd.DataFrame({"job_id": [job_id], "event": ["stalled"],
-                                    "ts": [pd.Timestamp(int(last_ms), unit="ms")], "completed_pages": [int(proc)]})
-            return
-        rec, proc, closed, emitted, last_ms = state.get if state.exists else (0, 0, False, False, 0)
+        rec, proc, closed, emitted, stalled, last_ms, waiting = state.get if state.exists else (0, 0, False, False, False, 0, b"")
+        # rows (event time in microseconds, kind): those that waited, and the new ones
+        held = [np.frombuffer(bytes(waiting), np.int64).reshape(-1, 2)]
+        for p in [] if state.hasTimedOut else pdfs:
+            us = p["event_ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+            held.append(np.column_stack([us, p["kind"].to_numpy(np.int64)]))
+            stalled = False
+        ev = np.concatenate(held)
+        ev = ev[np.lexsort((ev[:, 1], ev[:, 0]))]
+        now = state.getCurrentWatermarkMs()
+        final, ev = ev[ev[:, 0] <= now * 1000], ev[ev[:, 0] > now * 1000]
         out = []
-        frames = [p for p in pdfs if len(p)]
-        if frames:
-            ev = pd.concat(frames).sort_values(["event_ts", "kind"], kind="stable")
-            for ts, kind in zip(ev["event_ts"], ev["kind"]):
-                if kind == 1:
-                    rec += 1
-                elif kind == 2:
-                    proc += 1
-                else:
-                    closed = True
-                ms = int(pd.Timestamp(ts).value // 1_000_000)
-                last_ms = max(last_ms, ms)
-                if not emitted and kind >= 2 and closed and rec == proc and proc > 0:
-                    emitted = True
-                    out.append((job_id, "ready", pd.Timestamp(ts), proc))
-        state.update((rec, proc, closed, emitted, last_ms))
-        state.setTimeoutTimestamp(last_ms + timeout_ms)
+        if len(final):
+            us, kind = final[:, 0], final[:, 1]
+            recs, procs = rec + np.cumsum(kind == 1), proc + np.cumsum(kind == 2)
+            shut = closed | (np.cumsum(kind == 3) > 0)
+            hit = np.flatnonzero((kind >= 2) & shut & (recs == procs) & (procs > 0))
+            if len(hit) and not emitted:
+                emitted = True
+                out.append((int(key[0]), "ready", pd.Timestamp(int(us[hit[0]]), unit="us"), int(procs[hit[0]])))
+            rec, proc, closed, last_ms = int(recs[-1]), int(procs[-1]), bool(shut[-1]), int(max(last_ms, us[-1] // 1000))
+        if not len(ev) and not emitted and not stalled and last_ms + timeout_ms <= now:
+            stalled = True
+            out.append((int(key[0]), "stalled", pd.Timestamp(last_ms, unit="ms"), proc))
+        state.update((rec, proc, closed, emitted, stalled, last_ms, ev.astype(np.int64).tobytes()))
+        if len(ev):
+            state.setTimeoutTimestamp(int(ev[0, 0] // 1000) + 1)
+        elif not emitted and not stalled:
+            state.setTimeoutTimestamp(max(last_ms + timeout_ms, now + 1))
         if out:
             yield pd.DataFrame(out, columns=["job_id", "event", "ts", "completed_pages"])
     return fn
 
 
 def ready_stream(events: DataFrame, watermark: str | None = None, stall_timeout_ms: int = 3_600_000) -> DataFrame:
-    """S3 (+S7): one 'ready' row per job when closed, all received pages are
-    processed and at least one page was; a 'stalled' row when a job goes
-    quiet for ``stall_timeout_ms`` of event time without becoming ready.
+    """S3 (+S7): one 'ready' row per job at the first event, in event-time order,
+    after which it is closed, all received pages are processed and at least one
+    page was; it comes out once the watermark has passed that event. A 'stalled'
+    row when a job goes quiet for ``stall_timeout_ms`` of event time without
+    becoming ready; its counts stay, so it can still become ready.
     The event-time timeout uses the query's watermark: the one set by
     ``page_stream``, or ``watermark`` when the input has none yet."""
     if watermark:
@@ -167,42 +175,41 @@ def version_batches(table_path: str, key: str = "page_id", buckets: int = VERSIO
     batch_id). A batch reads the earlier versions of the buckets it touches
     only (partition pruning; ``batch_id`` below its own, so a replayed batch
     never sees its own output), chains each page's first version in the batch
-    to the latest stored one, and overwrites its own (bucket, batch_id)
-    partitions: replaying a batch after a failure gives the same table.
+    to the latest stored one before it (a late version never to a newer one), and
+    overwrites its own (bucket, batch_id) partitions: replaying a batch after a
+    failure gives the same table.
     """
-    from ..functions import text as TX
-    from ..operators.changes import change_decision, diff_versions, enhancement_gate, previous_version
+    from ..operators.changes import change_decision, diff_versions, previous_version
     from ..operators.text_ops import clean_pipeline
+    from ..operators.versions import VERSION_COLUMNS, version_rows
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         cleaned = (clean_pipeline(batch, "text", "cleaned_md", extract_main=True).drop("text")
                    .withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
                    .persist())
-        try:
+        # chain inside the batch first, then the batch's first version of a page
+        # to the latest stored one before it
+        chained = previous_version(cleaned, key, ["seq", "id"], ["id", "cleaned_md"])
+        if path_exists(spark, table_path):
             touched = [r.bucket for r in cleaned.select("bucket").distinct().collect()]  # at most `buckets` ints
             stored = (spark.read.parquet(table_path)
                       .filter(F.col("bucket").isin(touched) & (F.col("batch_id") < batch_id)))
-            last = (stored.groupBy(key).agg(F.max(F.struct("seq", "id", "cleaned_md")).alias("_l"))
-                          .select(key, F.col("_l.id").alias("_sid"), F.col("_l.cleaned_md").alias("_smd")))
-        except Exception as e:  # noqa: BLE001 - first batch: no table yet
-            if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
-                raise
-            last = None
-        # chain inside the batch first, then the batch's first version of a
-        # page to the latest stored one
-        chained = previous_version(cleaned, key, ["seq", "id"], ["id", "cleaned_md"])
-        if last is not None:
+            # only the batch's pages, and without their text, reach the maximum
+            first = cleaned.groupBy(key).agg(F.min(F.struct("seq", "id")).alias("_first"))
+            last = (stored.select(key, "seq", "id").join(first, key)
+                          .filter(F.struct("seq", "id") < F.col("_first"))
+                          .groupBy(key).agg(F.max(F.struct("seq", "id")).alias("_l"))
+                          .select(key, F.col("_l.seq").alias("seq"), F.col("_l.id").alias("id")))
+            last = (stored.select(key, "seq", "id", "cleaned_md").join(last, [key, "seq", "id"])
+                          .select(key, F.col("id").alias("_sid"), F.col("cleaned_md").alias("_smd")))
             chained = (chained.join(last, key, "left")
                               .withColumn("prev_cleaned_md", F.when(F.col("prev_id").isNull(), F.col("_smd"))
                                           .otherwise(F.col("prev_cleaned_md")))
                               .withColumn("prev_id", F.coalesce("prev_id", "_sid")).drop("_sid", "_smd"))
-        d = diff_versions(chained, "prev_cleaned_md", "cleaned_md")
-        d = change_decision(d)
-        d = d.withColumn("stored_md", enhancement_gate(F.col("cleaned_md"), TX.enhance_content(F.col("cleaned_md"))))
-        out = d.select("id", key, "seq", "prev_id", "cleaned_md", "stored_md", "additions", "deletions",
-                       "has_changes", "importance", "reason", "bucket", F.lit(batch_id).alias("batch_id"))
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        d = version_rows(change_decision(diff_versions(chained, "prev_cleaned_md", "cleaned_md")))
+        out = d.select("id", key, "seq", *VERSION_COLUMNS, "bucket", F.lit(batch_id).alias("batch_id"))
+        (out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("bucket", "batch_id").parquet(table_path))
         cleaned.unpersist()
     return run

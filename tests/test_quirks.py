@@ -95,12 +95,61 @@ def test_q15_double_kept_lines_and_option():
 
 
 def test_q21_first_terminal_event_wins(spark):
-    jobs = _jobs(spark, [(1, 1, "processing", "2024-01-01 00:00:00", None), (2, 1, "processing", "2024-01-01 00:00:00", None)])
-    term = spark.createDataFrame([(1, "2024-01-02 00:00:00", "canceled"), (1, "2024-01-03 00:00:00", "finished"),
-                                  (1, "2024-01-04 00:00:00", "canceled")], "job_id long, ts string, status string") \
-        .withColumn("ts", F.col("ts").cast(TS))
-    out = {r.job_id: r.status for r in J.fold_job_state(jobs, term).collect()}
-    assert out == {1: "canceled", 2: "processing"}
+    """M4: a stored terminal state absorbs the log; stats are replaced (finish,
+    fail, cancel) or merged (complete)."""
+    jobs = _jobs(spark, [(1, 1, "processing", "2024-01-01 00:00:00", None), (2, 1, "processing", "2024-01-01 00:00:00", None),
+                         (3, 1, "finished", "2024-01-01 00:00:00", "2024-01-01 09:00:00"),
+                         (4, 1, "failed", "2024-01-01 00:00:00", "2024-01-01 08:00:00"),
+                         (5, 1, "processing", "2024-01-01 00:00:00", None)]).withColumn("stats", F.lit('{"a":1,"b":2}'))
+    term = spark.createDataFrame(
+        [(1, "2024-01-02 00:00:00", "canceled", '{"reason":"x"}', False), (1, "2024-01-03 00:00:00", "finished", '{"b":9}', True),
+         (3, "2024-01-02 00:00:00", "canceled", '{"reason":"x"}', False), (5, "2024-01-02 00:00:00", "finished", '{"b":9,"c":3}', True)],
+        "job_id long, ts string, status string, stats string, merge boolean").withColumn("ts", F.col("ts").cast(TS))
+    out = {r.job_id: (r.status, str(r.finished_at), r.stats) for r in J.fold_job_state(jobs, term).collect()}
+    assert out == {1: ("canceled", "2024-01-02 00:00:00", '{"reason":"x"}'), 2: ("processing", "None", '{"a":1,"b":2}'),
+                   3: ("finished", "2024-01-01 09:00:00", '{"a":1,"b":2}'), 4: ("failed", "2024-01-01 08:00:00", '{"a":1,"b":2}'),
+                   5: ("finished", "2024-01-02 00:00:00", '{"a":1,"b":9,"c":3}')}
+
+
+def test_k5_only_free_slots(spark):
+    jobs = _jobs(spark, [(i, 100 + i, "processing", "2024-01-01 00:00:00", None) for i in range(3)])
+    req = spark.createDataFrame([(d, f"2024-01-0{d} 00:00:00", d) for d in (1, 2, 3, 4)], "domain_id long, requested_at string, request_id long") \
+        .withColumn("requested_at", F.col("requested_at").cast(TS))
+    assert [r.domain_id for r in K.admit_crawls(req, jobs, 5).collect()] == [1, 2]
+    assert K.admit_crawls(req, jobs, 3).count() == 0
+
+
+def test_r3_pages_go_with_their_last_job(spark):
+    from sitegrove.operators import catalog as C
+    jobs = spark.createDataFrame([(1,), (2,)], "id long")
+    versions = spark.createDataFrame([(10, 7, 1), (11, 7, 2), (12, 8, 1), (13, 8, 1), (14, 9, 2), (15, 9, 1)], "id long, page_id long, job_id long")
+    pages = spark.createDataFrame([(7, 2), (8, 1), (9, 1)], "page_id long, job_id long")
+    arts = spark.createDataFrame([(1, 2)], "id long, job_id long")
+    left = C.cascade_delete_jobs(jobs, versions, arts, spark.createDataFrame([(2,)], "id long"), pages)
+    assert sorted(r.id for r in left["versions"].collect()) == [12, 13, 15]  # 10 goes with its page
+    assert sorted(r.page_id for r in left["pages"].collect()) == [8, 9] and left["artifacts"].count() == 0
+
+
+def test_h7_category_responses(spark):
+    from sitegrove.operators import assemble as A
+    rows = [(1, None), (2, ""), (3, '[["/a"], 5, ["/b", null]]'), (4, "null"), (5, "not json"), (6, '{"A": ["/a"], "B": "/b", "C": []}'), (7, "12"), (8, '"text"')]
+    out = {}
+    for r in A.parse_category_response(spark.createDataFrame(rows, "job_id long, response string")).collect():
+        out.setdefault(r.job_id, []).append((r.cat_pos, r.category, r.patterns))
+    assert {k: sorted(v) for k, v in out.items()} == {
+        3: [(0, "0", ["/a"]), (2, "2", ["/b", "null"])], 4: [(0, "Pages", None)], 5: [(0, "Pages", None)],
+        6: [(0, "A", ["/a"]), (2, "C", [])]}
+    pages = spark.createDataFrame([(i, "https://x/a") for i in (3, 5, 6)], "job_id long, url string")
+    hits = A.match_categories(pages, A.parse_category_response(spark.createDataFrame(rows, "job_id long, response string"))).collect()
+    assert sorted((r.job_id, r.category) for r in hits) == [(3, "0"), (5, "Pages"), (6, "A")]
+
+
+def test_f4_adjacent_sections_and_no_break_space(spark):
+    from sitegrove.functions import text as TX
+    rows = [(1, "intro\n## Menu\nx\n## Footer\ny\n# Real\nz"), (2, "a\n##\u00a0Menu\nb\n#\u00a0Real\nc"), (3, "#\u3000Title here\nx")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    out = {r.id: (r.f4, r.title) for r in df.select("id", TX.drop_boilerplate_sections(F.col("t")).alias("f4"), TX.extract_title(F.col("t")).alias("title")).collect()}
+    assert out[1][0] == "intro\n\n\n# Real\nz" and out[2][0] == "a\n\n#\u00a0Real\nc" and out[3][1] == "Title here"
 
 
 def test_q7_one_trigger_per_job(spark):

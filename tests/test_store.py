@@ -17,7 +17,8 @@ def test_upsert_list_load(spark):
                                ("domains/a_com/jobs/jan_1_2024_00_00_1/pages/y_raw.md", "two"),
                                ("domains/b_com/jobs/jan_2_2024_00_00_2/pages/z_raw.md", "three")], "path string, content string")
     store.upsert_content(spark, a, root)
-    b = spark.createDataFrame([("domains/a_com/jobs/jan_1_2024_00_00_1/pages/x_raw.md", "ONE")], "path string, content string")
+    b = spark.createDataFrame([("domains/a_com/jobs/jan_1_2024_00_00_1/pages/x_raw.md", x) for x in ("ONE", "OLDER")],
+                              "path string, content string")  # a path twice in one write is one object
     store.upsert_content(spark, b, root)
     got = {r.path: r.content for r in spark.read.parquet(root).collect()}
     assert got["domains/a_com/jobs/jan_1_2024_00_00_1/pages/x_raw.md"] == "ONE"
@@ -31,6 +32,14 @@ def test_upsert_list_load(spark):
     assert loaded == {1: "two", 2: ""}
 
 
+def test_append_is_replay_safe(spark):
+    root = tempfile.mkdtemp(prefix="sg-append-", dir="/tmp") + "/versions"
+    a, b = (spark.createDataFrame([(i, "v")], "id long, t string") for i in (1, 2))
+    for df, batch in ((a, "b1"), (b, "b2"), (b, "b2")):
+        store.append_versions(df, root, batch)
+    assert sorted(r.id for r in spark.read.parquet(root).collect()) == [1, 2]
+
+
 def test_write_documents(spark):
     root = tempfile.mkdtemp(prefix="sg-docs-", dir="/tmp") + "/docs"
     d = spark.createDataFrame([("domains/a_com/jobs/f1/llms.txt", "llms_txt", "# a\nbody"),
@@ -85,6 +94,16 @@ def test_foreach_batch_replay_is_idempotent(spark, sf_small):
     assert any(r.prev_id is not None for r in again if r.batch_id == 1)
 
 
+def test_late_version_is_not_chained_to_a_newer_one(spark):
+    from sitegrove.streaming.crawl_stream import version_batches
+    table = tempfile.mkdtemp(prefix="sg-late-", dir="/tmp") + "/versions"
+    run = version_batches(table)
+    for batch, (seq, id_) in enumerate([(0, 10), (5, 15), (3, 13), (6, 16)]):
+        run(spark.createDataFrame([(id_, 1, f"# T\ntext {seq}", seq)], "id long, page_id long, text string, seq long"), batch)
+    got = {r.id: (r.prev_id, r.title) for r in spark.read.parquet(table).collect()}
+    assert got == {10: (None, "T"), 15: (10, "T"), 13: (10, "T"), 16: (15, "T")}
+
+
 def test_webhook_log_batch_roundtrip(spark, sf_small):
     """A1: the webhook log written as JSON lines and read back with the fixed
     schema parses to the same routing as the in-memory log."""
