@@ -82,6 +82,28 @@ Be concise but informative."""
 DEFAULT_DESCRIPTION = "Page content"
 
 
+# H6: texts, and the names of the values between them
+SITE_DOCUMENT = [
+    "Format the following website content according to the llms.txt specification.\n\nDomain: ", "domain",
+    "\n\nSite Overview:\n", "overview", "\n\nAll pages on this site:\n", "pages",
+    "\n\nOutput format requirements:\n"
+    "1. Start with main title using # (domain name)\n"
+    "2. Add site description using > quote syntax\n"
+    "3. Include relevant details about the site in plain text\n"
+    "4. Create ## sections for major topics/categories\n"
+    "5. Use - [Link title](url) format for links with brief descriptions\n"
+    "6. Add an optional \"## Optional\" section at the end for less critical pages\n\n"
+    "Example format:\n# ", "domain",
+    "\n\n> One-line site description goes here\n\nKey details and context about the site.\n\n"
+    "## Main Section\n\n"
+    "- [Page Title](https://example.com/page): Brief description of this page\n"
+    "- [Another Page](https://example.com/other): Description of what this page contains\n\n"
+    "## Optional\n\n"
+    "- [Additional Resource](https://example.com/resource): Less critical content\n\n"
+    "Generate the llms.txt content following this exact structure. Be concise but informative.\n"
+    "Organize pages into logical sections based on their purpose and content."]
+
+
 def _nz(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 
@@ -140,26 +162,14 @@ def site_page_context(title, url, description, summary) -> Column:       # H6 (o
 
 
 def site_document_request(domain, overview, pages_context) -> Column:    # H6
-    d = _c(domain)
-    return F.concat(
-        F.lit("Format the following website content according to the llms.txt specification.\n\nDomain: "), d,
-        F.lit("\n\nSite Overview:\n"), _c(overview), F.lit("\n\nAll pages on this site:\n"), _c(pages_context),
-        F.lit("\n\nOutput format requirements:\n"
-              "1. Start with main title using # (domain name)\n"
-              "2. Add site description using > quote syntax\n"
-              "3. Include relevant details about the site in plain text\n"
-              "4. Create ## sections for major topics/categories\n"
-              "5. Use - [Link title](url) format for links with brief descriptions\n"
-              "6. Add an optional \"## Optional\" section at the end for less critical pages\n\n"
-              "Example format:\n# "), d,
-        F.lit("\n\n> One-line site description goes here\n\nKey details and context about the site.\n\n"
-              "## Main Section\n\n"
-              "- [Page Title](https://example.com/page): Brief description of this page\n"
-              "- [Another Page](https://example.com/other): Description of what this page contains\n\n"
-              "## Optional\n\n"
-              "- [Additional Resource](https://example.com/resource): Less critical content\n\n"
-              "Generate the llms.txt content following this exact structure. Be concise but informative.\n"
-              "Organize pages into logical sections based on their purpose and content."))
+    values = {"domain": _c(domain), "overview": _c(overview), "pages": _c(pages_context)}
+    return F.concat(*[values[x] if x in values else F.lit(x) for x in SITE_DOCUMENT])
+
+
+def site_document_sql(domain: str, overview: str, pages_context: str, literal) -> str:
+    """The same as an SQL expression; ``literal`` spells a text in SQL."""
+    values = {"domain": domain, "overview": overview, "pages": pages_context}
+    return " || ".join(values[x] if x in values else literal(x) for x in SITE_DOCUMENT)
 
 
 def token_estimate(*messages) -> Column:                                 # H8

@@ -279,8 +279,3 @@ def carry_forward_inputs(versions: DataFrame, jobs: DataFrame) -> DataFrame:
     latest = top1(acc, ["domain_id", "url"], [F.col("created_at"), F.col("id")],
                   ["id", "created_at", "title", "description", "summary"])
     return latest.join(last.select("domain_id", "job_id"), "domain_id")
-
-
-def document_sections(index_docs: DataFrame) -> DataFrame:
-    """Documents as ordered lines (job_id, kind, line_no, text) for the text sink."""
-    return index_docs.select("job_id", "kind", F.posexplode(F.split("content", "\n", -1)).alias("line_no", "text"))

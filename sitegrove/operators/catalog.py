@@ -184,15 +184,6 @@ def domain_detail(domains: DataFrame, jobs: DataFrame, versions_page: DataFrame)
                      F.coalesce("job_count", F.lit(0)).alias("job_count"), "pages"))
 
 
-def change_breakdown(versions: DataFrame) -> DataFrame:                            # D8
-    imp = F.col("importance")
-    return versions.groupBy("job_id").agg(
-        F.count_if(F.col("reason") == "New page").alias("new_pages"),
-        F.count_if(imp.isNull()).alias("unchanged"),
-        F.count_if(imp == 1).alias("minor"),
-        F.count_if((imp >= 2) & (F.col("reason") != "New page")).alias("significant"))
-
-
 # ---- E: top-1 / top-k --------------------------------------------------------------------
 
 def latest_version_per_page(versions: DataFrame, cols: list[str]) -> DataFrame:    # E1

@@ -62,15 +62,24 @@ def processed_events(pages: DataFrame) -> DataFrame:
                          F.expr("timestampadd(SECOND, CAST(event_id % 7 AS INT), ts)").alias("ts")))
 
 
-def job_events(pages: DataFrame, closes: DataFrame) -> DataFrame:
+def job_events(matched: DataFrame) -> DataFrame:
     """One (job_id, ts, kind) row per step: 1 = page received, 2 = page
-    processed, 3 = stream closed. Received and processed rows come from one
-    pass over the pages (a generator), not two scans."""
-    recv = F.struct(F.col("ts").alias("ts"), F.lit(1).alias("kind"))
-    proc = F.struct(F.expr("timestampadd(SECOND, CAST(event_id % 7 AS INT), ts)").alias("ts"), F.lit(2).alias("kind"))
-    both = F.when(F.col("event_id") % 10 != 9, F.array(recv, proc)).otherwise(F.array(recv))
-    p = pages.select("job_id", F.explode(both).alias("e")).select("job_id", "e.ts", "e.kind")
-    return p.unionByName(closes.select("job_id", "ts", F.lit(3).alias("kind")))
+    processed, 3 = stream closed. ``matched``: the log's page documents and
+    closes with their job. One aggregate dedupes the pages (S1) and carries the
+    closes, whose event id is their key, and one generator makes the steps: the
+    log is read once whatever reads the steps."""
+    page = F.col("type") == "crawl.page"
+    rows = matched.filter((page & (F.col("job_status") == "processing")) | (F.col("type") == "crawl.completed"))
+    rows = rows.select("job_id", page.alias("page"), F.when(page, F.col("url")).alias("url"),
+                       F.when(page, F.col("scrape_id")).alias("scrape_id"), F.when(~page, F.col("event_id")).alias("close_id"),
+                       F.struct("ts", "event_id", "doc_pos").alias("first"))
+    once = rows.groupBy("job_id", "page", "url", "scrape_id", "close_id").agg(F.min("first").alias("first"))
+    ts, event = F.col("first.ts"), F.col("first.event_id")
+    recv = F.struct(ts.alias("ts"), F.lit(1).alias("kind"))
+    proc = F.struct((ts + F.make_dt_interval(secs=(event % 7).cast("decimal(18,6)"))).alias("ts"), F.lit(2).alias("kind"))
+    close = F.struct(ts.alias("ts"), F.lit(3).alias("kind"))
+    steps = F.when(~F.col("page"), F.array(close)).when(event % 10 != 9, F.array(recv, proc)).otherwise(F.array(recv))
+    return once.select("job_id", F.explode(steps).alias("e")).select("job_id", "e.ts", "e.kind")
 
 
 # ----------------------------------------------------------------------------- S2 / D6

@@ -1,11 +1,11 @@
 """Near-match at scale (G12): MinHash signatures over word shingles with
 locality-sensitive banding, built from Spark SQL functions only.
 
-No candidate pairs are ever materialised: documents are grouped by band key
-and every document takes the smallest document id that shares one of its
-bands (one propagation round). Exact copies share all bands, so a cluster of
-copies collapses to its smallest id whatever its size; a band key holding a
-third of all documents is one group, reduced map-side by a ``min``.
+Candidate pairs are never multiplied out: every member of a band is compared
+with the band's smallest document id only. Pairs that reach the threshold on
+the shingle sets themselves are edges, and groups are their connected
+components. Texts with equal normalised text are one row of this, whatever
+their number.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fingerprint_normalize
+from .graph import connected_components
 
 
 def shingles(text: Column, k: int = 3) -> Column:
@@ -29,16 +30,23 @@ def shingles(text: Column, k: int = 3) -> Column:
     return F.element_at(F.transform(F.array(words), grams), 1)
 
 
-def near_match_groups(docs: DataFrame, key: str, text: str, bands: int = 8, rows: int = 4) -> DataFrame:
-    """(key, group_id, near_copy): group_id is the smallest key sharing a
-    MinHash band with the document (itself when none)."""
-    sh = docs.select(key, shingles(F.col(text)).alias("_sh"))
+def near_match_groups(docs: DataFrame, key: str, text: str, bands: int = 8, rows: int = 4, threshold: float = 0.5) -> DataFrame:
+    """(key, group_id, near_copy): group_id is the smallest key of the group of
+    documents connected by verified similarity (itself when there is none)."""
     def seeded(i):  # a one-argument lambda: a second parameter would be bound to the element index
         return lambda s: F.xxhash64(s, F.lit(i))
-    sig = [F.array_min(F.transform("_sh", seeded(i))) for i in range(bands * rows)]
-    sig_df = sh.select(key, F.array(*sig).alias("_sig"))
+    same = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("_h", F.sha2(fingerprint_normalize(F.col("_t")), 256))
+    first = same.groupBy("_h").agg(F.min(F.struct(key, "_t")).alias("_m"))
+    sh = first.select(F.col(f"_m.{key}").alias("_k"), shingles(F.col("_m._t")).alias("_sh")).checkpoint()
+    sig = F.array(*[F.array_min(F.transform("_sh", seeded(i))) for i in range(bands * rows)])
     band_keys = F.array(*[F.xxhash64(F.lit(b), F.slice("_sig", b * rows + 1, rows)) for b in range(bands)])
-    per_band = sig_df.select(key, F.explode(band_keys).alias("band"))
-    reps = per_band.groupBy("band").agg(F.min(key).alias("rep"))
-    best = per_band.join(reps, "band").groupBy(key).agg(F.min("rep").alias("group_id"))
-    return best.select(key, "group_id", (F.col("group_id") != F.col(key)).alias("near_copy"))
+    per_band = sh.select("_k", sig.alias("_sig")).select("_k", F.explode(band_keys).alias("band"))
+    reps = per_band.groupBy("band").agg(F.min("_k").alias("rep"), F.max("_k").alias("_z")).filter("rep < _z").select("band", "rep")
+    pairs = per_band.join(reps, "band").filter("_k <> rep").select("_k", "rep").distinct()
+    both = (pairs.join(sh, "_k").withColumnRenamed("_sh", "_a")
+            .join(sh.select(F.col("_k").alias("rep"), F.col("_sh").alias("_b")), "rep"))
+    common = F.size(F.array_intersect("_a", "_b"))
+    edges = both.filter(common / (F.size("_a") + F.size("_b") - common) >= threshold).select(F.col("_k").alias("a"), F.col("rep").alias("b"))
+    roots = connected_components(edges).select(F.col("v").alias("_k"), F.col("root").alias("_root"))
+    groups = first.select("_h", F.col(f"_m.{key}").alias("_k")).join(roots, "_k", "left").select("_h", F.coalesce("_root", "_k").alias("group_id"))
+    return same.select(key, "_h").join(groups, "_h").select(key, "group_id", (F.col("group_id") != F.col(key)).alias("near_copy"))

@@ -147,12 +147,13 @@ SELECT page_id, url, greatest(0, least(100, 50
   + CASE WHEN n > 5000 THEN 10 ELSE 0 END + CASE WHEN n > 10000 THEN 10 ELSE 0 END)) DESC, page_id) AS rank_in_site
 FROM p""")
 def q_page_rank(spark, sf):
-    from pyspark.sql import Window
+    from ..operators.catalog import split_row_number
     p = D.crawled_pages(spark, sf)
-    scored = p.select("page_id", "url", "domain",
+    scored = p.select("page_id", "url", F.coalesce("domain", F.lit("")).alias("domain"),
                       A.page_rank_score(F.col("url"), F.length("raw_md")).cast("long").alias("score"))
-    w = Window.partitionBy("domain").orderBy(F.col("score").desc(), F.col("page_id"))
-    return scored.withColumn("rank_in_site", F.row_number().over(w).cast("long")).drop("domain")
+    # a site's pages are numbered within each of its at most 101 scores
+    ranked = split_row_number(scored.withColumn("low", -F.col("score")), "domain", "low", "page_id", bucket_col="low")
+    return ranked.select("page_id", "url", "score", F.col("rn").alias("rank_in_site"))
 
 
 # category responses per job, spelled by job id % 9: a valid object, an object
@@ -373,16 +374,24 @@ def q_summary_responses(spark, sf):
 
 @register("enhancement_requests", "H4,C1,G7", sql=with_views("d_version_detail", "d_domain", "d_profile") + f"""
 SELECT v.id, d.model, coalesce(p.summary_prompt, {_lit(H.ENHANCE_SYSTEM)}) AS system_prompt,
-       'Process the following markdown content:' || {NN} || coalesce(v.summary, v.title) AS user_message
+       'Process the following markdown content:' || {NN} || coalesce(pg.html, v.summary, v.title) AS user_message
 FROM d_version_detail v JOIN d_domain d ON d.id = v.domain_id LEFT JOIN d_profile p ON p.id = d.profile_id
+LEFT JOIN pages pg ON pg.page_id = v.page_id
 WHERE v.importance >= 2""")
 def q_enhancement_requests(spark, sf):
+    return _enhancement_inputs(spark, sf).select("id", "model", F.col("system").alias("system_prompt"), F.col("user").alias("user_message"))
+
+
+def _enhancement_inputs(spark, sf):
+    """H4 for every version to enhance: the stored page text where there is one,
+    else the version's summary or title."""
     v = D.page_version_details(spark, sf).filter(F.col("importance") >= 2)
     d = D.domains(spark, sf).select(F.col("id").alias("domain_id"), "model", "profile_id")
     p = D.profiles(spark, sf).select(F.col("id").alias("profile_id"), "summary_prompt")
-    x = v.join(d, "domain_id").join(p, "profile_id", "left")
-    system, user = H.enhancement_request(F.coalesce(F.col("summary"), F.col("title")), F.col("summary_prompt"))
-    return x.select("id", "model", system.alias("system_prompt"), user.alias("user_message"))
+    text = D.crawled_pages(spark, sf).select("page_id", "raw_md")
+    x = v.join(d, "domain_id").join(p, "profile_id", "left").join(text, "page_id", "left")
+    system, user = H.enhancement_request(F.coalesce("raw_md", "summary", "title"), F.col("summary_prompt"))
+    return x.select("id", "job_id", "model", system.alias("system"), user.alias("user"))
 
 
 @register("site_requests", "H5,H6,E11", sql=_V + f"""
@@ -424,6 +433,41 @@ def q_site_requests(spark, sf):
                     F.length("ctx").cast("long").alias("context_chars"))
 
 
+@register("site_document_requests", "H6", sql=_V + f"""
+SELECT job_id, {H.site_document_sql("any_value(domain)", "'An overview of ' || any_value(domain)", f"""
+       string_agg({NL} || '- Title: ' || {_title_sql('Page')} || {NL} || '  URL: ' || url || {NL}
+                  || '  Description: ' || CASE WHEN {_nz('v.description')} THEN v.description ELSE 'Page content' END
+                  || {NL} || '  ' || CASE WHEN {_nz('v.summary')} THEN 'Summary: ' || v.summary ELSE '' END,
+                  {NL} ORDER BY url, created_at, id)""", _lit)} AS request
+FROM v GROUP BY job_id""")
+def q_site_document_requests(spark, sf):
+    """The whole request text of H6 for every job, with a fixed overview."""
+    det = _details(spark, sf)
+    t = A.display_title(F.col("title"), F.col("url"), "Page")
+    desc = F.when(F.col("description").isNotNull() & (F.col("description") != ""), F.col("description")) \
+        .otherwise(F.lit("Page content"))
+    per = det.groupBy("job_id", "domain").agg(F.array_sort(F.collect_list(F.struct(
+        "url", "created_at", "id", H.site_page_context(t, F.col("url"), desc, F.col("summary")).alias("ctx")))).alias("_p"))
+    ctx = F.array_join(F.transform("_p", lambda x: x["ctx"]), "\n")
+    return per.select("job_id", H.site_document_request(
+        F.col("domain"), F.concat(F.lit("An overview of "), F.col("domain")), ctx).alias("request"))
+
+
+@register("job_token_totals", "H8,H4", sql=with_views("d_version_detail", "d_domain", "d_profile") + f"""
+SELECT v.job_id, count(*) AS requests,
+       CAST(sum(CAST(ceil(length(coalesce(p.summary_prompt, {_lit(H.ENHANCE_SYSTEM)})) / 4) AS BIGINT)
+         + CAST(ceil(length('Process the following markdown content:' || {NN} || coalesce(pg.html, v.summary, v.title)) / 4) AS BIGINT))
+         AS BIGINT) AS prompt_tokens
+FROM d_version_detail v JOIN d_domain d ON d.id = v.domain_id LEFT JOIN d_profile p ON p.id = d.profile_id
+LEFT JOIN pages pg ON pg.page_id = v.page_id
+WHERE v.importance >= 2 GROUP BY v.job_id""")
+def q_job_tokens(spark, sf):
+    """H8 totals per job over its enhancement requests."""
+    x = _enhancement_inputs(spark, sf)
+    return x.groupBy("job_id").agg(F.count(F.lit(1)).alias("requests"),
+                                   F.sum(H.token_estimate(F.col("system"), F.col("user"))).alias("prompt_tokens"))
+
+
 @register("short_summary_requests", "H9", sql=f"""
 SELECT page_id, 'Summarize this page from ' || url || ' in 200 characters or less:' || {NN}
          || substr({Q.clean_basic('html')}, 1, 3000)

@@ -149,20 +149,25 @@ def _sim_sql(a: str, b: str) -> str:
             f"WHEN greatest(length({na}), length({nb})) = 0 THEN 1.0 ELSE {ls} * 0.3 + {jac} * 0.7 END")
 
 
-@register("similarity_chain", "G10,G11,C7", sql=with_views("d_chain") + f"""
+@register("similarity_chain", "G10,G11,C7", sql=with_views("d_chain", "d_profile") + f"""
 , p AS (SELECT id, page_id, text, lag(text) OVER (PARTITION BY page_id ORDER BY seq, id) AS prev_text FROM d_chain)
-, s AS (SELECT id, page_id, {_sim_sql('prev_text', 'text')} AS similarity FROM p WHERE prev_text IS NOT NULL)
+, s AS (SELECT p.id, page_id, {_sim_sql('prev_text', 'text')} AS similarity,
+               coalesce(CAST(json_extract_string(f.params, '$.similarityThreshold') AS DOUBLE), 0.95) AS threshold
+        FROM p LEFT JOIN d_profile f ON f.id = p.page_id % 25 WHERE prev_text IS NOT NULL)
 SELECT id, page_id, similarity, similarity < 0.95 AS changed,
        CASE WHEN similarity < 0.95 THEN 'Content changed by ' || CAST(CAST(floor((1.0 - similarity) * 100 + 0.5) AS BIGINT) AS VARCHAR) || '%'
             ELSE 'Content similarity ' || CAST(CAST(floor(similarity * 100 + 0.5) AS BIGINT) AS VARCHAR) || '% (above 95% threshold)' END AS reason,
-       similarity < 0.85 AS changed_profile
+       similarity < threshold AS changed_profile
 FROM s""")
 def q_similarity(spark, sf):
     c = G.previous_version(D.version_chain(spark, sf), "page_id", ["seq", "id"], ["text"])
     s = c.filter(F.col("prev_text").isNotNull()).select(
         "id", "page_id", G.similarity(F.col("prev_text"), F.col("text")).alias("similarity"))
     changed, reason = G.changed_enough(F.col("similarity"), F.lit(0.95))
-    changed_p, _ = G.changed_enough(F.col("similarity"), G.profile_threshold(F.lit('{"similarityThreshold": 0.85}')))
+    # each page's profile (page_id % 25) has its own threshold
+    profile = D.profiles(spark, sf).select(F.col("id").alias("_p"), "params")
+    s = s.join(profile, F.col("page_id") % 25 == F.col("_p"), "left")
+    changed_p, _ = G.changed_enough(F.col("similarity"), G.profile_threshold(F.col("params")))
     return s.select("id", "page_id", "similarity", changed.alias("changed"), reason.alias("reason"),
                     changed_p.alias("changed_profile"))
 
@@ -189,13 +194,12 @@ SELECT id, page_id, fingerprint,
                             ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_version_id
 FROM f""")
 def q_new_pages(spark, sf):
-    from pyspark.sql import Window
     c = D.version_chain(spark, sf).withColumn("fingerprint", TX.fingerprint(F.col("text")))
+    last = c.groupBy("page_id").agg(F.max(F.struct("seq", "id"))["id"].alias("last_version_id"))
     c = G.previous_version(c, "page_id", ["seq", "id"], ["id", "fingerprint"])
-    whole = Window.partitionBy("page_id")
-    return c.select("id", "page_id", "fingerprint", "prev_id", F.col("prev_id").isNull().alias("is_new"),
+    return c.join(last, "page_id").select("id", "page_id", "fingerprint", "prev_id", F.col("prev_id").isNull().alias("is_new"),
                     F.coalesce(F.col("prev_fingerprint") == F.col("fingerprint"), F.lit(False)).alias("same_as_prev"),
-                    F.max(F.struct("seq", "id")).over(whole)["id"].alias("last_version_id"))
+                    "last_version_id")
 
 
 @register("near_duplicate_groups", "G12", sql=None)

@@ -35,7 +35,7 @@ def event_pipeline(spark, sf):
     closes = keyed.filter(F.col("type") == "crawl.completed").select("job_id", "ts")
     return {"jobs": jobs, "parsed": parsed, "docs": E.explode_pages(parsed), "matched": docs_matched,
             "unmatched": unmatched, "pages": pages, "closes": closes, "processed": J.processed_events(pages),
-            "events": J.job_events(pages, closes)}
+            "events": J.job_events(matched)}
 
 
 # SQL form of the same lineage (spelling rules of sources.events.webhook_payloads)
