@@ -111,7 +111,10 @@ def lines_to_drop(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batch
     for b in range(len(bounds) + 1):
         once = lines.where(F.col("batch") == b).groupBy("h1", "h2", "k1", "k2").agg(F.first("doc_id").alias("doc_id"))
         runs.add(once)
-    drop = lines.join(runs.repeated(), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keep_doc")))
+    # stored, so that both sides of the join are shuffled for it alone and adaptive
+    # execution can split the rows of a hot line
+    repeated = write_out(runs.repeated(), "repeated-lines")
+    drop = lines.join(repeated, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keep_doc")))
     return drop.groupBy("k1", "k2").agg(F.collect_set("pos").alias("drops"))
 
 
