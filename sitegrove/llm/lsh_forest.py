@@ -225,7 +225,8 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
         "s1", "s2", F.coalesce("root", "cid").alias("group"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     has = rows.where("label is not null").drop("grams", "label").join(per_class, ["s1", "s2"])
     has = write_out(has.select("rid", "doc_id", "k1", "k2", "group", "n_links"), "grouped")
-    least = has.groupBy("group").agg(F.min("doc_id").alias("class_id"))
+    # stored, so that adaptive execution can split the rows of a large group
+    least = write_out(has.groupBy("group").agg(F.min("doc_id").alias("class_id")), "least-ids")
     alone = rows.where("label is null").select("rid", "doc_id", "k1", "k2", F.col("rid").alias("group"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return has.join(least, "group").select(*alone.columns).unionByName(alone)
 
