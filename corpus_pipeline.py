@@ -16,9 +16,10 @@ TOKENIZER = "word_bpe_49k.json"
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject. It learns from the
-    labels of the learning folds; without labels nothing is rejected."""
+    labels of the learning folds; if those don't hold documents of both kinds,
+    nothing is rejected."""
     model = mil_quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out(4, 2))
-    return mil_quality.keep_good(docs, model)
+    return docs if isinstance(model, float) else mil_quality.keep_good(docs, model)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
