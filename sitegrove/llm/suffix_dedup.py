@@ -274,7 +274,7 @@ def repeated_cells(stored: DataFrame, cell: int, length: int, sort_limit: int, t
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, cell: int = 16, sample_docs: int = 2048, sort_limit: int = 4096,
-                   task_cells: int = 20_000) -> DataFrame:
+                   task_cells: int = 5_000) -> DataFrame:
     """(doc_id, n_bytes, kept, runs) of every row: the remaining bytes, and the
     maximal removed runs (start, end)."""
     keyed = _keyed(docs)
