@@ -22,7 +22,8 @@ INPUT_TABLE = {
     "pages_by_host_category": "pages", "clean_documents": "documents", "version_changes": "conversations",
     "full_documents": "lineitem", "index_documents": "lineitem", "due_domains_scheduled": "orders",
     "final_job_stats": "lineitem", "job_progress": "events", "ready_triggers": "events",
-    "domain_dashboard": "lineitem",
+    "domain_dashboard": "lineitem", "artifact_rows": "lineitem", "full_documents_categorized": "lineitem",
+    "site_requests": "lineitem", "version_diff_text": "conversations", "near_duplicate_groups": "documents",
 }
 
 HEADLINE = [
@@ -36,6 +37,11 @@ HEADLINE = [
     "job_progress",                # S2 counters from the event log
     "ready_triggers",              # S3 batch form
     "domain_dashboard",            # D4
+    "artifact_rows",               # I9 both documents of the gated jobs
+    "full_documents_categorized",  # I4 with response categories
+    "site_requests",               # H5, H6
+    "version_diff_text",           # G4
+    "near_duplicate_groups",       # G12
 ]
 
 

@@ -67,7 +67,9 @@ def jobs_by_status(jobs: DataFrame, domains: DataFrame, status: str) -> DataFram
 
 
 def job_search(jobs: DataFrame, versions: DataFrame, domains: DataFrame, status: str | None,
-               domain: str | None, start: str, end: str, as_of: str) -> DataFrame:   # B5
+               domain: str | None, start: str, end: str, as_of: str, expected_pages: int = 100) -> DataFrame:   # B5
+    """Jobs started in [start, end), with their pages so far, the share of the
+    pages a crawl may fetch (in whole percent, 100 once finished) and duration."""
     j = jobs.filter((F.col("started_at") >= F.lit(start).cast("timestamp_ntz")) &
                     (F.col("started_at") < F.lit(end).cast("timestamp_ntz")))
     if status:
@@ -82,6 +84,9 @@ def job_search(jobs: DataFrame, versions: DataFrame, domains: DataFrame, status:
              .join(counts.withColumnRenamed("job_id", "id"), "id", "left")
              .select("id", "domain", "status", "started_at", "finished_at",
                      F.coalesce("pages_processed", F.lit(0)).alias("pages_processed"),
+                     F.when(F.col("status") == "finished", F.lit(100))
+                      .otherwise(F.least(F.lit(100), F.floor(F.coalesce("pages_processed", F.lit(0)) * 100 / F.lit(expected_pages))))
+                      .cast("long").alias("progress_percent"),
                      js_round(dur).cast("long").alias("duration_minutes")))
 
 

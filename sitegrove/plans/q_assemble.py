@@ -282,23 +282,31 @@ def q_artifact_rows(spark, sf):
     return A.artifact_rows(idx.unionByName(full), D.jobs(spark, sf), D.artifacts(spark, sf))
 
 
-@register("rendered_templates", "I10,C1", sql=with_views("d_domain", "d_profile") + """
+@register("rendered_templates", "I10,C1", sql=with_views("d_domain", "d_profile", "d_version_detail") + """
+, s AS (SELECT domain_id, string_agg('- ' || url || ': ' || summary, chr(10) ORDER BY url, id) AS summaries
+        FROM d_version_detail WHERE summary <> '' GROUP BY domain_id)
 , r AS (SELECT d.id AS domain_id, d.domain, p.template,
                replace(replace(p.header, '{{date}}', '2024-02-01'), '{{domain}}', d.domain) AS hdr
         FROM d_domain d JOIN d_profile p ON p.id = d.profile_id)
 SELECT domain_id, replace(replace(replace(replace(replace(template, '{{header}}', coalesce(hdr, '')),
          '{{date}}', '2024-02-01'), '{{domain}}', domain),
-         '{{domainSummary}}', 'Comprehensive content archive from ' || domain), '{{pageSummaries}}', '') AS rendered
-FROM r""")
+         '{{domainSummary}}', 'Comprehensive content archive from ' || domain), '{{pageSummaries}}', coalesce(s.summaries, '')) AS rendered
+FROM r LEFT JOIN s USING (domain_id)""")
 def q_templates(spark, sf):
     d = D.domains(spark, sf).select(F.col("id").alias("domain_id"), "domain", "profile_id")
     p = D.profiles(spark, sf).select(F.col("id").alias("profile_id"), "template", "header")
-    x = d.join(p, "profile_id")
+    # a rendered template holds all page summaries of its domain
+    line = F.concat(F.lit("- "), F.col("url"), F.lit(": "), F.col("summary"))
+    s = (D.page_version_details(spark, sf).filter(F.col("summary") != "").groupBy("domain_id")
+         .agg(F.array_sort(F.collect_list(F.struct("url", "id", line.alias("line")))).alias("_s"))
+         .select("domain_id", F.array_join(F.transform("_s", lambda e: e["line"]), "\n").alias("summaries")))
+    x = d.join(p, "profile_id").join(s, "domain_id", "left")
     date = F.lit(AS_OF[:10])
     hdr = F.replace(F.replace(F.col("header"), F.lit("{{date}}"), date), F.lit("{{domain}}"), F.col("domain"))
     return x.select("domain_id", A.render_template(
         F.col("template"), hdr, date, F.col("domain"),
-        F.concat(F.lit("Comprehensive content archive from "), F.col("domain")), F.lit("")).alias("rendered"))
+        F.concat(F.lit("Comprehensive content archive from "), F.col("domain")),
+        F.coalesce("summaries", F.lit(""))).alias("rendered"))
 
 
 @register("carry_forward_documents", "I11,I2,E4", sql=with_views("d_version_detail", "d_job", "d_domain") + """

@@ -56,13 +56,14 @@ def q_jobs_by_status(spark, sf):
 
 @register("job_search_1997", "B5", sql=with_views("d_job", "d_domain", "d_version") + f"""
 SELECT j.id, d.domain, j.status, j.started_at, j.finished_at,
-       coalesce(v.n, 0) AS pages_processed, {_DUR.format(f='j.finished_at', s='j.started_at')} AS duration_minutes
+       coalesce(v.n, 0) AS pages_processed, {_DUR.format(f='j.finished_at', s='j.started_at')} AS duration_minutes,
+       CAST(CASE WHEN j.status = 'finished' THEN 100 ELSE least(100, coalesce(v.n, 0)) END AS BIGINT) AS progress_percent
 FROM d_job j JOIN d_domain d ON j.domain_id = d.id
 LEFT JOIN (SELECT job_id, count(*) AS n FROM d_version GROUP BY job_id) v ON v.job_id = j.id
 WHERE j.started_at >= TIMESTAMP '1997-01-01 00:00:00' AND j.started_at < TIMESTAMP '1998-01-01 00:00:00'
-  AND j.status = 'finished'""")
+  AND j.status = 'processing'""")
 def q_job_search(spark, sf):
-    return C.job_search(D.jobs(spark, sf), D.page_versions(spark, sf), D.domains(spark, sf), "finished",
+    return C.job_search(D.jobs(spark, sf), D.page_versions(spark, sf), D.domains(spark, sf), "processing",
                         None, "1997-01-01 00:00:00", "1998-01-01 00:00:00", AS_OF)
 
 

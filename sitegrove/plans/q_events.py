@@ -75,6 +75,20 @@ def q_routing(spark, sf):
     return event_pipeline(spark, sf)["parsed"].drop("data")
 
 
+@register("webhook_quarantine", "A1,A3", sql=_EV + """
+SELECT event_id, ts, status AS reason FROM st WHERE status <> 'accepted'
+UNION ALL SELECT event_id, ts, 'no_job' FROM st
+          WHERE status = 'accepted' AND NOT EXISTS (SELECT 1 FROM d_job j WHERE j.external_id = st.external_id)""")
+def q_quarantine(spark, sf):
+    """Deliveries that count for nothing, and why: unreadable payloads, unknown
+    types, and crawl ids that no job has (the reference's 404s)."""
+    e = event_pipeline(spark, sf)
+    parsed = e["parsed"]
+    unknown = J.lookup_jobs(parsed.filter(F.col("status") == "accepted"), e["jobs"])[1]
+    return (parsed.filter(F.col("status") != "accepted").select("event_id", "ts", F.col("status").alias("reason"))
+            .unionByName(unknown.select("event_id", "ts", F.lit("no_job").alias("reason"))))
+
+
 @register("page_documents", "A2", sql=_EV + """
 SELECT event_id, ts, 'crawl.page' AS type, external_id, doc_pos, url, markdown, title, scrape_id FROM docs""")
 def q_page_documents(spark, sf):
