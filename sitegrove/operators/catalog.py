@@ -274,20 +274,22 @@ def first_pages(versions_page: DataFrame, n: int = 10) -> DataFrame:
 
 
 def split_row_number(df: DataFrame, key, ts: str, tie: str, unit: str = "month",
-                     descending: bool = False, bucket_col: str | None = None) -> DataFrame:
+                     descending: bool = False, bucket_col: str | None = None, total: str | None = None) -> DataFrame:
     """``row_number()`` over (key ordered by ts, tie) without sending a key's
     rows to one task: rows are counted per (key, time bucket) with a map-side
     aggregate, the bucket counts get a running sum per key (one row per bucket),
     and the number inside a bucket is a window over (key, bucket) only.
     ``bucket_col`` orders by that column first (e.g. url) and uses its values
-    as the buckets instead of time truncated to ``unit``."""
+    as the buckets instead of time truncated to ``unit``. ``total`` names a column
+    for the number of the key's rows, from the same bucket counts."""
     keys = [key] if isinstance(key, str) else list(key)
     b = F.col(bucket_col) if bucket_col else F.date_trunc(unit, F.col(ts))
     d = df.withColumn("_b", b)
     per = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     border = F.col("_b").desc() if descending else F.col("_b").asc()
     before = Window.partitionBy(*keys).orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    every = [F.sum("_n").over(Window.partitionBy(*keys)).alias(total)] if total else []
+    offsets = per.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), *every)
     o = [F.col(ts).desc(), F.col(tie).desc()] if descending else [F.col(ts).asc(), F.col(tie).asc()]
     inside = Window.partitionBy(*keys, "_b").orderBy(*o)
     return (d.withColumn("_in", F.row_number().over(inside)).join(offsets, [*keys, "_b"])
@@ -296,12 +298,10 @@ def split_row_number(df: DataFrame, key, ts: str, tie: str, unit: str = "month",
 
 def version_history(versions: DataFrame) -> DataFrame:                             # E12
     """Every version with its page's true version count and its rank (newest
-    first); counts by aggregate, ranks by ``split_row_number``."""
-    counts = versions.groupBy("page_id").agg(F.count(F.lit(1)).alias("version_count"))
+    first), both from the bucket counts of ``split_row_number``."""
     ranked = split_row_number(versions.select("page_id", "id", "created_at"), "page_id", "created_at", "id",
-                              descending=True)
-    return ranked.join(counts, "page_id").select("page_id", "id", "created_at", "version_count",
-                                                 F.col("rn").alias("version_rank"))
+                              descending=True, total="version_count")
+    return ranked.select("page_id", "id", "created_at", "version_count", F.col("rn").alias("version_rank"))
 
 
 # ---- R: integrity -----------------------------------------------------------------------
