@@ -17,7 +17,7 @@ from ..functions.text import fingerprint_normalize
 from .graph import connected_components
 
 
-def shingles(text: Column, k: int = 3) -> Column:
+def shingles(text: Column, k: int = 5) -> Column:
     """Distinct word k-grams of the normalised text (the whole text when it
     has fewer than k words). The word array is bound once (one-element
     ``transform``) so the lambda does not re-split the text per k-gram."""
@@ -30,7 +30,8 @@ def shingles(text: Column, k: int = 3) -> Column:
     return F.element_at(F.transform(F.array(words), grams), 1)
 
 
-def near_match_groups(docs: DataFrame, key: str, text: str, bands: int = 8, rows: int = 4, threshold: float = 0.5) -> DataFrame:
+def near_match_groups(docs: DataFrame, key: str, text: str, bands: int = 16, rows: int = 4,
+                      threshold: float = 0.8) -> DataFrame:
     """(key, group_id, near_copy): group_id is the smallest key of the group of
     documents connected by verified similarity (itself when there is none)."""
     def seeded(i):  # a one-argument lambda: a second parameter would be bound to the element index

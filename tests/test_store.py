@@ -63,7 +63,7 @@ def test_near_match_chain_is_one_group(spark):
     """Texts that each resemble the next one only: one group, and every member is
     similar to another one; a shared band alone makes no group."""
     words = [f"w{i}" for i in range(400)]
-    docs = [(i, " ".join(words[i * 12:i * 12 + 100])) for i in range(8)] + [(90, "w1 w2 w3 alone"), (91, None), (92, None)]
+    docs = [(i, " ".join(words[i * 6:i * 6 + 100])) for i in range(8)] + [(90, "w1 w2 w3 alone"), (91, None), (92, None)]
     g = {r.id: r.group_id for r in near_match_groups(spark.createDataFrame(docs, "id long, t string"), "id", "t", bands=32, rows=2).collect()}
     assert [g[i] for i in range(8)] == [0] * 8 and g[90] == 90 and g[91] == g[92] == 91
 
