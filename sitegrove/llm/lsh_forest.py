@@ -143,6 +143,27 @@ def _least_roots(ids: np.ndarray, linked: np.ndarray) -> np.ndarray:
         root = new
 
 
+def _least_roots_across(a: np.ndarray, b: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least id of each row's and of each column's component, for a matrix of
+    links between the ids a and the ids b. Each row and column is visited once."""
+    root_a, root_b = a.copy(), b.copy()
+    new_a, new_b = np.ones(len(a), bool), np.ones(len(b), bool)
+    for first in range(len(a)):
+        if not new_a[first]:
+            continue
+        rows, all_rows, all_cols = np.array([first]), [], []
+        while len(rows):
+            new_a[rows] = False
+            all_rows.append(rows)
+            cols = np.flatnonzero(linked[rows].any(0) & new_b)
+            new_b[cols] = False
+            all_cols.append(cols)
+            rows = np.flatnonzero(linked[:, cols].any(1) & new_a)
+        in_a, in_b = np.concatenate(all_rows), np.concatenate(all_cols)
+        root_a[in_a] = root_b[in_b] = min(a[in_a].min(), b[in_b].min(initial=np.iinfo(np.int64).max))
+    return root_a, root_b
+
+
 def verify(members: DataFrame, threshold: float, block_members: int, block_grams: int) -> DataFrame:
     """members: (comp, cid, copies, set). (cid, linked, to): documents linked to
     the class in some task, and the least class it is connected with there."""
@@ -174,18 +195,10 @@ def verify(members: DataFrame, threshold: float, block_members: int, block_grams
             a, b = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
             if len(a) and len(b):
                 linked = links_between([sets[r] for r in a], [sets[r] for r in b], threshold)
-                far = np.iinfo(np.int64).max
-                for x, y, m in ((a, b, linked), (b, a, linked.T)):
+                for x, m, root in zip((a, b), (linked, linked.T), _least_roots_across(cid[a], cid[b], linked)):
                     out_id.append(cid[x])
-                    out_linked.append(m @ copies[y])
-                    out_to.append(np.minimum(cid[x], np.where(m, cid[y], far).min(1)))
-                # a member linked across may be the least of its side: one more edge each
-                least = [np.where(m, ids, far).min(1) for m, ids in ((linked, cid[b]), (linked.T, cid[a]))]
-                for x, near in ((a, least[0]), (b, least[1])):
-                    some = near < far
-                    out_id.append(cid[x][some])
-                    out_linked.append(np.zeros(some.sum(), np.int64))
-                    out_to.append(near[some])
+                    out_linked.append(m @ copies[b if x is a else a])
+                    out_to.append(root)
         cat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_id, out_linked, out_to)]
         return pa.table([pa.array(x.astype(np.int64)) for x in cat], names=["cid", "linked", "to"])
 

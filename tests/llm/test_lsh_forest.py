@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 
 from sitegrove.llm.components import components
-from sitegrove.llm.lsh_forest import Forest, jaccard_join, links_between, one_of_each_group
+from sitegrove.llm.lsh_forest import Forest, _least_roots_across, jaccard_join, links_between, one_of_each_group
 
 
 def grams(t, n=5):
@@ -62,6 +62,29 @@ def test_matches_all_pairs(spark):
         assert got == exp
 
 
+def test_links_across_blocks_keep_a_chain_whole(spark):
+    rnd = random.Random(3)
+    docs = []
+    for size in (3, 4, 40):  # a text has 19 of 23 n-grams in common with the next one, at most 17 of 25 with any other
+        words = [f"c{size}w{k}" for k in range(25 + 2 * size)]
+        docs += [" ".join(words[2 * k:2 * k + 25]) for k in range(size)]
+    rnd.shuffle(docs)
+    docs = list(enumerate(docs))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    exp = brute(docs)
+    assert len({c for _, c, _ in exp}) == 3
+    for members in (2, 3, 5):
+        got = jaccard_join(df, recall=0.99999, block_members=members).collect()
+        assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=str) == exp
+
+
+def test_roots_across_a_matrix_of_links():
+    a, b = np.array([2, 1, 9]), np.array([3, 4, 8])
+    linked = np.array([[True, True, False], [False, True, False], [False, False, False]])
+    got = _least_roots_across(a, b, linked)
+    assert [x.tolist() for x in got] == [[1, 1, 9], [1, 1, 8]]
+
+
 def test_links_between_matches_sets():
     rnd = random.Random(4)
     sets = [np.array(sorted(rnd.sample(range(40), rnd.randint(1, 30))), np.uint64) for _ in range(40)]
