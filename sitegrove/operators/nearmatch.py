@@ -1,20 +1,29 @@
 """Near-match at scale (G12): MinHash signatures over word shingles with
-locality-sensitive banding, built from Spark SQL functions only.
+locality-sensitive banding: shingles by Spark SQL functions, signatures and
+verification of their 64-bit hashes in Arrow batches.
 
-Candidate pairs are never multiplied out: every member of a band is compared
-with the band's smallest document id only. Pairs that reach the threshold on
-the shingle sets themselves are edges, and groups are their connected
-components. Texts with equal normalised text are one row of this, whatever
-their number.
+Bands only make candidates: the star edges from a band's first member to the
+others give candidate components. Inside a component every pair is verified on
+the hashed shingle sets, in blocks (``pairs.verify``), whether or not either is
+similar to a band's first member; groups are the connected components of the
+pairs that reach the threshold. The time grows with the square of a component.
+Texts with equal normalised text are one row of this, whatever their number.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fingerprint_normalize
+from ..session import ensure_checkpoint_dir
 from .graph import connected_components
+from .pairs import verify
 
 
 def shingles(text: Column, k: int = 5) -> Column:
@@ -31,23 +40,44 @@ def shingles(text: Column, k: int = 5) -> Column:
 
 
 def near_match_groups(docs: DataFrame, key: str, text: str, bands: int = 16, rows: int = 4,
-                      threshold: float = 0.8) -> DataFrame:
+                      threshold: float = 0.8, block_members: int = 1024, block_grams: int = 2_000_000) -> DataFrame:
     """(key, group_id, near_copy): group_id is the smallest key of the group of
     documents connected by verified similarity (itself when there is none)."""
-    def seeded(i):  # a one-argument lambda: a second parameter would be bound to the element index
-        return lambda s: F.xxhash64(s, F.lit(i))
-    same = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("_h", F.sha2(fingerprint_normalize(F.col("_t")), 256))
+    rng = np.random.default_rng(12)
+    seed, factor, place = (rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(3))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            at = lists.offsets.to_numpy().astype(np.int64)
+            x, at = lists.values.to_numpy().view(np.uint64)[at[0]:at[-1]], at - at[0]
+            keys = np.zeros((bands, len(lists)), np.uint64)  # every text has a shingle
+            for i in range(bands * rows):
+                h = (x ^ seed[i]) * factor[i]
+                keys[i // rows] += np.minimum.reduceat(h ^ (h >> np.uint64(32)), at[:-1]) * place[i]
+            cid = np.tile(batch.column(0).to_numpy(), bands)
+            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(keys.view(np.int64).ravel())], names=["cid", "band"])
+
+    # the hash is made once, in a generator: no filter on it normalises again
+    digest = F.sha2(fingerprint_normalize(F.col("_t")), 256)
+    same = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")).select("*", F.inline(F.array(F.struct(digest.alias("_h")))))
     first = same.groupBy("_h").agg(F.min(F.struct(key, "_t")).alias("_m"))
-    sh = first.select(F.col(f"_m.{key}").alias("_k"), shingles(F.col("_m._t")).alias("_sh")).checkpoint()
-    sig = F.array(*[F.array_min(F.transform("_sh", seeded(i))) for i in range(bands * rows)])
-    band_keys = F.array(*[F.xxhash64(F.lit(b), F.slice("_sig", b * rows + 1, rows)) for b in range(bands)])
-    per_band = sh.select("_k", sig.alias("_sig")).select("_k", F.explode(band_keys).alias("band"))
-    reps = per_band.groupBy("band").agg(F.min("_k").alias("rep"), F.max("_k").alias("_z")).filter("rep < _z").select("band", "rep")
-    pairs = per_band.join(reps, "band").filter("_k <> rep").select("_k", "rep").distinct()
-    both = (pairs.join(sh, "_k").withColumnRenamed("_sh", "_a")
-            .join(sh.select(F.col("_k").alias("rep"), F.col("_sh").alias("_b")), "rep"))
-    common = F.size(F.array_intersect("_a", "_b"))
-    edges = both.filter(common / (F.size("_a") + F.size("_b") - common) >= threshold).select(F.col("_k").alias("a"), F.col("rep").alias("b"))
-    roots = connected_components(edges).select(F.col("v").alias("_k"), F.col("root").alias("_root"))
-    groups = first.select("_h", F.col(f"_m.{key}").alias("_k")).join(roots, "_k", "left").select("_h", F.coalesce("_root", "_k").alias("group_id"))
+    first = first.select("_h", F.col(f"_m.{key}").alias("_k"), "_m._t", F.monotonically_increasing_id().alias("cid"))
+    path = f"{ensure_checkpoint_dir(docs.sparkSession).rstrip('/')}/near-match-{uuid.uuid4().hex}"
+    first.write.parquet(path)
+    first = docs.sparkSession.read.schema(first.schema).parquet(path)
+    hashed = F.transform(shingles(F.col("_t")), lambda g: F.xxhash64(g))
+    per_band = first.select("cid", hashed.alias("_sh")).mapInArrow(run, "cid long, band long").checkpoint()
+    reps = per_band.groupBy("band").agg(F.min("cid").alias("rep"), F.max("cid").alias("_z")).filter("rep < _z").select("band", "rep")
+    stars = per_band.join(reps, "band").select(F.col("rep").alias("a"), F.col("cid").alias("b"))
+    comps = connected_components(stars).select(F.col("v").alias("cid"), F.col("root").alias("comp"))
+    # the set as 8 bytes a shingle, for candidates only
+    packed = F.unhex(F.array_join(F.transform(hashed, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
+    members = first.select("cid", "_t").join(comps, "cid").select("comp", "cid", F.lit(1).cast("long").alias("copies"), packed.alias("set")).checkpoint()
+    edges = verify(members, threshold, block_members, block_grams).select(F.col("cid").alias("a"), F.col("to").alias("b"))
+    roots = connected_components(edges).select(F.col("v").alias("cid"), F.col("root").alias("_root"))
+    per_text = first.select("_h", "_k", "cid").join(roots, "cid", "left").select("_h", "_k", F.coalesce("_root", "cid").alias("_root")).checkpoint()
+    # stored, so that adaptive execution can split the rows of a large group
+    least = per_text.groupBy("_root").agg(F.min("_k").alias("group_id")).checkpoint()
+    groups = per_text.join(least, "_root").select("_h", "group_id")
     return same.select(key, "_h").join(groups, "_h").select(key, "group_id", (F.col("group_id") != F.col(key)).alias("near_copy"))

@@ -68,6 +68,19 @@ def test_near_match_chain_is_one_group(spark):
     assert [g[i] for i in range(8)] == [0] * 8 and g[90] == 90 and g[91] == g[92] == 91
 
 
+def test_near_match_in_bands_with_a_dissimilar_least_id(spark):
+    """Texts 1 and 2 of a family are similar, text 0 shares most of their bands
+    but is below the threshold of both."""
+    docs = []
+    for f in range(10):
+        w = [f"f{f}w{i}" for i in range(70)]
+        docs += [(10 * f, " ".join(w[:40] + w[60:])), (10 * f + 1, " ".join(w[:50])), (10 * f + 2, " ".join(w[:49] + w[50:51]))]
+    df = spark.createDataFrame(docs, "id long, t string")
+    for members in (1024, 2):
+        g = {r.id: r.group_id for r in near_match_groups(df, "id", "t", bands=4, rows=1, block_members=members).collect()}
+        assert g == {10 * f + i: 10 * f + min(i, 1) for f in range(10) for i in range(3)}
+
+
 def test_foreach_batch_versions_match_batch(spark, sf_small):
     from sitegrove.streaming.crawl_stream import checkpoint_path, version_batches
     chain = D.version_chain(spark, sf_small)
