@@ -78,7 +78,7 @@ def _tidy(seq: np.ndarray) -> np.ndarray:
     return seq[(seq > 0) | np.concatenate([[False], seq[:-1] > 0])]
 
 
-def make_shards(docs: DataFrame, shard_words: int = 3_000_000, overlap: int = 2) -> DataFrame:
+def make_shards(docs: DataFrame, shard_words: int = 2_000_000, overlap: int = 2) -> DataFrame:
     """Shards of the documents' words by language. ``size`` is negative for an
     overlap, whose counts are to be taken off."""
 
@@ -165,11 +165,13 @@ def count_phrases(shards: DataFrame, frequent: DataFrame, max_words: int = 3) ->
                     for lo in range(0, len(tail), 100_000):
                         yield pa.RecordBatch.from_arrays([pa.array(v[lo:lo + 100_000]) for v in (tail, head, sign * x.count)], names=["tail", "head", "c"])
 
-    return (index.mapInArrow(run, "tail long, head long, c long").groupBy("tail", "head").agg(F.sum("c").alias("f")))
+    # a shard has summed its own phrases, so rows are dealt before any more sums
+    counts = index.mapInArrow(run, "tail long, head long, c long").repartition("tail", "head")
+    return counts.groupBy("tail", "head").agg(F.sum("c").alias("f"))
 
 
 def collocations(docs: DataFrame, min_count: int = 10, top: int = 2000, max_words: int = 3, cover: int = 50,
-                 shard_words: int = 3_000_000) -> DataFrame:
+                 shard_words: int = 2_000_000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the best ``top`` phrases of each
     language that occur at least ``min_count`` times. A phrase inside a longer one
     with at least ``cover`` percent of its count is left out."""

@@ -68,7 +68,7 @@ def _docs(seed):
     return docs + [("en", None), ("fr", ""), (None, None), ("es", " \t\n.")] + [("en", "same row twice over and over")] * 30
 
 
-@pytest.mark.parametrize("shard_words", [3_000_000, 500, 7])
+@pytest.mark.parametrize("shard_words", [2_000_000, 500, 7])
 def test_against_brute_force(spark, shard_words):
     docs = _docs(shard_words)
     df = spark.createDataFrame(docs, "lang string, text string").repartition(3)
