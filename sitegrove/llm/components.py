@@ -1,31 +1,3 @@
-"""Connected components by contraction, in DataFrame steps."""
+"""Connected components for the corpus operators: the library's general helper."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import write_out
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(v, root) for every end of ``edges`` (columns a, b of comparable ids): root
-    is the least id of the component. Each round maps every vertex to its least
-    neighbour and contracts the edges, until none is left; minima are combined
-    before the shuffle, so a vertex with very many neighbours is no hot spot."""
-    edges = write_out(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    found = None
-    for _ in range(max_rounds):
-        both = edges.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("w")))
-        step = write_out(both.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("m")), "hooks")
-        if found is None:
-            found = step.select("v", F.col("m").alias("root"))
-        else:
-            moved = step.select(F.col("v").alias("root"), "m")
-            found = write_out(found.join(moved, "root", "left").select("v", F.coalesce("m", "root").alias("root")), "roots")
-        left, right = step.select(F.col("v").alias("a"), F.col("m").alias("ma")), step.select(F.col("v").alias("b"), F.col("m").alias("mb"))
-        edges = edges.join(left, "a").join(right, "b").where("ma <> mb").select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct()
-        edges = write_out(edges, "edges")
-        if edges.isEmpty():
-            return found
-    raise RuntimeError("components did not converge")
+from ..operators.graph import connected_components as components  # noqa: F401

@@ -123,3 +123,12 @@ def test_one_stays(odd_docs, no_docs):
     ids = sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x))
     assert ids == [1, 3, 4, 5, 6, 7, 8, 9, None, None]  # 1, 2 and 2 again are one group
     assert one_of_each_group(no_docs).count() == 0
+
+
+def test_ordered_chains(spark):
+    """Each text is similar to the next one only; ids run along the chain, either way."""
+    words = [f"w{i}" for i in range(1000)]
+    docs = [(i, " ".join(words[i * 2:i * 2 + 27])) for i in range(400)]
+    for rows in (docs, [(399 - i, t) for i, t in docs]):
+        got = sorted((tuple(r) for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_id", "n_links").collect()), key=str)
+        assert got == brute(rows) and {c for _, c, _ in got} == {0}
