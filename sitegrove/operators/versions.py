@@ -12,7 +12,7 @@ key), so only cleaned text crosses the network.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
@@ -41,10 +41,12 @@ VERSION_COLUMNS = ["prev_id", "cleaned_md", "stored_md", "additions", "deletions
                    "change_percentage", "is_new", "importance", "reason", "title", "description", "summary"]
 
 
-def version_rows(d: DataFrame, title: str | None = None) -> DataFrame:
-    """The stored text (G7) and display fields (G14, F17) of decided versions."""
+def version_rows(d: DataFrame, title: str | None = None, enhanced: Column | None = None) -> DataFrame:
+    """The stored text (G7) and display fields (G14, F17) of decided versions.
+    ``enhanced``: the enhancer's result, else the deterministic one."""
     crawl_title = F.col(title) if title else F.lit(None).cast("string")
-    return (d.withColumn("stored_md", G.enhancement_gate(F.col("cleaned_md"), TX.enhance_content(F.col("cleaned_md"))))
+    rich = enhanced if enhanced is not None else TX.enhance_content(F.col("cleaned_md"))
+    return (d.withColumn("stored_md", G.enhancement_gate(F.col("cleaned_md"), rich))
             .withColumn("title", F.coalesce(F.when(crawl_title != "", crawl_title), TX.extract_title(F.col("cleaned_md"))))
             .withColumn("description", TX.deterministic_description(F.col("cleaned_md")))
             .withColumn("summary", TX.deterministic_summary(F.col("cleaned_md"))))

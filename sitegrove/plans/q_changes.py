@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..operators import changes as G
+from ..operators.stored import stored_versions
 from ..operators.versions import process_versions
 from ..sources import derived as D
 from . import sqlfrag as Q
@@ -94,6 +95,60 @@ def q_version_changes(spark, sf):
     return _versions(spark, sf)
 
 
+def _stored_sql(chain: str = "d_chain", responses: str = "d_score") -> str:
+    """The same with each version against the stored text of the one before it:
+    one recursion step a version of a page."""
+    from .q_text import _enhance_sql, _meta, _sql_clean, _sql_main
+    norm = lambda e: Q.js_trim(f"replace(replace({e}, chr(13) || chr(10), chr(10)), chr(9), '  ')")
+    response = Q.js_trim("sc.response")
+    score = (f"CAST(CASE WHEN sc.id IS NULL THEN 2 WHEN TRY_CAST(regexp_extract(coalesce({response}, '2'), '^([+-]?[0-9]+)', 1) AS BIGINT) BETWEEN 1 AND 4"
+             f" THEN TRY_CAST(regexp_extract(coalesce({response}, '2'), '^([+-]?[0-9]+)', 1) AS BIGINT) ELSE 2 END AS INTEGER)")
+    lcs = f"CASE WHEN o = nn THEN len(tb) ELSE {_lcs_sql('ta', 'tb')} END"
+    views = with_views(chain, responses)
+    return (views.replace("WITH", "WITH RECURSIVE", 1) + f", src AS (SELECT id AS k_id, text FROM {chain})"
+            + _sql_clean("src", "k_id", "text", "a") + ", c1 AS (SELECT k_id, text FROM aclean)" + _sql_main("c1", "b")
+            + f"""
+, cl AS (SELECT c.id, c.page_id, c.seq, {_meta('m.main_md')} AS cleaned_md FROM {chain} c JOIN bmain m ON m.k_id = c.id)
+, v AS (SELECT cl.*, {_enhance_sql('cl.cleaned_md')} AS rich, {score} AS score, row_number() OVER (PARTITION BY page_id ORDER BY seq, cl.id) AS rn
+        FROM cl LEFT JOIN {responses} sc ON sc.id = cl.id)
+, r AS (
+  SELECT id, page_id, seq, rn, NULL::BIGINT AS prev_id, false AS prev_enhanced, cleaned_md, rich AS stored_md, true AS kept_rich,
+         NULL::BIGINT AS additions, NULL::BIGINT AS deletions, NULL::BIGINT AS unchanged, 4::SMALLINT AS importance, 'New page' AS reason
+  FROM v WHERE rn = 1
+  UNION ALL
+  SELECT id, page_id, seq, rn, prev_id, prev_enhanced, cleaned_md, CASE WHEN importance >= 2 THEN rich ELSE cleaned_md END, coalesce(importance >= 2, false),
+         additions, deletions, unchanged, importance,
+         CASE WHEN importance IS NULL THEN 'No changes detected in diff' ELSE 'Semantic importance: ' || importance || '/4' END
+  FROM (SELECT *, CAST(CASE WHEN additions > 0 OR deletions > 0 THEN score END AS SMALLINT) AS importance
+        FROM (SELECT *, CAST({_nl_sql('nn')} - unchanged AS BIGINT) AS additions, CAST({_nl_sql('o')} - unchanged AS BIGINT) AS deletions
+              FROM (SELECT *, CAST({lcs} - CASE WHEN len(ta) > 0 AND len(tb) > 0 AND ta[-1] = tb[-1] THEN 1 ELSE 0 END AS BIGINT) AS unchanged
+                    FROM (SELECT *, {_tokens_sql('o')} AS ta, {_tokens_sql('nn')} AS tb
+                          FROM (SELECT v.*, r.id AS prev_id, r.kept_rich AS prev_enhanced, {norm('r.stored_md')} AS o, {norm('v.cleaned_md')} AS nn
+                                FROM r JOIN v ON v.page_id = r.page_id AND v.rn = r.rn + 1)))))
+)
+SELECT id, page_id, seq, prev_id, prev_enhanced, cleaned_md, stored_md, additions, deletions, unchanged, additions > 0 OR deletions > 0 AS has_changes,
+       CASE WHEN additions + deletions + unchanged > 0 THEN (additions + deletions) / (additions + deletions + unchanged) * 100.0
+            WHEN prev_id IS NOT NULL THEN 0.0 END AS change_percentage,
+       prev_id IS NULL AS is_new, importance, reason, {Q.title('cleaned_md')} AS title,
+       substr(CASE WHEN string_split(cleaned_md, chr(10))[1] <> '' THEN string_split(cleaned_md, chr(10))[1] ELSE 'Page content' END, 1, 100) AS description,
+       CASE WHEN length(cleaned_md) > 500 THEN substr(cleaned_md, 1, 500) ELSE '' END AS summary
+FROM r""")
+
+
+@register("version_changes_stored", "C7,G1,G2,G5,G6,G7,G8,G13", sql=_stored_sql())
+def q_version_changes_stored(spark, sf):
+    """Every chain version compared with the *stored* text of the version before
+    it, which may be the enhanced one (SURVEY Q4)."""
+    return stored_versions(D.version_chain(spark, sf), scores=D.scorer_responses(spark, sf))
+
+
+@register("recrawl_changes_stored", "C7,G1,G2,G5,G6,G7,G8,G13", sql=_stored_sql("d_rechain", "d_rescore"))
+def q_recrawl_changes_stored(spark, sf):
+    """Pages crawled again without a change: the cleaned text differs from a stored
+    text that was enhanced, and no longer from one that was not."""
+    return stored_versions(D.recrawl_chain(spark, sf), scores=D.recrawl_responses(spark, sf))
+
+
 @register("version_diff_text", "G4", sql=None)
 def q_version_diff_text(spark, sf):
     v = _versions(spark, sf, with_text=True)

@@ -67,6 +67,13 @@ SELECT n_nationkey AS id, n_name AS name,
 FROM nation""",
     "d_chain": """
 SELECT (conv_id + turn) * (conv_id + turn + 1) // 2 + turn AS id, conv_id AS page_id, turn AS seq, text FROM conversations""",
+    "d_rechain": """
+SELECT ((conv_id + turn) * (conv_id + turn + 1) // 2 + turn) * 3 + k AS id, conv_id AS page_id, turn * 3 + k AS seq, text
+FROM conversations, unnest([0, 1, 2]) AS u(k)""",
+    "d_rescore": """
+SELECT ((conv_id + turn) * (conv_id + turn + 1) // 2 + turn) * 3 + k AS id,
+       [' 3 ', '4', '1', '2 (moderate)', 'high', '9', NULL][CAST((conv_id + turn * 3 + k) % 7 + 1 AS INTEGER)] AS response
+FROM conversations, unnest([0, 1, 2]) AS u(k)""",
     "d_score": """
 SELECT (conv_id + turn) * (conv_id + turn + 1) // 2 + turn AS id,
        [' 3 ', '4', '1', '2 (moderate)', 'high', '9', NULL][CAST((conv_id + turn) % 7 + 1 AS INTEGER)] AS response

@@ -26,7 +26,8 @@ Rules (fixed; shared with the SQL oracle):
 * artifact <- finished jobs x two kinds, version = row_number over (domain, kind
   order by started_at, id), created_at = finished_at (+1 s for the full document).
 * profile  <- nation: id = n_nationkey, version = 1 + id % 3.
-* version chain <- conversations: page = conv_id, order = turn, text = text.
+* version chain <- conversations: page = conv_id, order = turn, text = text; the
+  recrawled chain has each of its versions three times in a row.
 * crawled page <- pages: url, html as raw markdown, domain = host of url.
 * crawl event <- events: job = user_id; signup/view/click/purchase/error ->
   crawl.started/crawl.page/crawl.page/crawl.completed/crawl.failed.
@@ -186,6 +187,19 @@ def scorer_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(_chain_id().alias("id"), resp.alias("response"))
 
 
+def recrawl_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The version chain with every version crawled three times in a row."""
+    again = F.explode(F.array(*map(F.lit, range(3)))).alias("_k")
+    c = version_chain(spark, sf_dir).select("*", again)
+    return c.select((F.col("id") * 3 + F.col("_k")).alias("id"), "page_id", (F.col("seq") * 3 + F.col("_k")).alias("seq"), "text")
+
+
+def recrawl_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change-score responses of the recrawled chain, by (page_id + seq) % 7."""
+    resp = F.element_at(F.array(*[F.lit(r).cast("string") for r in SCORER_RESPONSES]), ((F.col("page_id") + F.col("seq")) % 7 + 1).cast("int"))
+    return recrawl_chain(spark, sf_dir).select("id", resp.alias("response"))
+
+
 def crawled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.scalars import url_host
     p = read_table(spark, sf_dir, "pages")
