@@ -20,7 +20,7 @@ def test_upsert_list_load(spark):
     b = spark.createDataFrame([("domains/a_com/jobs/jan_1_2024_00_00_1/pages/x_raw.md", x) for x in ("ONE", "OLDER")],
                               "path string, content string")  # a path twice in one write is one object
     store.upsert_content(spark, b, root)
-    got = {r.path: r.content for r in spark.read.parquet(root).collect()}
+    got = {r.path: r.content for r in store.read_content(spark, root).collect()}
     assert got["domains/a_com/jobs/jan_1_2024_00_00_1/pages/x_raw.md"] == "ONE"
     assert len(got) == 3
     listed = [r.path for r in store.list_content(spark, root, "domains/a_com/jobs/jan_1_2024_00_00_1/pages",
@@ -28,8 +28,10 @@ def test_upsert_list_load(spark):
     assert listed == ["domains/a_com/jobs/jan_1_2024_00_00_1/pages/y_raw.md"]
     v = spark.createDataFrame([(1, "domains/a_com/jobs/jan_1_2024_00_00_1/pages/y_raw.md"), (2, "missing")],
                               "id int, p string")
-    loaded = {r.id: r.content for r in store.load_content(v, spark.read.parquet(root), "p").collect()}
+    loaded = {r.id: r.content for r in store.load_content(v, store.read_content(spark, root), "p").collect()}
     assert loaded == {1: "two", 2: ""}
+    store.delete_content(spark, b.select("path"), root)
+    assert sorted(r.content for r in store.read_content(spark, root).collect()) == ["three", "two"]
 
 
 def test_append_is_replay_safe(spark):
@@ -49,6 +51,7 @@ def test_write_documents(spark):
     files = [f for f in glob.glob(root + "/**/*.txt", recursive=True) if os.path.getsize(f) > 0]
     assert len(files) == 1 and "kind=llms_txt" in files[0]
     assert open(files[0]).read() == "# a\nbody\n"
+    assert [tuple(r) for r in store.read_documents(spark, root).collect()] == [("a_com", "f1", "llms_txt", "# a\nbody")]
 
 
 def test_near_match_groups(spark):
