@@ -16,10 +16,8 @@ back-pressure setting, S4 reports the windowed rate).
                        Jobs that go quiet before are reported as stalled and
                        keep their counts.
 * ``rate_stream``      S4: 10-second tumbling windows, append mode.
-* ``version_batches``  S8: ``foreachBatch`` running the batch version pipeline
-                       per micro-batch against the stored latest versions;
-                       each batch overwrites its own ``batch_id`` partition,
-                       so a retried batch is idempotent.
+* ``version_batches``  S8: ``foreachBatch`` of the version pipeline, with late
+                       versions (``version_stream``).
 
 Checkpoints live under the session's shared ``spark.checkpoint.dir``.
 """
@@ -36,8 +34,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import jobstate as J
-from ..session import ensure_checkpoint_dir, path_exists
+from ..session import ensure_checkpoint_dir
 from ..sources import events as E
+from .version_stream import read_versions, version_batches  # noqa: F401
 
 # event time must be a TIMESTAMP for watermarks; the session zone is UTC, so
 # the wall-clock values equal the batch tables' TIMESTAMP_NTZ values
@@ -162,54 +161,3 @@ def rate_stream(pages: DataFrame, seconds: int = 10, limit: int = 100) -> DataFr
     return (pages.groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("events"))
                  .select(F.col("w.start").alias("window_start"), "events",
                          (F.col("events") > limit).alias("over_limit")))
-
-
-VERSION_BUCKETS = 256
-
-
-def version_batches(table_path: str, key: str = "page_id", buckets: int = VERSION_BUCKETS):
-    """Returns a ``foreachBatch`` function that runs the version pipeline
-    for one micro-batch.
-
-    The version table is partitioned by (bucket = hash(page) mod ``buckets``,
-    batch_id). A batch reads the earlier versions of the buckets it touches
-    only (partition pruning; ``batch_id`` below its own, so a replayed batch
-    never sees its own output), chains each page's first version in the batch
-    to the latest stored one before it (a late version never to a newer one), and
-    overwrites its own (bucket, batch_id) partitions: replaying a batch after a
-    failure gives the same table.
-    """
-    from ..operators.changes import change_decision, diff_versions, previous_version
-    from ..operators.text_ops import clean_pipeline
-    from ..operators.versions import VERSION_COLUMNS, version_rows
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        cleaned = (clean_pipeline(batch, "text", "cleaned_md", extract_main=True).drop("text")
-                   .withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-                   .persist())
-        # chain inside the batch first, then the batch's first version of a page
-        # to the latest stored one before it
-        chained = previous_version(cleaned, key, ["seq", "id"], ["id", "cleaned_md"])
-        if path_exists(spark, table_path):
-            touched = [r.bucket for r in cleaned.select("bucket").distinct().collect()]  # at most `buckets` ints
-            stored = (spark.read.parquet(table_path)
-                      .filter(F.col("bucket").isin(touched) & (F.col("batch_id") < batch_id)))
-            # only the batch's pages, and without their text, reach the maximum
-            first = cleaned.groupBy(key).agg(F.min(F.struct("seq", "id")).alias("_first"))
-            last = (stored.select(key, "seq", "id").join(first, key)
-                          .filter(F.struct("seq", "id") < F.col("_first"))
-                          .groupBy(key).agg(F.max(F.struct("seq", "id")).alias("_l"))
-                          .select(key, F.col("_l.seq").alias("seq"), F.col("_l.id").alias("id")))
-            last = (stored.select(key, "seq", "id", "cleaned_md").join(last, [key, "seq", "id"])
-                          .select(key, F.col("id").alias("_sid"), F.col("cleaned_md").alias("_smd")))
-            chained = (chained.join(last, key, "left")
-                              .withColumn("prev_cleaned_md", F.when(F.col("prev_id").isNull(), F.col("_smd"))
-                                          .otherwise(F.col("prev_cleaned_md")))
-                              .withColumn("prev_id", F.coalesce("prev_id", "_sid")).drop("_sid", "_smd"))
-        d = version_rows(change_decision(diff_versions(chained, "prev_cleaned_md", "cleaned_md")))
-        out = d.select("id", key, "seq", *VERSION_COLUMNS, "bucket", F.lit(batch_id).alias("batch_id"))
-        (out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bucket", "batch_id").parquet(table_path))
-        cleaned.unpersist()
-    return run
