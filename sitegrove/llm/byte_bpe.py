@@ -24,6 +24,8 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from itertools import chain
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -98,30 +100,40 @@ class PerfectHash:
         return np.where(shift < 0, -1 - shift, self._slot(hashes, np.maximum(shift, 0)))
 
 
-def merge_bytes(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
+class Merges:
     """Ids of a pre-token by its merges: least rank first, then leftmost."""
-    n = len(piece)
-    end = list(range(1, n + 1))  # of the part that starts at i; 0: no part starts there
-    before = list(range(-1, n))
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i:i + 2])) is not None]
-    heapq.heapify(heap)
-    while heap:
-        _, i, stop = heapq.heappop(heap)
-        middle = end[i]
-        if not middle or middle >= n or end[middle] != stop:
-            continue
-        end[i], end[middle] = stop, 0
-        if stop < n:
-            before[stop] = i
-            if end[stop] - i <= longest and (r := ranks.get(piece[i:end[stop]])) is not None:
-                heapq.heappush(heap, (r, i, end[stop]))
-        if (p := before[i]) >= 0 and stop - p <= longest and (r := ranks.get(piece[p:stop])) is not None:
-            heapq.heappush(heap, (r, p, stop))
-    ids, i = [], 0
-    while i < n:
-        ids.append(ranks[piece[i:end[i]]])
-        i = end[i]
-    return ids
+
+    def __init__(self, tokens: list[bytes]):
+        ranks = {t: i for i, t in enumerate(tokens)}
+        self.lengths = list(map(len, tokens))
+        self.of_byte = [ranks.get(bytes([b]), -1) for b in range(256)]
+        # (left part's id << 32 | right part's id) -> id of the whole, for every two parts of a token
+        self.whole = {x << 32 | y: i for t, i in ranks.items() for k in range(1, len(t))
+                      if (x := ranks.get(t[:k])) is not None and (y := ranks.get(t[k:])) is not None}
+
+    def __call__(self, piece: bytes) -> list[int]:
+        n, get, lengths, pop, push = len(piece), self.whole.get, self.lengths, heapq.heappop, heapq.heappush
+        ids = [self.of_byte[b] for b in piece]  # of the part that starts at i
+        end = list(range(1, n + 1))             # of that part; 0: no part starts there
+        before = list(range(-1, n))
+        # a join is rank * n + place; its end follows from the rank's length
+        heap = [r * n + i for i in range(n - 1) if (r := get(ids[i] << 32 | ids[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            x = pop(heap)
+            r = x // n
+            i = x - r * n
+            middle, stop = end[i], i + lengths[r]
+            if not middle or middle >= n or end[middle] != stop:
+                continue
+            ids[i], end[i], end[middle] = r, stop, 0
+            if stop < n:
+                before[stop] = i
+                if (q := get(r << 32 | ids[stop])) is not None:
+                    push(heap, q * n + i)
+            if (p := before[i]) >= 0 and (q := get(ids[p] << 32 | r)) is not None:
+                push(heap, q * n + p)
+        return [x for x, e in zip(ids, end) if e]
 
 
 def _splitters(pattern: str) -> tuple[regex.Pattern, regex.Pattern, int]:
@@ -147,32 +159,39 @@ def _splitters(pattern: str) -> tuple[regex.Pattern, regex.Pattern, int]:
 class ByteBpe(dict):
     """Pre-token -> little-endian ids, filled on demand; cleared at ``limit``."""
 
-    def __init__(self, tokens: list[bytes], index: PerfectHash, slots: np.ndarray, pattern: str, limit: int = 400_000):
+    def __init__(self, tokens: list[bytes], index: PerfectHash, slots: np.ndarray, pattern: str, limit: int = 800_000):
         super().__init__()
         self.tokens, self.index, self.slots, self.limit = tokens, index, slots, limit
-        self.ranks = {t: i for i, t in enumerate(tokens)}
-        self.longest = max(map(len, tokens), default=0)
+        self.merge = Merges(tokens)
         self.split, self.split_any, self.odd_byte = _splitters(pattern)
 
-    def pre_tokens(self, text: str, data: bytes) -> list[str]:
-        plain = text.isascii() or int(np.frombuffer(data, np.uint8).max()) < self.odd_byte
+    def pre_tokens(self, text: str) -> list[str]:
+        plain = text.isascii() or int(np.frombuffer(text.encode(), np.uint8).max()) < self.odd_byte
         return (self.split if plain else self.split_any).findall(text)
 
     def learn(self, fresh: list[str]) -> None:
         keys = [p.encode() for p in fresh]
         for p, key, rank in zip(fresh, keys, self.slots[self.index(hash_keys(keys))].tolist()):
-            ids = (rank,) if self.tokens[rank] == key else merge_bytes(key, self.ranks, self.longest)
-            self[p] = np.asarray(ids, "<i4").tobytes()
+            ids = (rank,) if self.tokens[rank] == key else self.merge(key)
+            self[p] = pack(f"<{len(ids)}i", *ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; the first tier runs once over all new pre-tokens."""
-        parts = [self.pre_tokens(t, t.encode()) if t else [] for t in texts]
+        """Ids of each text. The distinct pre-tokens of all texts are looked up
+        once, the first tier runs over all new ones together."""
         if len(self) > self.limit:
             self.clear()
-        fresh = [p for p in set().union(*parts) if p not in self]
-        if fresh:
+        parts = [self.pre_tokens(t) for t in texts]
+        every = pa.array(list(chain.from_iterable(parts)), pa.string()).dictionary_encode()
+        distinct, which = every.dictionary.to_pylist(), every.indices.to_numpy()
+        if fresh := [p for p in distinct if p not in self]:
             self.learn(fresh)
-        return [np.frombuffer(b"".join(map(self.__getitem__, x)), "<i4") for x in parts]
+        held = [self[p] for p in distinct]
+        size = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        first, ids = np.cumsum(size) - size, np.frombuffer(b"".join(held), "<i4")
+        count = size[which]
+        end = np.cumsum(count)
+        ids = ids[np.repeat(first[which] - (end - count), count) + np.arange(int(end[-1]) if len(end) else 0)]
+        return np.split(ids, np.concatenate([[0], end])[np.cumsum(list(map(len, parts)))[:-1]])
 
 
 def build(tokens: list[bytes]) -> tuple[list[bytes], PerfectHash, np.ndarray]:
@@ -202,8 +221,16 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[
             yield ids.slice(lo, len(held)), held
 
 
-def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>) of every row."""
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found), pa.int32()))
+
+
+def _bytes_of(tokens: list[bytes], ids: list[int | None]) -> bytes:
+    return b"".join([tokens[i] for i in ids if i is not None])
+
+
+def _mapped(docs: DataFrame, path: str, pattern: str, doc_id: str, text: str, decoded: bool) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(build(read_ranks(path)))
     key = (path, pattern)
 
@@ -211,30 +238,39 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
         if key not in _WORKER:
             _WORKER[key] = ByteBpe(*shared.value, pattern)
         bpe = _WORKER[key]
-        for ids, held in _chunks(batches):
+        for doc_ids, held in _chunks(batches):
             found = bpe.encode(held)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found), pa.int32()))
-            yield pa.RecordBatch.from_arrays([ids, values], names=["doc_id", "ids"])
+            cols = {"doc_id": doc_ids, "ids": _lists(found)}
+            if decoded:
+                cols["decoded"] = pa.array([_bytes_of(bpe.tokens, x.tolist()) for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    fields = [T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    fields += [T.StructField("decoded", T.BinaryType())] if decoded else []
+    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, T.StructType(fields))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ids array<int>) of every row."""
+    return _mapped(docs, path, pattern, doc_id, text, decoded=False)
+
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, schema)
+def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded): each text encoded and its ids decoded again, in one pass."""
+    return _mapped(docs, path, pattern, doc_id, text, decoded=True)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``encoded`` with the bytes of each row's ids."""
-    tokens = read_ranks(path)
-    shared = encoded.sparkSession.sparkContext.broadcast(tokens)
+    shared = encoded.sparkSession.sparkContext.broadcast(read_ranks(path))
     at = encoded.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
         for batch in batches:
             step = max(1, len(batch) * CHUNK_BYTES // max(1, batch.nbytes))
             for lo in range(0, len(batch), step):
                 part = batch.slice(lo, step)
-                texts = [b"".join(vocabulary[i] for i in x.as_py() or () if i is not None) if not (v := x.values) or v.null_count
-                         else b"".join(map(vocabulary.__getitem__, v.to_numpy().tolist())) for x in part.column(at)]
+                texts = [_bytes_of(shared.value, x.as_py() or []) for x in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, out])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out, T.BinaryType())]))
@@ -244,7 +280,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    d = decode(encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    d = round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
     return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                     F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
                     F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -10,7 +10,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sitegrove.llm.byte_bpe import ByteBpe, PerfectHash, build, decode, encode, hash_keys, merge_bytes, op12, read_ranks
+from sitegrove.llm.byte_bpe import ByteBpe, Merges, PerfectHash, build, decode, encode, hash_keys, op12, read_ranks, round_trip
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 TOKENS = read_ranks(PATH)
@@ -57,11 +57,10 @@ def test_long_pre_tokens_and_small_memory():
 
 def test_merges_alone():
     # the second tier gives the ids also for what the first would have resolved
-    tokens = [b"a", b"b", b"c", b"ab", b"bc", b"abc", b"aa"]
-    ranks = {t: i for i, t in enumerate(tokens)}
-    assert merge_bytes(b"abc", ranks, 3) == [5]
-    assert merge_bytes(b"aaa", ranks, 3) == [6, 0]
-    assert merge_bytes(b"", ranks, 3) == []
+    merge = Merges([*(bytes([i]) for i in b"abc"), b"ab", b"bc", b"abc", b"aa"])
+    assert [merge(x) for x in (b"abc", b"aaa", b"aaaa", b"b", b"")] == [[5], [6, 0], [6, 6], [1], []]
+    every = Merges(TOKENS)
+    assert all(b"".join(TOKENS[i] for i in every(t * 3)) == t * 3 for t in TOKENS[::97])
 
 
 def _expected(text):
@@ -76,6 +75,8 @@ def test_frames(spark, odd_docs, no_docs):
     got = sorted(((r.doc_id is None, r.doc_id), r.ids, bytes(r.decoded)) for r in d.collect())
     exp = sorted(((r.doc_id is None, r.doc_id), LIBRARY.encode_ordinary(r.text or ""), (r.text or "").encode()) for r in odd_docs.collect())
     assert got == exp
+    assert sorted(((r.doc_id is None, r.doc_id), r.ids, bytes(r.decoded)) for r in round_trip(odd_docs, PATH, PATTERN).collect()) == exp
+    assert round_trip(no_docs, PATH, PATTERN).count() == 0
     assert decode(encode(no_docs, PATH, PATTERN), PATH).count() == 0
     odd = spark.createDataFrame([(1, None), (2, [None, 0]), (3, [])], "doc_id long, ids array<int>")
     assert [bytes(r.decoded) for r in decode(odd, PATH).orderBy("doc_id").collect()] == [b"", TOKENS[0], b""]
