@@ -53,42 +53,72 @@ ENHANCE_FOOTER = "\n\n---\n_Content processed and optimized for LLM consumption_
 UNTITLED = "Untitled Page"
 
 
+# A pattern is run only on texts that hold a literal it needs; the literal test is
+# a byte search. Texts are lower-cased for it: a superset of the pattern's case rule.
+CONSENT_NEEDS = ["notice"]
+CTA_NEEDS = ["sign up", "subscribe", "newsletter", "get started for free"]
+BOILERPLATE_NEEDS = ["navigation", "menu", "sidebar", "footer", "header"]
+
+
+def _bound(value: Column, fn) -> Column:
+    """``fn`` of the value, which is evaluated once however often ``fn`` uses it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _holds(text: Column, literals: list[str]) -> Column:
+    found = text.contains(literals[0])
+    for w in literals[1:]:
+        found = found | text.contains(w)
+    return found
+
+
+def _replaced(md, literals: list[str], pattern: str, by: str = "", lower: bool = False, all_of: str | None = None) -> Column:
+    """``md`` with the pattern replaced, where it holds one of ``literals`` (and ``all_of``)."""
+    def step(t: Column) -> Column:
+        need = _holds(F.lower(t) if lower and len(literals) == 1 else t, literals) if not lower or len(literals) == 1 \
+            else _bound(F.lower(t), lambda low: _holds(low, literals))
+        if all_of:
+            need = t.contains(all_of) & need
+        return F.when(need, F.regexp_replace(t, pattern, by)).otherwise(t)
+    return _bound(_c(md), step)
+
+
 def strip_comments(md) -> Column:          # F1
-    return F.regexp_replace(_c(md), COMMENT_RE, "")
+    return _replaced(md, ["<!--"], COMMENT_RE)
 
 
 def strip_scripts(md) -> Column:           # F2
-    return F.regexp_replace(_c(md), SCRIPT_RE, "")
+    return _replaced(md, ["<script"], SCRIPT_RE, lower=True, all_of="<")
 
 
 def strip_styles(md) -> Column:            # F3
-    return F.regexp_replace(_c(md), STYLE_RE, "")
+    return _replaced(md, ["<style"], STYLE_RE, lower=True, all_of="<")
 
 
 def drop_boilerplate_sections(md) -> Column:   # F4
-    return F.regexp_replace(_c(md), BOILERPLATE_RE, "")
+    return _replaced(md, BOILERPLATE_NEEDS, BOILERPLATE_RE, lower=True, all_of="#")
 
 
 def drop_consent_lines(md) -> Column:      # F5
-    return F.regexp_replace(_c(md), CONSENT_RE, "")
+    return _replaced(md, CONSENT_NEEDS, CONSENT_RE, lower=True)
 
 
 def collapse_blank_runs(md) -> Column:     # F6
-    return F.regexp_replace(_c(md), BLANK_RUN_RE, "\n\n\n")
+    return _replaced(md, ["\n\n\n\n"], BLANK_RUN_RE, "\n\n\n")
 
 
 def drop_empty_images(md) -> Column:       # F7
-    return F.regexp_replace(F.regexp_replace(_c(md), LINKED_PIXEL_RE, ""), EMPTY_IMAGE_RE, "")
+    return _replaced(_replaced(md, ["[![]("], LINKED_PIXEL_RE), ["![]("], EMPTY_IMAGE_RE)
 
 
 def drop_cta_lines(md) -> Column:          # F8
-    return F.regexp_replace(_c(md), CTA_RE, "")
+    return _replaced(md, CTA_NEEDS, CTA_RE, lower=True)
 
 
 def clamp_markup_runs(md) -> Column:       # F9
     s = _c(md)
     for run, short in MARKUP_RUNS:
-        s = F.regexp_replace(s, run, short)
+        s = _replaced(s, [short + short[0]], run, short)
     return s
 
 

@@ -221,18 +221,63 @@ def parse_category_response(responses: DataFrame) -> DataFrame:
     return ok.filter(F.col("patterns").isNotNull()).unionByName(bad)
 
 
-def match_categories(pages: DataFrame, parsed: DataFrame) -> DataFrame:
+def _grams(text: Column, n: Column) -> Column:
+    """Distinct substrings of n characters."""
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))))
+
+
+def _contained(urls: DataFrame, patterns: DataFrame, gram: int) -> DataFrame:
+    """(job_id, url, pattern) where the url contains the pattern, by an index: each
+    pattern is looked up by that of its substrings of ``gram`` characters (all of
+    it, if it is shorter) that the fewest of the job's urls hold, and only urls
+    that hold it are compared. ``patterns`` are not empty."""
+    p = patterns.withColumn("n", F.least(F.length("pattern"), F.lit(gram)))
+    sizes = sorted(r.n for r in p.select("n").distinct().collect())  # at most ``gram`` numbers
+    if not sizes:
+        return urls.join(patterns, "job_id").limit(0)
+    every = F.flatten(F.array(*[F.coalesce(_grams(F.col("url"), F.lit(n)), F.array().cast("array<string>")) for n in sizes]))
+    held = urls.select("job_id", "url", F.explode(every).alias("gram"))
+    seen = held.groupBy("job_id", "gram").agg(F.count(F.lit(1)).alias("urls"))
+    own = p.select("job_id", "pattern", F.explode(_grams(F.col("pattern"), F.col("n"))).alias("gram"))
+    counted = own.join(seen, ["job_id", "gram"], "left").groupBy("job_id", "pattern").agg(F.min(F.struct(F.coalesce("urls", F.lit(0)), "gram")).alias("_r"))
+    rare = counted.where("_r.col1 > 0").select("job_id", "pattern", "_r.gram")
+    return held.join(rare, ["job_id", "gram"]).where(F.col("url").contains(F.col("pattern"))).select("job_id", "url", "pattern")
+
+
+def match_categories(pages: DataFrame, parsed: DataFrame, pair_limit: int = 100_000, gram: int = 8) -> DataFrame:
     """A page joins a category when its url contains any listed pattern
     (many-to-many; unmatched pages drop out). A NULL pattern list is the
-    catch-all fallback category. Joined on job_id, so the containment test
-    only runs within a job."""
+    catch-all fallback category. Within a job of at most ``pair_limit`` pairs of url
+    and pattern (counted first) each pair is compared; a larger job goes through
+    an index of substrings, so its urls and patterns never meet in pairs."""
     # the catch-all is the empty pattern; an empty list matches nothing
     listed = F.coalesce("patterns", F.array(F.lit("")))
     pats = parsed.select("job_id", "category", "cat_pos", F.explode(listed).alias("pattern"))
-    j = pages.join(pats, "job_id")
-    hit = j.filter(F.col("url").contains(F.col("pattern")))
+    per_job = pages.groupBy("job_id").agg(F.count(F.lit(1)).alias("_u")).join(pats.groupBy("job_id").agg(F.count(F.lit(1)).alias("_p")), "job_id")
+    large = per_job.where(F.col("_u") * F.col("_p") > pair_limit).select("job_id")
     keys = ["job_id", "category", "cat_pos", "url"] + (["pos"] if "pos" in pages.columns else [])
-    return hit.select(*keys).distinct()
+
+    def compared(u: DataFrame, p: DataFrame) -> DataFrame:
+        return u.join(p, "job_id").filter(F.col("url").contains(F.col("pattern"))).select(*keys)
+    if large.isEmpty():
+        return compared(pages, pats).distinct()
+    many, their = pages.join(large, "job_id", "left_semi"), pats.join(large, "job_id", "left_semi")
+    hits = _contained(many.where("url IS NOT NULL").select("job_id", "url").distinct(),
+                      their.where("pattern <> ''").select("job_id", "pattern").distinct(), gram)
+    found = hits.join(their, ["job_id", "pattern"]).select("job_id", "category", "cat_pos", "url").distinct()
+    out = many.join(found, ["job_id", "url"]).select(*keys)
+    out = out.unionByName(compared(many, their.where("pattern = ''")))
+    rest = compared(pages.join(large, "job_id", "left_anti"), pats.join(large, "job_id", "left_anti"))
+    return rest.unionByName(out).distinct()
+
+
+def uncategorized_counts(pages: DataFrame, matches: DataFrame) -> DataFrame:
+    """(job_id, pages, uncategorized): distinct urls of each job, and how many of
+    them no category took (SURVEY Q12)."""
+    urls = pages.select("job_id", "url").distinct()
+    taken = matches.select("job_id", "url").distinct().withColumn("_t", F.lit(1))
+    j = urls.join(taken, ["job_id", "url"], "left")
+    return j.groupBy("job_id").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("_t").isNull()).alias("uncategorized"))
 
 
 # ----------------------------------------------------------------------------- I9

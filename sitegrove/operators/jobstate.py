@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import json_merge, normalize_domain
+from .changes import numbered
 
 DEFAULT_INTERVAL = 1440
 DEFAULT_MODEL = "openai/gpt-5"  # fixed value: the reference's default model name
@@ -146,17 +147,55 @@ def rate_windows(pages: DataFrame, seconds: int = 10, limit: int = 100) -> DataF
                          F.greatest(F.col("events") - limit, F.lit(0)).alias("deferred")))
 
 
+def throttle_backlog(pages: DataFrame, seconds: int = 10, limit: int = 100) -> DataFrame:
+    """S4 with carry-over: what a window defers waits for the next ones, ``limit``
+    a window. (window, window_start, events, earlier, backlog_before,
+    backlog_after); ``window`` counts windows from the epoch, ``earlier`` the
+    events of all earlier windows.
+
+    The backlog before a window is p - min(p so far), where p is what came before
+    less what all earlier windows can take (empty ones too), so it is prefix sums
+    and prefix minima: inside buckets of 360 windows, and over one row a bucket."""
+    w = pages.groupBy(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / seconds).cast("long").alias("window")).agg(F.count(F.lit(1)).alias("events"))
+    w = w.withColumn("_b", F.expr("window div 360"))
+    inside = Window.partitionBy("_b").orderBy("window")
+    w = w.withColumn("_in", F.sum("events").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("events"))
+    w = w.withColumn("_p", F.col("_in") - limit * F.col("window"))
+    per = w.groupBy("_b").agg(F.sum("events").alias("_n"), F.min("_p").alias("_m"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    per = per.withColumn("_low", F.min(F.col("_m") + F.col("_off")).over(before)).select("_b", "_off", "_low")
+    x = w.join(per, "_b").withColumn("_p", F.col("_p") + F.col("_off"))
+    low = F.min("_p").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    x = x.withColumn("backlog_before", F.col("_p") - F.least(low, F.col("_low")))
+    return x.select("window", F.timestamp_seconds(F.col("window") * seconds).cast("timestamp_ntz").alias("window_start"), "events",
+                    (F.col("_off") + F.col("_in")).alias("earlier"), "backlog_before",
+                    F.greatest(F.col("backlog_before") + F.col("events") - limit, F.lit(0)).alias("backlog_after"))
+
+
+def start_delays(pages: DataFrame, seconds: int = 10, limit: int = 100) -> DataFrame:
+    """Each page event with the seconds it waits for its turn, first come first
+    served: its number in the global order gives its place in its window's queue."""
+    order = ["ts", "event_id", "doc_pos", "job_id", "url"]
+    q = throttle_backlog(pages, seconds, limit).select("window", "earlier", "backlog_before")
+    n = numbered(pages.select(*order), order, "_n").withColumn("window", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / seconds).cast("long"))
+    ahead = F.col("backlog_before") + F.col("_n") - F.col("earlier")
+    return n.join(q, "window").select(*order, (F.floor(ahead / limit) * seconds).cast("long").alias("delay_seconds"))
+
+
 # ----------------------------------------------------------------------------- S6 / J9
 
 def close_bookkeeping(events: DataFrame, existing_stats: DataFrame | None = None) -> DataFrame:
     """At close, record how many pages were received and processed by then
-    and a note, merged (J9, right side wins) into the job's stats JSON."""
+    and a note, merged (J9, right side wins) into the job's stats JSON. A row of
+    ``events`` counts ``n`` times where there is such a column."""
+    n = F.col("n") if "n" in events.columns else F.lit(1).cast("long")
     closes = events.filter(F.col("kind") == 3).groupBy("job_id").agg(F.min("ts").alias("closed_at"))
     e = events.join(closes, "job_id")
     before = F.col("ts") <= F.col("closed_at")
     x = e.groupBy("job_id").agg(F.first("closed_at").alias("closed_at"),
-                                F.count_if((F.col("kind") == 1) & before).alias("rec"),
-                                F.count_if((F.col("kind") == 2) & before).alias("proc"))
+                                F.coalesce(F.sum(F.when((F.col("kind") == 1) & before, n)), F.lit(0)).alias("rec"),
+                                F.coalesce(F.sum(F.when((F.col("kind") == 2) & before, n)), F.lit(0)).alias("proc"))
     note = F.to_json(F.struct(F.lit(True).alias("streamClosed"), F.col("proc").alias("pagesProcessedAtClose"),
                               F.col("rec").alias("pagesReceivedAtClose"),
                               F.format_string("Stream closed. Received: %d, Processed: %d", "rec", "proc").alias("note")))

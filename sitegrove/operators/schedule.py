@@ -4,9 +4,8 @@ Every rule takes an explicit ``as_of`` timestamp instead of the wall clock, so
 a run is reproducible and a backfill can ask "what was due at time t".
 The per-domain inputs are top-1 aggregates (map-side combinable); the
 exclusion of domains with a running job is a ``left_anti`` join on the domain
-key. The global admission cap is an ``orderBy().limit()`` top-k: each
-partition keeps its own first k rows before the final merge, so no task
-sees more than k rows per partition.
+key. Admission numbers the waiting requests by a global sort and takes those
+below the free slots, so any number of slots is dealt in parallel.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import crawl_domain_valid, normalize_domain
 from .catalog import latest_finished_job_per_domain, latest_job_per_domain
+from .changes import numbered
 
 
 def _ms(ts) -> Column:
@@ -77,18 +77,28 @@ def ingest_requests(due: DataFrame, as_of: str) -> DataFrame:
                       F.lit("scheduler").alias("requested_by"), _as_of(as_of).alias("scheduled_at"))
 
 
+def waiting_requests(requests: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The oldest request of each domain that has no running job. ``requests``:
+    domain_id, requested_at, request_id."""
+    waiting = requests.join(ongoing_domains(jobs).withColumnRenamed("id", "domain_id"), "domain_id", "left_anti")
+    first = waiting.groupBy("domain_id").agg(F.min(F.struct("requested_at", "request_id")).alias("_f"))
+    return first.select("domain_id", F.col("_f.requested_at").alias("requested_at"), F.col("_f.request_id").alias("request_id"))
+
+
+def admit_oldest(waiting: DataFrame, free: int) -> DataFrame:
+    """The ``free`` oldest of the waiting requests, by their number in a global
+    sort: any number of slots is dealt without a merge in one task."""
+    if free <= 0:
+        return waiting.limit(0)
+    return numbered(waiting, ["requested_at", "request_id"], "_n").where(F.col("_n") < free).drop("_n")
+
+
 def admit_crawls(requests: DataFrame, jobs: DataFrame, slots: int = 5) -> DataFrame:       # K5
     """At most one active crawl per domain (domains with a running job wait,
     and only their oldest request counts), oldest first, into the slots that
-    running jobs leave free of ``slots``. ``requests``: domain_id, requested_at,
-    request_id."""
+    running jobs leave free of ``slots``."""
     running = jobs.filter(F.col("status") == "processing").count()
-    waiting = requests.join(ongoing_domains(jobs).withColumnRenamed("id", "domain_id"), "domain_id", "left_anti")
-    first = (waiting.groupBy("domain_id")
-             .agg(F.min(F.struct("requested_at", "request_id")).alias("_f"))
-             .select("domain_id", F.col("_f.requested_at").alias("requested_at"),
-                     F.col("_f.request_id").alias("request_id")))
-    return first.orderBy("requested_at", "request_id").limit(max(0, slots - running))
+    return admit_oldest(waiting_requests(requests, jobs), slots - running)
 
 
 def validate_crawl_requests(requests: DataFrame, domains: DataFrame, jobs: DataFrame) -> DataFrame:  # B7 + J1

@@ -201,6 +201,17 @@ def q_category_assignment(spark, sf):
     return A.match_categories(pages, A.parse_category_response(_category_responses(spark, sf)))
 
 
+@register("uncategorized_pages", "C6", sql=_V + _CATS_SQL + """
+, u AS (SELECT DISTINCT job_id, url FROM v)
+SELECT u.job_id, count(*) AS pages, count(*) FILTER (WHERE NOT EXISTS (
+         SELECT 1 FROM cats c WHERE c.job_id = u.job_id AND len(list_filter(c.patterns, lambda x: contains(u.url, x))) > 0)) AS uncategorized
+FROM u GROUP BY u.job_id""")
+def q_uncategorized(spark, sf):
+    """Every job through the pattern index, whatever its size."""
+    pages = _details(spark, sf).select("job_id", "url").distinct()
+    return A.uncategorized_counts(pages, A.match_categories(pages, A.parse_category_response(_category_responses(spark, sf)), pair_limit=0))
+
+
 def _categorized_sql() -> str:
     return _V + _CATS_SQL + f"""
 , hits AS (SELECT DISTINCT c.job_id, c.category, c.cat_pos, v.url FROM cats c JOIN v ON v.job_id = c.job_id

@@ -155,6 +155,40 @@ def q_rate(spark, sf):
     return J.rate_windows(event_pipeline(spark, sf)["pages"])
 
 
+_QUEUE_SQL = """
+, w AS (SELECT CAST(floor(epoch(ts) / 10) AS BIGINT) AS win, count(*) AS events FROM pages GROUP BY 1)
+, l AS (SELECT CAST(ceil(avg(events)) AS BIGINT) AS cap FROM w)
+, o AS (SELECT *, row_number() OVER (ORDER BY win) AS rn FROM w)
+, q AS (SELECT win, events, rn, 0::BIGINT AS before, greatest(events - cap, 0) AS after FROM o, l WHERE rn = 1
+        UNION ALL
+        SELECT win, events, rn, before, greatest(before + events - cap, 0)
+        FROM (SELECT o.win, o.events, o.rn, greatest(q.after - cap * (o.win - q.win - 1), 0) AS before, cap
+              FROM q JOIN o ON o.rn = q.rn + 1, l))"""
+
+
+def _cap(pages):
+    """Events a window may start: the mean of the windows that have any, so that
+    the limit binds at any size."""
+    per = pages.groupBy(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 10).cast("long")).agg(F.count(F.lit(1)).alias("n"))
+    return int(per.agg(F.ceil(F.avg("n"))).first()[0] or 1)
+
+
+@register("throttle_backlog", "S4", sql=_EV.replace("WITH", "WITH RECURSIVE", 1) + _QUEUE_SQL + """
+SELECT TIMESTAMP '1970-01-01 00:00:00' + to_seconds(win * 10) AS window_start, events, before AS backlog_before, after AS backlog_after FROM q""")
+def q_throttle(spark, sf):
+    pages = event_pipeline(spark, sf)["pages"]
+    return J.throttle_backlog(pages, 10, _cap(pages)).select("window_start", "events", "backlog_before", "backlog_after")
+
+
+@register("page_start_delays", "S4", sql=_EV.replace("WITH", "WITH RECURSIVE", 1) + _QUEUE_SQL + """
+, n AS (SELECT *, row_number() OVER (PARTITION BY floor(epoch(ts) / 10) ORDER BY ts, event_id, doc_pos, job_id, url) - 1 AS place FROM pages)
+SELECT n.ts, n.event_id, n.doc_pos, n.job_id, n.url, CAST((q.before + n.place) // cap * 10 AS BIGINT) AS delay_seconds
+FROM n JOIN q ON q.win = CAST(floor(epoch(n.ts) / 10) AS BIGINT), l""")
+def q_start_delays(spark, sf):
+    pages = event_pipeline(spark, sf)["pages"]
+    return J.start_delays(pages, 10, _cap(pages))
+
+
 @register("close_bookkeeping", "S6,J9", sql=_EV + """
 , c AS (SELECT job_id, min(ts) AS closed_at FROM closes GROUP BY job_id)
 , r AS (SELECT c.job_id, count(p.job_id) AS rec FROM c LEFT JOIN pages p ON p.job_id = c.job_id AND p.ts <= c.closed_at

@@ -61,9 +61,6 @@ _NORM_SQL = ("string_split(regexp_replace(regexp_replace(regexp_replace(url, '^h
              "'^www\\.', ''), '/$', ''), '/')[1]")
 
 
-SLOTS = 1_000_000
-
-
 @register("crawl_admission", "K5,J1", sql=with_views("d_request", "d_domain", "d_job") + f"""
 , r AS (SELECT r.request_id, r.requested_at, d.id AS domain_id FROM d_request r
         JOIN d_domain d ON d.domain = {_NORM_SQL})
@@ -71,13 +68,15 @@ SLOTS = 1_000_000
 , f AS (SELECT domain_id, requested_at, request_id FROM w
         QUALIFY row_number() OVER (PARTITION BY domain_id ORDER BY requested_at, request_id) = 1)
 SELECT domain_id, requested_at, request_id FROM f
-QUALIFY row_number() OVER (ORDER BY requested_at, request_id) <= {SLOTS} - (SELECT count(*) FROM d_job WHERE status = 'processing')""")
+QUALIFY row_number() OVER (ORDER BY requested_at, request_id) <= (count(*) OVER () + 1) // 2""")
 def q_admission(spark, sf):
-    """With {SLOTS} slots: the derived jobs hold far more running crawls than the
-    five of a small deployment."""
+    """With free slots for half of the waiting domains, so that the limit binds at
+    any size: the derived jobs hold far more running crawls than a small
+    deployment's five slots."""
     req = D.crawl_requests(spark, sf).withColumn("normalized_domain", S.normalize_domain(F.col("url")))
     dom = D.domains(spark, sf).select(F.col("domain").alias("normalized_domain"), F.col("id").alias("domain_id"))
-    return K.admit_crawls(req.join(dom, "normalized_domain"), D.jobs(spark, sf), slots=SLOTS)
+    waiting = K.waiting_requests(req.join(dom, "normalized_domain"), D.jobs(spark, sf))
+    return K.admit_oldest(waiting, (waiting.count() + 1) // 2)
 
 
 @register("crawl_request_validation", "B7,J1,M2", sql=with_views("d_request", "d_domain", "d_job") + f"""

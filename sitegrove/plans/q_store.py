@@ -11,6 +11,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources import derived as D
 from ..sources import store
 from ..sources.merge_store import MergeStore
+from ..streaming import state_tables as ST
 from .registry import register
 from .sqlviews import with_views
 
@@ -65,3 +66,19 @@ def q_artifact_store_after_prune(spark, sf):
     s.upsert(rows, "all")
     s.delete(C.retention_prune(artifacts, D.jobs(spark, sf), keep=5)[1].select("id"), "pruned")
     return s.read()
+
+
+@register("job_stats_incremental", "D1,D2,D6,D10", sql=with_views("d_version") + """
+SELECT job_id, count(*) AS total, count(*) FILTER (WHERE importance IS NULL OR importance >= 2) AS changed, count(*) FILTER (WHERE importance < 2) AS skipped,
+       avg(importance) AS average_importance, count(DISTINCT page_id) AS approx_pages, count(DISTINCT page_id) AS unique_pages
+FROM d_version GROUP BY job_id""")
+def q_job_stats_incremental(spark, sf):
+    """Per-job counts, mean score and distinct pages (sketched and exact) from three
+    batches of versions, the second one replayed. A job's pages are so few that
+    the sketch is exact."""
+    v = D.page_versions(spark, sf).select("job_id", "page_id", "importance")
+    path = _root(spark, "job-stats")
+    run = ST.stats_batches(path)
+    for batch, part in ((0, F.col("importance").isNull()), (1, F.col("importance") < 3), (2, F.col("importance") >= 3), (1, F.col("importance") < 3)):
+        run(v.where(part), batch)
+    return ST.read_stats(spark, path, exact=True)
