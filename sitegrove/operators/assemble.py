@@ -133,6 +133,15 @@ def category_counts(versions: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("pages"))
 
 
+def url_sections(versions: DataFrame) -> DataFrame:
+    """(job_id, domain, url, n_url, section): the section of a job's url, of its
+    first version, and how many versions have that url."""
+    section = page_section(F.col("title"), F.col("url"), F.col("description"), F.col("summary"))
+    per_url = versions.groupBy("job_id", "domain", "url").agg(
+        F.count(F.lit(1)).alias("n_url"), F.min(F.struct("created_at", "id", section.alias("s"))).alias("_f"))
+    return per_url.select("job_id", "domain", "url", "n_url", F.col("_f.s").alias("section"))
+
+
 def full_document(versions: DataFrame, as_of: str, assignment: DataFrame | None = None,
                   category_list: DataFrame | None = None) -> DataFrame:                 # I4 + I5 + I6
     """llms-full.txt per job. ``versions``: job_id, domain, id, url, title,
@@ -143,50 +152,45 @@ def full_document(versions: DataFrame, as_of: str, assignment: DataFrame | None
     C6 is given; then ``category_list`` (job_id, category, cat_pos) holds every
     category of the response, in response order, including empty ones (they
     are listed in the contents but get no section).
+    """
+    return full_document_of(url_sections(versions), as_of, assignment, category_list)
+
+
+def full_document_of(per_url: DataFrame, as_of: str, assignment: DataFrame | None = None, category_list: DataFrame | None = None) -> DataFrame:
+    """``full_document`` of ``url_sections``.
 
     Page entries are in (url, created_at, id) order and each shows the first
     version with its url, so all entries of one url are adjacent copies: the
     plan is (job, url) -> (job, category) -> job aggregates, all keyed by the
-    job first; the versions of a url are reduced before they are shuffled.
+    job first; a url's section travels once and is repeated at the end. Empty
+    categories, and jobs without any, are rows without a url (a category) in the
+    same aggregates.
     """
-    v = versions
-    section = page_section(F.col("title"), F.col("url"), F.col("description"), F.col("summary"))
-    per_url = v.groupBy("job_id", "domain", "url").agg(
-        F.count(F.lit(1)).alias("n_url"),
-        F.min(F.struct("created_at", "id", section.alias("s"))).alias("_f"))
-    per_url = per_url.select("job_id", "domain", "url", "n_url", F.repeat(F.col("_f.s"), F.col("n_url")).alias("sections"))
     if assignment is None:
         cats = per_url.withColumn("category", path_category(F.col("url"))).withColumn("cat_pos", F.lit(None).cast("int"))
     else:
         cats = per_url.join(assignment.select("job_id", "url", "category", F.col("cat_pos").cast("int")).distinct(),
                             ["job_id", "url"])
+    if category_list is not None:
+        jobs = per_url.select("job_id", "domain").distinct()
+        listed = jobs.join(category_list.select("job_id", "category", F.col("cat_pos").cast("int")), "job_id", "left")
+        cats = cats.select("job_id", "domain", "category", "cat_pos", "url", "n_url", "section").unionByName(
+            listed.select("job_id", "domain", "category", "cat_pos", F.lit(None).cast("string").alias("url"),
+                          F.lit(0).cast("long").alias("n_url"), F.lit(None).cast("string").alias("section")))
+    page = F.when(F.col("url").isNotNull(), F.struct("url", "section", "n_url"))
     per_cat = cats.groupBy("job_id", "domain", "category", "cat_pos").agg(
-        F.sum("n_url").alias("n"), F.min("url").alias("first_url"),
-        F.array_sort(F.collect_list(F.struct("url", "sections"))).alias("_s"))
-    block = F.concat(F.lit("## "), F.col("category"), F.lit("\n\n"),
-                     F.array_join(F.transform("_s", lambda x: x["sections"]), ""))
+        F.sum("n_url").alias("n"), F.min("url").alias("first_url"), F.array_sort(F.collect_list(page)).alias("_s"))
+    block = F.when(F.size("_s") > 0, F.concat(F.lit("## "), F.col("category"), F.lit("\n\n"),
+                   F.array_join(F.transform("_s", lambda x: F.repeat(x["section"], x["n_url"].cast("int"))), ""))).otherwise("")
     per_cat = per_cat.select("job_id", "domain", "category", "cat_pos", "n", "first_url", block.alias("block"))
-    if category_list is not None:
-        empty = (category_list.select("job_id", "category", F.col("cat_pos").cast("int"))
-                 .join(per_cat.select("job_id", "category"), ["job_id", "category"], "left_anti")
-                 .join(v.select("job_id", "domain").distinct(), "job_id")
-                 .select("job_id", "domain", "category", "cat_pos", F.lit(0).cast("long").alias("n"),
-                         F.lit(None).cast("string").alias("first_url"), F.lit("").alias("block")))
-        per_cat = per_cat.unionByName(empty)
     anchor = F.regexp_replace(F.lower(F.col("category")), JS_SPACE_CLASS + "+", "-")
     toc_line = F.concat(F.lit("- ["), F.col("category"), F.lit("](#"), anchor, F.lit(") ("),
                         F.col("n").cast("string"), F.lit(" pages)"))
     order = F.coalesce(F.col("cat_pos").cast("string"), F.col("first_url"))
     if assignment is not None:
         order = F.lpad(F.col("cat_pos").cast("string"), 10, "0")
-    per_cat = per_cat.select("job_id", "domain", category_order_key(F.col("category"), order).alias("k"),
-                             F.col("block"), toc_line.alias("toc"))
-    per_job = per_cat.groupBy("job_id", "domain").agg(
-        F.array_sort(F.collect_list(F.struct("k", "block", "toc"))).alias("_c"))
-    if category_list is not None:  # a job without any category has a document of its header
-        every = v.select("job_id", "domain").distinct()
-        none = F.array().cast(per_job.schema["_c"].dataType)
-        per_job = every.join(per_job, ["job_id", "domain"], "left").withColumn("_c", F.coalesce("_c", none))
+    entry = F.struct(category_order_key(F.col("category"), order).alias("k"), F.col("block"), toc_line.alias("toc"))
+    per_job = per_cat.groupBy("job_id", "domain").agg(F.array_sort(F.collect_list(F.when(F.col("category").isNotNull(), entry))).alias("_c"))
     head = F.concat(F.lit("# "), F.col("domain"), F.lit(" - Complete Documentation\n\n> Comprehensive content archive from "),
                     F.col("domain"), F.lit(f"\n\nGenerated: {iso_millis(as_of)}\n\n---\n\n"))
     toc = F.when(F.size("_c") > 1, F.concat(F.lit("## Table of Contents\n\n"),

@@ -6,12 +6,16 @@ Plan:
    a global order instead.
 2. Pairs whose normalised texts are identical, and first versions, never
    reach Python: their counts are constants. Only changed pairs go through the
-   line diff, an Arrow-batched pandas UDF (map-side, evaluated once per row).
+   line diff, an Arrow-batched pandas UDF (map-side, evaluated once per row) that
+   works on whole rows of the length table as bits of one number.
 3. Decision, gate and version rows are column expressions.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from math import isqrt
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,67 +91,105 @@ def _tokens(text: str) -> list[str]:
     return [p + "\n" for p in parts[:-1]] + ([parts[-1]] if parts[-1] != "" else [])
 
 
-def _middle(a: list[int], b: list[int]) -> tuple[int, int, int, int]:
-    """The middle run of a shortest edit path (Myers): (i, j) where it starts and
-    ends. Two frontiers, from both ends, are all the memory it needs."""
-    n, m = len(a), len(b)
-    delta, size = n - m, n + m + 2
-    fore, back = [-1] * (2 * size + 1), [-1] * (2 * size + 1)
-    fore[size + 1] = back[size + 1] = 0
-    for d in range((n + m + 1) // 2 + 1):
-        ks = range(-d + 2 * max(0, d - m), d - 2 * max(0, d - n) + 1, 2)
-        for k in ks:
-            x = fore[size + k + 1] if k == -d or (k != d and fore[size + k - 1] < fore[size + k + 1]) else fore[size + k - 1] + 1
-            i, j = x, x - k
-            while i < n and j < m and a[i] == b[j]:
-                i, j = i + 1, j + 1
-            fore[size + k] = i
-            if delta % 2 and abs(delta - k) < d and i + back[size + delta - k] >= n:
-                return x, x - k, i, j
-        for k in ks:
-            x = back[size + k + 1] if k == -d or (k != d and back[size + k - 1] < back[size + k + 1]) else back[size + k - 1] + 1
-            i, j = x, x - k
-            while i < n and j < m and a[n - 1 - i] == b[m - 1 - j]:
-                i, j = i + 1, j + 1
-            back[size + k] = i
-            if delta % 2 == 0 and abs(delta - k) <= d and i + fore[size + delta - k] >= n:
-                return n - i, m - j, n - x, m - x + k
-    raise AssertionError("frontiers meet")
+class _Suffixes:
+    """Lengths of the longest common subsequence of all suffixes x[i:], y[j:]: one
+    whole number a row, whose 0 bits mark where the length grows as j falls. A row
+    is a few operations on m-bit numbers. Every ``step``-th row is kept, the rest
+    are made again block by block, so memory is some 2 sqrt(n) rows."""
+
+    def __init__(self, x: list[int], y: list[int]):
+        self.x, self.n, self.m = x, len(x), len(y)
+        places: dict[int, list[int]] = {}
+        for j, t in enumerate(y):
+            places.setdefault(t, []).append(self.m - 1 - j)
+        self.masks = {t: sum(1 << p for p in ps) for t, ps in places.items()}
+        self.full = (1 << self.m) - 1
+        self.step = max(1, isqrt(self.n))
+        self.kept, row = {self.n: self.full}, self.full
+        for i in range(self.n - 1, -1, -1):
+            row = self._above(i, row)
+            if i % self.step == 0:
+                self.kept[i] = row
+        self.block: dict[int, int] = {}
+
+    def _above(self, i: int, row: int) -> int:
+        u = row & self.masks.get(self.x[i], 0)
+        return ((row + u) | (row - u)) & self.full
+
+    def _row(self, i: int) -> int:
+        if i in self.kept:
+            return self.kept[i]
+        if i not in self.block:
+            end = min(i - i % self.step + self.step, self.n)
+            self.block, row = {}, self.kept[end]
+            for k in range(end - 1, i - i % self.step, -1):
+                row = self.block[k] = self._above(k, row)
+        return self.block[i]
+
+    def length(self, i: int, j: int) -> int:
+        k = self.m - j
+        return k - (self._row(i) & ((1 << k) - 1)).bit_count()
+
+
+def _shared(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    """Places of the items that the other side has too."""
+    in_a, in_b = set(a), set(b)
+    return [i for i, t in enumerate(a) if t in in_b], [j for j, t in enumerate(b) if t in in_a]
+
+
+def _common_length(a: list[int], b: list[int]) -> int:
+    keep_a, keep_b = _shared(a, b)
+    x, y = [a[i] for i in keep_a], [b[j] for j in keep_b]
+    lo, hi = 0, 0
+    while lo < min(len(x), len(y)) and x[lo] == y[lo]:
+        lo += 1
+    while hi < min(len(x), len(y)) - lo and x[-1 - hi] == y[-1 - hi]:
+        hi += 1
+    x, y = x[lo:len(x) - hi], y[lo:len(y) - hi]
+    return lo + hi + (_Suffixes(x, y).length(0, 0) if x and y else 0)
 
 
 def _common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Places (i, j) of a longest common subsequence, in linear space. Items that
-    the other side lacks can't be in it and are left out of the search."""
-    in_a, in_b = set(a), set(b)
-    keep_a = [i for i, t in enumerate(a) if t in in_b]
-    keep_b = [j for j, t in enumerate(b) if t in in_a]
+    """Places (i, j) of the longest common subsequence. Of several, the one that
+    takes each item of ``a`` in turn if it can be part of one, at its next place in
+    ``b``: a fixed rule, so a diff text has one right form."""
+    keep_a, keep_b = _shared(a, b)
     x, y = [a[i] for i in keep_a], [b[j] for j in keep_b]
-    found, todo = [], [(0, len(x), 0, len(y))]
-    while todo:
-        i, i2, j, j2 = todo.pop()
-        while i < i2 and j < j2 and x[i] == y[j]:
-            found.append((i, j))
-            i, j = i + 1, j + 1
-        while i < i2 and j < j2 and x[i2 - 1] == y[j2 - 1]:
-            i2, j2 = i2 - 1, j2 - 1
-            found.append((i2, j2))
-        if i < i2 and j < j2:
-            p, q, p2, q2 = _middle(x[i:i2], y[j:j2])
-            found += [(i + p + t, j + q + t) for t in range(p2 - p)]
-            todo += [(i, i + p, j, j + q), (i + p2, i2, j + q2, j2)]
-    return sorted((keep_a[i], keep_b[j]) for i, j in found)
-
-
-def line_diff(old: str, new: str, want_text: bool = False) -> tuple[int, int, int, str | None]:
-    """(additions, deletions, unchanged, diff_text) counting newline characters
-    per hunk, as the reference does. Small per-row helper."""
+    lo = 0
+    while lo < min(len(x), len(y)) and x[lo] == y[lo]:
+        lo += 1
+    found = [(k, k) for k in range(lo)]
+    x, y = x[lo:], y[lo:]
+    if x and y:
+        lengths, at = _Suffixes(x, y), {}
+        for j, t in enumerate(y):
+            at.setdefault(t, []).append(j)
+        left, j = lengths.length(0, 0), 0
+        for i, t in enumerate(x):
+            if not left:
+                break
+            k = bisect_left(at[t], j) if t in at else 0
+            if t in at and k < len(at[t]) and lengths.length(i + 1, at[t][k] + 1) == left - 1:
+                j = at[t][k] + 1
+                found.append((lo + i, lo + j - 1))
+                left -= 1
+    return [(keep_a[i], keep_b[j]) for i, j in found]
+
+
+def line_diff(old: str, new: str, want_text: bool = False, count: str = "newlines") -> tuple[int, int, int, str | None]:
+    """(additions, deletions, unchanged, diff_text). ``count``: 'newlines' counts
+    newline characters, as the reference does, 'lines' counts lines. Small per-row
+    helper."""
     ta, tb = _tokens(old), _tokens(new)
     ids: dict[str, int] = {}
-    pairs = _common([ids.setdefault(t, len(ids)) for t in ta], [ids.setdefault(t, len(ids)) for t in tb])
-    last_equal = bool(ta) and bool(tb) and ta[-1] == tb[-1]
-    unchanged = len(pairs) - (1 if last_equal else 0)
-    return (new.count("\n") - unchanged, old.count("\n") - unchanged, unchanged,
-            _render(pairs, ta, tb) if want_text else None)
+    a, b = ([ids.setdefault(t, len(ids)) for t in x] for x in (ta, tb))
+    pairs = _common(a, b) if want_text else None
+    common = len(pairs) if want_text else _common_length(a, b)
+    text = _render(pairs, ta, tb) if want_text else None
+    if count == "lines":
+        return len(tb) - common, len(ta) - common, common, text
+    unchanged = common - (1 if ta and tb and ta[-1] == tb[-1] else 0)
+    return new.count("\n") - unchanged, old.count("\n") - unchanged, unchanged, text
 
 
 def _render(pairs: list[tuple[int, int]], ta: list[str], tb: list[str]) -> str:
@@ -170,16 +212,18 @@ _DIFF = T.StructType([
     T.StructField("unchanged", T.LongType()), T.StructField("diff_text", T.StringType())])
 
 
-def _diff_udf(want_text: bool):
+def _diff_udf(want_text: bool, count: str):
     @F.pandas_udf(_DIFF)
     def diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-        rows = [line_diff(o or "", n or "", want_text) for o, n in zip(old, new)]
+        rows = [line_diff(o or "", n or "", want_text, count) for o, n in zip(old, new)]
         return pd.DataFrame(rows, columns=["additions", "deletions", "unchanged", "diff_text"])
     return diff
 
 
-def diff_versions(pairs: DataFrame, old: str, new: str, with_text: bool = False) -> DataFrame:   # G1 + G2 (+G4)
+def diff_versions(pairs: DataFrame, old: str, new: str, with_text: bool = False, count: str = "newlines") -> DataFrame:   # G1 + G2 (+G4)
     """Line-diff metrics for rows with both texts (G1 normalisation first).
+    ``count``: 'newlines' (an edit to only the last line is no change, SURVEY Q5)
+    or 'lines'.
     Rows with a NULL ``old`` (no previous version) get NULL metrics; pairs
     whose normalised texts are identical get constant metrics. Only changed
     pairs send their texts to the diff UDF (the others pass NULLs, so almost
@@ -189,9 +233,11 @@ def diff_versions(pairs: DataFrame, old: str, new: str, with_text: bool = False)
     same = ~first & (o == n)
     need = ~first & (o != n)
     # a generator: filters on the results read its output, and don't run the UDF again
-    pairs = pairs.select("*", F.inline(F.array(_diff_udf(with_text)(F.when(need, o), F.when(need, n)).cast(
+    pairs = pairs.select("*", F.inline(F.array(_diff_udf(with_text, count)(F.when(need, o), F.when(need, n)).cast(
         "struct<_da:bigint,_dd:bigint,_du:bigint,_dt:string>"))))
-    nl = (F.length(n) - F.length(F.regexp_replace(n, "\n", ""))).cast("long")
+    nl = (F.length(n) - F.length(F.replace(n, F.lit("\n"), F.lit("")))).cast("long")
+    if count == "lines":  # the last line has no newline
+        nl = F.when(n == "", F.lit(0).cast("long")).otherwise(nl + 1)
     zero = F.lit(0).cast("long")
     add = F.when(first, F.lit(None).cast("long")).when(same, zero).otherwise(F.col("_da"))
     dele = F.when(first, F.lit(None).cast("long")).when(same, zero).otherwise(F.col("_dd"))

@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-
-
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read back: a step starts from files."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..session import stored as _stored
 
 
 def _roots(hooks: DataFrame) -> DataFrame:

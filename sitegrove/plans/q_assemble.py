@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from .. import AS_OF
 from ..functions import prompts as H
 from ..operators import assemble as A
+from ..session import stored
 from ..sources import derived as D
 from ..sources.tables import read_table
 from . import sqlfrag as Q
+from .q_changes import diff_text_sql
 from .registry import register
 from .sqlviews import with_views
 
@@ -248,11 +250,11 @@ def q_full_documents_ai(spark, sf):
     """Full documents with response-driven categories (C6). Category order
     follows the response object's key order (index-like names first), empty
     categories appear in the contents only."""
-    det = _details(spark, sf)
-    parsed = A.parse_category_response(_category_responses(spark, sf))
-    cats = A.match_categories(det.select("job_id", "url").distinct(), parsed)
-    return A.full_document(det, AS_OF, assignment=cats.select("job_id", "url", "category", "cat_pos"),
-                           category_list=parsed.select("job_id", "category", "cat_pos").distinct())
+    per_url = stored(A.url_sections(_details(spark, sf)), "url-sections")
+    parsed = stored(A.parse_category_response(_category_responses(spark, sf)), "categories")
+    cats = A.match_categories(per_url.select("job_id", "url"), parsed)
+    return A.full_document_of(per_url, AS_OF, assignment=cats.select("job_id", "url", "category", "cat_pos"),
+                              category_list=parsed.select("job_id", "category", "cat_pos").distinct())
 
 
 def _artifact_sql() -> str:
@@ -286,8 +288,11 @@ WHERE docs.content IS NOT NULL"""
 def q_artifact_rows(spark, sf):
     """Both documents for jobs passing the gate, versioned after the existing
     artifacts of the same domain and kind."""
-    gate = A.assembly_gate(D.page_versions(spark, sf)).filter("should_generate").select("job_id")
-    det = _details(spark, sf).join(gate, "job_id", "left_semi")
+    versions = _with_domain(spark, sf, D.page_version_details(spark, sf)).select(
+        "job_id", "domain", "id", "url", "title", "description", "summary", "created_at", "importance", "change_status")
+    versions = stored(versions, "version-details")
+    gate = A.assembly_gate(versions).filter("should_generate").select("job_id")
+    det = versions.join(gate, "job_id", "left_semi")
     idx = A.index_document(det, AS_OF).select("job_id", "domain", F.lit("llms_txt").alias("kind"), "content")
     full = A.full_document(det, AS_OF).select("job_id", "domain", F.lit("llms_full_txt").alias("kind"), "content")
     return A.artifact_rows(idx.unionByName(full), D.jobs(spark, sf), D.artifacts(spark, sf))
@@ -498,7 +503,9 @@ def q_short_summary(spark, sf):
     return p.select("page_id", H.short_summary_request(F.col("url"), _basic_clean(F.col("raw_md"))).alias("request"))
 
 
-@register("change_score_requests", "H3,H8,G4", sql=None)
+@register("change_score_requests", "H3,H8,G4", sql=diff_text_sql(f"""
+, m AS (SELECT id, page_id, 'Evaluate these changes:' || {NN} || diff_text AS request FROM dt)
+SELECT id, page_id, request, CAST(ceil(length({_lit(H.SCORE_SYSTEM)}) / 4) + ceil(length(request) / 4) AS BIGINT) AS prompt_tokens FROM m"""))
 def q_score_requests(spark, sf):
     """Scorer requests for changed versions only (diff text from G4), with
     token estimates; first versions and unchanged pairs need no request."""

@@ -40,6 +40,34 @@ def _nl_sql(e: str) -> str:
     return f"(length({e}) - length(replace({e}, chr(10), '')))"
 
 
+def _diff_text_sql(ta: str, tb: str) -> str:
+    """The diff text of two token lists by the table of suffix lengths, filled from
+    the end, a walk that takes each old token in turn if a longest common
+    subsequence can hold it (at its next place), and the hunks in order."""
+    row = (f"list_transform([list_transform(range(1, len({tb}) + 1), lambda k: CASE WHEN {tb}[k] = x THEN rows[1][k + 1] + 1 ELSE 0 END) || [0]], "
+           f"lambda c: list_transform(range(1, len({tb}) + 2), lambda j: greatest(rows[1][j], list_max(c[j:]))))[1]")
+    table = f"list_reduce(list_reverse({ta}), lambda rows, x: list_prepend({row}, rows), [list_transform(range(0, len({tb}) + 1), lambda z: 0::BIGINT)])"
+    place = f"(s.j - 1 + list_position({tb}[s.j:], {ta}[i]))"
+    walk = (f"list_reduce(range(1, len({ta}) + 1), lambda s, i: CASE WHEN list_contains({tb}[s.j:], {ta}[i]) AND t[i + 1][{place} + 1] + 1 = t[i][s.j] "
+            f"THEN {{'j': {place} + 1, 'p': list_append(s.p, {{'i': i, 'j': {place}}})}} ELSE s END, {{'j': 1::BIGINT, 'p': []::STRUCT(i BIGINT, j BIGINT)[]}}).p")
+    pairs = f"list_transform([{table}], lambda t: {walk})[1]"
+    ends = f"list_append({pairs}, {{'i': len({ta}) + 1, 'j': len({tb}) + 1}})"
+    same = "CASE WHEN h.same <> '' THEN '  ' || h.same ELSE '' END"
+    hunks = (f"list_reduce({ends}, lambda h, q: {{'o': CASE WHEN q.i > h.i OR q.j > h.j THEN h.o || {same} "
+             f"|| CASE WHEN q.i > h.i THEN '- ' || array_to_string({ta}[h.i:q.i - 1], '') ELSE '' END "
+             f"|| CASE WHEN q.j > h.j THEN '+ ' || array_to_string({tb}[h.j:q.j - 1], '') ELSE '' END ELSE h.o END, "
+             f"'same': CASE WHEN q.i > h.i OR q.j > h.j THEN '' ELSE h.same END || coalesce({ta}[q.i], ''), 'i': q.i + 1, 'j': q.j + 1}}, "
+             "{'o': '', 'same': '', 'i': 1::BIGINT, 'j': 1::BIGINT})")
+    return f"list_transform([{hunks}], lambda h: h.o || {same})[1]"
+
+
+def diff_text_sql(select: str) -> str:
+    """A query over ``dt``: id, page_id, seq and diff_text of the changed versions."""
+    head = _versions_sql()
+    head = head[:head.index("SELECT id, page_id, seq, prev_id, cleaned_md,")]
+    return head + f", dt AS (SELECT id, page_id, seq, {_diff_text_sql('ta', 'tb')} AS diff_text FROM fin WHERE has_changes)\n" + select
+
+
 def _versions_sql(with_rows: bool = True) -> str:
     """SQL form of the batch version pipeline on the chain (F15 -> C7 -> G1/G2
     counts -> G5/G6 with parsed scores -> G7 -> F14/F17)."""
@@ -149,7 +177,7 @@ def q_recrawl_changes_stored(spark, sf):
     return stored_versions(D.recrawl_chain(spark, sf), scores=D.recrawl_responses(spark, sf))
 
 
-@register("version_diff_text", "G4", sql=None)
+@register("version_diff_text", "G4", sql=diff_text_sql("SELECT id, page_id, seq, diff_text FROM dt"))
 def q_version_diff_text(spark, sf):
     v = _versions(spark, sf, with_text=True)
     return v.filter(F.col("has_changes")).select("id", "page_id", "seq", "diff_text")

@@ -149,3 +149,50 @@ def test_time_ordered_previous_version_equals_lag(spark):
     exp = df.withColumn("prev_id", F.lag("id").over(w)).withColumn("prev_text", F.lag("text").over(w))
     assert got.count() == 5
     assert got.select(*exp.columns).exceptAll(exp).count() == 0
+
+
+def test_diff_text_has_one_form():
+    """The walk over the full table of suffix lengths, in Python and in SQL."""
+    import duckdb
+    from sitegrove.plans.q_changes import _diff_text_sql
+    rnd, rows = random.Random(12), []
+    for i in range(400):
+        a, b = ([rnd.choice("abcd") + "\n" for _ in range(rnd.randint(0, 9))] + ([rnd.choice("abx")] if rnd.random() < 0.6 else []) for _ in range(2))
+        rows.append((i, a, b))
+        n, m = len(a), len(b)
+        table = [[0] * (m + 1) for _ in range(n + 1)]
+        for p in range(n - 1, -1, -1):
+            for q in range(m - 1, -1, -1):
+                table[p][q] = table[p + 1][q + 1] + 1 if a[p] == b[q] else max(table[p + 1][q], table[p][q + 1])
+        pairs, j = [], 0
+        for p in range(n):
+            q = next((q for q in range(j, m) if b[q] == a[p]), None)
+            if q is not None and 1 + table[p + 1][q + 1] == table[p][j]:
+                pairs.append((p, q))
+                j = q + 1
+        assert G._common(a, b) == pairs and G._common_length(a, b) == len(pairs)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (id INT, ta VARCHAR[], tb VARCHAR[])")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?)", rows)
+    got = dict(con.execute(f"SELECT id, {_diff_text_sql('ta', 'tb')} FROM t").fetchall())
+    assert got == {i: G.line_diff("".join(a), "".join(b), True)[3] for i, a, b in rows}
+
+
+def test_long_texts_in_little_memory():
+    rnd = random.Random(7)
+    a = [rnd.randint(0, 40) for _ in range(6000)]
+    b = [t for t in a if rnd.random() < 0.9] + [41] * 5
+    pairs = G._common(a, b)
+    assert len(pairs) == G._common_length(a, b) == len(b) - 5
+    assert all(a[i] == b[j] for i, j in pairs) and pairs == sorted(pairs)
+    s = G._Suffixes(a, b)
+    s.length(3001, 0)
+    assert len(s.kept) + len(s.block) < 200
+
+
+def test_counts_of_lines(spark):
+    pairs = [("a\nb", "a\nc"), ("a\nb", "a\nb"), ("", "x"), ("", ""), (None, "x"), ("a\nb\nc", "c"), ("one", "one\n")]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "id int, o string, n string")
+    got = {r.id: (r.additions, r.deletions, r.unchanged, r.has_changes) for r in G.diff_versions(df, "o", "n", count="lines").collect()}
+    assert got == {0: (1, 1, 1, True), 1: (0, 0, 2, False), 2: (1, 0, 0, True), 3: (0, 0, 0, False), 4: (None, None, None, None),
+                   5: (0, 2, 1, True), 6: (0, 0, 1, False)}

@@ -118,3 +118,34 @@ def test_main_content_fallback(spark):
     df = spark.createDataFrame([(1, "short\n# Intro\ntext")], "id long, t string")
     r = X.extract_main_content(df, "t", "m").first()
     assert r.main_fallback and r.m == "short\n# Intro\ntext"
+
+
+def test_literal_tests_change_nothing(spark):
+    """Every cleaning step equals its plain pattern on texts made of their parts."""
+    import random
+    rnd = random.Random(21)
+    bits = ["<!--", "-->", "<script", "<SCRIPT>", "</Script>", "<style>", "</style>", "#", "## ", "\n", "\n\n", "\r\n", " ", "\u0085", " ", " ",
+            "Menu", "NAVIGATION", "footer", "header", "sidebar", "cookie ", "GDPR", "notice", "Notİce", "not", "ice", "privacy", "consent", "sign up", "Sign Up",
+            "Subscribe", "sub", "scribe", "newsletter", "NEWSLETTER", "get started for free", "![](x)", "[![](a)](b)", "![", "](", "***", "____", "########", "x", "É", "K", "ſ"]
+    rows = [(i, "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 25)))) for i in range(3000)] + [(9999, None)]
+    df = spark.createDataFrame(rows, "id int, t string")
+
+    def plain(c, *patterns):
+        for p, by in patterns:
+            c = F.regexp_replace(c, p, by)
+        return c
+    steps = [(T.strip_comments, [(T.COMMENT_RE, "")]), (T.strip_scripts, [(T.SCRIPT_RE, "")]), (T.strip_styles, [(T.STYLE_RE, "")]),
+             (T.drop_boilerplate_sections, [(T.BOILERPLATE_RE, "")]), (T.drop_consent_lines, [(T.CONSENT_RE, "")]),
+             (T.collapse_blank_runs, [(T.BLANK_RUN_RE, "\n\n\n")]), (T.drop_empty_images, [(T.LINKED_PIXEL_RE, ""), (T.EMPTY_IMAGE_RE, "")]),
+             (T.drop_cta_lines, [(T.CTA_RE, "")]), (T.clamp_markup_runs, T.MARKUP_RUNS)]
+    c = F.col("t")
+    chained = c
+    for _, patterns in steps:
+        chained = plain(chained, *patterns)
+    from sitegrove.functions.scalars import js_trim
+    d = df.select("id", *[(~f(c).eqNullSafe(plain(c, *p))).cast("int").alias(f"s{i}") for i, (f, p) in enumerate(steps)],
+                  (~T.clean_markdown(c, dedupe=False).eqNullSafe(js_trim(chained))).cast("int").alias("all"),
+                  *[(f(c) != c).cast("int").alias(f"c{i}") for i, (f, _) in enumerate(steps)])
+    total = d.agg(*[F.sum(x).alias(x) for x in d.columns[1:]]).first().asDict()
+    assert all(total[f"s{i}"] == 0 for i in range(len(steps))) and total["all"] == 0
+    assert all(total[f"c{i}"] > 5 for i in range(len(steps)))
