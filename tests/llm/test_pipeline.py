@@ -11,11 +11,11 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_operator_is_registered():
     names = list(entry.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1
     assert "pipeline" in names and [n for n, _ in P.STAGES] == ["quality", "line_dedup", "near_duplicates", "decontamination", "packing"]
     sql = entry.oracle_sql()
-    assert {k for k in sql if k.startswith("op")} == {"op4_line_runs", "op5_trigram_index", "op8_pivot_table", "op9_prefix_join"}
+    assert {k for k in sql if k.startswith("op")} == {"op4_line_runs", "op5_trigram_index", "op8_pivot_table", "op9_prefix_join", "op11_fm_index", "op13_ida_star"}
 
 
 def test_stages_take_effect(spark):
