@@ -73,8 +73,11 @@ def verify(members: DataFrame, threshold: float, block_members: int, block_grams
     totals = members.groupBy("comp").agg(F.count("*").alias("m"), F.sum(F.length("set") / 8).alias("g"))
     blocks = F.greatest(F.ceil(F.col("m") / block_members), F.ceil(F.col("g") / block_grams)).cast("long")
     d = members.join(totals.select("comp", blocks.alias("nb")), "comp")
-    # small components by a hash of their id, large ones by pairs of blocks
-    small = d.where("nb = 1").select(F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), F.pmod(F.xxhash64("comp"), F.lit(4096)).alias("g"),
+    # small components by a hash of their id, large ones by pairs of blocks; a
+    # group of small ones holds about a block, however many there are
+    all_small = totals.where((F.col("m") <= block_members) & (F.col("g") <= block_grams)).agg(F.sum("m").alias("m"), F.sum("g").alias("g")).first()
+    groups = max(4096, -(-int(all_small["m"] or 0) // block_members), -(-int(all_small["g"] or 0) // block_grams))
+    small = d.where("nb = 1").select(F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), F.pmod(F.xxhash64("comp"), F.lit(groups)).alias("g"),
                                      "comp", "cid", "copies", "set", F.lit(0).cast("long").alias("mine"))
     mine = F.pmod(F.xxhash64("cid"), F.col("nb"))
     large = d.where("nb > 1").select("comp", "cid", "copies", "set", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("other"))
