@@ -67,9 +67,12 @@ def _least_roots_across(a: np.ndarray, b: np.ndarray, linked: np.ndarray) -> tup
     return root_a, root_b
 
 
-def verify(members: DataFrame, threshold: float, block_members: int, block_grams: int) -> DataFrame:
+def verify(members: DataFrame, threshold: float, block_members: int, block_grams: int, read=lambda x: np.frombuffer(x, "<u8"),
+           similar=links_between) -> DataFrame:
     """members: (comp, cid, copies, set). (cid, linked, to): documents linked to
-    the class in some task, and the least class it is connected with there."""
+    the class in some task, and the least class it is connected with there.
+    ``read`` makes the bytes of ``set`` an array, ``similar`` compares two lists of
+    arrays."""
     totals = members.groupBy("comp").agg(F.count("*").alias("m"), F.sum(F.length("set") / 8).alias("g"))
     blocks = F.greatest(F.ceil(F.col("m") / block_members), F.ceil(F.col("g") / block_grams)).cast("long")
     d = members.join(totals.select("comp", blocks.alias("nb")), "comp")
@@ -86,13 +89,13 @@ def verify(members: DataFrame, threshold: float, block_members: int, block_grams
     def run(t: pa.Table) -> pa.Table:
         comp, cid, copies, mine = (t.column(c).to_numpy() for c in ("comp", "cid", "copies", "mine"))
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        sets = [np.frombuffer(x.as_py(), "<u8") for x in t.column("set")]
+        sets = [read(x.as_py()) for x in t.column("set")]
         out_id, out_linked, out_to = [], [], []
         if i == j:  # whole components, or a block with itself
             order = np.argsort(comp, kind="stable")
             for rows in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
                 own = [sets[r] for r in rows]
-                linked = links_between(own, own, threshold)
+                linked = similar(own, own, threshold)
                 np.fill_diagonal(linked, False)
                 out_id.append(cid[rows])
                 out_linked.append(linked @ copies[rows])
@@ -100,7 +103,7 @@ def verify(members: DataFrame, threshold: float, block_members: int, block_grams
         else:
             a, b = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
             if len(a) and len(b):
-                linked = links_between([sets[r] for r in a], [sets[r] for r in b], threshold)
+                linked = similar([sets[r] for r in a], [sets[r] for r in b], threshold)
                 for x, m, root in zip((a, b), (linked, linked.T), _least_roots_across(cid[a], cid[b], linked)):
                     out_id.append(cid[x])
                     out_linked.append(m @ copies[b if x is a else a])

@@ -293,6 +293,27 @@ def q_near_groups(spark, sf):
     return near_match_groups(read_table(spark, sf, "documents"), "doc_id", "text")
 
 
+@register("near_groups_by_cosine", "G12", sql=f"""
+WITH RECURSIVE base AS (SELECT doc_id, {_FPN.format(c="coalesce(text, '')")} AS nt FROM documents)
+, cls AS (SELECT min(doc_id) AS k, nt FROM base GROUP BY nt)
+, s AS (SELECT k, unnest(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i:i + 4], ' '))) AS g
+        FROM (SELECT k, string_split(nt, ' ') AS ws FROM cls))
+, v AS (SELECT k, g, count(*) AS n FROM s GROUP BY k, g)
+, q AS (SELECT k, sum(n * n) AS q FROM v GROUP BY k)
+, d AS (SELECT a.k AS x, b.k AS y, sum(a.n * b.n) AS d FROM v a JOIN v b ON a.g = b.g AND a.k < b.k GROUP BY a.k, b.k)
+, l AS (SELECT x, y FROM d JOIN q qx ON qx.k = x JOIN q qy ON qy.k = y WHERE d * d * 10000 >= 6400 * qx.q * qy.q)
+, e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l)
+, r AS (SELECT k AS a, k AS b FROM cls UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b)
+, g AS (SELECT a, min(b) AS root FROM r GROUP BY a)
+SELECT base.doc_id, g.root AS group_id, g.root <> base.doc_id AS near_copy FROM base JOIN cls USING (nt) JOIN g ON g.a = cls.k""")
+def q_near_groups_by_cosine(spark, sf):
+    """Groups of documents whose vectors of five-word shingles have a cosine of 0.8
+    or more: exact."""
+    from ..operators.cosine import cosine_groups
+    from ..sources.tables import read_table
+    return cosine_groups(read_table(spark, sf, "documents"), "doc_id", "text")
+
+
 def _backfill_sql() -> str:
     from .q_text import _meta, _sql_clean, _sql_main
 
