@@ -5,8 +5,8 @@ one global order, a vector's prefix is the shortest beginning after which the re
 is shorter than ``threshold`` times the whole: two vectors at the threshold share a
 shingle of both prefixes, since all they share beyond either is too little. Any
 order is right; frequent shingles come last, so prefixes hold rare ones. Which are
-frequent is counted: those above a count that at most ``frequent`` shingles can
-reach, which bounds the broadcast.
+frequent is read from a sample of some ``sample`` texts, at most ``frequent``
+shingles, which bounds the broadcast; a poor sample costs time, not links.
 
 Texts with equal normalised text are one class. Classes that share a prefix shingle
 are joined by star edges; inside the components so made every pair is verified on
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fingerprint_normalize
@@ -59,7 +59,19 @@ def prefix_size(counts: np.ndarray, percent: int) -> int:
     return int((rest * 10_000 >= percent * percent * rest[0]).sum()) if len(rest) else 0
 
 
-def cosine_groups(docs: DataFrame, key: str, text: str, percent: int = 80, k: int = 5, frequent: int = 100_000,
+def _pack(shingle: np.ndarray) -> bytes:
+    """A vector's shingles, then their counts in as few bytes as hold them."""
+    f, n = np.unique(shingle, return_counts=True)
+    width = 1 if n.max() < 256 else 2 if n.max() < 65536 else 4
+    return bytes([width]) + f.astype("<i8").tobytes() + n.astype(f"<u{width}").tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    n = (len(data) - 1) // (8 + data[0])
+    return np.column_stack([np.frombuffer(data, "<i8", n, 1), np.frombuffer(data, f"<u{data[0]}", n, 1 + 8 * n).astype(np.int64)])
+
+
+def cosine_groups(docs: DataFrame, key: str, text: str, percent: int = 80, k: int = 5, frequent: int = 100_000, sample: int = 20_000,
                   block_members: int = 1024, block_grams: int = 2_000_000) -> DataFrame:
     """(key, group_id, near_copy): group_id is the smallest key of the group of
     documents connected by a cosine of at least ``percent`` / 100."""
@@ -68,48 +80,36 @@ def cosine_groups(docs: DataFrame, key: str, text: str, percent: int = 80, k: in
     first = same.groupBy("_h").agg(F.min(F.struct(key, "_t")).alias("_m")).select("_h", F.col(f"_m.{key}").alias("_k"), "_m._t")
     first = stored(first.withColumn("cid", F.monotonically_increasing_id()), "texts")
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for x in batch.column(1):
-                f, n = np.unique(x.values.to_numpy(), return_counts=True)
-                rows.append(np.column_stack([f, n]).astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["cid", "vector"])
-
     # all shingles with repeats: words from each place on
     words = F.split(fingerprint_normalize(F.col("_t")), " ", -1)
     every = F.element_at(F.transform(F.array(words), lambda w: F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, k), " ")))), 1)
-    vectors = stored(first.select("cid", every.alias("s")).mapInArrow(counted, "cid long, vector binary"), "vectors")
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [np.frombuffer(x.as_py(), "<i8").reshape(-1, 2)[:, 0] for x in batch.column(0)]
-            f, n = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(n)], names=["f", "n"])
-    held = vectors.select("vector").mapInArrow(features, "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
-    held = stored(held.where("n > 1"), "shingles")  # one that a single text has joins nothing
-    total = held.agg(F.sum("n")).first()[0] or 0
-    # at most ``frequent`` shingles can be held by more than total / frequent texts
-    often = held.where(F.col("n") > max(1, total // frequent)).select("f").toArrow().column("f").to_numpy()
+    some = first.where(F.pmod(F.xxhash64("cid"), F.lit(max(1, first.count() // sample))) == 0)
+    often = some.select(F.explode(F.array_distinct(every)).alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    often = often.orderBy(F.desc("n"), "f").limit(frequent).select("f").toArrow().column("f").to_numpy()
     often = docs.sparkSession.sparkContext.broadcast(np.sort(often))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_id, out_f = [], []
-            for cid, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                v = np.frombuffer(x.as_py(), "<i8").reshape(-1, 2)
-                order = np.lexsort((v[:, 0], np.isin(v[:, 0], often.value)))
-                own = v[order[:prefix_size(v[order, 1], percent)], 0]
-                out_f.append(own)
-                out_id.append(np.full(len(own), cid))
-            if out_id:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_id, out_f)], names=["cid", "f"])
-    meets = stored(vectors.mapInArrow(prefixes, "cid long, f long"), "prefixes")
-    nodes = meets.groupBy("f").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a < z").select("f", "a")
-    comps = connected_components(meets.join(nodes, "f").select("a", F.col("cid").alias("b"))).select(F.col("v").alias("cid"), F.col("root").alias("comp"))
-    members = stored(vectors.join(comps, "cid").select("comp", "cid", F.lit(1).cast("long").alias("copies"), F.col("vector").alias("set")), "members")
-    links = verify(members, percent, block_members, 2 * block_grams, read=lambda x: np.frombuffer(x, "<i8").reshape(-1, 2), similar=cosine_links)
+            own = []
+            for x in batch.column(1):
+                f, n = np.unique(x.values.to_numpy(), return_counts=True)
+                order = np.argsort(np.isin(f, often.value), kind="stable")
+                own.append(f[order[:prefix_size(n[order], percent)]])
+            if own:
+                cid = np.repeat(batch.column(0).to_numpy(), list(map(len, own)))
+                yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(np.concatenate(own))], names=["cid", "f"])
+    meets = first.select("cid", every.alias("s")).mapInArrow(prefixes, "cid long, f long")
+    stars = meets.select(F.min("cid").over(Window.partitionBy("f")).alias("a"), F.col("cid").alias("b")).where("a < b")
+    comps = connected_components(stars).select(F.col("v").alias("cid"), F.col("root").alias("comp"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = pa.array([_pack(x.values.to_numpy()) for x in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets], names=["comp", "cid", "set"])
+    wanted = first.join(comps, "cid").select("comp", "cid", every.alias("s"))
+    members = stored(wanted.mapInArrow(packed, "comp long, cid long, set binary").withColumn("copies", F.lit(1).cast("long")), "members")
+    links = verify(members, percent, block_members, block_grams, read=_unpack, similar=cosine_links)
     roots = connected_components(links.select(F.col("cid").alias("a"), F.col("to").alias("b"))).select(F.col("v").alias("cid"), F.col("root").alias("_root"))
     per_text = stored(first.select("_h", "_k", "cid").join(roots, "cid", "left").select("_h", "_k", F.coalesce("_root", "cid").alias("_root")), "grouped")
     least = stored(per_text.groupBy("_root").agg(F.min("_k").alias("group_id")), "least")
