@@ -59,6 +59,11 @@ def prefix_size(counts: np.ndarray, percent: int) -> int:
     return int((rest * 10_000 >= percent * percent * rest[0]).sum()) if len(rest) else 0
 
 
+def _among(f: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which of f are in the sorted table."""
+    return table[np.minimum(np.searchsorted(table, f), len(table) - 1)] == f if len(table) else np.zeros(len(f), bool)
+
+
 def _pack(shingle: np.ndarray) -> bytes:
     """A vector's shingles, then their counts in as few bytes as hold them."""
     f, n = np.unique(shingle, return_counts=True)
@@ -94,7 +99,7 @@ def cosine_groups(docs: DataFrame, key: str, text: str, percent: int = 80, k: in
             own = []
             for x in batch.column(1):
                 f, n = np.unique(x.values.to_numpy(), return_counts=True)
-                order = np.argsort(np.isin(f, often.value), kind="stable")
+                order = np.argsort(_among(f, often.value), kind="stable")
                 own.append(f[order[:prefix_size(n[order], percent)]])
             if own:
                 cid = np.repeat(batch.column(0).to_numpy(), list(map(len, own)))
