@@ -60,19 +60,39 @@ def main_content_lines(text: str, dedupe: bool = False) -> list[str]:
 _RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("lines", T.IntegerType())])
 
 
+# characters whose lines are held at once, whatever the number of rows in a batch
+CHARS_AT_ONCE = 2_000_000
+
+
+def _extract(texts: pd.Series, dedupe: bool) -> pd.DataFrame:
+    have = texts.notna().to_numpy()
+    per_doc = [t.split("\n") for t in texts[have]]
+    flat = [x for lines in per_doc for x in lines]
+    ends = np.cumsum([0, *map(len, per_doc)])
+    times = times_kept(flat, np.repeat(np.arange(len(per_doc)), np.diff(ends)), dedupe)
+    text, n = np.full(len(texts), None, object), np.zeros(len(texts), np.int64)
+    for row, i, j in zip(np.flatnonzero(have), ends, ends[1:]):
+        text[row] = "\n".join(x for x, k in zip(flat[i:j], times[i:j]) for _ in range(k))
+        n[row] = times[i:j].sum()
+    return pd.DataFrame({"text": text, "lines": pd.arrays.IntegerArray(n.astype("int32"), ~have)})
+
+
+def slices(sizes: list[int], most: int) -> list[tuple[int, int]]:
+    """Neighbouring rows of some ``most`` characters; a longer row is one alone."""
+    cuts, held = [0], 0
+    for row, size in enumerate(sizes):
+        if held and held + size > most:
+            cuts.append(row)
+            held = 0
+        held += size
+    return list(zip(cuts, [*cuts[1:], len(sizes)]))
+
+
 def _extract_udf(dedupe: bool):
     @F.pandas_udf(_RESULT)
     def extract(texts: pd.Series) -> pd.DataFrame:
-        have = texts.notna().to_numpy()
-        per_doc = [t.split("\n") for t in texts[have]]
-        flat = [x for lines in per_doc for x in lines]
-        ends = np.cumsum([0, *map(len, per_doc)])
-        times = times_kept(flat, np.repeat(np.arange(len(per_doc)), np.diff(ends)), dedupe)
-        text, n = np.full(len(texts), None, object), np.zeros(len(texts), np.int64)
-        for row, i, j in zip(np.flatnonzero(have), ends, ends[1:]):
-            text[row] = "\n".join(x for x, k in zip(flat[i:j], times[i:j]) for _ in range(k))
-            n[row] = times[i:j].sum()
-        return pd.DataFrame({"text": text, "lines": pd.arrays.IntegerArray(n.astype("int32"), ~have)})
+        parts = slices([len(t) if isinstance(t, str) else 0 for t in texts], CHARS_AT_ONCE)
+        return pd.concat([_extract(texts.iloc[i:j], dedupe) for i, j in parts], ignore_index=True)
     return extract
 
 
