@@ -231,7 +231,7 @@ SELECT job_id, count(*) AS page_count,
        string_agg(CASE WHEN rn <= 10 THEN '- ' || url END, chr(10) ORDER BY rn) AS first_urls
 FROM r GROUP BY job_id""")
 def q_first_pages(spark, sf):
-    return C.first_pages(D.page_versions(spark, sf, with_page=True), 10)
+    return C.first_pages(D.job_page_versions(spark, sf), 10)
 
 
 @register("version_history", "E12", sql=with_views("d_version") + """
@@ -388,15 +388,15 @@ def q_orphan_report(spark, sf):
     """R2 over the seven references: orphan count per foreign key (left anti
     joins, counted by one aggregate over their tagged union)."""
     jobs, doms = D.jobs(spark, sf), D.domains(spark, sf)
-    vp, arts, profs = D.page_versions(spark, sf, with_page=True), D.artifacts(spark, sf), D.profiles(spark, sf)
-    pages = vp.select("domain_id", "url", "job_id").distinct()
+    vp, arts, profs = D.job_page_versions(spark, sf), D.artifacts(spark, sf), D.profiles(spark, sf)
     checks = [("job.domain_id", C.orphans(jobs, "domain_id", doms)),
               ("domain.profile_id", C.orphans(doms, "profile_id", profs)),
               ("version.job_id", C.orphans(vp, "job_id", jobs)),
               ("version.page_domain", C.orphans(vp, "domain_id", doms)),
               ("artifact.job_id", C.orphans(arts, "job_id", jobs)),
               ("artifact.domain_id", C.orphans(arts, "domain_id", doms)),
-              ("page.job_id", C.orphans(pages, "job_id", jobs))]
+              # a page's job is a column of it: pages are told apart among the orphans only
+              ("page.job_id", C.orphans(vp.select("domain_id", "url", "job_id"), "job_id", jobs).distinct())]
     names = spark.createDataFrame([(n,) for n, _ in checks], "fk string")   # the seven key names
     tagged = None
     for n, df in checks:

@@ -38,7 +38,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import read_table
+from .tables import raw_table, read_table, tasks_for
 
 # Site paths of the derived pages.
 SITE_PATHS = ["/", "/docs", "/docs/install", "/docs/reference", "/docs/recipes", "/blog", "/blog/release-notes",
@@ -86,12 +86,9 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def page_versions(spark: SparkSession, sf_dir: str, with_page: bool = False) -> DataFrame:
-    """Page-version statistics table. ``with_page`` adds domain_id and url,
-    which needs the job's domain (a join with orders on the job key)."""
-    li = read_table(spark, sf_dir, "lineitem")
+def _version_columns(lineitem: DataFrame) -> DataFrame:
     imp = F.when(F.col("l_linenumber") % 5 == 0, F.lit(None)).otherwise(F.col("l_linenumber") % 5)
-    v = li.select(
+    return lineitem.select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"),
         F.col("l_partkey").alias("page_id"),
         F.col("l_orderkey").alias("job_id"),
@@ -100,29 +97,71 @@ def page_versions(spark: SparkSession, sf_dir: str, with_page: bool = False) ->
         imp.cast("smallint").alias("importance"),
         F.col("l_shipdate").alias("created_at"),
     )
+
+
+def _page_url() -> Column:
+    paths = F.array(*[F.lit(p.rstrip("/")) for p in SITE_PATHS])
+    return F.concat(F.lit("https://"), domain_name(F.col("domain_id")),
+                    F.element_at(paths, (F.col("page_id") % 12 + 1).cast("int")),
+                    F.lit("/"), F.col("page_id").cast("string"))
+
+
+def page_versions(spark: SparkSession, sf_dir: str, with_page: bool = False) -> DataFrame:
+    """Page-version statistics table. ``with_page`` adds domain_id and url,
+    which needs the job's domain (a join with orders on the job key)."""
+    v = _version_columns(read_table(spark, sf_dir, "lineitem"))
     if not with_page:
         return v
     o = read_table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("domain_id"))
-    paths = F.array(*[F.lit(p.rstrip("/")) for p in SITE_PATHS])
-    url = F.concat(F.lit("https://"), domain_name(F.col("domain_id")),
-                   F.element_at(paths, (F.col("page_id") % 12 + 1).cast("int")),
-                   F.lit("/"), F.col("page_id").cast("string"))
-    return v.join(o, "job_id").withColumn("url", url)
+    return v.join(o, "job_id").withColumn("url", _page_url())
+
+
+def job_page_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``page_versions`` with pages for what is worked on job by job: the rows come
+    dealt by job over as many tasks as their number asks for, so aggregates,
+    windows and joins by job follow without another shuffle."""
+    li = raw_table(spark, sf_dir, "lineitem")
+    n = tasks_for(li, li.count())
+    o = raw_table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("domain_id"))
+    v = _version_columns(li).repartition(n, "job_id").join(o.repartition(n, "job_id"), "job_id")
+    return v.withColumn("url", _page_url())
+
+
+def _with_texts(v: DataFrame) -> DataFrame:
+    """The display fields of versions that have their part's columns."""
+    li_line = (F.col("id") % 8)
+    return v.withColumns({
+        "title": F.when(li_line % 4 == 0, F.lit("")).otherwise(F.col("p_name")),
+        "description": F.when(li_line % 3 == 0, F.lit(None)).otherwise(F.col("p_type")),
+        "summary": F.when(li_line % 2 == 0, F.concat(F.col("p_name"), F.lit(" by "), F.col("p_brand")))})
 
 
 def page_version_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page versions with display fields: title/description/summary from part."""
     v = page_versions(spark, sf_dir, with_page=True)
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
-    li_line = (F.col("id") % 8)
-    return (v.join(p, v.page_id == p.p_partkey)
-            .select("id", "page_id", "job_id", "domain_id", "url", "change_status", "importance",
-                    "created_at",
-                    F.when(li_line % 4 == 0, F.lit("")).otherwise(F.col("p_name")).alias("title"),
-                    F.when(li_line % 3 == 0, F.lit(None)).otherwise(F.col("p_type")).alias("description"),
-                    F.when(li_line % 2 == 0, F.concat(F.col("p_name"), F.lit(" by "), F.col("p_brand")))
-                     .alias("summary")))
+    return _with_texts(v.join(p, v.page_id == p.p_partkey)).select(
+        "id", "page_id", "job_id", "domain_id", "url", "change_status", "importance", "created_at",
+        "title", "description", "summary")
+
+
+def job_page_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``page_version_details`` with the domain's name, for what is worked on job by
+    job. Versions meet their part as narrow rows and jobs their domain, then both
+    meet once, dealt by job as in ``job_page_versions``."""
+    li = raw_table(spark, sf_dir, "lineitem")
+    n = tasks_for(li, li.count())
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+    v = _version_columns(li)
+    v = v.join(p, v.page_id == p.p_partkey)
+    o = raw_table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("domain_id"))
+    j = o.join(domains(spark, sf_dir).select(F.col("id").alias("domain_id"), "domain"), "domain_id")
+    d = v.repartition(n, "job_id").join(j.repartition(n, "job_id"), "job_id").withColumn("url", _page_url())
+    return _with_texts(d).select("id", "page_id", "job_id", "domain_id", "domain", "url", "change_status", "importance",
+                                 "created_at", "title", "description", "summary")
 
 
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:

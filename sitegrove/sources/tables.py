@@ -30,8 +30,24 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+# rows of a shuffled table that one task is given: some 1 kB each with a page's texts
+ROWS_PER_TASK = 250_000
+
+
+def tasks_for(df: DataFrame, rows: int) -> int:
+    """How many tasks to deal ``rows`` rows over: a task's share stays the same
+    however large the table grows, where adaptive execution would join small
+    compressed partitions into tasks of gigabytes."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
+
+
+def raw_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as its files give it, for a caller that deals its rows itself."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    df = raw_table(spark, sf_dir, name)
     return spread(df) if name in SPREAD_TABLES else df
