@@ -28,7 +28,7 @@ def _with_domain(spark, sf, versions):
 
 
 def _details(spark, sf):
-    return _with_domain(spark, sf, D.page_version_details(spark, sf)).select(
+    return D.job_page_details(spark, sf).select(
         "job_id", "domain", "id", "url", "title", "description", "summary", "created_at")
 
 
@@ -288,10 +288,10 @@ WHERE docs.content IS NOT NULL"""
 def q_artifact_rows(spark, sf):
     """Both documents for jobs passing the gate, versioned after the existing
     artifacts of the same domain and kind."""
-    versions = _with_domain(spark, sf, D.page_version_details(spark, sf)).select(
+    versions = D.job_page_details(spark, sf).select(
         "job_id", "domain", "id", "url", "title", "description", "summary", "created_at", "importance", "change_status")
-    versions = stored(versions, "version-details")
     gate = A.assembly_gate(versions).filter("should_generate").select("job_id")
+    # dealt by job, so the gate, both documents and what they are made of stay in place
     det = versions.join(gate, "job_id", "left_semi")
     idx = A.index_document(det, AS_OF).select("job_id", "domain", F.lit("llms_txt").alias("kind"), "content")
     full = A.full_document(det, AS_OF).select("job_id", "domain", F.lit("llms_full_txt").alias("kind"), "content")
@@ -337,7 +337,7 @@ def q_carry_forward(spark, sf):
     det = D.page_version_details(spark, sf)
     inputs = _with_domain(spark, sf, A.carry_forward_inputs(det, D.jobs(spark, sf)))
     return A.index_document(inputs.select("job_id", "domain", "id", "url", "title", "description", "summary",
-                                          "created_at"), AS_OF)
+                                          "created_at").repartition("job_id"), AS_OF)
 
 
 # ---- request / response tables ----------------------------------------------------------
