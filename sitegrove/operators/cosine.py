@@ -4,15 +4,25 @@ A text is the vector of its word shingles with their counts. With the shingles i
 one global order, a vector's prefix is the shortest beginning after which the rest
 is shorter than ``threshold`` times the whole: two vectors at the threshold share a
 shingle of both prefixes, since all they share beyond either is too little. Any
-order is right; frequent shingles come last, so prefixes hold rare ones. Which are
-frequent is read from a sample of some ``sample`` texts, at most ``frequent``
-shingles, which bounds the broadcast; a poor sample costs time, not links.
-
-Texts with equal normalised text are one class. Classes that share a prefix shingle
-are joined by star edges; inside the components so made every pair is verified on
-whole vectors, in blocks (``pairs.verify``), in whole numbers; the verified links'
-components are the groups. No pairs are emitted. Shingles are told apart by 64-bit
-hashes.
+order is right; here it goes by the number of texts that hold a shingle, counted
+over all texts, so that prefixes hold the rarest. Shingles of one text come first
+and link nothing, which leaves few candidates:
+
+* A text whose shingles of its own make up the prefix links with none. One half of
+  the shingles (by hash) shows that for most texts; only the others go on. A hash
+  cut to 40 bits can make a shingle look shared, never look single.
+* From the first shingle that two texts share, the product of their rests bounds
+  their dot product. The text with the longest rest at a shingle reaches the bound
+  with every text that reaches it with any, so one edge to it stands for them all.
+
+The most frequent shingles, found in a sample of some ``sample`` texts, at most
+``frequent``, come last and uncounted: no task gets all texts of one of them. A poor
+sample costs time, not links.
+
+Texts with equal normalised text are one class. Inside the components that the
+edges make every pair is verified on whole vectors, in blocks (``pairs.verify``),
+in whole numbers; the verified links' components are the groups. No pairs are
+emitted. Shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,6 +39,8 @@ from ..session import stored
 from .graph import connected_components
 from .pairs import verify
 
+HASH_40 = (1 << 40) - 1
+
 
 def cosine_links(a: list[np.ndarray], b: list[np.ndarray], percent: int, columns: int = 4096) -> np.ndarray:
     """Whether each vector of a and each of b reach the threshold. A vector is rows
@@ -54,7 +66,8 @@ def cosine_links(a: list[np.ndarray], b: list[np.ndarray], percent: int, columns
 
 
 def prefix_size(counts: np.ndarray, percent: int) -> int:
-    """How many of the ordered counts make the prefix."""
+    """How many of the ordered counts make the prefix: the rule that ``cosine_groups``
+    follows in a window."""
     rest = np.cumsum((counts.astype(float) ** 2)[::-1])[::-1]  # squared length from each place on
     return int((rest * 10_000 >= percent * percent * rest[0]).sum()) if len(rest) else 0
 
@@ -89,23 +102,59 @@ def cosine_groups(docs: DataFrame, key: str, text: str, percent: int = 80, k: in
     words = F.split(fingerprint_normalize(F.col("_t")), " ", -1)
     every = F.element_at(F.transform(F.array(words), lambda w: F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, k), " ")))), 1)
-    some = first.where(F.pmod(F.xxhash64("cid"), F.lit(max(1, first.count() // sample))) == 0)
-    often = some.select(F.explode(F.array_distinct(every)).alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    enough = percent * percent / 10_000  # of the squared length; sums of doubles are given 1e-9
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, share = [], []
+            for x in batch.column(1):
+                f, n = np.unique(x.values.to_numpy(), return_counts=True)
+                half = (f & 1) == 0
+                own.append((f[half] >> 1) & HASH_40)
+                share.append(n[half] ** 2.0 / (n ** 2.0).sum())
+            if own:
+                cid = np.repeat(batch.column(0).to_numpy(), list(map(len, own)))
+                f, at, n = np.unique(np.concatenate(own), return_index=True, return_counts=True)
+                one, more = np.sort(at[n == 1]), f[n > 1]  # those of several texts of the batch once
+                cols = np.concatenate(own)[one], cid[one], np.concatenate(share)[one]
+                cols = [np.concatenate([c, m]) for c, m in zip(cols, (more, np.full(len(more), -1), np.zeros(len(more))))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["f", "cid", "w"])
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(first.agg(F.sum(F.length("_t"))).first()[0] or 0) // 12_000_000)
+    held = first.select("cid", every.alias("s")).mapInArrow(halves, "f long, cid long, w double").repartition(tasks, "f")
+    single = held.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.max("cid").alias("cid"), F.max("w").alias("w")).where("n = 1 and cid >= 0")
+    alone = single.groupBy("cid").agg(F.sum("w").alias("w")).where(F.col("w") > 1 - enough + 1e-9)
+    left = first.join(stored(first.select("cid").join(alone, "cid", "left_anti"), "left"), "cid", "left_semi").select("cid", every.alias("s"))
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.unique(x.values.to_numpy()) for x in batch.column(1)]
+            if own:
+                f, n = np.unique(np.concatenate(own), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(f[n > 2]), pa.array(n[n > 2])], names=["f", "n"])
+    some = left.where(F.pmod(F.xxhash64("cid"), F.lit(max(1, left.count() // sample))) == 0)
+    often = some.mapInArrow(repeated, "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
     often = often.orderBy(F.desc("n"), "f").limit(frequent).select("f").toArrow().column("f").to_numpy()
     often = docs.sparkSession.sparkContext.broadcast(np.sort(often))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = []
+            own, share = [], []
             for x in batch.column(1):
                 f, n = np.unique(x.values.to_numpy(), return_counts=True)
-                order = np.argsort(_among(f, often.value), kind="stable")
-                own.append(f[order[:prefix_size(n[order], percent)]])
+                own.append(f)
+                share.append(n ** 2.0 / (n ** 2.0).sum())
             if own:
-                cid = np.repeat(batch.column(0).to_numpy(), list(map(len, own)))
-                yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(np.concatenate(own))], names=["cid", "f"])
-    meets = first.select("cid", every.alias("s")).mapInArrow(prefixes, "cid long, f long")
-    stars = meets.select(F.min("cid").over(Window.partitionBy("f")).alias("a"), F.col("cid").alias("b")).where("a < b")
+                cid, f = np.repeat(batch.column(0).to_numpy(), list(map(len, own))), np.concatenate(own)
+                salt = np.where(_among(f, often.value), 1 + cid % 1024, 0)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (cid, f, np.concatenate(share), salt)], names=["cid", "f", "w", "salt"])
+    texts = F.when(F.col("salt") > 0, F.lit(1 << 62)).otherwise(F.count(F.lit(1)).over(Window.partitionBy("f", "salt")))
+    shared = left.mapInArrow(entries, "cid long, f long, w double, salt long").select("cid", "f", "w", texts.alias("n")).where("n > 1")
+    # from a shingle to the end of the order
+    rest = F.sum("w").over(Window.partitionBy("cid").orderBy(F.desc("n"), "f").rowsBetween(Window.unboundedPreceding, 0))
+    meets = shared.select("cid", "f", rest.alias("rest")).where(F.col("rest") >= enough - 1e-9)
+    top = F.max(F.struct("rest", "cid")).over(Window.partitionBy("f"))
+    stars = meets.select("cid", "rest", top.alias("top")).where((F.col("rest") * F.col("top.rest") >= enough - 1e-9) & (F.col("cid") != F.col("top.cid")))
+    stars = stars.select(F.col("top.cid").alias("a"), F.col("cid").alias("b"))
     comps = connected_components(stars).select(F.col("v").alias("cid"), F.col("root").alias("comp"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

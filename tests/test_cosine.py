@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from sitegrove.operators.cosine import cosine_groups, prefix_size
+from sitegrove.operators.pairs import verify
 
 
 def _vector(text, k=5):
@@ -66,3 +67,25 @@ def test_prefix():
 
 def test_empty(spark):
     assert cosine_groups(spark.createDataFrame([], "id long, t string"), "id", "t").count() == 0
+
+
+def test_shared_passages_make_no_chain(spark, monkeypatch):
+    """Texts that each share passages with the next, too short to link them, are no
+    candidates; a pair of near copies among them is."""
+    rnd = random.Random(5)
+
+    def words(n):
+        return [f"v{rnd.randrange(10 ** 9)}" for _ in range(n)]
+    passages = [words(24) for _ in range(41)]
+    docs = [words(40) + passages[i] + passages[i + 1] for i in range(40)]
+    docs.append([*docs[7][:-1], "other"])
+    seen = []
+
+    def counted(members, *args, **kwargs):
+        seen.extend(sorted(len(r.set) for r in members.select("set").collect()))
+        return verify(members, *args, **kwargs)
+    monkeypatch.setattr("sitegrove.operators.cosine.verify", counted)
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "id long, t string")
+    got = {r.id: r.group_id for r in cosine_groups(df, "id", "t").collect()}
+    assert got == {**{i: i for i in range(40)}, 40: 7}
+    assert len(seen) == 2
