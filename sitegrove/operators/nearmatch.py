@@ -26,21 +26,19 @@ from .graph import connected_components
 from .pairs import verify
 
 
-def shingles(text: Column, k: int = 5) -> Column:
-    """Distinct word k-grams of the normalised text (the whole text when it
-    has fewer than k words). The word array is bound once (one-element
-    ``transform``) so the lambda does not re-split the text per k-gram."""
+def hashes(text: Column, k: int = 5) -> Column:
+    """The distinct 64-bit hashes of the word k-grams of the normalised text (of the
+    whole text when it has fewer than k words): repeats are found among numbers,
+    not among strings. The word array is bound once (one-element ``transform``) so
+    the lambda does not re-split the text per k-gram."""
     words = F.split(fingerprint_normalize(text), " ", -1)
-
-    def grams(w):
-        n = F.size(w)
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))),
-                                            lambda i: F.array_join(F.slice(w, i, k), " ")))
-    return F.element_at(F.transform(F.array(words), grams), 1)
+    return F.element_at(F.transform(F.array(words), lambda w: F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, k), " "))))), 1)
 
 
 def near_match_groups(docs: DataFrame, key: str, text: str, bands: int = 16, rows: int = 4,
-                      threshold: float = 0.8, block_members: int = 1024, block_grams: int = 2_000_000) -> DataFrame:
+                      threshold: float = 0.8, block_members: int = 1024, block_grams: int = 2_000_000,
+                      chunk: int = 1 << 16) -> DataFrame:
     """(key, group_id, near_copy): group_id is the smallest key of the group of
     documents connected by verified similarity (itself when there is none)."""
     rng = np.random.default_rng(12)
@@ -52,9 +50,14 @@ def near_match_groups(docs: DataFrame, key: str, text: str, bands: int = 16, row
             at = lists.offsets.to_numpy().astype(np.int64)
             x, at = lists.values.to_numpy().view(np.uint64)[at[0]:at[-1]], at - at[0]
             keys = np.zeros((bands, len(lists)), np.uint64)  # every text has a shingle
-            for i in range(bands * rows):
-                h = (x ^ seed[i]) * factor[i]
-                keys[i // rows] += np.minimum.reduceat(h ^ (h >> np.uint64(32)), at[:-1]) * place[i]
+            cut = [0, *(np.flatnonzero(np.diff(at[:-1] // chunk)) + 1), len(lists)]  # some texts at a time, which stay in the cache
+            for lo, hi in zip(cut, cut[1:]):
+                part, starts = x[at[lo]:at[hi]], at[lo:hi] - at[lo]
+                for i in range(bands * rows if hi > lo else 0):
+                    h = part ^ seed[i]
+                    h *= factor[i]
+                    h ^= h >> np.uint64(32)
+                    keys[i // rows, lo:hi] += np.minimum.reduceat(h, starts) * place[i]
             cid = np.tile(batch.column(0).to_numpy(), bands)
             yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(keys.view(np.int64).ravel())], names=["cid", "band"])
 
@@ -66,7 +69,7 @@ def near_match_groups(docs: DataFrame, key: str, text: str, bands: int = 16, row
     path = f"{ensure_checkpoint_dir(docs.sparkSession).rstrip('/')}/near-match-{uuid.uuid4().hex}"
     first.write.parquet(path)
     first = docs.sparkSession.read.schema(first.schema).parquet(path)
-    hashed = F.transform(shingles(F.col("_t")), lambda g: F.xxhash64(g))
+    hashed = hashes(F.col("_t"))
     per_band = first.select("cid", hashed.alias("_sh")).mapInArrow(run, "cid long, band long").checkpoint()
     reps = per_band.groupBy("band").agg(F.min("cid").alias("rep"), F.max("cid").alias("_z")).filter("rep < _z").select("band", "rep")
     stars = per_band.join(reps, "band").select(F.col("rep").alias("a"), F.col("cid").alias("b"))
