@@ -250,11 +250,13 @@ def q_full_documents_ai(spark, sf):
     """Full documents with response-driven categories (C6). Category order
     follows the response object's key order (index-like names first), empty
     categories appear in the contents only."""
-    per_url = stored(A.url_sections(_details(spark, sf)), "url-sections")
+    # sections come dealt by job and stay so to the end: what needs them whole reads them once
+    n = D.tasks_by_job(spark, sf)
+    per_url = A.url_sections(_details(spark, sf))
     parsed = stored(A.parse_category_response(_category_responses(spark, sf)), "categories")
-    cats = A.match_categories(per_url.select("job_id", "url"), parsed)
-    return A.full_document_of(per_url, AS_OF, assignment=cats.select("job_id", "url", "category", "cat_pos"),
-                              category_list=parsed.select("job_id", "category", "cat_pos").distinct())
+    per_job = D.page_versions(spark, sf).groupBy("job_id").agg(F.count(F.lit(1)).alias("pages"))
+    taken = A.match_categories(per_url, parsed, tasks=n, per_job=per_job)
+    return A.full_document_of(taken, AS_OF)
 
 
 def _artifact_sql() -> str:

@@ -86,7 +86,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _version_columns(lineitem: DataFrame) -> DataFrame:
+def _version_columns(lineitem: DataFrame, *more: str) -> DataFrame:
     imp = F.when(F.col("l_linenumber") % 5 == 0, F.lit(None)).otherwise(F.col("l_linenumber") % 5)
     return lineitem.select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"),
@@ -96,6 +96,7 @@ def _version_columns(lineitem: DataFrame) -> DataFrame:
          .otherwise("new").alias("change_status"),
         imp.cast("smallint").alias("importance"),
         F.col("l_shipdate").alias("created_at"),
+        *more,
     )
 
 
@@ -122,7 +123,7 @@ def job_page_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt by job over as many tasks as their number asks for, so aggregates,
     windows and joins by job follow without another shuffle."""
     li = raw_table(spark, sf_dir, "lineitem")
-    n = tasks_for(li, li.count())
+    n = tasks_by_job(spark, sf_dir)
     o = raw_table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("domain_id"))
     v = _version_columns(li).repartition(n, "job_id").join(o.repartition(n, "job_id"), "job_id")
@@ -147,19 +148,26 @@ def page_version_details(spark: SparkSession, sf_dir: str) -> DataFrame:
         "title", "description", "summary")
 
 
+def tasks_by_job(spark: SparkSession, sf_dir: str) -> int:
+    """How many tasks page versions are dealt over by job."""
+    li = raw_table(spark, sf_dir, "lineitem")
+    return tasks_for(li, li.count())
+
+
 def job_page_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``page_version_details`` with the domain's name, for what is worked on job by
-    job. Versions meet their part as narrow rows and jobs their domain, then both
-    meet once, dealt by job as in ``job_page_versions``."""
+    job. Versions meet their part as the table's own narrow rows and jobs their domain,
+    then both meet once, dealt by job as in ``job_page_versions``; what is made of
+    those rows is made after that."""
     li = raw_table(spark, sf_dir, "lineitem")
-    n = tasks_for(li, li.count())
+    n = tasks_by_job(spark, sf_dir)
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
-    v = _version_columns(li)
-    v = v.join(p, v.page_id == p.p_partkey)
+    v = li.join(p, li.l_partkey == p.p_partkey).repartition(n, "l_orderkey")
     o = raw_table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("domain_id"))
     j = o.join(domains(spark, sf_dir).select(F.col("id").alias("domain_id"), "domain"), "domain_id")
-    d = v.repartition(n, "job_id").join(j.repartition(n, "job_id"), "job_id").withColumn("url", _page_url())
+    v = _version_columns(v, "p_name", "p_type", "p_brand")
+    d = v.join(j.repartition(n, "job_id"), "job_id").withColumn("url", _page_url())
     return _with_texts(d).select("id", "page_id", "job_id", "domain_id", "domain", "url", "change_status", "importance",
                                  "created_at", "title", "description", "summary")
 

@@ -103,3 +103,57 @@ def test_pages_are_extracted_in_slices(spark, monkeypatch):
     import pandas as pd
     cut = text_ops._extract_udf(False).func(pd.Series(texts))
     assert len(held) > 20 and [None if x is None else x for x in cut.text] == [r.m.text for r in whole]
+
+
+def test_categorized_documents_are_made_where_the_pages_are(spark, sf, monkeypatch):
+    """Sections are dealt by job once: not stored, not dealt again, and met once by the lists of categories."""
+    names = []
+    for m in (A, Q):
+        monkeypatch.setattr(m, "stored", lambda df, name, f=m.stored: names.append(name) or f(df, name))
+    got = REGISTRY["full_documents_categorized"].build(spark, sf)
+    assert names == ["categories"]
+    assert _shuffles(got) <= _shuffles(Q._details(spark, sf)) + 1
+    assert {r.job_id for r in got.collect()} == set(range(100))
+
+
+def test_versions_travel_as_the_table_has_them(spark, sf):
+    """To their part and to their job: what is made of a version's columns is made after that."""
+    moved = re.findall(r"Exchange hashpartitioning\((?:l_partkey|l_orderkey|job_id|page_id)[^\n]*\n[^\n]*?(?:Project \[([^\n]*)\]|Filter|BroadcastHashJoin|SortMergeJoin)", _plan(Q._details(spark, sf)))
+    assert moved and not any("AS id#" in x or "AS change_status#" in x for x in moved)
+
+
+CATEGORIES = [(0, "Docs", 0, ["/docs", "zz"]), (0, "Docs", 0, ["/docs", "zz"]), (0, "All", 1, None), (0, "10", 2, ["/blog"]), (0, "2", 3, ["/none"]),
+              (1, "Empty", 0, []), (1, "Blog", 4, ["blog", "/blog/1"]), (2, "None", 0, ["/none"]), (4, "Any", 1, [""]), (9, "Elsewhere", 0, ["/"])]
+SECTIONS = [(j, f"d{j}.example", None if i == 5 else f"https://d{j}.example/{('docs', 'blog')[i % 2]}/{i}", 1 + i % 2, f"### {i}\n\n---\n\n")
+            for j in range(5) for i in range(6)]
+
+
+@pytest.mark.parametrize("limit", [10**9, 14, 0])
+def test_matches_of_pages_dealt_by_job(spark, limit):
+    pages = spark.createDataFrame(SECTIONS, "job_id long, domain string, url string, n_url long, section string")
+    parsed = spark.createDataFrame(CATEGORIES, "job_id long, category string, cat_pos int, patterns array<string>")
+    dealt = pages.repartition(4, "job_id")
+    counts = pages.groupBy("job_id").agg(F.count(F.lit(1)).alias("pages"))
+    got = A.match_categories(dealt, parsed, pair_limit=limit, tasks=4, per_job=counts)
+    assert got.columns == [*pages.columns, "category", "cat_pos"]
+    exp = {(*p, c, k) for p in SECTIONS for j, c, k, ps in CATEGORIES if j == p[0] and p[2] is not None and any(x in p[2] for x in ([""] if ps is None else ps))}
+    exp |= {(j, f"d{j}.example", None, 0, None, c, k) for j in range(5) for i, c, k, _ in CATEGORIES if i == j}
+    exp.add((3, "d3.example", None, 0, None, None, None))  # a job without categories
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(exp) and set(rows) == exp
+    # the same documents as by an assignment and a list of categories
+    plain = A.match_categories(pages, parsed)
+    docs = A.full_document_of(pages, "2024-02-01 00:00:00", plain, parsed.select("job_id", "category", "cat_pos").distinct())
+    key = lambda r: r.job_id
+    found = sorted(A.full_document_of(got, "2024-02-01 00:00:00").collect(), key=key)
+    assert found == sorted(docs.collect(), key=key) and [r.categories for r in found] == [4, 2, 1, 0, 1]
+    assert "- [2](#2) (0 pages)\n- [10](#10) (4 pages)\n- [Docs](#docs) (3 pages)\n- [All](#all) (7 pages)\n" in found[0].content
+
+
+def test_counts_leave_no_shuffle_files(spark):
+    from sitegrove.session import shuffles_dropped
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key)
+    with shuffles_dropped(spark):
+        assert spark.conf.get(key) == "true"
+    assert spark.conf.get(key) == was
